@@ -104,4 +104,121 @@ def weblog_sql() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     out = {}
     out.update(weblog_sql())
+    out.update(analytics_sql())
     return out
+
+
+SEED_SALT = "#31891"
+
+
+def _u(*exprs: str) -> str:
+    """DuckDB twin of ``functions.hashing.unit_interval`` (salted with the seed)."""
+    key = " || '#' || ".join(f"{e}::VARCHAR" for e in exprs)
+    return f"(('0x' || substr(md5({key} || '{SEED_SALT}'), 1, 7))::BIGINT / 268435456.0)"
+
+
+def _bucket(k: int, *exprs: str) -> str:
+    key = " || '#' || ".join(f"{e}::VARCHAR" for e in exprs)
+    return f"((('0x' || substr(md5({key} || '{SEED_SALT}'), 1, 7))::BIGINT % {k})::INTEGER)"
+
+
+PART_ENC = """
+brand_idx AS (SELECT p_brand, (row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1)::INTEGER AS p_brand_index,
+                     count(*) OVER () AS n_brands FROM part GROUP BY p_brand),
+type_idx AS (SELECT p_type, (row_number() OVER (ORDER BY count(*) DESC, p_type) - 1)::INTEGER AS p_type_index,
+                    count(*) OVER () AS n_types FROM part GROUP BY p_type),
+enc AS (SELECT p.*, b.p_brand_index, b.n_brands, t.p_type_index, t.n_types
+        FROM part p JOIN brand_idx b USING (p_brand) JOIN type_idx t USING (p_type))"""
+
+LI_PRED = f"""
+li AS (SELECT {_bucket(4, 'l_orderkey')} AS fold, l_quantity, l_extendedprice FROM lineitem),
+preds AS (SELECT 0 AS grid_index, 'm1' AS model, fold, l_quantity, l_extendedprice / 2000.0 AS prediction FROM li
+          UNION ALL SELECT 1, 'm2', fold, l_quantity, l_extendedprice / 1500.0 FROM li
+          UNION ALL SELECT 2, 'm3', fold, l_quantity, 25.5 FROM li),
+fm AS (SELECT grid_index, model, fold, count(*) AS n,
+              sqrt(avg((prediction - l_quantity) * (prediction - l_quantity))) AS rmse
+       FROM preds GROUP BY ALL)"""
+
+EMB_SCORES = """
+sc AS (SELECT (label >= 5)::INTEGER AS y, 'e0' AS model, embedding[1]::DOUBLE AS score FROM embeddings
+       UNION ALL SELECT (label >= 5)::INTEGER, 'e1', embedding[2]::DOUBLE FROM embeddings
+       UNION ALL SELECT (label >= 5)::INTEGER, 'e2', embedding[3]::DOUBLE FROM embeddings)"""
+
+PROFILE = """
+rel AS (SELECT l_partkey::INTEGER AS movieId, (l_suppkey % 25)::INTEGER AS tagId, round(avg(l_discount), 6) AS relevance
+        FROM lineitem GROUP BY ALL),
+cl AS (SELECT p_partkey::INTEGER AS id, (p_size % 19)::INTEGER AS cluster FROM part),
+sizes AS (SELECT cluster, count(*) AS count FROM cl GROUP BY 1),
+topc AS (SELECT cluster FROM sizes ORDER BY count DESC, cluster LIMIT 3),
+ct AS (SELECT cl.cluster, rel.tagId, avg(rel.relevance) AS avg_relevance,
+              count(*) FILTER (WHERE rel.relevance > 0.05) AS n_items
+       FROM cl JOIN rel ON cl.id = rel.movieId WHERE cl.cluster IN (SELECT cluster FROM topc) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY avg_relevance DESC, tagId) AS rank FROM ct),
+prof AS (SELECT r.*, n.n_name AS tag FROM r JOIN nation n ON n.n_nationkey = r.tagId WHERE rank <= 3)"""
+
+
+def analytics_sql() -> dict[str, str]:
+    u_doc = _u("doc_id")
+    return {
+        "url_host_topn": r"""WITH h AS (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1) AS host FROM pages),
+            c AS (SELECT regexp_extract(host, '\.([A-Za-z0-9-]+)$', 1) AS tld, host, count(*) AS count FROM h GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY tld ORDER BY count DESC, host) AS rank FROM c)
+            SELECT tld, host, count, rank FROM r WHERE rank <= 5""",
+        "multi_sort": "SELECT o_orderpriority, o_orderstatus, count(*) AS count FROM orders GROUP BY ALL "
+                      "ORDER BY o_orderpriority, count DESC",
+        "topk": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3",
+        "strat_split": f"SELECT CASE WHEN {u_doc} < 0.8 THEN 'train' ELSE 'test' END AS split, quality, "
+                       f"count(*) AS count FROM labels GROUP BY ALL",
+        "split_complement": f"SELECT * FROM labels EXCEPT SELECT * FROM labels WHERE {u_doc} < 0.8",
+        "class_dist": f"""SELECT event_type, 'all' AS part, count(*) AS count FROM events GROUP BY 1
+            UNION ALL SELECT event_type, 'sample', count(*) FILTER (WHERE {_u('event_id')} < 0.1) FROM events GROUP BY 1""",
+        "kfold_sizes": f"SELECT {_bucket(4, 'l_orderkey', 'l_linenumber')} AS fold, count(*) AS count "
+                       f"FROM lineitem GROUP BY 1",
+        "sample_sizes": f"""WITH wb AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE -1 END AS label,
+                                               {_u('vec_id')} AS u FROM embeddings),
+            f(fraction) AS (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)),
+            lab AS (SELECT DISTINCT label FROM wb)
+            SELECT lab.label, f.fraction,
+                   (SELECT count(*) FROM wb WHERE wb.label = lab.label AND wb.u < f.fraction) AS count
+            FROM lab, f""",
+        "recode_binary": "SELECT o_orderkey, o_orderstatus, (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END)::INTEGER "
+                         "AS label FROM orders",
+        "recode_sign": """SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE -1 END AS label_pm,
+                                 CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label FROM embeddings""",
+        "string_index": f"WITH {PART_ENC} SELECT p_partkey, p_brand, p_brand_index, p_type, p_type_index FROM enc",
+        "one_hot": f"""WITH {PART_ENC} SELECT p_partkey, p_brand_index AS brand_hot, n_brands::INTEGER AS brand_width,
+                              p_type_index AS type_hot, n_types::INTEGER AS type_width, 2.0 AS ones FROM enc""",
+        "assemble": f"""WITH {PART_ENC} SELECT p_partkey, (2 + n_brands)::INTEGER AS width, p_size::DOUBLE AS x0,
+                               p_retailprice AS x1, p_brand_index AS hot_pos FROM enc""",
+        "standardize": """SELECT p_partkey,
+                round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS z_price,
+                round((p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER (), 6) AS z_size FROM part""",
+        "rmse_mae": f"""SELECT {_bucket(4, 'l_orderkey')} AS fold, count(*) AS n,
+                round(sqrt(avg((l_extendedprice / 2000.0 - l_quantity) * (l_extendedprice / 2000.0 - l_quantity))), 6) AS rmse,
+                round(avg(abs(l_extendedprice / 2000.0 - l_quantity)), 6) AS mae
+            FROM lineitem GROUP BY 1""",
+        "accuracy": f"""WITH {EMB_SCORES} SELECT model, count(*) AS n,
+                round(avg(CASE WHEN y = (score > 0)::INTEGER THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+            FROM sc GROUP BY 1""",
+        "auc_exact": f"""WITH {EMB_SCORES},
+            ps AS (SELECT model, score, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY ALL),
+            cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY score
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ps)
+            SELECT model, round(sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 6) AS auc,
+                   sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM cum GROUP BY 1""",
+        "fold_summary": f"""WITH {LI_PRED}
+            SELECT grid_index, model,
+                   round(max(rmse) FILTER (WHERE fold = 0), 6) AS rmse_fold0,
+                   round(max(rmse) FILTER (WHERE fold = 1), 6) AS rmse_fold1,
+                   round(max(rmse) FILTER (WHERE fold = 2), 6) AS rmse_fold2,
+                   round(max(rmse) FILTER (WHERE fold = 3), 6) AS rmse_fold3,
+                   round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std
+            FROM fm GROUP BY ALL""",
+        "best_param": f"""WITH {LI_PRED}, m AS (SELECT grid_index, model, avg(rmse) AS rmse_mean FROM fm GROUP BY ALL)
+            SELECT grid_index, model, round(rmse_mean, 6) AS rmse_mean FROM m
+            ORDER BY rmse_mean, grid_index LIMIT 1""",
+        "top_clusters": f"WITH {PROFILE} SELECT s.cluster, s.count FROM sizes s JOIN topc USING (cluster)",
+        "cluster_top_tags": f"WITH {PROFILE} SELECT cluster, tagId, tag, round(avg_relevance, 6) AS avg_relevance, "
+                            f"rank FROM prof",
+        "cluster_tag_counts": f"WITH {PROFILE} SELECT cluster, tagId, tag, n_items FROM prof",
+    }

@@ -11,10 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.ml.functions import vector_to_array
+
 from quarry import oracle
+from quarry.functions.hashing import unit_interval
 from quarry.functions.logparse import parse_log
-from quarry.plans import weblog
+from quarry.functions.recode import binary_recode, sign_to_binary
+from quarry.operators import aggregates, features, metrics, ranking, splits
+from quarry.operators.grids import fold_summary as _fold_summary
+from quarry.plans import recommend, weblog
 from quarry.sources import standins
+from quarry.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +60,217 @@ def hour_grid(spark, sf_dir):
     return weblog.busiest_org_grid(_cube(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- URLs (F1-style regex + T1)
+
+URL_HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
+TLD_PATTERN = r"\.([A-Za-z0-9-]+)$"
+
+
+def url_host_topn(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("url")
+    hosts = pages.select(F.regexp_extract("url", URL_HOST_PATTERN, 1).alias("host"))
+    hosts = hosts.withColumn("tld", F.regexp_extract("host", TLD_PATTERN, 1))
+    counts = aggregates.count_per_key(hosts, ["tld", "host"])
+    return ranking.top_n_per_group(counts, "tld", "count", 5, tie_cols=["host"])
+
+
+# ---------------------------------------------------------------- sort / top-k
+
+def multi_sort(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    counts = aggregates.count_per_key(o, ["o_orderpriority", "o_orderstatus"])
+    return ranking.multi_sort(counts, [("o_orderpriority", True), ("count", False)])
+
+
+def topk(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return ranking.top_k(o, "o_totalprice", 3, tie_cols=["o_orderkey"])
+
+
+# ---------------------------------------------------------------- splits
+
+def strat_split(spark, sf_dir):
+    lab = splits.split_label(read_table(spark, sf_dir, "labels"), "doc_id", 0.8)
+    return aggregates.class_distribution(lab, "quality", part_col="split")
+
+
+def split_complement(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels")
+    train, _ = splits.hash_split(lab, "doc_id", 0.8)
+    return lab.subtract(train)
+
+
+def class_dist(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type")
+    u = unit_interval("event_id", salt=str(splits.SEED))
+    wide = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_all"),
+                                        F.sum(F.when(u < 0.1, 1).otherwise(0)).cast("bigint").alias("n_sample"))
+    return wide.selectExpr("event_type", "stack(2, 'all', n_all, 'sample', n_sample) AS (part, count)")
+
+
+def kfold_sizes(spark, sf_dir):
+    li = splits.with_fold(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], 4)
+    return aggregates.count_per_key(li, "fold")
+
+
+def sample_sizes(spark, sf_dir):
+    wb = standins.wide_binary(spark, sf_dir).select("vec_id", "label")
+    return splits.nested_sample_sizes(wb, "vec_id", [0.2, 0.4, 0.6, 0.8], label_col="label")
+
+
+def sample_by(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return splits.sample_by(ev, "event_type", 0.1,
+                            labels=["view", "click", "error", "signup", "purchase"])
+
+
+# ---------------------------------------------------------------- recodes
+
+def recode_binary(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", "o_orderstatus", binary_recode(F.col("o_orderstatus"), "F").alias("label"))
+
+
+def recode_sign(spark, sf_dir):
+    wb = standins.wide_binary(spark, sf_dir).select("vec_id", F.col("label").alias("label_pm"))
+    return wb.withColumn("label", sign_to_binary(F.col("label_pm")))
+
+
+# ---------------------------------------------------------------- features
+
+def _encoded_parts(spark, sf_dir):
+    part = standins.categorical_table(spark, sf_dir).join(
+        read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_partkey")
+    cats = ["p_brand", "p_type"]
+    model = features.categorical_pipeline(cats, "cat_features").fit(part)
+    return model.transform(part)
+
+
+def string_index(spark, sf_dir):
+    enc = _encoded_parts(spark, sf_dir)
+    return enc.select("p_partkey", "p_brand", F.col("p_brand_index").cast("int").alias("p_brand_index"),
+                      "p_type", F.col("p_type_index").cast("int").alias("p_type_index"))
+
+
+def one_hot(spark, sf_dir):
+    enc = _encoded_parts(spark, sf_dir)
+    b, t = vector_to_array("p_brand_vec"), vector_to_array("p_type_vec")
+    return enc.select("p_partkey",
+                      (F.array_position(b, 1.0) - 1).cast("int").alias("brand_hot"),
+                      F.size(b).alias("brand_width"),
+                      (F.array_position(t, 1.0) - 1).cast("int").alias("type_hot"),
+                      F.size(t).alias("type_width"),
+                      F.aggregate(vector_to_array("cat_features"), F.lit(0.0), lambda a, x: a + x).alias("ones"))
+
+
+def assemble(spark, sf_dir):
+    enc = _encoded_parts(spark, sf_dir)
+    asm = features.assembler(["p_size", "p_retailprice", "p_brand_vec"], "x").transform(enc)
+    arr = vector_to_array("x")
+    return asm.select("p_partkey", F.size(arr).alias("width"),
+                      F.element_at(arr, 1).alias("x0"), F.element_at(arr, 2).alias("x1"),
+                      (F.array_position(F.slice(arr, 3, 1000000), 1.0) - 1).cast("int").alias("hot_pos"))
+
+
+def standardize(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice",
+                                                    F.col("p_size").cast("double").alias("p_size"))
+    asm = features.assembler(["p_retailprice", "p_size"], "raw").transform(part)
+    scaled = features.standardizer("raw", "z").fit(asm).transform(asm)
+    z = vector_to_array("z")
+    return scaled.select("p_partkey", F.round(F.element_at(z, 1), 6).alias("z_price"),
+                         F.round(F.element_at(z, 2), 6).alias("z_size"))
+
+
+# ---------------------------------------------------------------- metrics
+
+def _predictors():
+    return [("m1", F.col("l_extendedprice") / 2000.0),
+            ("m2", F.col("l_extendedprice") / 1500.0),
+            ("m3", F.lit(25.5))]
+
+
+def _lineitem_predictions(spark, sf_dir):
+    li = splits.with_fold(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice"),
+                          "l_orderkey", 4)
+    arms = [F.struct(F.lit(i).alias("grid_index"), F.lit(name).alias("model"), expr.alias("prediction"))
+            for i, (name, expr) in enumerate(_predictors())]
+    return li.select("fold", "l_quantity", F.explode(F.array(*arms)).alias("p")).select(
+        "fold", "l_quantity", "p.grid_index", "p.model", "p.prediction")
+
+
+def _round_cols(df, cols, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def rmse_mae(spark, sf_dir):
+    li = splits.with_fold(read_table(spark, sf_dir, "lineitem"), "l_orderkey", 4)
+    pred = li.withColumn("prediction", F.col("l_extendedprice") / 2000.0)
+    return _round_cols(metrics.regression_metrics(pred, "l_quantity", "prediction", "fold"), ["rmse", "mae"])
+
+
+def _embedding_scores(spark, sf_dir, n_models=3):
+    emb = read_table(spark, sf_dir, "embeddings")
+    y = (F.col("label") >= 5).cast("int").alias("y")
+    arms = [F.struct(F.lit(f"e{k}").alias("model"), F.element_at("embedding", k + 1).cast("double").alias("score"))
+            for k in range(n_models)]
+    return emb.select(y, F.explode(F.array(*arms)).alias("s")).select("y", "s.model", "s.score")
+
+
+def accuracy(spark, sf_dir):
+    sc = _embedding_scores(spark, sf_dir).withColumn("prediction", (F.col("score") > 0).cast("double"))
+    return _round_cols(metrics.accuracy(sc, "y", "prediction", "model"), ["accuracy"])
+
+
+def auc_exact(spark, sf_dir):
+    sc = _embedding_scores(spark, sf_dir)
+    return _round_cols(metrics.auc_exact(sc, "y", "score", "model"), ["auc"])
+
+
+def _fold_metrics(spark, sf_dir):
+    return metrics.regression_metrics(_lineitem_predictions(spark, sf_dir), "l_quantity", "prediction",
+                                      ["grid_index", "model", "fold"])
+
+
+def fold_summary(spark, sf_dir):
+    fm = _fold_metrics(spark, sf_dir)
+    out = _fold_summary(fm, ["grid_index", "model"], "fold", "rmse", [0, 1, 2, 3])
+    return _round_cols(out, [c for c in out.columns if c.startswith("rmse")])
+
+
+def best_param(spark, sf_dir):
+    fm = _fold_metrics(spark, sf_dir)
+    means = fm.groupBy("grid_index", "model").agg(F.avg("rmse").alias("rmse_mean"))
+    best = aggregates.arg_best(means, "rmse_mean", "grid_index", maximize=False, payload_cols=["model"])
+    return _round_cols(best, ["rmse_mean"])
+
+
+# ---------------------------------------------------------------- cluster profiles
+
+CLUSTER_K = 19
+RELEVANCE_THRESHOLD = 0.05
+
+
+def _profile(spark, sf_dir):
+    clusters = standins.fixed_clusters(spark, sf_dir, CLUSTER_K)
+    return recommend.cluster_profile(clusters, standins.relevance_scores(spark, sf_dir),
+                                     standins.tag_dictionary(spark, sf_dir),
+                                     n_clusters=3, n_tags=3, threshold=RELEVANCE_THRESHOLD)
+
+
+def top_clusters(spark, sf_dir):
+    return recommend.top_clusters(standins.fixed_clusters(spark, sf_dir, CLUSTER_K), 3)
+
+
+def cluster_top_tags(spark, sf_dir):
+    prof = _profile(spark, sf_dir)
+    return _round_cols(prof.select("cluster", "tagId", "tag", "avg_relevance", "rank"), ["avg_relevance"])
+
+
+def cluster_tag_counts(spark, sf_dir):
+    return _profile(spark, sf_dir).select("cluster", "tagId", "tag", "n_items")
+
+
 def queries() -> dict[str, Query]:
     return {
         "log_parse": log_parse,
@@ -62,6 +280,29 @@ def queries() -> dict[str, Query]:
         "org_rank": org_rank,
         "org_share": org_share,
         "hour_grid": hour_grid,
+        "url_host_topn": url_host_topn,
+        "multi_sort": multi_sort,
+        "topk": topk,
+        "strat_split": strat_split,
+        "split_complement": split_complement,
+        "class_dist": class_dist,
+        "kfold_sizes": kfold_sizes,
+        "sample_sizes": sample_sizes,
+        "sample_by": sample_by,
+        "recode_binary": recode_binary,
+        "recode_sign": recode_sign,
+        "string_index": string_index,
+        "one_hot": one_hot,
+        "assemble": assemble,
+        "standardize": standardize,
+        "rmse_mae": rmse_mae,
+        "accuracy": accuracy,
+        "auc_exact": auc_exact,
+        "fold_summary": fold_summary,
+        "best_param": best_param,
+        "top_clusters": top_clusters,
+        "cluster_top_tags": cluster_top_tags,
+        "cluster_tag_counts": cluster_tag_counts,
     }
 
 

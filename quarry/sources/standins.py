@@ -90,12 +90,14 @@ def relevance_scores(spark: SparkSession, sf_dir: str, n_tags: int = 25) -> Data
     """Item-tag relevance ``(movieId, tagId, relevance)`` from ``lineitem``.
 
     item = part key, tag = supplier key modulo the tag count, relevance = mean
-    discount of the pair's line items (one row per pair).
+    discount of the pair's line items (one row per pair), given at 6 decimals
+    like published relevance scores, so that it does not depend on the order
+    in which a mean was summed.
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_discount")
     return (li.groupBy(F.col("l_partkey").cast("int").alias("movieId"),
                        (F.col("l_suppkey") % n_tags).cast("int").alias("tagId"))
-              .agg(F.avg("l_discount").alias("relevance")))
+              .agg(F.round(F.avg("l_discount"), 6).alias("relevance")))
 
 
 def tag_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
