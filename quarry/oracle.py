@@ -87,7 +87,7 @@ def weblog_sql() -> dict[str, str]:
                               10 AS rank FROM class_totals t),
             shares AS (SELECT * FROM top UNION ALL SELECT * FROM others)
             SELECT s.country_code, s.institution, s.count::BIGINT AS count, s.rank,
-                   round(s.count::DOUBLE / t.count::DOUBLE * 100.0, 6) AS pct
+                   s.count::DOUBLE / t.count::DOUBLE * 100.0 AS pct
             FROM shares s JOIN class_totals t USING (country_code)""",
         "hour_grid": f"""WITH {ORGS},
             top1 AS (SELECT country_code, institution FROM org_ranked WHERE rank = 1),
@@ -145,15 +145,18 @@ sc AS (SELECT (label >= 5)::INTEGER AS y, 'e0' AS model, embedding[1]::DOUBLE AS
        UNION ALL SELECT (label >= 5)::INTEGER, 'e2', embedding[3]::DOUBLE FROM embeddings)"""
 
 PROFILE = """
-rel AS (SELECT l_partkey::INTEGER AS movieId, (l_suppkey % 25)::INTEGER AS tagId, round(avg(l_discount), 6) AS relevance
+rel AS (SELECT l_partkey::INTEGER AS movieId, (l_suppkey % 25)::INTEGER AS tagId, round(avg(l_discount), 6)::DECIMAL(10,6) AS relevance
         FROM lineitem GROUP BY ALL),
 cl AS (SELECT p_partkey::INTEGER AS id, (p_size % 19)::INTEGER AS cluster FROM part),
 sizes AS (SELECT cluster, count(*) AS count FROM cl GROUP BY 1),
 topc AS (SELECT cluster FROM sizes ORDER BY count DESC, cluster LIMIT 3),
-ct AS (SELECT cl.cluster, rel.tagId, avg(rel.relevance) AS avg_relevance,
-              count(*) FILTER (WHERE rel.relevance > 0.05) AS n_items
-       FROM cl JOIN rel ON cl.id = rel.movieId WHERE cl.cluster IN (SELECT cluster FROM topc) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY avg_relevance DESC, tagId) AS rank FROM ct),
+ct0 AS (SELECT cl.cluster, rel.tagId, sum((rel.relevance * 1000000)::BIGINT)::HUGEINT AS micros,
+               count(*)::HUGEINT AS n, count(*) FILTER (WHERE rel.relevance > 0.05) AS n_items
+        FROM cl JOIN rel ON cl.id = rel.movieId WHERE cl.cluster IN (SELECT cluster FROM topc) GROUP BY ALL),
+-- Spark's avg(DECIMAL(10,6)) is DECIMAL(14,10), rounded half-up; rounding that to 6 places is half-up again
+ct AS (SELECT *, (2 * micros * 10000 + n) // (2 * n) AS avg_e10 FROM ct0),
+r AS (SELECT *, ((2 * avg_e10 + 10000) // 20000)::DOUBLE / 1000000.0 AS avg_relevance,
+             row_number() OVER (PARTITION BY cluster ORDER BY avg_e10 DESC, tagId) AS rank FROM ct),
 prof AS (SELECT r.*, n.n_name AS tag FROM r JOIN nation n ON n.n_nationkey = r.tagId WHERE rank <= 3)"""
 
 
@@ -218,7 +221,6 @@ def analytics_sql() -> dict[str, str]:
             SELECT grid_index, model, round(rmse_mean, 6) AS rmse_mean FROM m
             ORDER BY rmse_mean, grid_index LIMIT 1""",
         "top_clusters": f"WITH {PROFILE} SELECT s.cluster, s.count FROM sizes s JOIN topc USING (cluster)",
-        "cluster_top_tags": f"WITH {PROFILE} SELECT cluster, tagId, tag, round(avg_relevance, 6) AS avg_relevance, "
-                            f"rank FROM prof",
+        "cluster_top_tags": f"WITH {PROFILE} SELECT cluster, tagId, tag, avg_relevance, rank FROM prof",
         "cluster_tag_counts": f"WITH {PROFILE} SELECT cluster, tagId, tag, n_items FROM prof",
     }

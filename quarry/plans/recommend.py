@@ -81,7 +81,10 @@ def als_cv(ratings: DataFrame, configs: Sequence[dict] = M.ALS_CONFIGS, k: int =
     allpred = scored[0]
     for s in scored[1:]:
         allpred = allpred.unionByName(s)
-    metrics = regression_metrics(allpred, rating_col, "prediction", ["model", "fold"])
+    # configs x folds rows: materialised once in the shared checkpoint folder,
+    # which also cuts the lineage of every fitted model behind it
+    metrics = regression_metrics(allpred, rating_col, "prediction", ["model", "fold"]).checkpoint(eager=True)
+    folded.unpersist()
     return metrics, factors
 
 

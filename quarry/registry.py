@@ -19,7 +19,7 @@ from quarry.functions.logparse import parse_log
 from quarry.functions.recode import binary_recode, sign_to_binary
 from quarry.operators import aggregates, features, metrics, ranking, splits
 from quarry.operators.grids import fold_summary as _fold_summary
-from quarry.plans import recommend, weblog
+from quarry.plans import recommend, scaling, tabular, weblog, wide
 from quarry.sources import standins
 from quarry.sources.tables import read_table
 
@@ -53,7 +53,7 @@ def org_rank(spark, sf_dir):
 
 
 def org_share(spark, sf_dir):
-    return weblog.org_share(_cube(spark, sf_dir), 9).withColumn("pct", F.round("pct", 6))
+    return weblog.org_share(_cube(spark, sf_dir), 9)
 
 
 def hour_grid(spark, sf_dir):
@@ -264,13 +264,159 @@ def top_clusters(spark, sf_dir):
 
 def cluster_top_tags(spark, sf_dir):
     prof = _profile(spark, sf_dir)
-    return _round_cols(prof.select("cluster", "tagId", "tag", "avg_relevance", "rank"), ["avg_relevance"])
+    return prof.select("cluster", "tagId", "tag", F.round("avg_relevance", 6).cast("double").alias("avg_relevance"),
+                       "rank")
 
 
 def cluster_tag_counts(spark, sf_dir):
     return _profile(spark, sf_dir).select("cluster", "tagId", "tag", "n_items")
 
 
+# ---------------------------------------------------------------- ML analyses (rows-only checks)
+#
+# Grids here are smaller than the recorded 27-point grids (the library
+# defaults in ``operators.tuning``) so the registered checks stay quick; the
+# tables are always whole. One tuning run feeds several registered views, so
+# results are memoised per (analysis, data folder) within a session.
+
+_MEMO: dict = {}
+
+
+def _memo(key, build):
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+GLM_REG = [0.001, 0.1, 10.0]
+GLM_EN = [0.0, 0.5, 1.0]
+WIDE_GRIDS = {"rf": {"numTrees": [10, 20], "maxDepth": [5, 10]},
+              "gbt": {"maxDepth": [3, 5], "stepSize": [0.1, 0.2], "maxIter": [10]},
+              "mlp": {"hidden": [16, 32], "maxIter": [50], "blockSize": [32]}}
+WIDE_FRACTION = 0.5
+
+
+def _glm(spark, sf_dir):
+    def build():
+        enc = tabular.prepare_binary_label(standins.encounters(spark, sf_dir), "l_linestatus", "F", "status_flag")
+        train, test = tabular.split_encounters(enc, ["l_orderkey", "l_linenumber"])
+        return tabular.tune_glms(train, test, ["l_returnflag", "p_brand", "p_type"], "l_quantity", "status_flag",
+                                 GLM_REG, GLM_EN, folds=3, parallelism=4)
+    return _memo(("glm", sf_dir), build)
+
+
+def poisson_cv(spark, sf_dir):
+    return _glm(spark, sf_dir)["curves"].filter(F.col("model") == "poisson")
+
+
+def logit_l2_cv(spark, sf_dir):
+    return _glm(spark, sf_dir)["curves"].filter(F.col("model") == "logistic_l2")
+
+
+def logit_en_cv(spark, sf_dir):
+    return _glm(spark, sf_dir)["curves"].filter(F.col("model") == "logistic_en")
+
+
+def en_matrix(spark, sf_dir):
+    return _glm(spark, sf_dir)["en_matrix"]
+
+
+def glm_best(spark, sf_dir):
+    return _glm(spark, sf_dir)["best"]
+
+
+def glm_test_report(spark, sf_dir):
+    return _glm(spark, sf_dir)["test_report"]
+
+
+def _wide_split(spark, sf_dir):
+    wb = standins.wide_binary(spark, sf_dir)
+    return splits.hash_split(wb, "vec_id", 0.8)
+
+
+def _wide(spark, sf_dir):
+    def build():
+        train, test = _wide_split(spark, sf_dir)
+        feats = [f"_c{i}" for i in range(64)]
+        return wide.tune_wide(train, test, feats, "label", WIDE_FRACTION, id_col="vec_id",
+                              grids=WIDE_GRIDS, folds=3, parallelism=2)
+    return _memo(("wide", sf_dir), build)
+
+
+def rf_cv(spark, sf_dir):
+    return _wide(spark, sf_dir)["curves"].filter(F.col("model") == "rf")
+
+
+def gbt_cv(spark, sf_dir):
+    return _wide(spark, sf_dir)["curves"].filter(F.col("model") == "gbt")
+
+
+def mlp_cv(spark, sf_dir):
+    return _wide(spark, sf_dir)["curves"].filter(F.col("model") == "mlp")
+
+
+def wide_best(spark, sf_dir):
+    return _wide(spark, sf_dir)["best"]
+
+
+def wide_test_report(spark, sf_dir):
+    return _wide(spark, sf_dir)["test_report"]
+
+
+def wide_class_dist(spark, sf_dir):
+    return _wide(spark, sf_dir)["class_distribution"]
+
+
+def _scaling(spark, sf_dir):
+    def build():
+        import os
+        from quarry.session import checkpoint_dir
+        train, test = _wide_split(spark, sf_dir)
+        feats = [f"_c{i}" for i in range(64)]
+        out = os.path.join(checkpoint_dir(spark), f"scaling-results-{abs(hash(sf_dir))}")
+        long, wide_tbl = scaling.scaling_study(train, test, feats, "label", "vec_id")
+        wide_tbl.write.mode("overwrite").parquet(out)  # a fresh results table per run (S5 appends)
+        return {"long": long, "wide": wide_tbl, "path": out}
+    return _memo(("scaling", sf_dir), build)
+
+
+def scaling_study(spark, sf_dir):
+    return _scaling(spark, sf_dir)["long"]
+
+
+def scaling_report(spark, sf_dir):
+    return scaling.scaling_report(spark, _scaling(spark, sf_dir)["path"])
+
+
+def _als(spark, sf_dir):
+    def build():
+        metrics, factors = recommend.als_cv(standins.ratings(spark, sf_dir), k=4, keep_item_factors=0)
+        return {"metrics": metrics, "factors": factors}
+    return _memo(("als", sf_dir), build)
+
+
+def als_cv(spark, sf_dir):
+    return _als(spark, sf_dir)["metrics"]
+
+
+def als_summary(spark, sf_dir):
+    return recommend.als_summary(_als(spark, sf_dir)["metrics"], 4)
+
+
+def _factor_clusters(spark, sf_dir):
+    return _memo(("kmeans", sf_dir),
+                 lambda: recommend.factor_clusters(_als(spark, sf_dir)["factors"][0], 19))
+
+
+def cluster_sizes(spark, sf_dir):
+    return recommend.cluster_sizes(_factor_clusters(spark, sf_dir))
+
+
+def als_cluster_tags(spark, sf_dir):
+    return recommend.cluster_profile(_factor_clusters(spark, sf_dir), standins.relevance_scores(spark, sf_dir),
+                                     standins.tag_dictionary(spark, sf_dir), 3, 3, RELEVANCE_THRESHOLD)
+
+
 def queries() -> dict[str, Query]:
     return {
         "log_parse": log_parse,
@@ -303,6 +449,24 @@ def queries() -> dict[str, Query]:
         "top_clusters": top_clusters,
         "cluster_top_tags": cluster_top_tags,
         "cluster_tag_counts": cluster_tag_counts,
+        "poisson_cv": poisson_cv,
+        "logit_l2_cv": logit_l2_cv,
+        "logit_en_cv": logit_en_cv,
+        "en_matrix": en_matrix,
+        "glm_best": glm_best,
+        "glm_test_report": glm_test_report,
+        "rf_cv": rf_cv,
+        "gbt_cv": gbt_cv,
+        "mlp_cv": mlp_cv,
+        "wide_best": wide_best,
+        "wide_test_report": wide_test_report,
+        "wide_class_dist": wide_class_dist,
+        "scaling_study": scaling_study,
+        "scaling_report": scaling_report,
+        "als_cv": als_cv,
+        "als_summary": als_summary,
+        "cluster_sizes": cluster_sizes,
+        "als_cluster_tags": als_cluster_tags,
     }
 
 

@@ -90,14 +90,14 @@ def relevance_scores(spark: SparkSession, sf_dir: str, n_tags: int = 25) -> Data
     """Item-tag relevance ``(movieId, tagId, relevance)`` from ``lineitem``.
 
     item = part key, tag = supplier key modulo the tag count, relevance = mean
-    discount of the pair's line items (one row per pair), given at 6 decimals
-    like published relevance scores, so that it does not depend on the order
-    in which a mean was summed.
+    discount of the pair's line items (one row per pair), as DECIMAL(10,6)
+    like published fixed-precision relevance scores: the value does not depend
+    on the order a mean was summed in, and means over it are exact decimals.
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_discount")
     return (li.groupBy(F.col("l_partkey").cast("int").alias("movieId"),
                        (F.col("l_suppkey") % n_tags).cast("int").alias("tagId"))
-              .agg(F.round(F.avg("l_discount"), 6).alias("relevance")))
+              .agg(F.round(F.avg("l_discount"), 6).cast("decimal(10,6)").alias("relevance")))
 
 
 def tag_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,3 +110,18 @@ def fixed_clusters(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """A cluster assignment ``(id, cluster)`` that does not depend on a model fit."""
     return read_table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("int").alias("id"), (F.col("p_size") % k).cast("int").alias("cluster"))
+
+
+def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categorical encounters table: ``lineitem`` joined to ``part``.
+
+    Categorical features ``l_returnflag, p_brand, p_type``; count label
+    ``l_quantity`` (double); text label ``l_linestatus`` (``F``/``O``) to be
+    recoded to 0/1. ``(l_orderkey, l_linenumber)`` is the row key (not unique).
+    """
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return (li.join(part, li.l_partkey == part.p_partkey, "inner")
+              .select("l_orderkey", "l_linenumber", "l_returnflag", "p_brand", "p_type",
+                      F.col("l_quantity").cast("double").alias("l_quantity"), "l_linestatus"))
