@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from quarry.functions.classify import ACADEMIC_SUFFIXES, organisation, suffix_class
 from quarry.functions.logparse import parse_log
 from quarry.operators.aggregates import distinct_count_per_group
-from quarry.operators.grids import dense_grid
-from quarry.operators.joins import join_small
 from quarry.operators.ranking import rank_of, share_with_remainder, top_n_per_group
 
 CLASS = "country_code"
@@ -58,9 +56,14 @@ def class_counts(cube: DataFrame) -> DataFrame:
 
 
 def org_counts(cube: DataFrame) -> DataFrame:
-    """Requests per (class, organisation); NULL organisations are left out (P10)."""
-    return (cube.filter(F.col(ORG).isNotNull())
-                .groupBy(CLASS, ORG).agg(F.sum("count").cast("bigint").alias("count")))
+    """Requests per (class, organisation).
+
+    The organisation is never NULL for a classified host (a failed match is
+    ``''``), so the reference's not-NULL filter (P10) is vacuous and left out:
+    an extra filter here would be pushed into the scan of this branch only and
+    stop Spark from reusing the cube's shuffle across branches.
+    """
+    return cube.groupBy(CLASS, ORG).agg(F.sum("count").cast("bigint").alias("count"))
 
 
 def org_distinct(cube: DataFrame) -> DataFrame:
@@ -87,13 +90,31 @@ def org_share(cube: DataFrame, n: int = 9) -> DataFrame:
 
 
 def busiest_org_grid(cube: DataFrame, rules=ACADEMIC_SUFFIXES) -> DataFrame:
-    """The day x hour request grid (31 x 24, zeros filled) of each class's busiest organisation."""
-    top1 = top_n_per_group(org_counts(cube), CLASS, "count", 1, tie_cols=[ORG]).select(CLASS, ORG)
-    cells = join_small(cube, top1, on=[CLASS, ORG], how="left_semi", known_max_rows=len(rules))
-    observed = (cells.filter(F.col("day").between(DAYS.start, DAYS.stop - 1)
-                             & F.col("hour").between(HOURS.start, HOURS.stop - 1))
-                     .groupBy(CLASS, ORG, "day", "hour").agg(F.sum("count").alias("count")))
-    return dense_grid(observed, [CLASS, ORG], "day", DAYS, "hour", HOURS, groups=top1)
+    """The day x hour request grid (31 x 24, zeros filled) of each class's busiest organisation.
+
+    One pass over the cube, no join: each (class, organisation) keeps its
+    total and a map of its at most 744 valid cells; a per-class aggregate
+    keeps the busiest organisation (ties by name); its map is expanded to the
+    dense grid. Rows with NULL or out-of-range day/hour count towards the
+    totals but are not cells.
+    """
+    nx, ny = len(DAYS), len(HOURS)
+    valid = F.col("day").between(DAYS.start, DAYS.stop - 1) & F.col("hour").between(HOURS.start, HOURS.stop - 1)
+    cell_id = (F.col("day") - DAYS.start) * ny + (F.col("hour") - HOURS.start)
+    per_org = cube.groupBy(CLASS, ORG).agg(
+        F.sum("count").alias("_total"),
+        F.map_from_entries(F.collect_list(F.when(valid, F.struct(cell_id.alias("k"), F.col("count").alias("v")))))
+         .alias("_cells"))
+    best = per_org.groupBy(CLASS).agg(
+        F.min_by(F.struct(F.col(ORG).alias("org"), F.col("_cells").alias("cells")),
+                 F.struct((-F.col("_total")).alias("neg_total"), F.col(ORG).alias("org"))).alias("_b"))
+    grid = best.select(CLASS, F.col("_b.org").alias(ORG), F.col("_b.cells").alias("_cells"),
+                       F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))).alias("_i"))
+    return grid.select(
+        CLASS, ORG,
+        (F.lit(DAYS.start) + (F.col("_i") / F.lit(ny)).cast("int")).cast("int").alias("day"),
+        (F.lit(HOURS.start) + F.col("_i") % F.lit(ny)).cast("int").alias("hour"),
+        F.coalesce(F.element_at("_cells", F.col("_i")), F.lit(0)).cast("bigint").alias("count"))
 
 
 class WeblogAnalysis:
