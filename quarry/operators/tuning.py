@@ -8,7 +8,8 @@ parameters, and a 2-D matrix for two-parameter grids.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -96,3 +97,12 @@ def rounded(curve: DataFrame, digits: int = 4) -> DataFrame:
     """display rounding of a curve (after ``best_point``)."""
     return curve.withColumns({"mean_metric": F.round("mean_metric", digits),
                               "std_metric": F.round("std_metric", digits)})
+
+
+def run_concurrently(tasks: Sequence[Callable], parallelism: int = 4) -> list:
+    """Run independent model fits as concurrent Spark jobs (like CrossValidator's
+    ``parallelism``); results keep the order of ``tasks``."""
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as pool:
+        return list(pool.map(lambda t: t(), tasks))

@@ -22,6 +22,7 @@ from quarry.operators.joins import join_small
 from quarry.operators.metrics import regression_metrics, valid_predictions
 from quarry.operators.ranking import top_n_per_group
 from quarry.operators.splits import fold_split, with_fold
+from quarry.operators.tuning import run_concurrently
 
 
 def cluster_sizes(clustered: DataFrame, cluster_col: str = "cluster") -> DataFrame:
@@ -59,25 +60,31 @@ def cluster_profile(clustered: DataFrame, relevance: DataFrame, tags: DataFrame,
 
 def als_cv(ratings: DataFrame, configs: Sequence[dict] = M.ALS_CONFIGS, k: int = 4,
            id_cols: Sequence[str] = ("userId", "movieId"), rating_col: str = "rating",
-           keep_item_factors: int | None = None):
+           keep_item_factors: int | None = None, parallelism: int = 4):
     """RMSE and MAE of each ALS configuration on each of ``k`` folds.
 
     Returns ``(metrics, item_factors)``: ``metrics`` is the long table
     ``(model, fold, n, rmse, mae)``; ``item_factors`` maps fold -> item
     factors of configuration ``keep_item_factors`` (for clustering, so the
-    same model is not fitted twice).
+    same model is not fitted twice). The configs x folds fits are independent
+    and run ``parallelism`` at a time as concurrent jobs.
     """
     folded = with_fold(ratings, list(id_cols), k).persist(StorageLevel.MEMORY_AND_DISK)
+    jobs = [(fold, i, cfg) for fold in range(k) for i, cfg in enumerate(configs)]
+
+    def fit(fold, i, cfg):
+        train, _ = fold_split(folded, fold)
+        return M.als(rating_col=rating_col, **cfg).fit(train)
+
+    fitted = run_concurrently([lambda j=j: fit(*j) for j in jobs], parallelism)
     scored, factors = [], {}
-    for fold in range(k):
-        train, test = fold_split(folded, fold)
-        for i, cfg in enumerate(configs):
-            model = M.als(rating_col=rating_col, **cfg).fit(train)
-            pred = valid_predictions(model.transform(test))
-            scored.append(pred.select(F.lit(i + 1).alias("model"), F.lit(fold).alias("fold"),
-                                      rating_col, "prediction"))
-            if keep_item_factors is not None and i == keep_item_factors:
-                factors[fold] = M.item_factors(model)
+    for (fold, i, _), model in zip(jobs, fitted):
+        _, test = fold_split(folded, fold)
+        pred = valid_predictions(model.transform(test))
+        scored.append(pred.select(F.lit(i + 1).alias("model"), F.lit(fold).alias("fold"),
+                                  rating_col, "prediction"))
+        if keep_item_factors is not None and i == keep_item_factors:
+            factors[fold] = M.item_factors(model)
     allpred = scored[0]
     for s in scored[1:]:
         allpred = allpred.unionByName(s)

@@ -45,6 +45,7 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     keep = ["features", count_label, binary_label]
     tr = tr.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     te = te.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    tr.count(), te.count()  # fill the caches once, before concurrent searches read them
 
     families = {
         "poisson": (M.poisson_glm("features", count_label), {"regParam": reg_params},
@@ -54,8 +55,7 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
         "logistic_en": (M.logistic("features", binary_label), {"regParam": reg_params, "elasticNetParam": en_params},
                         accuracy_evaluator(binary_label), True),
     }
-    curves, bests, scored = [], [], {}
-    for name, (est, grid_spec, evaluator, larger) in families.items():
+    def tune(name, est, grid_spec, evaluator, larger):
         grid = G.param_grid(est, grid_spec)
         cvm = G.cross_validate(est, grid, evaluator, tr, folds, seed, parallelism)
         curve = G.validation_curve(spark, cvm, grid)
@@ -63,9 +63,14 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
             curve = curve.withColumn("elasticNetParam", F.lit(None).cast("double"))
         curve = curve.select(F.lit(name).alias("model"), "grid_index", "regParam", "elasticNetParam",
                              "mean_metric", "std_metric")
-        curves.append(curve)
-        bests.append(G.best_point(curve.drop("model"), larger).withColumn("model", F.lit(name)))
-        scored[name] = cvm.bestModel.transform(te)
+        best = G.best_point(curve.drop("model"), larger).withColumn("model", F.lit(name))
+        return curve, best, cvm.bestModel.transform(te)
+
+    # the three families are independent grid searches: run them as concurrent jobs
+    results = G.run_concurrently([lambda n=n, f=f: tune(n, *f) for n, f in families.items()], len(families))
+    curves = [r[0] for r in results]
+    bests = [r[1] for r in results]
+    scored = {n: r[2] for n, r in zip(families, results)}
     curve_all = curves[0].unionByName(curves[1]).unionByName(curves[2])
     best_all = bests[0].unionByName(bests[1]).unionByName(bests[2])
     en_curve = curve_all.filter(F.col("model") == "logistic_en")

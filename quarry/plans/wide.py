@@ -77,12 +77,13 @@ def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], la
     sample = recode_label(draw_sample(train, label_col, fraction, id_col, seed=seed), label_col) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     test_r = recode_label(test, label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    sample.count(), test_r.count()  # fill the caches once, before concurrent searches read them
     dist = class_distribution(
         recode_label(train, label_col).withColumn("part", F.lit("all"))
         .unionByName(sample.withColumn("part", F.lit("sample"))), label_col, "part")
-    curves, bests, reports = [], [], []
     evaluator = auc_evaluator(label_col)
-    for family, spec in grids.items():
+
+    def tune(family, spec):
         pipe, est = family_pipeline(family, feature_cols, label_col, n, scale=(family == "mlp"), seed=seed)
         grid = _grid_for(family, est, spec, n)
         cvm = G.cross_validate(pipe, grid, evaluator, sample, folds, seed, parallelism)
@@ -91,10 +92,15 @@ def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], la
         packed = curve.select(F.lit(family).alias("model"), "grid_index",
                               F.to_json(F.struct(*[F.col(c) for c in params])).alias("params"),
                               "mean_metric", "std_metric")
-        curves.append(packed)
-        bests.append(G.best_point(packed.drop("model"), True).withColumn("model", F.lit(family)))
-        reports.append(classification_report(cvm.bestModel.transform(test_r), label_col)
-                       .withColumn("model", F.lit(family)))
+        best = G.best_point(packed.drop("model"), True).withColumn("model", F.lit(family))
+        report = classification_report(cvm.bestModel.transform(test_r), label_col).withColumn("model", F.lit(family))
+        return packed, best, report
+
+    # independent grid searches per family, run as concurrent jobs
+    results = G.run_concurrently([lambda f=f, s=s: tune(f, s) for f, s in grids.items()], len(grids))
+    curves = [r[0] for r in results]
+    bests = [r[1] for r in results]
+    reports = [r[2] for r in results]
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
     return {"class_distribution": dist, "curves": union(curves), "best": union(bests),
             "test_report": union(reports), "_cached": [sample, test_r]}

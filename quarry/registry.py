@@ -339,7 +339,7 @@ def _wide(spark, sf_dir):
         train, test = _wide_split(spark, sf_dir)
         feats = [f"_c{i}" for i in range(64)]
         return wide.tune_wide(train, test, feats, "label", WIDE_FRACTION, id_col="vec_id",
-                              grids=WIDE_GRIDS, folds=3, parallelism=2)
+                              grids=WIDE_GRIDS, folds=3, parallelism=4)
     return _memo(("wide", sf_dir), build)
 
 
