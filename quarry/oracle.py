@@ -71,6 +71,7 @@ def weblog_sql() -> dict[str, str]:
     return {
         "log_parse": f"WITH {PARSED} SELECT host, \"timestamp\", request, reply_code, reply_bytes, day, hour FROM parsed",
         "class_counts": f"WITH {ORGS} SELECT country_code, count FROM class_totals",
+        "stream_class_counts": f"WITH {ORGS} SELECT country_code, count FROM class_totals",
         "org_distinct": f"WITH {ORGS} SELECT country_code, count(DISTINCT institution) AS n_institutions "
                         f"FROM orgs GROUP BY 1",
         "org_topn": f"WITH {ORGS} SELECT country_code, institution, count, rank FROM org_ranked WHERE rank <= 9",

@@ -417,6 +417,25 @@ def als_cluster_tags(spark, sf_dir):
                                      standins.tag_dictionary(spark, sf_dir), 3, 3, RELEVANCE_THRESHOLD)
 
 
+# ---------------------------------------------------------------- streaming (C1 on a file stream)
+
+def stream_class_counts(spark, sf_dir):
+    """C1 computed by a Structured Streaming query over log files that Spark
+    writes from ``events`` into the shared checkpoint folder."""
+    import os
+    import uuid
+
+    from quarry.session import checkpoint_dir
+    from quarry.streaming.weblog_stream import start_class_counts
+
+    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    src, out, ckpt = (os.path.join(base, p) for p in ("src", "out", "ckpt"))
+    standins.log_lines(spark, sf_dir).repartition(4).write.text(src)
+    query = start_class_counts(spark, src, out, ckpt, max_files_per_trigger=2)
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def queries() -> dict[str, Query]:
     return {
         "log_parse": log_parse,
@@ -467,6 +486,7 @@ def queries() -> dict[str, Query]:
         "als_summary": als_summary,
         "cluster_sizes": cluster_sizes,
         "als_cluster_tags": als_cluster_tags,
+        "stream_class_counts": stream_class_counts,
     }
 
 
