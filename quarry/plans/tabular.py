@@ -20,7 +20,7 @@ from quarry.operators import features as E
 from quarry.operators import models as M
 from quarry.operators import tuning as G
 from quarry.operators.metrics import accuracy, accuracy_evaluator, regression_metrics, rmse_evaluator
-from quarry.operators.splits import SEED, hash_split
+from quarry.operators.splits import SEED, hash_split, with_fold
 
 
 def prepare_binary_label(df: DataFrame, text_col: str, negative_value, out_col: str) -> DataFrame:
@@ -36,14 +36,21 @@ def split_encounters(df: DataFrame, id_cols: Sequence[str], train_fraction: floa
 def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_label: str,
               binary_label: str, reg_params: Sequence[float] = G.REG_PARAMS,
               en_params: Sequence[float] = G.ELASTIC_NET_PARAMS, folds: int = G.CV_FOLDS,
-              parallelism: int = 4, seed: int = SEED, handle_invalid: str = "keep") -> dict[str, DataFrame]:
+              parallelism: int = 4, seed: int = SEED, handle_invalid: str = "keep",
+              id_cols: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """C5. ``handle_invalid="keep"`` maps categories unseen in training to an
-    extra slot instead of failing at scoring time."""
+    extra slot instead of failing at scoring time. With ``id_cols`` the CV
+    folds are hash buckets of the row key (the same on any partitioning);
+    without, CrossValidator draws them from ``seed``."""
     spark = train.sparkSession
+    fold_col = None
+    if id_cols:
+        fold_col = "cv_fold"
+        train = with_fold(train, list(id_cols), folds, fold_col, salt=f"{seed}-cv")
     pipe = E.categorical_pipeline(cat_cols, "features", drop_last=False, handle_invalid=handle_invalid)
     _, (tr, te) = E.fit_transform(pipe, train, test)
     keep = ["features", count_label, binary_label]
-    tr = tr.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = tr.select(*keep, *([fold_col] if fold_col else [])).persist(StorageLevel.MEMORY_AND_DISK)
     te = te.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     tr.count(), te.count()  # fill the caches once, before concurrent searches read them
 
@@ -57,7 +64,7 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     }
     def tune(name, est, grid_spec, evaluator, larger):
         grid = G.param_grid(est, grid_spec)
-        cvm = G.cross_validate(est, grid, evaluator, tr, folds, seed, parallelism)
+        cvm = G.cross_validate(est, grid, evaluator, tr, folds, seed, parallelism, fold_col)
         curve = G.validation_curve(spark, cvm, grid)
         if "elasticNetParam" not in curve.columns:
             curve = curve.withColumn("elasticNetParam", F.lit(None).cast("double"))

@@ -19,7 +19,7 @@ from quarry.operators import models as M
 from quarry.operators import tuning as G
 from quarry.operators.aggregates import class_distribution
 from quarry.operators.metrics import auc_evaluator, classification_report
-from quarry.operators.splits import SEED, hash_sample, sample_by
+from quarry.operators.splits import SEED, hash_sample, sample_by, with_fold
 
 
 def recode_label(df: DataFrame, label_col: str) -> DataFrame:
@@ -74,19 +74,24 @@ def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], la
     spark = train.sparkSession
     grids = grids or {"rf": G.RF_GRID, "gbt": G.GBT_GRID, "mlp": G.MLP_GRID}
     n = len(feature_cols)
-    sample = recode_label(draw_sample(train, label_col, fraction, id_col, seed=seed), label_col) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    sample = recode_label(draw_sample(train, label_col, fraction, id_col, seed=seed), label_col)
+    fold_col = None
+    if id_col is not None:  # reproducible CV folds: hash buckets of the row key
+        fold_col = "cv_fold"
+        sample = with_fold(sample, id_col, folds, fold_col, salt=f"{seed}-cv")
+    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     test_r = recode_label(test, label_col).persist(StorageLevel.MEMORY_AND_DISK)
     sample.count(), test_r.count()  # fill the caches once, before concurrent searches read them
     dist = class_distribution(
         recode_label(train, label_col).withColumn("part", F.lit("all"))
-        .unionByName(sample.withColumn("part", F.lit("sample"))), label_col, "part")
+        .unionByName(sample.drop(*([fold_col] if fold_col else [])).withColumn("part", F.lit("sample"))),
+        label_col, "part")
     evaluator = auc_evaluator(label_col)
 
     def tune(family, spec):
         pipe, est = family_pipeline(family, feature_cols, label_col, n, scale=(family == "mlp"), seed=seed)
         grid = _grid_for(family, est, spec, n)
-        cvm = G.cross_validate(pipe, grid, evaluator, sample, folds, seed, parallelism)
+        cvm = G.cross_validate(pipe, grid, evaluator, sample, folds, seed, parallelism, fold_col)
         curve = G.validation_curve(spark, cvm, grid)
         params = [c for c in curve.columns if c not in ("grid_index", "mean_metric", "std_metric")]
         packed = curve.select(F.lit(family).alias("model"), "grid_index",

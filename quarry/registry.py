@@ -301,7 +301,7 @@ def _glm(spark, sf_dir):
         enc = tabular.prepare_binary_label(standins.encounters(spark, sf_dir), "l_linestatus", "F", "status_flag")
         train, test = tabular.split_encounters(enc, ["l_orderkey", "l_linenumber"])
         return tabular.tune_glms(train, test, ["l_returnflag", "p_brand", "p_type"], "l_quantity", "status_flag",
-                                 GLM_REG, GLM_EN, folds=3, parallelism=4)
+                                 GLM_REG, GLM_EN, folds=3, parallelism=4, id_cols=["l_orderkey", "l_linenumber"])
     return _memo(("glm", sf_dir), build)
 
 

@@ -59,3 +59,17 @@ def test_cv_curve_and_learnable_signal(spark):
     best = G.best_point(curve, True).first()
     assert best.mean_metric > 0.9       # beats the 0.5 majority baseline
     assert G.best_params(spark, cvm, ["regParam"]).first().regParam == best.regParam
+
+
+def test_hash_folds_make_cv_reproducible_across_partitionings(spark):
+    from quarry.operators.splits import with_fold
+    rows = [(i, "up" if (i * 7) % 5 < 3 else "down", float((i * 7) % 5 < 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, cat string, y double")
+    data = E.categorical_pipeline(["cat"], "features").fit(df).transform(df)
+    data = with_fold(data, "id", 3, "cv_fold")
+    est = M.logistic("features", "y")
+    grid = G.param_grid(est, {"regParam": [0.01, 1.0]})
+    a = G.cross_validate(est, grid, accuracy_evaluator("y"), data, folds=3, fold_col="cv_fold").avgMetrics
+    b = G.cross_validate(est, grid, accuracy_evaluator("y"), data.repartition(7), folds=3,
+                         fold_col="cv_fold").avgMetrics
+    assert a == pytest.approx(b, abs=1e-12)
