@@ -23,6 +23,7 @@ from quarry.operators.metrics import regression_metrics, valid_predictions
 from quarry.operators.ranking import top_n_per_group
 from quarry.operators.splits import fold_split, with_fold
 from quarry.operators.tuning import run_concurrently
+from quarry.session import checkpoint_dir
 
 
 def cluster_sizes(clustered: DataFrame, cluster_col: str = "cluster") -> DataFrame:
@@ -69,6 +70,7 @@ def als_cv(ratings: DataFrame, configs: Sequence[dict] = M.ALS_CONFIGS, k: int =
     same model is not fitted twice). The configs x folds fits are independent
     and run ``parallelism`` at a time as concurrent jobs.
     """
+    checkpoint_dir(ratings.sparkSession)  # ALS lineage and the metric table go to the shared folder
     folded = with_fold(ratings, list(id_cols), k).persist(StorageLevel.MEMORY_AND_DISK)
     jobs = [(fold, i, cfg) for fold in range(k) for i, cfg in enumerate(configs)]
 

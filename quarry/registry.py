@@ -283,6 +283,11 @@ _MEMO: dict = {}
 
 
 def _memo(key, build):
+    """Results of one tuning run, reused by its several registered views; keyed
+    by the running application so a restarted session never sees stale plans."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    key = (sc.applicationId if sc is not None else None, *key)
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
