@@ -21,6 +21,7 @@ from quarry.operators import models as M
 from quarry.operators import tuning as G
 from quarry.operators.metrics import accuracy, accuracy_evaluator, regression_metrics, rmse_evaluator
 from quarry.operators.splits import SEED, hash_split, with_fold
+from quarry.session import checkpoint_dir
 
 
 def prepare_binary_label(df: DataFrame, text_col: str, negative_value, out_col: str) -> DataFrame:
@@ -89,10 +90,11 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
         F.lit(m).alias("model"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
         for m in ("logistic_l2", "logistic_en")]
     report = pois.unionByName(accs[0]).unionByName(accs[1])
-    return {"curves": curve_all, "best": best_all, "en_matrix": matrix, "test_report": report,
-            "_cached": [tr, te]}
-
-
-def release(result: dict) -> None:
-    for df in result.get("_cached", []):
-        df.unpersist()
+    # the answers are a few rows each: write them to the shared checkpoint
+    # folder, then release the cached training and test parts
+    checkpoint_dir(spark)
+    out = {"curves": curve_all, "best": best_all, "en_matrix": matrix, "test_report": report}
+    out = {k: v.checkpoint(eager=True) for k, v in out.items()}
+    tr.unpersist()
+    te.unpersist()
+    return out

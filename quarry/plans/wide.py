@@ -20,6 +20,7 @@ from quarry.operators import tuning as G
 from quarry.operators.aggregates import class_distribution
 from quarry.operators.metrics import auc_evaluator, classification_report
 from quarry.operators.splits import SEED, hash_sample, sample_by, with_fold
+from quarry.session import checkpoint_dir
 
 
 def recode_label(df: DataFrame, label_col: str) -> DataFrame:
@@ -107,5 +108,11 @@ def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], la
     bests = [r[1] for r in results]
     reports = [r[2] for r in results]
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    return {"class_distribution": dist, "curves": union(curves), "best": union(bests),
-            "test_report": union(reports), "_cached": [sample, test_r]}
+    # small answers go to the shared checkpoint folder; then the caches are released
+    checkpoint_dir(spark)
+    out = {"class_distribution": dist, "curves": union(curves), "best": union(bests),
+           "test_report": union(reports)}
+    out = {k: v.checkpoint(eager=True) for k, v in out.items()}
+    sample.unpersist()
+    test_r.unpersist()
+    return out
