@@ -139,8 +139,8 @@ def recode_sign(spark, sf_dir):
 # ---------------------------------------------------------------- features
 
 def _encoded_parts(spark, sf_dir):
-    part = standins.categorical_table(spark, sf_dir).join(
-        read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_partkey")
+    part = read_table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     cats = ["p_brand", "p_type"]
     model = features.categorical_pipeline(cats, "cat_features").fit(part)
     return model.transform(part)
