@@ -70,12 +70,21 @@ def mlp(features_col: str, label_col: str, layers: Sequence[int] | None = None,
 
 
 def als(user_col: str = "userId", item_col: str = "movieId", rating_col: str = "rating",
-        seed: int = SEED, checkpoint_interval: int = 10, **params) -> ALS:
+        seed: int = SEED, checkpoint_interval: int = 10, blocks: int | None = None, **params) -> ALS:
     """Explicit ALS; cold-start rows are dropped from predictions.
 
     ``checkpointInterval`` cuts the lineage of the factor RDDs every few
-    iterations (the session's shared checkpoint folder must be set).
+    iterations (the session's shared checkpoint folder must be set). MLlib's
+    default of 10 user / item blocks would run every stage as 10 tasks on
+    any cluster, so the blocks follow the cluster's default parallelism
+    unless ``blocks`` is given.
     """
+    if blocks is None:
+        from pyspark import SparkContext
+        sc = SparkContext._active_spark_context
+        blocks = max(10, sc.defaultParallelism) if sc is not None else 10
+    params.setdefault("numUserBlocks", blocks)
+    params.setdefault("numItemBlocks", blocks)
     return ALS(userCol=user_col, itemCol=item_col, ratingCol=rating_col, coldStartStrategy="drop",
                seed=seed, checkpointInterval=checkpoint_interval, **params)
 

@@ -29,6 +29,8 @@ def read_log_text(spark: SparkSession, path: str, partitions: int | None = None)
     round-robin ``repartition`` spreads the regex parsing over the cluster.
     """
     df = spark.read.text(path)
+    if partitions is None and str(path).endswith(".gz"):
+        partitions = spark.sparkContext.defaultParallelism
     if partitions:
         df = df.repartition(partitions)
     return df

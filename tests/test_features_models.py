@@ -73,3 +73,16 @@ def test_hash_folds_make_cv_reproducible_across_partitionings(spark):
     b = G.cross_validate(est, grid, accuracy_evaluator("y"), data.repartition(7), folds=3,
                          fold_col="cv_fold").avgMetrics
     assert a == pytest.approx(b, abs=1e-12)
+
+
+def test_hyphenated_categorical_names(spark):
+    df = spark.createDataFrame([("No", "Up"), ("Steady", "No"), ("No", "No")], "`glyburide-metformin` string, `insulin` string")
+    out = E.categorical_pipeline(["glyburide-metformin", "insulin"], "f").fit(df).transform(df)
+    widths = {len(r.a) for r in out.select(vector_to_array("f").alias("a")).collect()}
+    assert widths == {4}
+
+
+def test_als_blocks_follow_parallelism(spark):
+    est = M.als()
+    assert est.getNumUserBlocks() == max(10, spark.sparkContext.defaultParallelism)
+    assert M.als(blocks=3).getNumItemBlocks() == 3
