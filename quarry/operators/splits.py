@@ -23,6 +23,11 @@ from quarry.functions.hashing import hash_bucket, unit_interval
 # The seed used throughout the recorded analyses.
 SEED = 31891
 PERCENT_BUCKETS = 100
+# Each kind of draw hashes the key with its own salt, so a sample taken from a
+# split part (or folds cut from a sample) is independent of that split.
+SPLIT_SALT = str(SEED)
+SAMPLE_SALT = f"{SEED}-sample"
+FOLD_SALT = f"{SEED}-cv"
 
 
 def sample_by(df: DataFrame, label_col: str, fractions: dict | float, seed: int = SEED,
@@ -46,12 +51,12 @@ def subtract_split(df: DataFrame, label_col: str, train_fraction: float, labels:
     return train, df.subtract(train)
 
 
-def bucket_col(id_cols, buckets: int = PERCENT_BUCKETS, salt: str | None = str(SEED)) -> Column:
+def bucket_col(id_cols, buckets: int = PERCENT_BUCKETS, salt: str | None = SPLIT_SALT) -> Column:
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     return hash_bucket(*ids, buckets=buckets, salt=salt)
 
 
-def hash_sample(df: DataFrame, id_cols, fraction: float, salt: str | None = str(SEED)) -> DataFrame:
+def hash_sample(df: DataFrame, id_cols, fraction: float, salt: str | None = SAMPLE_SALT) -> DataFrame:
     """D1 (deterministic): keep rows whose key hashes below ``fraction``.
 
     Every row is an independent draw, so each class keeps the same expected
@@ -63,7 +68,7 @@ def hash_sample(df: DataFrame, id_cols, fraction: float, salt: str | None = str(
 
 
 def hash_split(df: DataFrame, id_cols, train_fraction: float = 0.8,
-               salt: str | None = str(SEED)) -> tuple[DataFrame, DataFrame]:
+               salt: str | None = SPLIT_SALT) -> tuple[DataFrame, DataFrame]:
     """D2 (deterministic): train / test as a predicate and its complement.
 
     The parts are disjoint and complete by construction; duplicates stay
@@ -75,7 +80,7 @@ def hash_split(df: DataFrame, id_cols, train_fraction: float = 0.8,
 
 
 def split_label(df: DataFrame, id_cols, train_fraction: float = 0.8, part_col: str = "split",
-                salt: str | None = str(SEED)) -> DataFrame:
+                salt: str | None = SPLIT_SALT) -> DataFrame:
     """The split as a column (``train``/``test``), for one-pass per-part statistics."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     u = unit_interval(*ids, salt=salt)
@@ -83,7 +88,7 @@ def split_label(df: DataFrame, id_cols, train_fraction: float = 0.8, part_col: s
 
 
 def with_fold(df: DataFrame, id_cols, k: int, fold_col: str = "fold",
-              salt: str | None = str(SEED)) -> DataFrame:
+              salt: str | None = SPLIT_SALT) -> DataFrame:
     """Deterministic fold id in ``[0, k)``."""
     return df.withColumn(fold_col, bucket_col(id_cols, k, salt))
 
@@ -99,7 +104,7 @@ def random_fold(df: DataFrame, k: int, seed: int = SEED, fold_col: str = "fold")
 
 
 def nested_sample_sizes(df: DataFrame, id_cols, fractions: Sequence[float],
-                        label_col: str | None = None, salt: str | None = str(SEED)) -> DataFrame:
+                        label_col: str | None = None, salt: str | None = SAMPLE_SALT) -> DataFrame:
     """Sizes of nested samples for several fractions in one pass
     (``fraction, [label,] count``)."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)

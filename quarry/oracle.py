@@ -106,16 +106,20 @@ def all_sql() -> dict[str, str]:
     out = {}
     out.update(weblog_sql())
     out.update(analytics_sql())
+    out.update(ml_plumbing_sql())
     return out
 
 
 SEED_SALT = "#31891"
 
 
-def _u(*exprs: str) -> str:
-    """DuckDB twin of ``functions.hashing.unit_interval`` (salted with the seed)."""
+SAMPLE_SALT = "#31891-sample"
+
+
+def _u(*exprs: str, salt: str = SEED_SALT) -> str:
+    """DuckDB twin of ``functions.hashing.unit_interval`` (salted)."""
     key = " || '#' || ".join(f"{e}::VARCHAR" for e in exprs)
-    return f"(('0x' || substr(md5({key} || '{SEED_SALT}'), 1, 7))::BIGINT / 268435456.0)"
+    return f"(('0x' || substr(md5({key} || '{salt}'), 1, 7))::BIGINT / 268435456.0)"
 
 
 def _bucket(k: int, *exprs: str) -> str:
@@ -175,11 +179,11 @@ def analytics_sql() -> dict[str, str]:
                        f"count(*) AS count FROM labels GROUP BY ALL",
         "split_complement": f"SELECT * FROM labels EXCEPT SELECT * FROM labels WHERE {u_doc} < 0.8",
         "class_dist": f"""SELECT event_type, 'all' AS part, count(*) AS count FROM events GROUP BY 1
-            UNION ALL SELECT event_type, 'sample', count(*) FILTER (WHERE {_u('event_id')} < 0.1) FROM events GROUP BY 1""",
+            UNION ALL SELECT event_type, 'sample', count(*) FILTER (WHERE {_u('event_id', salt=SAMPLE_SALT)} < 0.1) FROM events GROUP BY 1""",
         "kfold_sizes": f"SELECT {_bucket(4, 'l_orderkey', 'l_linenumber')} AS fold, count(*) AS count "
                        f"FROM lineitem GROUP BY 1",
         "sample_sizes": f"""WITH wb AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE -1 END AS label,
-                                               {_u('vec_id')} AS u FROM embeddings),
+                                               {_u('vec_id', salt=SAMPLE_SALT)} AS u FROM embeddings),
             f(fraction) AS (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)),
             lab AS (SELECT DISTINCT label FROM wb)
             SELECT lab.label, f.fraction,
@@ -225,3 +229,29 @@ def analytics_sql() -> dict[str, str]:
         "cluster_top_tags": f"WITH {PROFILE} SELECT cluster, tagId, tag, avg_relevance, rank FROM prof",
         "cluster_tag_counts": f"WITH {PROFILE} SELECT cluster, tagId, tag, n_items FROM prof",
     }
+
+
+def ml_plumbing_sql() -> dict[str, str]:
+    """Deterministic parts of the ML analyses: sample sizes and scored-row counts."""
+    wide_train = f"""wb AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label,
+                            {_u('vec_id')} AS u_split, {_u('vec_id', salt=SAMPLE_SALT)} AS u_sample FROM embeddings),
+        train AS (SELECT * FROM wb WHERE u_split < 0.8)"""
+    return {
+        "wide_class_dist": f"""WITH {wide_train}
+            SELECT 'all' AS part, label, count(*) AS count FROM train GROUP BY label
+            UNION ALL SELECT 'sample', label, count(*) FROM train WHERE u_sample < 0.5 GROUP BY label""",
+        "scaling_sizes": f"""WITH {wide_train},
+            f(sample_size) AS (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)),
+            m(model) AS (VALUES ('rf'), ('gbt'), ('mlp'))
+            SELECT f.sample_size, (SELECT count(*) FROM train WHERE u_sample < f.sample_size) AS sample_count, m.model
+            FROM f, m""",
+        "als_fold_counts": f"""WITH r AS (SELECT o_custkey::INTEGER AS userId, l_partkey::INTEGER AS movieId
+                          FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+            f AS (SELECT *, {_bucket(4, 'userId', 'movieId')} AS fold FROM r),
+            n AS (SELECT t.fold, count(*) AS n FROM f t
+                  WHERE EXISTS (SELECT 1 FROM f a WHERE a.fold <> t.fold AND a.userId = t.userId)
+                    AND EXISTS (SELECT 1 FROM f b WHERE b.fold <> t.fold AND b.movieId = t.movieId)
+                  GROUP BY t.fold),
+            m(model) AS (VALUES (1), (2), (3))
+            SELECT m.model, n.fold, n.n FROM m, n""",
+    }

@@ -20,7 +20,7 @@ from quarry.operators import features as E
 from quarry.operators import models as M
 from quarry.operators import tuning as G
 from quarry.operators.metrics import accuracy, accuracy_evaluator, regression_metrics, rmse_evaluator
-from quarry.operators.splits import SEED, hash_split, with_fold
+from quarry.operators.splits import FOLD_SALT, SEED, hash_split, with_fold
 from quarry.session import checkpoint_dir
 
 
@@ -47,7 +47,7 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     fold_col = None
     if id_cols:
         fold_col = "cv_fold"
-        train = with_fold(train, list(id_cols), folds, fold_col, salt=f"{seed}-cv")
+        train = with_fold(train, list(id_cols), folds, fold_col, salt=FOLD_SALT)
     pipe = E.categorical_pipeline(cat_cols, "features", drop_last=False, handle_invalid=handle_invalid)
     _, (tr, te) = E.fit_transform(pipe, train, test)
     keep = ["features", count_label, binary_label]

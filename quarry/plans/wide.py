@@ -19,7 +19,7 @@ from quarry.operators import models as M
 from quarry.operators import tuning as G
 from quarry.operators.aggregates import class_distribution
 from quarry.operators.metrics import auc_evaluator, classification_report
-from quarry.operators.splits import SEED, hash_sample, sample_by, with_fold
+from quarry.operators.splits import FOLD_SALT, SEED, hash_sample, sample_by, with_fold
 from quarry.session import checkpoint_dir
 
 
@@ -79,7 +79,7 @@ def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], la
     fold_col = None
     if id_col is not None:  # reproducible CV folds: hash buckets of the row key
         fold_col = "cv_fold"
-        sample = with_fold(sample, id_col, folds, fold_col, salt=f"{seed}-cv")
+        sample = with_fold(sample, id_col, folds, fold_col, salt=FOLD_SALT)
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     test_r = recode_label(test, label_col).persist(StorageLevel.MEMORY_AND_DISK)
     sample.count(), test_r.count()  # fill the caches once, before concurrent searches read them

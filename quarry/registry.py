@@ -102,7 +102,7 @@ def split_complement(spark, sf_dir):
 
 def class_dist(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "event_type")
-    u = unit_interval("event_id", salt=str(splits.SEED))
+    u = unit_interval("event_id", salt=splits.SAMPLE_SALT)
     wide = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_all"),
                                         F.sum(F.when(u < 0.1, 1).otherwise(0)).cast("bigint").alias("n_sample"))
     return wide.selectExpr("event_type", "stack(2, 'all', n_all, 'sample', n_sample) AS (part, count)")
@@ -389,6 +389,11 @@ def scaling_study(spark, sf_dir):
     return _scaling(spark, sf_dir)["long"]
 
 
+def scaling_sizes(spark, sf_dir):
+    """The study's nested sample sizes (deterministic part of C7)."""
+    return _scaling(spark, sf_dir)["long"].select("sample_size", "sample_count", "model")
+
+
 def scaling_report(spark, sf_dir):
     return scaling.scaling_report(spark, _scaling(spark, sf_dir)["path"])
 
@@ -404,6 +409,11 @@ def als_cv(spark, sf_dir):
     return _als(spark, sf_dir)["metrics"]
 
 
+def als_fold_counts(spark, sf_dir):
+    """Scored test ratings per (model, fold): cold-start rows dropped (deterministic part of C9)."""
+    return _als(spark, sf_dir)["metrics"].select("model", "fold", "n")
+
+
 def als_summary(spark, sf_dir):
     return recommend.als_summary(_als(spark, sf_dir)["metrics"], 4)
 
@@ -486,8 +496,10 @@ def queries() -> dict[str, Query]:
         "wide_test_report": wide_test_report,
         "wide_class_dist": wide_class_dist,
         "scaling_study": scaling_study,
+        "scaling_sizes": scaling_sizes,
         "scaling_report": scaling_report,
         "als_cv": als_cv,
+        "als_fold_counts": als_fold_counts,
         "als_summary": als_summary,
         "cluster_sizes": cluster_sizes,
         "als_cluster_tags": als_cluster_tags,

@@ -45,3 +45,14 @@ def test_sample_by_fraction_roughly_kept(spark):
     df = _ids(spark, 6000)
     n = splits.sample_by(df, "label", 0.5, labels=[0, 1, 2]).count()
     assert 2600 < n < 3400
+
+
+def test_sample_of_a_split_part_is_independent_of_the_split(spark):
+    df = _ids(spark, 20000)
+    train, _ = splits.hash_split(df, "id", 0.8)
+    n_train = train.count()
+    n80 = splits.hash_sample(train, "id", 0.8).count()
+    assert 0.77 < n80 / n_train < 0.83          # 80 % of train, not all of it
+    folds = splits.with_fold(splits.hash_sample(train, "id", 0.5), "id", 3, "f", salt=splits.FOLD_SALT)
+    sizes = [r["count"] for r in folds.groupBy("f").count().collect()]
+    assert len(sizes) == 3 and min(sizes) / max(sizes) > 0.9
