@@ -75,3 +75,34 @@ def test_stream_matches_batch(spark):
     streamed = sorted(spark.read.parquet(os.path.join(base, "out")).collect())
     batch = sorted(class_counts_stream(spark.read.text(src)).collect())
     assert streamed == batch and len(batch) == 3
+
+
+def test_original_dataset_readers(spark):
+    from quarry.sources import datasets
+    base = _tmp()
+    enc = os.path.join(base, "enc.csv")
+    meds = datasets.MEDICATION_COLUMNS
+    with open(enc, "w") as f:
+        f.write(",".join(["encounter_id", "race", *meds, "time_in_hospital", "readmitted"]) + "\n")
+        f.write(",".join(["1", "?", *(["No"] * 23), "3", "NO"]) + "\n")
+        f.write(",".join(["2", "X", *(["Up"] * 23), "5", ">30"]) + "\n")
+    df = datasets.encounters(spark, enc).orderBy("encounter_id").collect()
+    assert [r.readmitted for r in df] == [0, 1] and df[0].race is None and df[1].time_in_hospital == 5.0
+    assert df[0]["glyburide-metformin"] == "No"
+    rt = os.path.join(base, "ratings.csv")
+    with open(rt, "w") as f:
+        f.write("userId,movieId,rating,timestamp\n1,2,3.5,100\n")
+    assert datasets.ratings(spark, rt).columns == ["userId", "movieId", "rating"]
+    gs = os.path.join(base, "gs.csv")
+    with open(gs, "w") as f:
+        f.write("movieId,tagId,relevance\n1,1,0.02875\n")
+    assert datasets.genome_scores(spark, gs).first().relevance == 0.02875
+    gt = os.path.join(base, "gt.csv")
+    with open(gt, "w") as f:
+        f.write("tagId,tag\n1,007\n")
+    assert datasets.genome_tags(spark, gt).first().tag == "007"
+    cr = os.path.join(base, "puf.csv")
+    with open(cr, "w") as f:
+        f.write(",".join(["1"] * 128 + ["-1"]) + "\n")
+    row = datasets.challenge_response(spark, cr).first()
+    assert row["_c128"] == -1 and row["_c0"] == 1.0
