@@ -65,3 +65,13 @@ def test_encounter_glms_from_csv(spark):
     assert res["curves"].count() == 2 + 2 + 4
     assert res["en_matrix"].count() == 2
     assert {r.model for r in res["test_report"].collect()} == {"poisson", "logistic_l2", "logistic_en"}
+
+
+def test_command_line_weblog(spark):
+    from quarry.__main__ import main
+    base = _tmp()
+    log = os.path.join(base, "log")
+    standins.log_lines(spark, SF_SMALL).coalesce(1).write.option("compression", "gzip").text(log)
+    main(["weblog", "--log", log, "--rank-name", "uni1", "--out", os.path.join(base, "out")])
+    assert spark.read.parquet(os.path.join(base, "out", "class_counts")).count() == 3
+    assert spark.read.parquet(os.path.join(base, "out", "busiest_grid")).count() == 3 * 744

@@ -106,3 +106,17 @@ def test_original_dataset_readers(spark):
         f.write(",".join(["1"] * 128 + ["-1"]) + "\n")
     row = datasets.challenge_response(spark, cr).first()
     assert row["_c128"] == -1 and row["_c0"] == 1.0
+
+
+def test_stream_restarts_from_checkpoint(spark):
+    from quarry.streaming.weblog_stream import class_counts_stream, start_class_counts
+    base = _tmp()
+    src, out, ckpt = (os.path.join(base, p) for p in ("src", "out", "ckpt"))
+    lines = standins.log_lines(spark, SF_SMALL)
+    lines.repartition(2).write.text(os.path.join(src, "a"))
+    start_class_counts(spark, os.path.join(src, "*"), out, ckpt).awaitTermination()
+    first = {r.country_code: r["count"] for r in spark.read.parquet(out).collect()}
+    lines.repartition(2).write.text(os.path.join(src, "b"))      # new files arrive
+    start_class_counts(spark, os.path.join(src, "*"), out, ckpt).awaitTermination()
+    second = {r.country_code: r["count"] for r in spark.read.parquet(out).collect()}
+    assert second == {k: 2 * v for k, v in first.items()}        # state restored, old files not re-read
