@@ -237,6 +237,9 @@ def ml_plumbing_sql() -> dict[str, str]:
                             {_u('vec_id')} AS u_split, {_u('vec_id', salt=SAMPLE_SALT)} AS u_sample FROM embeddings),
         train AS (SELECT * FROM wb WHERE u_split < 0.8)"""
     return {
+        "glm_split_dist": f"""SELECT CASE WHEN {_u('l_orderkey', 'l_linenumber')} < 0.8 THEN 'train' ELSE 'test' END AS split,
+                   (CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END)::INTEGER AS status_flag, count(*) AS count
+            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
         "wide_class_dist": f"""WITH {wide_train}
             SELECT 'all' AS part, label, count(*) AS count FROM train GROUP BY label
             UNION ALL SELECT 'sample', label, count(*) FROM train WHERE u_sample < 0.5 GROUP BY label""",

@@ -19,6 +19,7 @@ from quarry.functions.recode import binary_recode
 from quarry.operators import features as E
 from quarry.operators import models as M
 from quarry.operators import tuning as G
+from quarry.operators.aggregates import class_distribution
 from quarry.operators.metrics import accuracy, accuracy_evaluator, regression_metrics, rmse_evaluator
 from quarry.operators.splits import FOLD_SALT, SEED, hash_split, with_fold
 from quarry.session import checkpoint_dir
@@ -44,6 +45,10 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     folds are hash buckets of the row key (the same on any partitioning);
     without, CrossValidator draws them from ``seed``."""
     spark = train.sparkSession
+    # A5: class counts of both parts, in one aggregate over their union
+    split_dist = class_distribution(
+        train.select(F.lit("train").alias("split"), binary_label)
+             .unionByName(test.select(F.lit("test").alias("split"), binary_label)), binary_label, "split")
     fold_col = None
     if id_cols:
         fold_col = "cv_fold"
@@ -93,7 +98,8 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     # the answers are a few rows each: write them to the shared checkpoint
     # folder, then release the cached training and test parts
     checkpoint_dir(spark)
-    out = {"curves": curve_all, "best": best_all, "en_matrix": matrix, "test_report": report}
+    out = {"split_distribution": split_dist, "curves": curve_all, "best": best_all, "en_matrix": matrix,
+           "test_report": report}
     out = {k: v.checkpoint(eager=True) for k, v in out.items()}
     tr.unpersist()
     te.unpersist()

@@ -310,6 +310,10 @@ def _glm(spark, sf_dir):
     return _memo(("glm", sf_dir), build)
 
 
+def glm_split_dist(spark, sf_dir):
+    return _glm(spark, sf_dir)["split_distribution"]
+
+
 def poisson_cv(spark, sf_dir):
     return _glm(spark, sf_dir)["curves"].filter(F.col("model") == "poisson")
 
@@ -483,6 +487,7 @@ def queries() -> dict[str, Query]:
         "top_clusters": top_clusters,
         "cluster_top_tags": cluster_top_tags,
         "cluster_tag_counts": cluster_tag_counts,
+        "glm_split_dist": glm_split_dist,
         "poisson_cv": poisson_cv,
         "logit_l2_cv": logit_l2_cv,
         "logit_en_cv": logit_en_cv,
