@@ -86,3 +86,12 @@ def test_als_blocks_follow_parallelism(spark):
     est = M.als()
     assert est.getNumUserBlocks() == max(10, spark.sparkContext.defaultParallelism)
     assert M.als(blocks=3).getNumItemBlocks() == 3
+
+
+def test_best_point_uses_unrounded_means(spark):
+    # rounded to 4 places both read 0.5506; the second is truly better
+    curve = spark.createDataFrame([(0, 0.001, 0.55061, 0.01), (1, 0.01, 0.55064, 0.01), (2, 0.1, 0.5401, 0.01)],
+                                  "grid_index int, regParam double, mean_metric double, std_metric double")
+    assert G.best_point(curve, True).first().grid_index == 1
+    shown = {r.grid_index: r.mean_metric for r in G.rounded(curve).collect()}
+    assert shown[0] == shown[1] == 0.5506
