@@ -248,6 +248,9 @@ def ml_plumbing_sql() -> dict[str, str]:
             m(model) AS (VALUES ('rf'), ('gbt'), ('mlp'))
             SELECT f.sample_size, (SELECT count(*) FROM train WHERE u_sample < f.sample_size) AS sample_count, m.model
             FROM f, m""",
+        "rating_fold_sizes": f"""WITH r AS (SELECT o_custkey::INTEGER AS userId, l_partkey::INTEGER AS movieId
+                          FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+            SELECT {_bucket(4, 'userId', 'movieId')} AS fold, count(*) AS count FROM r GROUP BY 1""",
         "als_fold_counts": f"""WITH r AS (SELECT o_custkey::INTEGER AS userId, l_partkey::INTEGER AS movieId
                           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
             f AS (SELECT *, {_bucket(4, 'userId', 'movieId')} AS fold FROM r),

@@ -108,6 +108,12 @@ def class_dist(spark, sf_dir):
     return wide.selectExpr("event_type", "stack(2, 'all', n_all, 'sample', n_sample) AS (part, count)")
 
 
+def rating_fold_sizes(spark, sf_dir):
+    """D3: ratings per fold, folds hashed on (userId, movieId) as in ``recommend.als_cv``."""
+    rf = splits.with_fold(standins.ratings(spark, sf_dir), ["userId", "movieId"], 4)
+    return aggregates.count_per_key(rf, "fold")
+
+
 def kfold_sizes(spark, sf_dir):
     li = splits.with_fold(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], 4)
     return aggregates.count_per_key(li, "fold")
@@ -471,6 +477,7 @@ def queries() -> dict[str, Query]:
         "split_complement": split_complement,
         "class_dist": class_dist,
         "kfold_sizes": kfold_sizes,
+        "rating_fold_sizes": rating_fold_sizes,
         "sample_sizes": sample_sizes,
         "sample_by": sample_by,
         "recode_binary": recode_binary,
