@@ -1,7 +1,10 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
-Floating-point outputs that are compared with DuckDB are rounded to 6 decimals
-on both sides (display rounding, applied last).
+Every query reads whole driver tables (or data Spark derives from them).
+Floating-point outputs that the two engines may sum in different orders are
+rounded to 6 decimals on both sides (display rounding, applied last); values
+computed by the same IEEE operations on both sides are left as they are, and
+means over fixed-precision inputs are exact decimals.
 """
 
 from __future__ import annotations
