@@ -71,7 +71,9 @@ def als_cv(ratings: DataFrame, configs: Sequence[dict] = M.ALS_CONFIGS, k: int =
     and run ``parallelism`` at a time as concurrent jobs.
     """
     checkpoint_dir(ratings.sparkSession)  # ALS lineage and the metric table go to the shared folder
-    folded = with_fold(ratings, list(id_cols), k).persist(StorageLevel.MEMORY_AND_DISK)
+    # every fit reads the folded ratings: written once to the shared folder (a lost
+    # executor never re-runs the joins behind them), then cached for the fits
+    folded = with_fold(ratings, list(id_cols), k).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     jobs = [(fold, i, cfg) for fold in range(k) for i, cfg in enumerate(configs)]
 
     def fit(fold, i, cfg):
