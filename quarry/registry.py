@@ -388,12 +388,13 @@ def wide_class_dist(spark, sf_dir):
 def _scaling(spark, sf_dir):
     def build():
         import os
+        import uuid
         from quarry.session import checkpoint_dir
         train, test = _wide_split(spark, sf_dir)
         feats = [f"_c{i}" for i in range(64)]
-        out = os.path.join(checkpoint_dir(spark), f"scaling-results-{abs(hash(sf_dir))}")
-        long, wide_tbl = scaling.scaling_study(train, test, feats, "label", "vec_id")
-        wide_tbl.write.mode("overwrite").parquet(out)  # a fresh results table per run (S5 appends)
+        # the study appends its results table (S5) to a fresh folder in the shared checkpoint area
+        out = os.path.join(checkpoint_dir(spark), f"scaling-results-{uuid.uuid4().hex}")
+        long, wide_tbl = scaling.scaling_study(train, test, feats, "label", "vec_id", results_path=out)
         return {"long": long, "wide": wide_tbl, "path": out}
     return _memo(("scaling", sf_dir), build)
 
