@@ -1,8 +1,8 @@
 """Command line: run one analysis from its original input files and write every
 answer as a parquet table under ``--out`` (nothing is collected to the driver).
 
-    spark-submit -m quarry weblog --log access_log.gz --out results/q1
-    python -m quarry glms --csv diabetic_data.csv --out results/q2
+    spark-submit -m quarry weblog --log access_log.gz --rank-name <org> --out results/q1
+    python -m quarry glms --csv encounters.csv --out results/q2
     python -m quarry wide --train train.csv --test test.csv --out results/q3a
     python -m quarry scaling --train train.csv --test test.csv --out results/q3b
     python -m quarry recommender --ratings ratings.csv --scores genome-scores.csv --tags genome-tags.csv --out results/q4
@@ -28,8 +28,8 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="cmd", required=True)
     w = sub.add_parser("weblog")
     w.add_argument("--log", required=True)
-    w.add_argument("--rank-name", default="shef")
-    w.add_argument("--rank-class", default="UK")
+    w.add_argument("--rank-name", default=None, help="organisation whose rank to report")
+    w.add_argument("--rank-class", default=None, help="host class to rank it in (default: every class)")
     g = sub.add_parser("glms")
     g.add_argument("--csv", required=True)
     for name in ("wide", "scaling"):

@@ -26,10 +26,11 @@ def content_key(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def web_logs(spark: SparkSession, log_path: str, rank_name: str = "shef", rank_class: str = "UK",
+def web_logs(spark: SparkSession, log_path: str, rank_name: str | None = None, rank_class: str | None = None,
              top_n: int = 9) -> dict[str, DataFrame]:
-    """Q1: requests per class, organisations, top-N, rank, shares, busiest grids.
-    The cube is persisted; call ``.unpersist()`` on ``result['cube']`` when done."""
+    """Q1: requests per class, organisations, top-N, shares, busiest grids, and the
+    rank of ``rank_name`` (within ``rank_class``, or every class) when given.
+    ``result["cube"]`` is the checkpointed cube every answer reads."""
     wa = weblog.WeblogAnalysis(datasets.access_log(spark, log_path), top_n=top_n)
     out = wa.results(rank_name, rank_class)
     out["cube"] = wa.cube
