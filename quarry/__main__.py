@@ -37,6 +37,7 @@ def main(argv: list[str] | None = None) -> None:
         s.add_argument("--train", required=True)
         s.add_argument("--test", required=True)
         s.add_argument("--fraction", type=float, default=0.01)
+        s.add_argument("--n-features", type=int, default=128)
     r = sub.add_parser("recommender")
     r.add_argument("--ratings", required=True)
     r.add_argument("--scores", required=True)
@@ -56,9 +57,10 @@ def main(argv: list[str] | None = None) -> None:
     elif a.cmd == "glms":
         _write(analyses.encounter_glms(spark, a.csv), a.out)
     elif a.cmd == "wide":
-        _write(analyses.wide_tuning(spark, a.train, a.test, a.fraction), a.out)
+        _write(analyses.wide_tuning(spark, a.train, a.test, a.fraction, n_features=a.n_features), a.out)
     elif a.cmd == "scaling":
-        long, _ = analyses.sample_size_scaling(spark, a.train, a.test, results_path=os.path.join(a.out, "results"))
+        long, _ = analyses.sample_size_scaling(spark, a.train, a.test, results_path=os.path.join(a.out, "results"),
+                                               n_features=a.n_features)
         _write({"long": long}, a.out)
     elif a.cmd == "recommender":
         res = analyses.recommender(spark, a.ratings, a.scores, a.tags)

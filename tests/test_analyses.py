@@ -75,3 +75,24 @@ def test_command_line_weblog(spark):
     main(["weblog", "--log", log, "--rank-name", "uni1", "--out", os.path.join(base, "out")])
     assert spark.read.parquet(os.path.join(base, "out", "class_counts")).count() == 3
     assert spark.read.parquet(os.path.join(base, "out", "busiest_grid")).count() == 3 * 744
+
+
+def test_command_line_recommender_and_scaling(spark):
+    from quarry.__main__ import main
+    base = _tmp()
+    standins.ratings(spark, SF_SMALL).withColumn("timestamp", F.lit(0).cast("long")) \
+        .write.option("header", "true").csv(os.path.join(base, "ratings"))
+    standins.relevance_scores(spark, SF_SMALL).withColumn("relevance", F.col("relevance").cast("double")) \
+        .write.option("header", "true").csv(os.path.join(base, "scores"))
+    standins.tag_dictionary(spark, SF_SMALL).write.option("header", "true").csv(os.path.join(base, "tags"))
+    main(["recommender", "--ratings", os.path.join(base, "ratings"), "--scores", os.path.join(base, "scores"),
+          "--tags", os.path.join(base, "tags"), "--out", os.path.join(base, "q4")])
+    assert spark.read.parquet(os.path.join(base, "q4", "summary")).count() == 3
+    assert spark.read.parquet(os.path.join(base, "q4", "fold0_top_clusters")).count() == 3
+    wb = standins.wide_binary(spark, SF_SMALL).drop("vec_id")
+    wb.write.csv(os.path.join(base, "train"))
+    wb.limit(50).write.csv(os.path.join(base, "test"))
+    from quarry.plans import analyses as A
+    long, _ = A.sample_size_scaling(spark, os.path.join(base, "train"), os.path.join(base, "test"),
+                                    fractions=[0.5], results_path=os.path.join(base, "q3b"), n_features=64)
+    assert spark.read.parquet(os.path.join(base, "q3b")).count() == 1
