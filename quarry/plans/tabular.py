@@ -45,6 +45,11 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     folds are hash buckets of the row key (the same on any partitioning);
     without, CrossValidator draws them from ``seed``."""
     spark = train.sparkSession
+    # the parts are read by the split statistics, the encoder fit and both
+    # transforms: cache them once instead of re-running what built them
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    inputs = [train, test]
     # A5: class counts of both parts, in one aggregate over their union
     split_dist = class_distribution(
         train.select(F.lit("train").alias("split"), binary_label)
@@ -101,6 +106,6 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     out = {"split_distribution": split_dist, "curves": curve_all, "best": best_all, "en_matrix": matrix,
            "test_report": report}
     out = {k: v.checkpoint(eager=True) for k, v in out.items()}
-    tr.unpersist()
-    te.unpersist()
+    for df in (tr, te, *inputs):
+        df.unpersist()
     return out
