@@ -92,8 +92,8 @@ def weblog_sql() -> dict[str, str]:
             FROM shares s JOIN class_totals t USING (country_code)""",
         "hour_grid": f"""WITH {ORGS},
             top1 AS (SELECT country_code, institution FROM org_ranked WHERE rank = 1),
-            cells AS (SELECT country_code, institution, d AS day, h AS hour
-                      FROM top1, range(1, 32) r1(d), range(0, 24) r2(h)),
+            cells0 AS (SELECT country_code, institution, unnest(range(0, 744)) AS i FROM top1),
+            cells AS (SELECT country_code, institution, i // 24 + 1 AS day, i % 24 AS hour FROM cells0),
             obs AS (SELECT country_code, institution, day, hour, count(*) AS count FROM orgs
                     WHERE day BETWEEN 1 AND 31 AND hour BETWEEN 0 AND 23 GROUP BY ALL)
             SELECT c.country_code, c.institution, c.day::INTEGER AS day, c.hour::INTEGER AS hour,
@@ -184,11 +184,8 @@ def analytics_sql() -> dict[str, str]:
                        f"FROM lineitem GROUP BY 1",
         "sample_sizes": f"""WITH wb AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE -1 END AS label,
                                                {_u('vec_id', salt=SAMPLE_SALT)} AS u FROM embeddings),
-            f(fraction) AS (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)),
-            lab AS (SELECT DISTINCT label FROM wb)
-            SELECT lab.label, f.fraction,
-                   (SELECT count(*) FROM wb WHERE wb.label = lab.label AND wb.u < f.fraction) AS count
-            FROM lab, f""",
+            x AS (SELECT label, u, unnest([0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS fraction FROM wb)
+            SELECT label, fraction, count(*) FILTER (WHERE u < fraction) AS count FROM x GROUP BY ALL""",
         "recode_binary": "SELECT o_orderkey, o_orderstatus, (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END)::INTEGER "
                          "AS label FROM orders",
         "recode_sign": """SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE -1 END AS label_pm,
@@ -244,10 +241,9 @@ def ml_plumbing_sql() -> dict[str, str]:
             SELECT 'all' AS part, label, count(*) AS count FROM train GROUP BY label
             UNION ALL SELECT 'sample', label, count(*) FROM train WHERE u_sample < 0.5 GROUP BY label""",
         "scaling_sizes": f"""WITH {wide_train},
-            f(sample_size) AS (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)),
-            m(model) AS (VALUES ('rf'), ('gbt'), ('mlp'))
-            SELECT f.sample_size, (SELECT count(*) FROM train WHERE u_sample < f.sample_size) AS sample_count, m.model
-            FROM f, m""",
+            x AS (SELECT u_sample, unnest([0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS sample_size FROM train),
+            s AS (SELECT sample_size, count(*) FILTER (WHERE u_sample < sample_size) AS sample_count FROM x GROUP BY 1)
+            SELECT sample_size, sample_count, unnest(['rf', 'gbt', 'mlp']) AS model FROM s""",
         "rating_fold_sizes": f"""WITH r AS (SELECT o_custkey::INTEGER AS userId, l_partkey::INTEGER AS movieId
                           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
             SELECT {_bucket(4, 'userId', 'movieId')} AS fold, count(*) AS count FROM r GROUP BY 1""",
@@ -257,7 +253,6 @@ def ml_plumbing_sql() -> dict[str, str]:
             n AS (SELECT t.fold, count(*) AS n FROM f t
                   WHERE EXISTS (SELECT 1 FROM f a WHERE a.fold <> t.fold AND a.userId = t.userId)
                     AND EXISTS (SELECT 1 FROM f b WHERE b.fold <> t.fold AND b.movieId = t.movieId)
-                  GROUP BY t.fold),
-            m(model) AS (VALUES (1), (2), (3))
-            SELECT m.model, n.fold, n.n FROM m, n""",
+                  GROUP BY t.fold)
+            SELECT unnest([1, 2, 3]) AS model, fold, n FROM n""",
     }
