@@ -58,13 +58,24 @@ def auc_exact(df: DataFrame, label_col: str, score_col: str, group_cols=None,
        computed on that small table. Nothing is ordered on one task.
     """
     group_cols = _as_list(group_cols)
-    spark = df.sparkSession
-    if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     is_pos = (F.col(label_col).cast("double") == 1.0).cast("long")
     per_score = (df.select(*group_cols, F.col(score_col).cast("double").alias("_s"), is_pos.alias("_y"))
                    .groupBy(*group_cols, "_s")
                    .agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")))
+    return auc_from_score_counts(per_score, group_cols, partitions)
+
+
+def auc_from_score_counts(per_score: DataFrame, group_cols=None, partitions: int | None = None,
+                          carry_sums=()) -> DataFrame:
+    """Exact AUC from one row per (group, score ``_s``) with ``_pos`` / ``_neg`` counts.
+
+    Columns named in ``carry_sums`` are summed along the way and returned per
+    group, so other metrics can ride on the same single chain of stages.
+    """
+    carry_sums = list(carry_sums)
+    group_cols = _as_list(group_cols)
+    if partitions is None:
+        partitions = int(per_score.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (per_score.repartitionByRange(partitions, *group_cols, "_s")
                        .withColumn("_pid", F.spark_partition_id()))
     w_local = (Window.partitionBy("_pid", *group_cols).orderBy("_s")
@@ -72,17 +83,20 @@ def auc_exact(df: DataFrame, label_col: str, score_col: str, group_cols=None,
     local = ranged.withColumn("_below", F.coalesce(F.sum("_neg").over(w_local), F.lit(0)))
     slices = (local.groupBy("_pid", *group_cols)
                    .agg(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_num"),
-                        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")))
+                        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"),
+                        *[F.sum(c).alias(c) for c in carry_sums]))
     w_off = (Window.partitionBy(*group_cols).orderBy("_pid")
                    .rowsBetween(Window.unboundedPreceding, -1)) if group_cols else \
             Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
     out = slices.groupBy(*group_cols).agg(
         F.sum(F.col("_num") + F.col("_p") * F.col("_off")).alias("_num"),
-        F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+        F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"),
+        *[F.sum(c).alias(c) for c in carry_sums])
     return out.select(*group_cols,
                       (F.col("_num") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))).alias("auc"),
-                      F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
+                      F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"),
+                      *carry_sums)
 
 
 # --------------------------------------------------------------- MLlib evaluators
@@ -121,9 +135,19 @@ def classification_report(scored: DataFrame, label_col: str, group_cols=None,
     probability as the score) per group."""
     from pyspark.ml.functions import vector_to_array
     keys = _as_list(group_cols) or ["_all"]
-    with_score = scored.withColumns({"_score": vector_to_array(F.col(prob_col)).getItem(1),
-                                     "_all": F.lit(0)})
-    acc = accuracy(with_score, label_col, "prediction", keys)
-    auc = auc_exact(with_score, label_col, "_score", keys)
-    out = acc.join(auc, keys, "inner")
+    y = (F.col(label_col).cast("double") == 1.0).cast("long")
+    hit = (F.col(label_col).cast("double") == F.col("prediction").cast("double")).cast("long")
+    # one pass over the scored rows (one inference) into counts per (group,
+    # score); accuracy's hit and row counts ride along the AUC stages, so the
+    # plan is a single chain with no second read of the scored data
+    base = scored if group_cols else scored.withColumn("_all", F.lit(0))
+    per_score = (base.select(*keys, vector_to_array(F.col(prob_col)).getItem(1).cast("double").alias("_s"),
+                             y.alias("_y"), hit.alias("_hit"))
+                     .groupBy(*keys, "_s")
+                     .agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"),
+                          F.sum("_hit").alias("_hits"), F.count(F.lit(1)).alias("_rows")))
+    res = auc_from_score_counts(per_score, keys, carry_sums=["_hits", "_rows"])
+    out = res.select(*keys, F.col("_rows").cast("bigint").alias("n"),
+                     (F.col("_hits") / F.col("_rows")).cast("double").alias("accuracy"),
+                     "auc", "n_pos", "n_neg")
     return out if group_cols else out.drop("_all")
