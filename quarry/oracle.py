@@ -81,6 +81,13 @@ def weblog_sql() -> dict[str, str]:
                              THEN 1 ELSE 0 END) + 1)::INTEGER AS position,
                    (sum(CASE WHEN c.count > t.t_count THEN 1 ELSE 0 END) + 1)::INTEGER AS rank
             FROM org_counts c JOIN t USING (country_code) GROUP BY c.country_code, t.t_count""",
+        "org_rank_uk": f"""WITH {ORGS}, c AS (SELECT * FROM org_counts WHERE country_code = 'UK'),
+            t AS (SELECT country_code, count AS t_count FROM c WHERE institution = 'uni9')
+            SELECT c.country_code, 'uni9' AS institution, t.t_count AS count,
+                   (sum(CASE WHEN c.count > t.t_count OR (c.count = t.t_count AND c.institution < 'uni9')
+                             THEN 1 ELSE 0 END) + 1)::INTEGER AS position,
+                   (sum(CASE WHEN c.count > t.t_count THEN 1 ELSE 0 END) + 1)::INTEGER AS rank
+            FROM c JOIN t USING (country_code) GROUP BY c.country_code, t.t_count""",
         "org_share": f"""WITH {ORGS},
             top AS (SELECT country_code, institution, count, rank FROM org_ranked WHERE rank <= 9),
             others AS (SELECT t.country_code, 'Others' AS institution,

@@ -55,6 +55,11 @@ def org_rank(spark, sf_dir):
     return weblog.org_rank(_cube(spark, sf_dir), "uni5")
 
 
+def org_rank_uk(spark, sf_dir):
+    """T4 as recorded: the rank within one class only."""
+    return weblog.org_rank(_cube(spark, sf_dir), "uni9", klass="UK")
+
+
 def org_share(spark, sf_dir):
     return weblog.org_share(_cube(spark, sf_dir), 9)
 
@@ -472,6 +477,7 @@ def queries() -> dict[str, Query]:
         "org_distinct": org_distinct,
         "org_topn": org_topn,
         "org_rank": org_rank,
+        "org_rank_uk": org_rank_uk,
         "org_share": org_share,
         "hour_grid": hour_grid,
         "url_host_topn": url_host_topn,
