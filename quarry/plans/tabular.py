@@ -73,6 +73,7 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
         "logistic_en": (M.logistic("features", binary_label), {"regParam": reg_params, "elasticNetParam": en_params},
                         accuracy_evaluator(binary_label), True),
     }
+
     def tune(name, est, grid_spec, evaluator, larger):
         grid = G.param_grid(est, grid_spec)
         cvm = G.cross_validate(est, grid, evaluator, tr, folds, seed, parallelism, fold_col)
