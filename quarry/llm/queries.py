@@ -9,10 +9,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, hash_tree
+from . import bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, toxicity
+from .shared import with_package
 
 #: The published tokenizer of op2 and of the pipeline.
 TOKENIZER = "word_bpe_49k.json"
@@ -28,7 +29,34 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return with_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Labelled rows of each class that a classifier is fitted on, at most.
+FIT_ROWS = 1000
+
+
+def _remainder(modulus: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def _scored(df: DataFrame, held_out: Column, threshold: float, *more: Column) -> DataFrame:
+    return df.select("doc_id", held_out.alias("held_out"), "score",
+                     (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> fasttext.QualityModel:
+    """Fitted on labelled documents whose crc32(doc_id) mod 3 is not 1."""
+    texts, labels = fasttext.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                             "quality", _remainder(3) != 1, FIT_ROWS)
+    return fasttext.train(texts, labels)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is of good quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = fasttext.score_texts(docs, quality_model(spark, sf_dir))
+    return _scored(scored, F.coalesce(_remainder(3) == 1, F.lit(False)), 0.5)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +65,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digest(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic, and how many of its sentences are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts, labels = fasttext.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", _remainder(4) != 2, FIT_ROWS)
+    scored = toxicity.score_texts(docs, toxicity.train(texts, labels), locate=True)
+    return _scored(scored, F.coalesce(_remainder(4) == 2, F.lit(False)), 0.3,
+                   F.size("offending").cast("long").alias("n_offending"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of each document and its links to other texts."""
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside benchmark windows, and the items they come from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,7 +98,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
+        "op5_toxicity": op5_toxicity,
+        "op7_near_dedup": op7_near_dedup,
         "op8_decontamination": op8_decontamination,
         "op10_sharding": op10_sharding,
     }
