@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, toxicity
+from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, host_boilerplate, toxicity
 from .shared import with_package
 
 #: The published tokenizer of op2 and of the pipeline.
@@ -74,6 +74,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.size("offending").cast("long").alias("n_offending"))
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document and the verdict of the adaptive thresholds."""
+    judged = adaptive_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("reasons", F.array_join("reasons", ","))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of each document and its links to other texts."""
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -89,6 +95,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (hit > 0).alias("contaminated"))
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    found = host_boilerplate.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_dropped")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 shards in 2 regions of 2 racks of 4; a 17th shard comes as a region of its own."""
     tree = hash_tree.HashTree.regular(2, 2, 4)
@@ -101,8 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
         "op5_toxicity": op5_toxicity,
+        "op6_rules": op6_rules,
         "op7_near_dedup": op7_near_dedup,
         "op8_decontamination": op8_decontamination,
+        "op9_extraction": op9_extraction,
         "op10_sharding": op10_sharding,
     }
 
