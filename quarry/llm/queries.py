@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, host_boilerplate, toxicity
+from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, host_boilerplate, suffix_dedup, toxicity
 from .shared import with_package
 
 #: The published tokenizer of op2 and of the pipeline.
@@ -65,6 +65,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digest(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeat a 100-byte string from earlier on."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is toxic, and how many of its sentences are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_rules": op6_rules,
         "op7_near_dedup": op7_near_dedup,
