@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, host_boilerplate, suffix_dedup, toxicity
+from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, host_boilerplate, lm_score, suffix_dedup, toxicity
 from .shared import with_package
 
 #: The published tokenizer of op2 and of the pipeline.
@@ -70,6 +70,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of each document; the target is all text labelled of good quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return (lm_score.score_documents(docs, docs.join(good, "doc_id", "left_semi"))
+            .select("doc_id", *[f.name for f in lm_score.FIELDS]))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is toxic, and how many of its sentences are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -118,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_lm_score": op4_lm_score,
         "op5_toxicity": op5_toxicity,
         "op6_rules": op6_rules,
         "op7_near_dedup": op7_near_dedup,
