@@ -186,7 +186,7 @@ def _blocks(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     found, start = np.unique(bucket[order], return_index=True)
     rows = rows[order]
-    ends = [*start[1:].tolist(), len(rows)]
+    ends = [*start[1:].tolist(), len(rows)][:len(start)]
     return pa.RecordBatch.from_arrays(
         [pa.array(found, pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(start.tolist(), ends, strict=True)],
                                                pa.binary())], names=["bucket", "block"])
