@@ -36,8 +36,8 @@ def main(argv: list[str] | None = None) -> None:
         s = sub.add_parser(name)
         s.add_argument("--train", required=True)
         s.add_argument("--test", required=True)
-        s.add_argument("--fraction", type=float, default=0.01)
-        s.add_argument("--n-features", type=int, default=128)
+        s.add_argument("--n-features", type=int, default=None, help="checked against the files' width")
+    sub.choices["wide"].add_argument("--fraction", type=float, default=0.01)
     r = sub.add_parser("recommender")
     r.add_argument("--ratings", required=True)
     r.add_argument("--scores", required=True)
@@ -64,10 +64,7 @@ def main(argv: list[str] | None = None) -> None:
         _write({"long": long}, a.out)
     elif a.cmd == "recommender":
         res = analyses.recommender(spark, a.ratings, a.scores, a.tags)
-        tables = {"metrics": res["metrics"], "summary": res["summary"]}
-        for fold, parts in res["folds"].items():
-            tables.update({f"fold{fold}_{k}": v for k, v in parts.items()})
-        _write(tables, a.out)
+        _write(res, a.out)
 
 
 if __name__ == "__main__":

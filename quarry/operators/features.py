@@ -50,9 +50,11 @@ def standardizer(in_col: str, out_col: str = "scaled", with_mean: bool = True,
 
 def categorical_pipeline(cols: Sequence[str], out_col: str = "features", drop_last: bool = False,
                          handle_invalid: str = "error") -> Pipeline:
-    """E1 + E2 + E3: index, one-hot and assemble categorical columns."""
-    return Pipeline(stages=[string_indexer(cols, handle_invalid),
-                            one_hot_encoder(cols, drop_last, "keep" if handle_invalid == "keep" else "error"),
+    """E1 + E2 + E3: index, one-hot and assemble categorical columns.
+
+    ``keep`` adds one slot per column for unseen values: the indexer's index
+    for them, which the encoder treats as a level like any other."""
+    return Pipeline(stages=[string_indexer(cols, handle_invalid), one_hot_encoder(cols, drop_last),
                             assembler([vec_suffix(c) for c in cols], out_col)])
 
 

@@ -43,20 +43,11 @@ def dense_grid(counts: DataFrame, group_cols, x_col: str, x_values: range, y_col
 
 def fold_summary(metrics: DataFrame, group_cols, fold_col: str, value_col: str,
                  folds: Sequence[int], prefix: str | None = None) -> DataFrame:
-    """One row per group with one column per fold, the mean and the population std.
-
-    The fold values are given, so the pivot needs no extra job to find them.
-    """
-    group_cols = _as_list(group_cols)
+    """One row per group with one column per fold, the mean and the population std, in one aggregate."""
     prefix = prefix or value_col
-    wide = (metrics.groupBy(*group_cols)
-                   .pivot(fold_col, list(folds))
-                   .agg(F.first(value_col)))
-    for f in folds:
-        wide = wide.withColumnRenamed(str(f), f"{prefix}_fold{f}")
-    stats = metrics.groupBy(*group_cols).agg(F.avg(value_col).alias(f"{prefix}_mean"),
-                                             F.stddev_pop(value_col).alias(f"{prefix}_std"))
-    return wide.join(stats, group_cols, "inner")
+    return metrics.groupBy(*_as_list(group_cols)).agg(
+        *[F.max(F.when(F.col(fold_col) == f, F.col(value_col))).alias(f"{prefix}_fold{f}") for f in folds],
+        F.avg(value_col).alias(f"{prefix}_mean"), F.stddev_pop(value_col).alias(f"{prefix}_std"))
 
 
 def metric_matrix(metrics: DataFrame, row_param: str, col_param: str, value_col: str,

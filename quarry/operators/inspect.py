@@ -14,7 +14,7 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
     return df.limit(n)
 
 
-def collect_small(df: DataFrame, max_rows: int = 10_000) -> list[Row]:
+def collect_small(df: DataFrame, max_rows: int) -> list[Row]:
     """Collect a result that is small by construction.
 
     Fetches at most ``max_rows + 1`` rows and raises if there are more, so an

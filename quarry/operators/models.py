@@ -30,6 +30,8 @@ ALS_CONFIGS = [
     {"maxIter": 20, "rank": 50, "regParam": 0.001},
 ]
 KMEANS_K = 19
+#: User and item blocks of ALS; raise it with the data, not with the cluster.
+ALS_BLOCKS = 10
 
 
 def poisson_glm(features_col: str, label_col: str, reg_param: float = 0.0,
@@ -70,19 +72,14 @@ def mlp(features_col: str, label_col: str, layers: Sequence[int] | None = None,
 
 
 def als(user_col: str = "userId", item_col: str = "movieId", rating_col: str = "rating",
-        seed: int = SEED, checkpoint_interval: int = 10, blocks: int | None = None, **params) -> ALS:
+        seed: int = SEED, checkpoint_interval: int = 10, blocks: int = ALS_BLOCKS, **params) -> ALS:
     """Explicit ALS; cold-start rows are dropped from predictions.
 
     ``checkpointInterval`` cuts the lineage of the factor RDDs every few
-    iterations (the session's shared checkpoint folder must be set). MLlib's
-    default of 10 user / item blocks would run every stage as 10 tasks on
-    any cluster, so the blocks follow the cluster's default parallelism
-    unless ``blocks`` is given.
+    iterations if the deployment names a checkpoint folder. MLlib draws the
+    start factors per block, so ``blocks`` (users and items) is part of the
+    answer: it is a parameter and never follows the cluster.
     """
-    if blocks is None:
-        from pyspark import SparkContext
-        sc = SparkContext._active_spark_context
-        blocks = max(10, sc.defaultParallelism) if sc is not None else 10
     params.setdefault("numUserBlocks", blocks)
     params.setdefault("numItemBlocks", blocks)
     return ALS(userCol=user_col, itemCol=item_col, ratingCol=rating_col, coldStartStrategy="drop",
@@ -105,8 +102,3 @@ def cluster(df: DataFrame, k: int = KMEANS_K, seed: int = SEED, features_col: st
     """L9 + L10: fit k-means and return ``(id, cluster)``."""
     model = kmeans(k, seed, features_col).fit(df)
     return model.transform(df).select(id_col, "cluster")
-
-
-def score(model, df: DataFrame) -> DataFrame:
-    """Batch scoring (a narrow projection over ``df``)."""
-    return model.transform(df)

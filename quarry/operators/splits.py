@@ -34,17 +34,17 @@ def sample_by(df: DataFrame, label_col: str, fractions: dict | float, seed: int
               labels: Sequence | None = None) -> DataFrame:
     """D1 (Spark): stratified Bernoulli sample with a fraction per class.
 
-    With a single float, ``labels`` lists the classes (no job is run to find
-    them); each gets the same fraction.
+    With a single float every class gets it; ``labels`` lists the classes,
+    which are else read from the data (a class that ``sampleBy`` isn't told
+    would vanish).
     """
     if not isinstance(fractions, dict):
-        if labels is None:
-            raise ValueError("pass labels with a scalar fraction")
+        labels = class_labels(df, label_col) if labels is None else labels
         fractions = {lab: float(fractions) for lab in labels}
     return df.sampleBy(label_col, fractions, seed)
 
 
-def subtract_split(df: DataFrame, label_col: str, train_fraction: float, labels: Sequence,
+def subtract_split(df: DataFrame, label_col: str, train_fraction: float, labels: Sequence | None = None,
                    seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """D2 + X2 (Spark): ``train = sampleBy``, ``test = df.subtract(train)`` (EXCEPT DISTINCT)."""
     train = sample_by(df, label_col, train_fraction, seed, labels)
@@ -56,15 +56,33 @@ def bucket_col(id_cols, buckets: int = PERCENT_BUCKETS, salt: str | None = SPLIT
     return hash_bucket(*ids, buckets=buckets, salt=salt)
 
 
-def hash_sample(df: DataFrame, id_cols, fraction: float, salt: str | None = SAMPLE_SALT) -> DataFrame:
+def hash_sample(df: DataFrame, id_cols, fraction: float | dict, salt: str | None = SAMPLE_SALT,
+                label_col: str | None = None) -> DataFrame:
     """D1 (deterministic): keep rows whose key hashes below ``fraction``.
 
+    A dict gives a fraction per class of ``label_col``; a class that it
+    doesn't name is an error at run time, never dropped.
+
     Every row is an independent draw, so each class keeps the same expected
     fraction (stratified by construction). Nested: a smaller fraction selects
     a subset of a larger one.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    return df.filter(unit_interval(*ids, salt=salt) < F.lit(float(fraction)))
+    limit = F.lit(fraction) if not isinstance(fraction, dict) else _class_fraction(fraction, label_col)
+    return df.filter(unit_interval(*ids, salt=salt) < limit.cast("double"))
+
+
+def _class_fraction(fractions: dict, label_col: str) -> Column:
+    label = F.col(label_col)
+    out = F.when(label.isNull(), F.lit(0.0))
+    for value, fraction in fractions.items():
+        out = out.when(label == F.lit(value), F.lit(float(fraction)))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no fraction for class "), label.cast("string"))).cast("double"))
+
+
+def class_labels(df: DataFrame, label_col: str) -> list:
+    """The classes present (A5): one short row per class reaches the driver."""
+    return sorted(r[0] for r in df.select(label_col).where(F.col(label_col).isNotNull()).distinct().collect())
 
 
 def hash_split(df: DataFrame, id_cols, train_fraction: float = 0.8,

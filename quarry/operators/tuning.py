@@ -52,7 +52,11 @@ def cross_validate(estimator, param_maps: list, evaluator, data: DataFrame, fold
 def _param_value(v):
     if isinstance(v, (list, tuple)):
         return str(list(v))
-    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return v if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+
+def _sql_type(v) -> str:
+    return "double" if isinstance(v, float) else "bigint" if isinstance(v, int) else "string"
 
 
 def validation_curve(spark: SparkSession, cv_model: CrossValidatorModel, param_maps: list) -> DataFrame:
@@ -68,7 +72,7 @@ def validation_curve(spark: SparkSession, cv_model: CrossValidatorModel, param_m
     types = []
     for n in names:
         sample = rows[0][1 + names.index(n)]
-        types.append(f"`{n}` {'double' if isinstance(sample, float) else 'string'}")
+        types.append(f"`{n}` {_sql_type(sample)}")
     schema = ", ".join(["grid_index int", *types, "mean_metric double", "std_metric double"])
     return spark.createDataFrame(rows, schema)
 
@@ -84,7 +88,7 @@ def best_params(spark: SparkSession, cv_model: CrossValidatorModel, names: Seque
     best = cv_model.bestModel
     stage = best.stages[-1] if hasattr(best, "stages") else best
     vals = {n: _param_value(stage.getOrDefault(stage.getParam(n))) for n in names}
-    schema = ", ".join(f"`{n}` {'double' if isinstance(v, float) else 'string'}" for n, v in vals.items())
+    schema = ", ".join(f"`{n}` {_sql_type(v)}" for n, v in vals.items())
     return spark.createDataFrame([tuple(vals[n] for n in names)], schema)
 
 

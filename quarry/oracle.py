@@ -29,6 +29,7 @@ log_lines AS (
   FROM events
 )"""
 
+# The field patterns of a log line, as in functions.logparse.
 PARSED = LOG_LINES + r""",
 parsed0 AS (
   SELECT regexp_extract(value, '^(.*) - -.*', 1) AS host,
@@ -72,6 +73,9 @@ def weblog_sql() -> dict[str, str]:
         "log_parse": f"WITH {PARSED} SELECT host, \"timestamp\", request, reply_code, reply_bytes, day, hour FROM parsed",
         "class_counts": f"WITH {ORGS} SELECT country_code, count FROM class_totals",
         "stream_class_counts": f"WITH {ORGS} SELECT country_code, count FROM class_totals",
+        "class_counts_edu": f"""WITH {ORGS}, k AS (SELECT unnest(['US', 'UK', 'AUS']) AS country_code)
+            SELECT country_code, count(host)::BIGINT AS count FROM k
+            LEFT JOIN (SELECT * FROM orgs WHERE country_code = 'US') USING (country_code) GROUP BY 1""",
         "org_distinct": f"WITH {ORGS} SELECT country_code, count(DISTINCT institution) AS n_institutions "
                         f"FROM orgs GROUP BY 1",
         "org_topn": f"WITH {ORGS} SELECT country_code, institution, count, rank FROM org_ranked WHERE rank <= 9",
@@ -114,6 +118,7 @@ def all_sql() -> dict[str, str]:
     out.update(weblog_sql())
     out.update(analytics_sql())
     out.update(ml_plumbing_sql())
+    out.update(model_sql())
     return out
 
 
@@ -152,9 +157,8 @@ fm AS (SELECT grid_index, model, fold, count(*) AS n,
        FROM preds GROUP BY ALL)"""
 
 EMB_SCORES = """
-sc AS (SELECT (label >= 5)::INTEGER AS y, 'e0' AS model, embedding[1]::DOUBLE AS score FROM embeddings
-       UNION ALL SELECT (label >= 5)::INTEGER, 'e1', embedding[2]::DOUBLE FROM embeddings
-       UNION ALL SELECT (label >= 5)::INTEGER, 'e2', embedding[3]::DOUBLE FROM embeddings)"""
+ix AS (SELECT (label >= 5)::INTEGER AS y, embedding, unnest(range(0, len(embedding))) AS k FROM embeddings),
+sc AS (SELECT y, 'e' || k::VARCHAR AS model, embedding[k + 1]::DOUBLE AS score FROM ix)"""
 
 PROFILE = """
 rel AS (SELECT l_partkey::INTEGER AS movieId, (l_suppkey % 25)::INTEGER AS tagId, round(avg(l_discount), 6)::DECIMAL(10,6) AS relevance
@@ -235,6 +239,78 @@ def analytics_sql() -> dict[str, str]:
     }
 
 
+FOLD_SALT_SQL = "#31891-cv"
+BRANDS = """
+enc AS (SELECT p_brand, l_quantity::DOUBLE AS q, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS y, l_orderkey, l_linenumber
+        FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def model_sql() -> dict[str, str]:
+    """Models whose answers have a closed form."""
+    fold = f"(('0x' || substr(md5(l_orderkey::VARCHAR || '#' || l_linenumber::VARCHAR || '{FOLD_SALT_SQL}'), 1, 7))::BIGINT % 3)"
+    return {
+        "strat_sample": f"""WITH c AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i
+                                      FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))
+            SELECT event_type, count(*) AS count FROM events JOIN c USING (event_type)
+            WHERE {_u('event_id', salt=SAMPLE_SALT)} < 0.1::DOUBLE * i GROUP BY 1""",
+        "wide_sample_share": f"""WITH train AS (SELECT {_u('vec_id', salt=SAMPLE_SALT)} AS u FROM embeddings
+                                               WHERE {_u('vec_id')} < 0.8)
+            SELECT count(*) AS n_all, count(*) FILTER (WHERE u < 0.5) AS n_sample,
+                   round(100.0::DOUBLE * count(*) FILTER (WHERE u < 0.5) / count(*), 6) AS percent FROM train""",
+        "poisson_means": f"WITH {BRANDS} SELECT p_brand, round(avg(q), 4) AS prediction FROM enc GROUP BY 1",
+        "logistic_shares": f"WITH {BRANDS} SELECT p_brand, round(avg(y::DOUBLE), 4) AS probability FROM enc GROUP BY 1",
+        "poisson_fold_metrics": f"""WITH {BRANDS}, f AS (SELECT *, {fold} AS fold FROM enc),
+            k AS (SELECT unnest([0, 1, 2]) AS held),
+            m AS (SELECT held, p_brand, avg(q) AS m FROM f JOIN k ON fold <> held GROUP BY ALL),
+            e AS (SELECT held, sqrt(avg((q - m) * (q - m))) AS rmse
+                  FROM f JOIN m ON f.fold = m.held AND f.p_brand = m.p_brand GROUP BY 1)
+            SELECT 0::INTEGER AS grid_index, 0.0::DOUBLE AS regParam, round(avg(rmse), 4) AS mean_metric,
+                   round(stddev_pop(rmse), 4) AS std_metric FROM e""",
+        "tree_shares": """SELECT (l_returnflag = 'N')::INTEGER::DOUBLE AS flag,
+                   round(avg((l_linestatus <> 'F')::INTEGER::DOUBLE), 5) AS probability FROM lineitem GROUP BY 1""",
+        "boosted_signs": """SELECT (l_returnflag = 'N')::INTEGER::DOUBLE AS flag,
+                   CASE WHEN avg((l_linestatus <> 'F')::INTEGER::DOUBLE) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
+            FROM lineitem GROUP BY 1""",
+        "cluster_planted": """SELECT (p_size % 2)::INTEGER AS planted, count(*) AS count, 1::BIGINT AS n_clusters
+            FROM part GROUP BY 1""",
+        "als_dot_products": """SELECT count(*) AS n, 0::BIGINT AS mismatches FROM (
+            SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+        "fold_matrix": f"""WITH {LI_PRED} SELECT model, """ + ", ".join(
+            f"round(max(rmse) FILTER (WHERE fold = {f}), 6) AS fold_{f}" for f in range(4)) + " FROM fm GROUP BY 1",
+        "evaluator_table": f"""WITH {LI_PRED},
+            x AS (SELECT model, sqrt(avg((prediction - l_quantity) * (prediction - l_quantity))) AS rmse,
+                         avg(abs(prediction - l_quantity)) AS mae FROM preds GROUP BY 1)
+            SELECT model, 'rmse' AS metric, round(rmse, 6)::DOUBLE AS value FROM x
+            UNION ALL SELECT model, 'mae', round(mae, 6)::DOUBLE FROM x""",
+        "scaling_report_counts": f"""WITH t AS (SELECT {_u('vec_id', salt=SAMPLE_SALT)} AS u FROM embeddings
+                                                WHERE {_u('vec_id')} < 0.8),
+            x AS (SELECT u, unnest([0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS f FROM t),
+            s AS (SELECT f, count(*) FILTER (WHERE u < f) AS n FROM x GROUP BY 1),
+            m AS (SELECT *, unnest([0, 1, 2]) AS i FROM s)
+            SELECT f * 100.0::DOUBLE AS sample_size_percent, n AS sample_count, ['rf', 'gbt', 'mlp'][i + 1] AS model,
+                   n::DOUBLE * (3 * i + 1) AS accuracy, n::DOUBLE * (3 * i + 2) AS auc, n::DOUBLE * (3 * i + 3) AS seconds,
+                   round(1.0::DOUBLE / (3 * i + 3), 6) AS rows_per_second FROM m""",
+        "fold_cluster_tags": FOLD_PROFILE + " SELECT fold, cluster, rank, tagId, tag, avg_relevance, n_items FROM prof",
+    }
+
+
+FOLD_PROFILE = """WITH
+rel AS (SELECT l_partkey::INTEGER AS movieId, (l_suppkey % 25)::INTEGER AS tagId,
+               round(avg(l_discount), 6)::DECIMAL(10,6) AS relevance FROM lineitem GROUP BY ALL),
+p AS (SELECT p_partkey::INTEGER AS id, p_size, unnest([0, 1, 2, 3])::INTEGER AS fold FROM part),
+cl AS (SELECT fold, id, ((p_size + fold) % 19)::INTEGER AS cluster FROM p),
+sizes AS (SELECT fold, cluster, count(*) AS count FROM cl GROUP BY ALL),
+topc AS (SELECT fold, cluster FROM sizes
+         QUALIFY row_number() OVER (PARTITION BY fold ORDER BY count DESC, cluster) <= 3),
+ct0 AS (SELECT cl.fold, cl.cluster, rel.tagId, sum((rel.relevance * 1000000)::BIGINT)::HUGEINT AS micros,
+               count(*)::HUGEINT AS n, count(*) FILTER (WHERE rel.relevance > 0.05) AS n_items
+        FROM cl JOIN topc USING (fold, cluster) JOIN rel ON cl.id = rel.movieId GROUP BY ALL),
+ct AS (SELECT *, (2 * micros * 10000 + n) // (2 * n) AS avg_e10 FROM ct0),
+r AS (SELECT *, ((2 * avg_e10 + 10000) // 20000)::DOUBLE / 1000000.0 AS avg_relevance,
+             row_number() OVER (PARTITION BY fold, cluster ORDER BY avg_e10 DESC, tagId)::INTEGER AS rank FROM ct),
+prof AS (SELECT r.*, n.n_name AS tag FROM r JOIN nation n ON n.n_nationkey = r.tagId WHERE rank <= 3)"""
+
+
 def ml_plumbing_sql() -> dict[str, str]:
     """Deterministic parts of the ML analyses: sample sizes and scored-row counts."""
     wide_train = f"""wb AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label,

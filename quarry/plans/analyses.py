@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import tuning as G
 from quarry.operators.splits import hash_split
 from quarry.plans import recommend, scaling, tabular, weblog, wide
+from quarry.session import settled
 from quarry.sources import datasets
+from quarry.sources.tables import split_features_label
 
 ROW_KEY = "_row_key"
 
@@ -55,40 +56,41 @@ def _with_key(df: DataFrame) -> DataFrame:
 
 
 def wide_tuning(spark: SparkSession, train_path: str, test_path: str, fraction: float = 0.01,
-                grids: dict | None = None, n_features: int = 128, parallelism: int = 4) -> dict[str, DataFrame]:
-    """Q3A: 1 % sample of the training file, RF / GBT / MLP grid search, test report."""
-    train = _with_key(datasets.challenge_response(spark, train_path, n_features))
-    test = datasets.challenge_response(spark, test_path, n_features).persist(StorageLevel.MEMORY_AND_DISK)
-    feats = [f"_c{i}" for i in range(n_features)]
-    return wide.tune_wide(train, test, feats, f"_c{n_features}", fraction, id_col=ROW_KEY, grids=grids,
-                          parallelism=parallelism)
+                grids: dict | None = None, n_features: int | None = None, parallelism: int = 4) -> dict[str, DataFrame]:
+    """Q3A: 1 % sample of the training file, RF / GBT / MLP grid search, test report.
+
+    The width comes from the files (a given ``n_features`` must agree)."""
+    train, test, feats, label = _challenge(spark, train_path, test_path, n_features)
+    return wide.tune_wide(train, test, feats, label, fraction, id_col=ROW_KEY, grids=grids, parallelism=parallelism)
+
+
+def _challenge(spark: SparkSession, train_path: str, test_path: str, n_features: int | None):
+    """Training (with a row key) and test rows, the feature columns and the label column."""
+    train = datasets.challenge_response(spark, train_path, n_features)
+    feats, label = split_features_label(train.columns)
+    return _with_key(train), datasets.challenge_response(spark, test_path, len(feats)), feats, label
 
 
 def sample_size_scaling(spark: SparkSession, train_path: str, test_path: str,
                         fractions: Sequence[float] = scaling.SAMPLE_SIZES, results_path: str | None = None,
-                        n_features: int = 128) -> tuple[DataFrame, DataFrame]:
+                        n_features: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Q3B: fixed-parameter RF / GBT / MLP at several nested sample sizes."""
-    train = _with_key(datasets.challenge_response(spark, train_path, n_features))
-    test = datasets.challenge_response(spark, test_path, n_features)
-    feats = [f"_c{i}" for i in range(n_features)]
-    return scaling.scaling_study(train, test, feats, f"_c{n_features}", ROW_KEY, fractions,
-                                 results_path=results_path)
+    train, test, feats, label = _challenge(spark, train_path, test_path, n_features)
+    return scaling.scaling_study(train, test, feats, label, ROW_KEY, fractions, results_path=results_path)
 
 
 def recommender(spark: SparkSession, ratings_path: str, scores_path: str, tags_path: str, k: int = 4,
                 n_clusters_k: int = 19, top_clusters: int = 3, top_tags: int = 3,
                 threshold: float = 0.5) -> dict:
     """Q4: ALS 3 configs x k folds (RMSE / MAE table), then per fold k-means on
-    the default model's item factors and the tag profile of the largest clusters."""
+    the default model's item factors and the tag profile of the largest clusters
+    (``top_clusters`` and ``profile`` have a fold column)."""
     ratings = datasets.ratings(spark, ratings_path)
     metrics, factors = recommend.als_cv(ratings, k=k, keep_item_factors=0)
     scores = datasets.genome_scores(spark, scores_path)
     tags = datasets.genome_tags(spark, tags_path)
-    per_fold = {}
-    for fold, f in factors.items():
-        clustered = recommend.factor_clusters(f, n_clusters_k)
-        per_fold[fold] = {
-            "top_clusters": recommend.top_clusters(clustered, top_clusters),
-            "profile": recommend.cluster_profile(clustered, scores, tags, top_clusters, top_tags, threshold),
-        }
-    return {"metrics": metrics, "summary": recommend.als_summary(metrics, k), "folds": per_fold}
+    clustered = settled(recommend.fold_clusters(factors, n_clusters_k))
+    return {"metrics": metrics, "summary": recommend.als_summary(metrics, k),
+            "top_clusters": recommend.top_clusters(clustered, top_clusters, by=["fold"]),
+            "profile": recommend.cluster_profile(clustered, scores, tags, top_clusters, top_tags, threshold,
+                                                 by=["fold"])}

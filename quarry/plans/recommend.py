@@ -1,7 +1,7 @@
 """Recommender cross-validation and cluster profiles.
 
-* ``als_cv`` — ALS configurations x k deterministic folds; the predictions of
-  every (configuration, fold) are scored in one grouped aggregate.
+* ``als_cv`` — ALS configurations x k deterministic folds; each model is
+  scored as it is fitted and let go.
 * ``top_clusters`` / ``cluster_profile`` — the largest clusters and, for each,
   the top tags by mean relevance with the number of items above a relevance
   threshold. One join of cluster members to relevance scores serves both
@@ -11,19 +11,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import models as M
-from quarry.operators.grids import fold_summary
-from quarry.operators.joins import join_small
+from quarry.operators.joins import join_bounded
 from quarry.operators.metrics import regression_metrics, valid_predictions
 from quarry.operators.ranking import top_n_per_group
 from quarry.operators.splits import fold_split, with_fold
 from quarry.operators.tuning import run_concurrently
-from quarry.session import checkpoint_dir
+from quarry.session import settled
 
 
 def cluster_sizes(clustered: DataFrame, cluster_col: str = "cluster") -> DataFrame:
@@ -31,82 +30,83 @@ def cluster_sizes(clustered: DataFrame, cluster_col: str = "cluster") -> DataFra
     return clustered.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_clusters(clustered: DataFrame, n: int = 3, cluster_col: str = "cluster") -> DataFrame:
-    """The ``n`` largest clusters (ties by cluster id)."""
-    sizes = cluster_sizes(clustered, cluster_col)
-    return sizes.orderBy(F.col("count").desc(), F.col(cluster_col).asc()).limit(n)
+def top_clusters(clustered: DataFrame, n: int = 3, cluster_col: str = "cluster", by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` largest clusters (ties by cluster id), per value of the columns ``by``."""
+    if not by:
+        sizes = cluster_sizes(clustered, cluster_col)
+        return sizes.orderBy(F.col("count").desc(), F.col(cluster_col).asc()).limit(n)
+    sizes = clustered.groupBy(*by, cluster_col).agg(F.count(F.lit(1)).alias("count"))
+    return top_n_per_group(sizes, list(by), "count", n, tie_cols=[cluster_col]).drop("rank")
 
 
 def cluster_profile(clustered: DataFrame, relevance: DataFrame, tags: DataFrame, n_clusters: int = 3,
                     n_tags: int = 3, threshold: float = 0.5, id_col: str = "id",
-                    item_col: str = "movieId") -> DataFrame:
+                    item_col: str = "movieId", by: Sequence[str] = ()) -> DataFrame:
     """C11 + C12: for each of the ``n_clusters`` largest clusters, its ``n_tags`` tags by mean
     relevance (J1, A6, T1, J2) and how many of its items have relevance above
     ``threshold`` for that tag (P11, J3).
 
-    Output ``(cluster, rank, tagId, tag, avg_relevance, n_items)``, sorted last.
+    With ``by`` (a fold column) every assignment of a union is profiled in the
+    same plan, with one read of ``relevance``. Output ``(*by, cluster, rank,
+    tagId, tag, avg_relevance, n_items)``, sorted last.
     """
-    top = top_clusters(clustered, n_clusters).select("cluster")
-    members = join_small(clustered.select(F.col(id_col).alias(item_col), "cluster"), top,
-                         on="cluster", how="left_semi", known_max_rows=n_clusters)
+    keys = [*by, "cluster"]
+    top = top_clusters(clustered, n_clusters, by=by).select(*keys)
+    members = join_bounded(clustered.select(*by, F.col(id_col).alias(item_col), "cluster"), top, on=keys,
+                           how="left_semi")
     scored = members.join(relevance, item_col, "inner")
-    per_tag = scored.groupBy("cluster", "tagId").agg(
+    per_tag = scored.groupBy(*keys, "tagId").agg(
         F.avg("relevance").alias("avg_relevance"),
         F.count_if(F.col("relevance") > F.lit(threshold)).alias("n_items"))
-    ranked = top_n_per_group(per_tag, "cluster", "avg_relevance", n_tags, tie_cols=["tagId"])
-    named = join_small(ranked, tags, on="tagId", how="inner")
-    return (named.select("cluster", "rank", "tagId", "tag", "avg_relevance", "n_items")
-                 .orderBy("cluster", "rank"))
+    ranked = top_n_per_group(per_tag, keys, "avg_relevance", n_tags, tie_cols=["tagId"])
+    named = join_bounded(tags, ranked, on="tagId")  # a few rows per cluster, whatever the tags
+    return named.select(*keys, "rank", "tagId", "tag", "avg_relevance", "n_items").orderBy(*keys, "rank")
 
 
 def als_cv(ratings: DataFrame, configs: Sequence[dict] = M.ALS_CONFIGS, k: int = 4,
            id_cols: Sequence[str] = ("userId", "movieId"), rating_col: str = "rating",
-           keep_item_factors: int | None = None, parallelism: int = 4):
+           keep_item_factors: int | None = None, parallelism: int = 2):
     """RMSE and MAE of each ALS configuration on each of ``k`` folds.
 
     Returns ``(metrics, item_factors)``: ``metrics`` is the long table
     ``(model, fold, n, rmse, mae)``; ``item_factors`` maps fold -> item
     factors of configuration ``keep_item_factors`` (for clustering, so the
     same model is not fitted twice). The configs x folds fits are independent
-    and run ``parallelism`` at a time as concurrent jobs.
+    and run ``parallelism`` at a time; each model is scored as soon as it is
+    fitted and then let go.
     """
-    checkpoint_dir(ratings.sparkSession)  # ALS lineage and the metric table go to the shared folder
-    # every fit reads the folded ratings: written once to the shared folder (a lost
-    # executor never re-runs the joins behind them), then cached for the fits
-    folded = with_fold(ratings, list(id_cols), k).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = ratings.sparkSession
+    folded = settled(with_fold(ratings, list(id_cols), k))  # read by every fit
     jobs = [(fold, i, cfg) for fold in range(k) for i, cfg in enumerate(configs)]
 
-    def fit(fold, i, cfg):
-        train, _ = fold_split(folded, fold)
-        return M.als(rating_col=rating_col, **cfg).fit(train)
-
-    fitted = run_concurrently([lambda j=j: fit(*j) for j in jobs], parallelism)
-    scored, factors = [], {}
-    for (fold, i, _), model in zip(jobs, fitted):
-        _, test = fold_split(folded, fold)
+    def fit_and_score(fold, i, cfg):
+        train, test = fold_split(folded, fold)
+        model = M.als(rating_col=rating_col, **cfg).fit(train)
         pred = valid_predictions(model.transform(test))
-        scored.append(pred.select(F.lit(i + 1).alias("model"), F.lit(fold).alias("fold"),
-                                  rating_col, "prediction"))
-        if keep_item_factors is not None and i == keep_item_factors:
-            factors[fold] = M.item_factors(model)
-    allpred = scored[0]
-    for s in scored[1:]:
-        allpred = allpred.unionByName(s)
-    # configs x folds rows: materialised once in the shared checkpoint folder,
-    # which also cuts the lineage of every fitted model behind it
-    metrics = regression_metrics(allpred, rating_col, "prediction", ["model", "fold"]).checkpoint(eager=True)
+        row = regression_metrics(pred, rating_col, "prediction").first()
+        kept = settled(M.item_factors(model)) if i == keep_item_factors else None
+        return (i + 1, fold, row["n"], row["rmse"], row["mae"]), kept
+
+    done = run_concurrently([lambda j=j: fit_and_score(*j) for j in jobs], parallelism)
+    metrics = spark.createDataFrame([row for row, _ in done], "model int, fold int, n bigint, rmse double, mae double")
     folded.unpersist()
-    return metrics, factors
+    return metrics, {row[1]: kept for row, kept in done if kept is not None}
 
 
 def als_summary(metrics: DataFrame, k: int = 4) -> DataFrame:
-    """Per model, the per-fold RMSE / MAE, their means and population stds."""
-    folds = list(range(k))
-    rmse = fold_summary(metrics, "model", "fold", "rmse", folds)
-    mae = fold_summary(metrics, "model", "fold", "mae", folds)
-    return rmse.join(mae, "model", "inner")
+    """Per model, the per-fold RMSE / MAE, their means and population stds, in one aggregate."""
+    return metrics.groupBy("model").agg(*[x for c in ("rmse", "mae") for x in (
+        *[F.max(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}_fold{f}") for f in range(k)],
+        F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
 
 
 def factor_clusters(item_factors: DataFrame, k: int = M.KMEANS_K, seed: int = M.SEED) -> DataFrame:
     """L8 + L9: k-means over ALS item factors -> ``(id, cluster)``."""
     return M.cluster(item_factors, k, seed, features_col="features", id_col="id")
+
+
+def fold_clusters(item_factors: dict[int, DataFrame], k: int = M.KMEANS_K, seed: int = M.SEED) -> DataFrame:
+    """L8 + L9 on every fold's factors: ``(fold, id, cluster)``."""
+    parts = [factor_clusters(f, k, seed).select(F.lit(fold).alias("fold"), "id", "cluster")
+             for fold, f in sorted(item_factors.items())]
+    return reduce(DataFrame.unionByName, parts)

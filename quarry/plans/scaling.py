@@ -69,7 +69,11 @@ def wide_results(long: DataFrame, families: Sequence[str] = FAMILIES) -> DataFra
 def scaling_report(spark: SparkSession, results_path: str, families: Sequence[str] = FAMILIES) -> DataFrame:
     """Results sorted by size in long form ``(sample_size_percent,
     sample_count, model, accuracy, auc, seconds, rows_per_second)``."""
-    wide = read_results(spark, results_path)
+    return report_of(read_results(spark, results_path), families)
+
+
+def report_of(wide: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame:
+    """The report from results read by ``read_results``."""
     stack = ", ".join(f"'{m}', `{m}_accuracy`, `{m}_auc`, `{m}_time`" for m in families)
     long = wide.selectExpr("sample_size_percent", "sample_count",
                            f"stack({len(families)}, {stack}) AS (model, accuracy, auc, seconds)")

@@ -22,7 +22,7 @@ from quarry.operators import tuning as G
 from quarry.operators.aggregates import class_distribution
 from quarry.operators.metrics import accuracy, accuracy_evaluator, regression_metrics, rmse_evaluator
 from quarry.operators.splits import FOLD_SALT, SEED, hash_split, with_fold
-from quarry.session import checkpoint_dir
+from quarry.session import small_answer
 
 
 def prepare_binary_label(df: DataFrame, text_col: str, negative_value, out_col: str) -> DataFrame:
@@ -38,22 +38,17 @@ def split_encounters(df: DataFrame, id_cols: Sequence[str], train_fraction: floa
 def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_label: str,
               binary_label: str, reg_params: Sequence[float] = G.REG_PARAMS,
               en_params: Sequence[float] = G.ELASTIC_NET_PARAMS, folds: int = G.CV_FOLDS,
-              parallelism: int = 4, seed: int = SEED, handle_invalid: str = "keep",
+              parallelism: int = 4, seed: int = SEED, handle_invalid: str = "error",
               id_cols: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """C5. ``handle_invalid="keep"`` maps categories unseen in training to an
-    extra slot instead of failing at scoring time. With ``id_cols`` the CV
+    """C5. A category unseen in training fails at scoring time;
+    ``handle_invalid="keep"`` maps it to one extra slot instead. With ``id_cols`` the CV
     folds are hash buckets of the row key (the same on any partitioning);
     without, CrossValidator draws them from ``seed``."""
     spark = train.sparkSession
-    # the parts are read by the split statistics, the encoder fit and both
-    # transforms: cache them once instead of re-running what built them
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    inputs = [train, test]
     # A5: class counts of both parts, in one aggregate over their union
-    split_dist = class_distribution(
-        train.select(F.lit("train").alias("split"), binary_label)
-             .unionByName(test.select(F.lit("test").alias("split"), binary_label)), binary_label, "split")
+    split_dist = small_answer(split_counts(train, test, binary_label))
+    train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
+    inputs = [train, test]
     fold_col = None
     if id_cols:
         fold_col = "cv_fold"
@@ -64,15 +59,20 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     tr = tr.select(*keep, *([fold_col] if fold_col else [])).persist(StorageLevel.MEMORY_AND_DISK)
     te = te.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     tr.count(), te.count()  # fill the caches once, before concurrent searches read them
+    for df in inputs:  # the searches read the encoded parts only
+        df.unpersist()
 
     families = {
         "poisson": (M.poisson_glm("features", count_label), {"regParam": reg_params},
                     rmse_evaluator(count_label), False),
-        "logistic_l2": (M.logistic("features", binary_label, elastic_net=0.0), {"regParam": reg_params},
-                        accuracy_evaluator(binary_label), True),
         "logistic_en": (M.logistic("features", binary_label), {"regParam": reg_params, "elasticNetParam": en_params},
                         accuracy_evaluator(binary_label), True),
     }
+    shared_l2 = 0.0 in [float(e) for e in en_params]
+    if not shared_l2:
+        families["logistic_l2"] = (M.logistic("features", binary_label, elastic_net=0.0), {"regParam": reg_params},
+                                   accuracy_evaluator(binary_label), True)
+    columns = ["grid_index", "regParam", "elasticNetParam", "mean_metric", "std_metric"]
 
     def tune(name, est, grid_spec, evaluator, larger):
         grid = G.param_grid(est, grid_spec)
@@ -80,17 +80,24 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
         curve = G.validation_curve(spark, cvm, grid)
         if "elasticNetParam" not in curve.columns:
             curve = curve.withColumn("elasticNetParam", F.lit(None).cast("double"))
-        curve = curve.select(F.lit(name).alias("model"), "grid_index", "regParam", "elasticNetParam",
-                             "mean_metric", "std_metric")
-        best = G.best_point(curve.drop("model"), larger).withColumn("model", F.lit(name))
-        return curve, best, cvm.bestModel.transform(te)
-
-    # the three families are independent grid searches: run them as concurrent jobs
-    results = G.run_concurrently([lambda n=n, f=f: tune(n, *f) for n, f in families.items()], len(families))
-    curves = [r[0] for r in results]
-    bests = [r[1] for r in results]
-    scored = {n: r[2] for n, r in zip(families, results)}
-    curve_all = curves[0].unionByName(curves[1]).unionByName(curves[2])
+        return curve.select(F.lit(name).alias("model"), *columns), cvm.bestModel.transform(te)
+
+    results = dict(zip(families, G.run_concurrently([lambda n=n, f=f: tune(n, *f) for n, f in families.items()], 2)))
+    if shared_l2:
+        # L2 is the elastic net at mixing 0 on the same folds: its points are fitted already
+        points = (results["logistic_en"][0].where(F.col("elasticNetParam") == 0.0)
+                  .orderBy("grid_index").collect())
+        l2 = spark.createDataFrame([("logistic_l2", i, p["regParam"], None, p["mean_metric"], p["std_metric"])
+                                    for i, p in enumerate(points)],
+                                   "model string, grid_index int, regParam double, elasticNetParam double, "
+                                   "mean_metric double, std_metric double")
+        best = max(points, key=lambda p: (p["mean_metric"], -p["grid_index"]))
+        model = M.logistic("features", binary_label, reg_param=best["regParam"]).fit(tr)
+        results["logistic_l2"] = (l2, model.transform(te))
+    scored = {n: r[1] for n, r in results.items()}
+    curve_all = results["poisson"][0].unionByName(results["logistic_l2"][0]).unionByName(results["logistic_en"][0])
+    bests = [G.best_point(results[n][0].drop("model"), n != "poisson").withColumn("model", F.lit(n))
+             for n in ("poisson", "logistic_l2", "logistic_en")]
     best_all = bests[0].unionByName(bests[1]).unionByName(bests[2])
     en_curve = curve_all.filter(F.col("model") == "logistic_en")
     matrix = G.curve_matrix(en_curve, "regParam", "elasticNetParam", en_params)
@@ -101,12 +108,16 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
         F.lit(m).alias("model"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
         for m in ("logistic_l2", "logistic_en")]
     report = pois.unionByName(accs[0]).unionByName(accs[1])
-    # the answers are a few rows each: write them to the shared checkpoint
-    # folder, then release the cached training and test parts
-    checkpoint_dir(spark)
+    # the answers are a few rows each
     out = {"split_distribution": split_dist, "curves": curve_all, "best": best_all, "en_matrix": matrix,
            "test_report": report}
-    out = {k: v.checkpoint(eager=True) for k, v in out.items()}
-    for df in (tr, te, *inputs):
+    out = {k: v if k == "split_distribution" else small_answer(v) for k, v in out.items()}
+    for df in (tr, te):
         df.unpersist()
     return out
+
+
+def split_counts(train: DataFrame, test: DataFrame, label_col: str) -> DataFrame:
+    """A5: rows per class of both parts."""
+    return class_distribution(train.select(F.lit("train").alias("split"), label_col)
+                              .unionByName(test.select(F.lit("test").alias("split"), label_col)), label_col, "split")

@@ -11,15 +11,15 @@ map-side by the partial aggregate before the shuffle.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.classify import ACADEMIC_SUFFIXES, organisation, suffix_class
 from quarry.functions.logparse import parse_log
 from quarry.operators.aggregates import distinct_count_per_group
+from quarry.operators.joins import join_bounded
 from quarry.operators.ranking import rank_of, share_with_remainder, top_n_per_group
-from quarry.session import checkpoint_dir
+from quarry.session import settled
 
 CLASS = "country_code"
 ORG = "institution"
@@ -51,11 +51,23 @@ def request_cube(lines: DataFrame, rules=ACADEMIC_SUFFIXES) -> DataFrame:
     return req.groupBy(CLASS, ORG, "day", "hour").agg(F.count(F.lit(1)).alias("count"))
 
 
-def class_counts(cube: DataFrame) -> DataFrame:
-    """Requests per host class."""
+def _every_class(found: DataFrame, count_col: str, rules) -> DataFrame:
+    """One row per class of the rules, 0 where the log has no request of it."""
+    classes = found.sparkSession.createDataFrame([(label,) for label in dict.fromkeys(x for _, x in rules)],
+                                                 f"{CLASS} string")
+    return classes.join(found, CLASS, "left").select(CLASS, F.coalesce(count_col, F.lit(0)).cast("bigint").alias(count_col))
+
+
+def class_totals(cube: DataFrame) -> DataFrame:
+    """Requests per host class that occurs."""
     return cube.groupBy(CLASS).agg(F.sum("count").cast("bigint").alias("count"))
 
 
+def class_counts(cube: DataFrame, rules=ACADEMIC_SUFFIXES) -> DataFrame:
+    """Requests per host class, 0 for a class without requests."""
+    return _every_class(class_totals(cube), "count", rules)
+
+
 def org_counts(cube: DataFrame) -> DataFrame:
     """Requests per (class, organisation).
 
@@ -67,9 +79,9 @@ def org_counts(cube: DataFrame) -> DataFrame:
     return cube.groupBy(CLASS, ORG).agg(F.sum("count").cast("bigint").alias("count"))
 
 
-def org_distinct(cube: DataFrame) -> DataFrame:
-    """Distinct organisations per class (``''`` counts as one)."""
-    return distinct_count_per_group(cube, CLASS, ORG, count_col="n_institutions")
+def org_distinct(cube: DataFrame, rules=ACADEMIC_SUFFIXES) -> DataFrame:
+    """Distinct organisations per class (``''`` counts as one), 0 for a class without requests."""
+    return _every_class(distinct_count_per_group(cube, CLASS, ORG, count_col="n_institutions"), "n_institutions", rules)
 
 
 def org_top(cube: DataFrame, n: int = 9) -> DataFrame:
@@ -82,35 +94,29 @@ def org_rank(cube: DataFrame, name: str, klass: str | None = None, rules=ACADEMI
     counts = org_counts(cube)
     if klass is not None:
         counts = counts.filter(F.col(CLASS) == klass)
-    return rank_of(counts, CLASS, ORG, name, max_groups=len(rules))
+    return rank_of(counts, CLASS, ORG, name, bounded_groups=True)
 
 
 def org_share(cube: DataFrame, n: int = 9) -> DataFrame:
     """Top-``n`` organisations plus ``Others`` per class, against the class total."""
-    return share_with_remainder(org_counts(cube), CLASS, ORG, n, totals=class_counts(cube))
+    return share_with_remainder(org_counts(cube), CLASS, ORG, n, totals=class_totals(cube))
 
 
 def busiest_org_grid(cube: DataFrame, rules=ACADEMIC_SUFFIXES) -> DataFrame:
     """The day x hour request grid (31 x 24, zeros filled) of each class's busiest organisation.
 
-    One pass over the cube, no join: each (class, organisation) keeps its
-    total and a map of its at most 744 valid cells; a per-class aggregate
-    keeps the busiest organisation (ties by name); its map is expanded to the
-    dense grid. Rows with NULL or out-of-range day/hour count towards the
-    totals but are not cells.
+    The busiest organisation of each class (ties by name) comes first, one row
+    per class; only its cells are gathered, 744 at most. Rows with NULL or
+    out-of-range day/hour count towards the totals but are not cells.
     """
     nx, ny = len(DAYS), len(HOURS)
     valid = F.col("day").between(DAYS.start, DAYS.stop - 1) & F.col("hour").between(HOURS.start, HOURS.stop - 1)
     cell_id = (F.col("day") - DAYS.start) * ny + (F.col("hour") - HOURS.start)
-    per_org = cube.groupBy(CLASS, ORG).agg(
-        F.sum("count").alias("_total"),
-        F.map_from_entries(F.collect_list(F.when(valid, F.struct(cell_id.alias("k"), F.col("count").alias("v")))))
-         .alias("_cells"))
-    best = per_org.groupBy(CLASS).agg(
-        F.min_by(F.struct(F.col(ORG).alias("org"), F.col("_cells").alias("cells")),
-                 F.struct((-F.col("_total")).alias("neg_total"), F.col(ORG).alias("org"))).alias("_b"))
-    grid = best.select(CLASS, F.col("_b.org").alias(ORG), F.col("_b.cells").alias("_cells"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))).alias("_i"))
+    busiest = org_counts(cube).groupBy(CLASS).agg(F.min_by(ORG, F.struct((-F.col("count")).alias("n"), F.col(ORG))).alias(ORG))
+    cells = (join_bounded(cube, busiest, on=[CLASS, ORG]).groupBy(CLASS, ORG)
+             .agg(F.map_from_entries(F.collect_list(F.when(valid, F.struct(cell_id.alias("k"), F.col("count").alias("v")))))
+                  .alias("_cells")))
+    grid = cells.select(CLASS, ORG, "_cells", F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))).alias("_i"))
     return grid.select(
         CLASS, ORG,
         (F.lit(DAYS.start) + (F.col("_i") / F.lit(ny)).cast("int")).cast("int").alias("day"),
@@ -121,21 +127,16 @@ def busiest_org_grid(cube: DataFrame, rules=ACADEMIC_SUFFIXES) -> DataFrame:
 class WeblogAnalysis:
     """All C1-C4 answers from one scan of the log.
 
-    The cube (bounded by classes x organisations x 744 rows) is written once
-    to the shared checkpoint folder: every answer reads it from there, and an
-    executor lost later never sends Spark back to re-scan the raw log. With
-    ``checkpoint=False`` it is only persisted (local experiments).
+    The cube (bounded by classes x organisations x 744 rows) is computed once
+    and read by every answer: from the shared checkpoint folder where the
+    deployment names one (an executor lost later never sends Spark back to
+    re-scan the raw log), else from the cache.
     """
 
-    def __init__(self, lines: DataFrame, rules=ACADEMIC_SUFFIXES, top_n: int = 9, checkpoint: bool = True):
+    def __init__(self, lines: DataFrame, rules=ACADEMIC_SUFFIXES, top_n: int = 9):
         self.rules = rules
         self.top_n = top_n
-        cube = request_cube(lines, rules)
-        if checkpoint:
-            checkpoint_dir(cube.sparkSession)
-            self.cube = cube.checkpoint(eager=True)
-        else:
-            self.cube = cube.persist(StorageLevel.MEMORY_AND_DISK)
+        self.cube = settled(request_cube(lines, rules))
 
     def __enter__(self):
         return self
@@ -145,8 +146,8 @@ class WeblogAnalysis:
 
     def results(self, rank_name: str | None = None, rank_class: str | None = None) -> dict[str, DataFrame]:
         out = {
-            "class_counts": class_counts(self.cube),
-            "org_distinct": org_distinct(self.cube),
+            "class_counts": class_counts(self.cube, self.rules),
+            "org_distinct": org_distinct(self.cube, self.rules),
             "org_top": org_top(self.cube, self.top_n),
             "org_share": org_share(self.cube, self.top_n),
             "busiest_grid": busiest_org_grid(self.cube, self.rules),

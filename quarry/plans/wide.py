@@ -13,14 +13,14 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.recode import sign_to_binary
+from quarry.functions.recode import percent, sign_to_binary
 from quarry.operators import features as E
 from quarry.operators import models as M
 from quarry.operators import tuning as G
-from quarry.operators.aggregates import class_distribution
+from quarry.operators.aggregates import class_distribution, row_count
 from quarry.operators.metrics import auc_evaluator, classification_report
 from quarry.operators.splits import FOLD_SALT, SEED, hash_sample, sample_by, with_fold
-from quarry.session import checkpoint_dir
+from quarry.session import small_answer
 
 
 def recode_label(df: DataFrame, label_col: str) -> DataFrame:
@@ -28,12 +28,27 @@ def recode_label(df: DataFrame, label_col: str) -> DataFrame:
     return df.withColumn(label_col, sign_to_binary(F.col(label_col)))
 
 
-def draw_sample(train: DataFrame, label_col: str, fraction: float, id_col: str | None = None,
+def draw_sample(train: DataFrame, label_col: str, fraction: float | dict, id_col: str | None = None,
                 labels: Sequence | None = None, seed: int = SEED) -> DataFrame:
-    """Deterministic hash sample on ``id_col``, or Spark's ``sampleBy`` when no id is given."""
+    """Deterministic hash sample on ``id_col``, or Spark's ``sampleBy`` when no id
+    is given; a dict has a fraction per class."""
     if id_col is not None:
-        return hash_sample(train, id_col, fraction)
-    return sample_by(train, label_col, fraction, seed, labels or [-1, 1])
+        return hash_sample(train, id_col, fraction, label_col=label_col)
+    return sample_by(train, label_col, fraction, seed, labels)
+
+
+def sample_counts(train: DataFrame, label_col: str, fraction: float, id_col: str) -> DataFrame:
+    """A5: rows per class of the training part and of its hash sample."""
+    train = recode_label(train, label_col)
+    return class_distribution(
+        train.withColumn("part", F.lit("all"))
+        .unionByName(hash_sample(train, id_col, fraction).withColumn("part", F.lit("sample"))), label_col, "part")
+
+
+def sample_share(counts: DataFrame) -> DataFrame:
+    """rows of the training part and of the sample, and the measured share in percent."""
+    n = [F.coalesce(F.sum(F.when(F.col("part") == p, F.col("count"))), F.lit(0)).alias(f"n_{p}") for p in ("all", "sample")]
+    return counts.agg(*n).withColumn("percent", F.when(F.col("n_all") > 0, percent(F.col("n_sample"), F.col("n_all"))))
 
 
 def family_pipeline(family: str, feature_cols: Sequence[str], label_col: str, n_features: int,
@@ -67,7 +82,7 @@ def _grid_for(family: str, est, spec: dict, n_features: int) -> list:
 
 
 def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], label_col: str,
-              fraction: float = 0.01, id_col: str | None = None,
+              fraction: float | dict = 0.01, id_col: str | None = None,
               grids: dict | None = None, folds: int = G.CV_FOLDS, parallelism: int = 1,
               seed: int = SEED) -> dict[str, DataFrame]:
     """C6. ``grids`` maps ``rf`` / ``gbt`` / ``mlp`` to parameter grids
@@ -82,6 +97,7 @@ def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], la
         sample = with_fold(sample, id_col, folds, fold_col, salt=FOLD_SALT)
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     test_r = recode_label(test, label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    n_test = row_count(test_r, "n_test")
     sample.count(), test_r.count()  # fill the caches once, before concurrent searches read them
     dist = class_distribution(
         recode_label(train, label_col).withColumn("part", F.lit("all"))
@@ -108,11 +124,11 @@ def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], la
     bests = [r[1] for r in results]
     reports = [r[2] for r in results]
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    # small answers go to the shared checkpoint folder; then the caches are released
-    checkpoint_dir(spark)
-    out = {"class_distribution": dist, "curves": union(curves), "best": union(bests),
-           "test_report": union(reports)}
-    out = {k: v.checkpoint(eager=True) for k, v in out.items()}
+    # grids and reports are a few rows; then the caches are released
+    dist = small_answer(dist)
+    out = {"class_distribution": dist, "sample_share": sample_share(dist), "n_test": n_test, "curves": union(curves),
+           "best": union(bests), "test_report": union(reports)}
+    out = {k: small_answer(v) for k, v in out.items()}
     sample.unpersist()
     test_r.unpersist()
     return out

@@ -10,6 +10,7 @@ means over fixed-precision inputs are exact decimals.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from quarry import oracle
 from quarry.functions.hashing import unit_interval
 from quarry.functions.logparse import parse_log
 from quarry.functions.recode import binary_recode, sign_to_binary
-from quarry.operators import aggregates, features, metrics, ranking, splits
-from quarry.operators.grids import fold_summary as _fold_summary
+from quarry.operators import aggregates, features, metrics, models, ranking, splits, tuning
+from quarry.operators.grids import fold_summary as _fold_summary, metric_matrix
 from quarry.plans import recommend, scaling, tabular, weblog, wide
+from quarry.session import checkpoint_dir, settled
 from quarry.sources import standins
 from quarry.sources.tables import read_table
 
@@ -43,6 +45,12 @@ def class_counts(spark, sf_dir):
     return weblog.class_counts(_cube(spark, sf_dir))
 
 
+def class_counts_edu(spark, sf_dir):
+    """C1 on the part of the log from one class of hosts: the others count 0."""
+    lines = standins.log_lines(spark, sf_dir).where(F.col("value").rlike(r"^\S+\.edu - "))
+    return weblog.class_counts(weblog.request_cube(lines))
+
+
 def org_distinct(spark, sf_dir):
     return weblog.org_distinct(_cube(spark, sf_dir))
 
@@ -134,8 +142,15 @@ def sample_sizes(spark, sf_dir):
 
 def sample_by(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    return splits.sample_by(ev, "event_type", 0.1,
-                            labels=["view", "click", "error", "signup", "purchase"])
+    return splits.sample_by(ev, "event_type", 0.1)
+
+
+def strat_sample(spark, sf_dir):
+    """D1 with a fraction per class: the i-th class in order keeps i tenths of its rows."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type")
+    fractions = {label: 0.1 * (i + 1) for i, label in enumerate(splits.class_labels(ev, "event_type"))}
+    sample = splits.hash_sample(ev, "event_id", fractions, label_col="event_type")
+    return aggregates.count_per_key(sample, "event_type")
 
 
 # ---------------------------------------------------------------- recodes
@@ -183,7 +198,7 @@ def assemble(spark, sf_dir):
     arr = vector_to_array("x")
     return asm.select("p_partkey", F.size(arr).alias("width"),
                       F.element_at(arr, 1).alias("x0"), F.element_at(arr, 2).alias("x1"),
-                      (F.array_position(F.slice(arr, 3, 1000000), 1.0) - 1).cast("int").alias("hot_pos"))
+                      (F.array_position(F.slice(arr, 3, F.size(arr) - 2), 1.0) - 1).cast("int").alias("hot_pos"))
 
 
 def standardize(spark, sf_dir):
@@ -223,8 +238,9 @@ def rmse_mae(spark, sf_dir):
     return _round_cols(metrics.regression_metrics(pred, "l_quantity", "prediction", "fold"), ["rmse", "mae"])
 
 
-def _embedding_scores(spark, sf_dir, n_models=3):
+def _embedding_scores(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
+    n_models = standins.embedding_width(emb)
     y = (F.col("label") >= 5).cast("int").alias("y")
     arms = [F.struct(F.lit(f"e{k}").alias("model"), F.element_at("embedding", k + 1).cast("double").alias("score"))
             for k in range(n_models)]
@@ -286,70 +302,82 @@ def cluster_tag_counts(spark, sf_dir):
     return _profile(spark, sf_dir).select("cluster", "tagId", "tag", "n_items")
 
 
-# ---------------------------------------------------------------- ML analyses (rows-only checks)
+# ---------------------------------------------------------------- ML analyses
 #
-# Grids here are smaller than the recorded 27-point grids (the library
-# defaults in ``operators.tuning``) so the registered checks stay quick; the
-# tables are always whole. One tuning run feeds several registered views, so
-# results are memoised per (analysis, data folder) within a session.
-
-_MEMO: dict = {}
-
-
-def _memo(key, build):
-    """Results of one tuning run, reused by its several registered views; keyed
-    by the running application so a restarted session never sees stale plans."""
-    from pyspark import SparkContext
-    sc = SparkContext._active_spark_context
-    key = (sc.applicationId if sc is not None else None, *key)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
-
-
-GLM_REG = [0.001, 0.1, 10.0]
-GLM_EN = [0.0, 0.5, 1.0]
-WIDE_GRIDS = {"rf": {"numTrees": [10, 20], "maxDepth": [5, 10]},
-              "gbt": {"maxDepth": [3, 5], "stepSize": [0.1, 0.2], "maxIter": [10]},
-              "mlp": {"hidden": [16, 32], "maxIter": [50], "blockSize": [32]}}
+# Each analysis runs once per session and data folder, with the recorded
+# grids; its registered views read the results.
+
 WIDE_FRACTION = 0.5
 
 
-def _glm(spark, sf_dir):
-    def build():
-        enc = tabular.prepare_binary_label(standins.encounters(spark, sf_dir), "l_linestatus", "F", "status_flag")
-        train, test = tabular.split_encounters(enc, ["l_orderkey", "l_linenumber"])
+class Analyses:
+    """The tuned analyses of one data folder; each is computed when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def glm(self) -> dict[str, DataFrame]:
+        train, test = _encounter_split(self.spark, self.sf_dir)
         return tabular.tune_glms(train, test, ["l_returnflag", "p_brand", "p_type"], "l_quantity", "status_flag",
-                                 GLM_REG, GLM_EN, folds=3, parallelism=4, id_cols=["l_orderkey", "l_linenumber"])
-    return _memo(("glm", sf_dir), build)
+                                 parallelism=4, id_cols=["l_orderkey", "l_linenumber"])
+
+    @cached_property
+    def wide(self) -> dict[str, DataFrame]:
+        train, test = _wide_split(self.spark, self.sf_dir)
+        return wide.tune_wide(train, test, standins.wide_features(train), "label", WIDE_FRACTION, id_col="vec_id",
+                              parallelism=4)
+
+    @cached_property
+    def scaling(self) -> tuple[DataFrame, DataFrame]:
+        train, test = _wide_split(self.spark, self.sf_dir)
+        return scaling.scaling_study(train, test, standins.wide_features(train), "label", "vec_id")
+
+    @cached_property
+    def als(self) -> tuple[DataFrame, dict[int, DataFrame]]:
+        return recommend.als_cv(standins.ratings(self.spark, self.sf_dir), k=4, keep_item_factors=0)
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return settled(recommend.fold_clusters(self.als[1], CLUSTER_K))
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> Analyses:
+    """The session's analyses of a folder; they go with the session."""
+    return vars(spark).setdefault("_quarry_analyses", {}).setdefault(sf_dir, Analyses(spark, sf_dir))
+
+
+def _encounter_split(spark, sf_dir):
+    enc = tabular.prepare_binary_label(standins.encounters(spark, sf_dir), "l_linestatus", "F", "status_flag")
+    return tabular.split_encounters(enc, ["l_orderkey", "l_linenumber"])
 
 
 def glm_split_dist(spark, sf_dir):
-    return _glm(spark, sf_dir)["split_distribution"]
+    return tabular.split_counts(*_encounter_split(spark, sf_dir), "status_flag")
 
 
 def poisson_cv(spark, sf_dir):
-    return _glm(spark, sf_dir)["curves"].filter(F.col("model") == "poisson")
+    return analyses(spark, sf_dir).glm["curves"].filter(F.col("model") == "poisson")
 
 
 def logit_l2_cv(spark, sf_dir):
-    return _glm(spark, sf_dir)["curves"].filter(F.col("model") == "logistic_l2")
+    return analyses(spark, sf_dir).glm["curves"].filter(F.col("model") == "logistic_l2")
 
 
 def logit_en_cv(spark, sf_dir):
-    return _glm(spark, sf_dir)["curves"].filter(F.col("model") == "logistic_en")
+    return analyses(spark, sf_dir).glm["curves"].filter(F.col("model") == "logistic_en")
 
 
 def en_matrix(spark, sf_dir):
-    return _glm(spark, sf_dir)["en_matrix"]
+    return analyses(spark, sf_dir).glm["en_matrix"]
 
 
 def glm_best(spark, sf_dir):
-    return _glm(spark, sf_dir)["best"]
+    return analyses(spark, sf_dir).glm["best"]
 
 
 def glm_test_report(spark, sf_dir):
-    return _glm(spark, sf_dir)["test_report"]
+    return analyses(spark, sf_dir).glm["test_report"]
 
 
 def _wide_split(spark, sf_dir):
@@ -357,113 +385,208 @@ def _wide_split(spark, sf_dir):
     return splits.hash_split(wb, "vec_id", 0.8)
 
 
-def _wide(spark, sf_dir):
-    def build():
-        train, test = _wide_split(spark, sf_dir)
-        feats = [f"_c{i}" for i in range(64)]
-        return wide.tune_wide(train, test, feats, "label", WIDE_FRACTION, id_col="vec_id",
-                              grids=WIDE_GRIDS, folds=3, parallelism=4)
-    return _memo(("wide", sf_dir), build)
-
-
 def rf_cv(spark, sf_dir):
-    return _wide(spark, sf_dir)["curves"].filter(F.col("model") == "rf")
+    return analyses(spark, sf_dir).wide["curves"].filter(F.col("model") == "rf")
 
 
 def gbt_cv(spark, sf_dir):
-    return _wide(spark, sf_dir)["curves"].filter(F.col("model") == "gbt")
+    return analyses(spark, sf_dir).wide["curves"].filter(F.col("model") == "gbt")
 
 
 def mlp_cv(spark, sf_dir):
-    return _wide(spark, sf_dir)["curves"].filter(F.col("model") == "mlp")
+    return analyses(spark, sf_dir).wide["curves"].filter(F.col("model") == "mlp")
 
 
 def wide_best(spark, sf_dir):
-    return _wide(spark, sf_dir)["best"]
+    return analyses(spark, sf_dir).wide["best"]
 
 
 def wide_test_report(spark, sf_dir):
-    return _wide(spark, sf_dir)["test_report"]
+    return analyses(spark, sf_dir).wide["test_report"]
 
 
 def wide_class_dist(spark, sf_dir):
-    return _wide(spark, sf_dir)["class_distribution"]
+    train, _ = _wide_split(spark, sf_dir)
+    return wide.sample_counts(train, "label", WIDE_FRACTION, "vec_id")
 
 
-def _scaling(spark, sf_dir):
-    def build():
-        import os
-        import uuid
-        from quarry.session import checkpoint_dir
-        train, test = _wide_split(spark, sf_dir)
-        feats = [f"_c{i}" for i in range(64)]
-        # the study appends its results table (S5) to a fresh folder in the shared checkpoint area
-        out = os.path.join(checkpoint_dir(spark), f"scaling-results-{uuid.uuid4().hex}")
-        long, wide_tbl = scaling.scaling_study(train, test, feats, "label", "vec_id", results_path=out)
-        return {"long": long, "wide": wide_tbl, "path": out}
-    return _memo(("scaling", sf_dir), build)
+def wide_sample_share(spark, sf_dir):
+    """F15 in C6: the measured share of the sample."""
+    share = wide.sample_share(wide_class_dist(spark, sf_dir))
+    return _round_cols(share, ["percent"])
 
 
 def scaling_study(spark, sf_dir):
-    return _scaling(spark, sf_dir)["long"]
+    return analyses(spark, sf_dir).scaling[0]
 
 
 def scaling_sizes(spark, sf_dir):
-    """The study's nested sample sizes (deterministic part of C7)."""
-    return _scaling(spark, sf_dir)["long"].select("sample_size", "sample_count", "model")
+    """C7's nested sample sizes, per model of the study."""
+    train, _ = _wide_split(spark, sf_dir)
+    sizes = splits.nested_sample_sizes(train, "vec_id", scaling.SAMPLE_SIZES)
+    return sizes.select(F.col("fraction").alias("sample_size"), F.col("count").alias("sample_count"),
+                        F.explode(F.array(*map(F.lit, scaling.FAMILIES))).alias("model"))
 
 
 def scaling_report(spark, sf_dir):
-    return scaling.scaling_report(spark, _scaling(spark, sf_dir)["path"])
-
-
-def _als(spark, sf_dir):
-    def build():
-        metrics, factors = recommend.als_cv(standins.ratings(spark, sf_dir), k=4, keep_item_factors=0)
-        return {"metrics": metrics, "factors": factors}
-    return _memo(("als", sf_dir), build)
+    study = analyses(spark, sf_dir).scaling[1]
+    return scaling.report_of(study.withColumn("sample_size_percent", F.col("sample_size") * F.lit(100.0)))
 
 
 def als_cv(spark, sf_dir):
-    return _als(spark, sf_dir)["metrics"]
+    return analyses(spark, sf_dir).als[0]
 
 
 def als_fold_counts(spark, sf_dir):
     """Scored test ratings per (model, fold): cold-start rows dropped (deterministic part of C9)."""
-    return _als(spark, sf_dir)["metrics"].select("model", "fold", "n")
+    return analyses(spark, sf_dir).als[0].select("model", "fold", "n")
 
 
 def als_summary(spark, sf_dir):
-    return recommend.als_summary(_als(spark, sf_dir)["metrics"], 4)
-
-
-def _factor_clusters(spark, sf_dir):
-    return _memo(("kmeans", sf_dir),
-                 lambda: recommend.factor_clusters(_als(spark, sf_dir)["factors"][0], 19))
+    return recommend.als_summary(analyses(spark, sf_dir).als[0], 4)
 
 
 def cluster_sizes(spark, sf_dir):
-    return recommend.cluster_sizes(_factor_clusters(spark, sf_dir))
+    """C10 on every fold's item factors."""
+    return aggregates.count_per_key(analyses(spark, sf_dir).clusters, ["fold", "cluster"])
 
 
 def als_cluster_tags(spark, sf_dir):
-    return recommend.cluster_profile(_factor_clusters(spark, sf_dir), standins.relevance_scores(spark, sf_dir),
-                                     standins.tag_dictionary(spark, sf_dir), 3, 3, RELEVANCE_THRESHOLD)
+    """C11 + C12 on every fold's clusters, in one plan."""
+    return recommend.cluster_profile(analyses(spark, sf_dir).clusters, standins.relevance_scores(spark, sf_dir),
+                                     standins.tag_dictionary(spark, sf_dir), 3, 3, RELEVANCE_THRESHOLD, by=["fold"])
+
+
+def fold_cluster_tags(spark, sf_dir):
+    """The same plan on assignments that no model makes: cluster = (size + fold) mod k."""
+    part = read_table(spark, sf_dir, "part")
+    fixed = part.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("fold"),
+                        F.col("p_partkey").cast("int").alias("id"), "p_size")
+    fixed = fixed.select("fold", "id", ((F.col("p_size") + F.col("fold")) % CLUSTER_K).cast("int").alias("cluster"))
+    prof = recommend.cluster_profile(fixed, standins.relevance_scores(spark, sf_dir),
+                                     standins.tag_dictionary(spark, sf_dir), 3, 3, RELEVANCE_THRESHOLD, by=["fold"])
+    return prof.withColumn("avg_relevance", F.round("avg_relevance", 6).cast("double"))
+
+
+# ---------------------------------------------------------------- models with a closed form
+
+def _by_brand(spark, sf_dir):
+    """Encounters with one one-hot column, the brand, less its last level."""
+    enc = tabular.prepare_binary_label(standins.encounters(spark, sf_dir), "l_linestatus", "F", "status_flag")
+    return features.categorical_pipeline(["p_brand"], "features", drop_last=True).fit(enc).transform(enc)
+
+
+def poisson_means(spark, sf_dir):
+    """L1: with one category and no penalty the prediction is the mean of the category."""
+    enc = _by_brand(spark, sf_dir)
+    scored = models.poisson_glm("features", "l_quantity").fit(enc).transform(enc)
+    return _round_cols(scored.groupBy("p_brand").agg(F.avg("prediction").alias("prediction")), ["prediction"], 4)
+
+
+def logistic_shares(spark, sf_dir):
+    """L2 / L3: with one category and no penalty the probability is the share of the category."""
+    enc = _by_brand(spark, sf_dir)
+    scored = models.logistic("features", "status_flag").fit(enc).transform(enc)
+    p = vector_to_array("probability").getItem(1)
+    return _round_cols(scored.groupBy("p_brand").agg(F.avg(p).alias("probability")), ["probability"], 4)
+
+
+def poisson_fold_metrics(spark, sf_dir):
+    """Cross-validated RMSE of the category means on hash folds, mean and population std."""
+    enc = splits.with_fold(_by_brand(spark, sf_dir), ["l_orderkey", "l_linenumber"], 3, "cv_fold", salt=splits.FOLD_SALT)
+    est = models.poisson_glm("features", "l_quantity")
+    grid = tuning.param_grid(est, {"regParam": [0.0]})
+    fitted = tuning.cross_validate(est, grid, metrics.rmse_evaluator("l_quantity"), enc.persist(), 3, fold_col="cv_fold")
+    curve = tuning.validation_curve(spark, fitted, grid)
+    enc.unpersist()
+    return _round_cols(curve, ["mean_metric", "std_metric"], 4)
+
+
+def _flagged(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_returnflag") == "N").cast("double").alias("flag"),
+        (F.col("l_linestatus") != "F").cast("int").alias("y"))
+    return features.assembler(["flag"], "features").transform(li)
+
+
+def tree_shares(spark, sf_dir):
+    """L4: one tree with one split on a 0/1 column, no bootstrap: the shares of its leaves."""
+    li = _flagged(spark, sf_dir)
+    est = models.random_forest("features", "y", numTrees=1, maxDepth=1, bootstrap=False, subsamplingRate=1.0,
+                               featureSubsetStrategy="all")
+    scored = est.fit(li).transform(li)
+    p = vector_to_array("probability").getItem(1)
+    return _round_cols(scored.groupBy("flag").agg(F.avg(p).alias("probability")), ["probability"], 5)
+
+
+def boosted_signs(spark, sf_dir):
+    """One boosting step with one split predicts the majority of each leaf."""
+    li = _flagged(spark, sf_dir)
+    scored = models.gbt("features", "y", maxIter=1, maxDepth=1).fit(li).transform(li)
+    return scored.groupBy("flag").agg(F.max("prediction").alias("prediction"))
+
+
+def cluster_planted(spark, sf_dir):
+    """K-means finds two groups that lie far apart."""
+    part = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_size") % 2).cast("int").alias("planted"),
+        (F.col("p_size") % 2 * 1e6 + F.col("p_size")).cast("double").alias("x"))
+    found = models.cluster(features.assembler(["x"], "features").transform(part), k=2)
+    return (part.select("id", "planted").join(found, "id").groupBy("planted")
+            .agg(F.count(F.lit(1)).alias("count"), F.count_distinct("cluster").alias("n_clusters")))
+
+
+def als_dot_products(spark, sf_dir):
+    """A prediction is the dot product of the factors of its user and item."""
+    ratings = standins.ratings(spark, sf_dir)
+    model = models.als(rank=4, maxIter=2).fit(ratings)
+    users = model.userFactors.select(F.col("id").alias("userId"), F.col("features").alias("u"))
+    items = model.itemFactors.select(F.col("id").alias("movieId"), F.col("features").alias("v"))
+    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    both = model.transform(ratings).join(users, "userId").join(items, "movieId")
+    return both.agg(F.count(F.lit(1)).alias("n"),
+                    F.count_if(F.abs(dot - F.col("prediction")) > 1e-3 * (1 + F.abs(dot))).alias("mismatches"))
+
+
+def fold_matrix(spark, sf_dir):
+    """Model x fold matrix of the RMSE."""
+    out = metric_matrix(_fold_metrics(spark, sf_dir), "model", "fold", "rmse", [0, 1, 2, 3])
+    return _round_cols(out, [c for c in out.columns if c != "model"])
+
+
+def evaluator_table(spark, sf_dir):
+    """M5: MLlib's evaluators on the arithmetic predictors."""
+    scored = _lineitem_predictions(spark, sf_dir).withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    by_model = {name: scored.where(F.col("model") == name).withColumn("prediction", F.col("prediction").cast("double"))
+                for name, _ in _predictors()}
+    out = metrics.evaluation_table(spark, by_model, {"rmse": metrics.rmse_evaluator("l_quantity"),
+                                                     "mae": metrics.mae_evaluator("l_quantity")})
+    return _round_cols(out, ["value"])
+
+
+def scaling_report_counts(spark, sf_dir):
+    """C8 / S6 on results made of counts: accuracy, auc and seconds are multiples of the sample size."""
+    train, _ = _wide_split(spark, sf_dir)
+    sizes = splits.nested_sample_sizes(train, "vec_id", scaling.SAMPLE_SIZES)
+    n = F.col("count").cast("double")
+    wide_rows = sizes.select((F.col("fraction") * F.lit(100.0)).alias("sample_size_percent"),
+                             F.col("count").alias("sample_count"),
+                             *[(n * (3 * i + j + 1)).alias(f"{m}_{c}") for i, m in enumerate(scaling.FAMILIES)
+                               for j, c in enumerate(("accuracy", "auc", "time"))])
+    return _round_cols(scaling.report_of(wide_rows), ["rows_per_second"])
 
 
 # ---------------------------------------------------------------- streaming (C1 on a file stream)
 
 def stream_class_counts(spark, sf_dir):
     """C1 computed by a Structured Streaming query over log files that Spark
-    writes from ``events`` into the shared checkpoint folder."""
-    import os
+    writes from ``events`` into the shared checkpoint folder, or the warehouse."""
     import uuid
 
-    from quarry.session import checkpoint_dir
     from quarry.streaming.weblog_stream import start_class_counts
 
-    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    src, out, ckpt = (os.path.join(base, p) for p in ("src", "out", "ckpt"))
+    base = f"{checkpoint_dir(spark) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
+    src, out, ckpt = (f"{base}/{p}" for p in ("src", "out", "ckpt"))
     standins.log_lines(spark, sf_dir).repartition(4).write.text(src)
     query = start_class_counts(spark, src, out, ckpt, max_files_per_trigger=2)
     query.awaitTermination()
@@ -525,6 +648,20 @@ def queries() -> dict[str, Query]:
         "als_summary": als_summary,
         "cluster_sizes": cluster_sizes,
         "als_cluster_tags": als_cluster_tags,
+        "strat_sample": strat_sample,
+        "class_counts_edu": class_counts_edu,
+        "wide_sample_share": wide_sample_share,
+        "fold_cluster_tags": fold_cluster_tags,
+        "poisson_means": poisson_means,
+        "logistic_shares": logistic_shares,
+        "poisson_fold_metrics": poisson_fold_metrics,
+        "tree_shares": tree_shares,
+        "boosted_signs": boosted_signs,
+        "cluster_planted": cluster_planted,
+        "als_dot_products": als_dot_products,
+        "fold_matrix": fold_matrix,
+        "evaluator_table": evaluator_table,
+        "scaling_report_counts": scaling_report_counts,
         "stream_class_counts": stream_class_counts,
     }
 

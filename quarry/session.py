@@ -8,9 +8,9 @@ present. ``get_spark`` exists for tests, the bench and local use.
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. AQE coalesces the small post-aggregation
 # partitions and splits skewed join partitions at run time.
@@ -41,33 +41,29 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder used to cut lineage (ALS, iterative jobs).
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared checkpoint folder that the deployment names in
+    ``spark.checkpoint.dir``, or None: the library never picks one."""
+    return spark.sparkContext.getCheckpointDir()
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
-    (tests, local runs) without that setting gets a private temporary folder;
-    on a cluster a missing setting is an error, never a machine-local folder.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # not set at all
-            configured = None
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
-        configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to the shared folder if there is one (a
+    lost executor then never sends Spark back to the source), else cached."""
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
+def small_answer(df: DataFrame) -> DataFrame:
+    """An answer of a few rows by construction (a grid, a report), computed now
+    and kept as literal rows, free of the models and caches behind it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.recode import binary_recode
-from quarry.sources.tables import positional_schema, read_csv, read_headerless_csv, read_log_text
+from quarry.sources.tables import headerless_width, positional_schema, read_csv, read_headerless_csv, read_log_text
 
 # The 23 medication columns of the hospital-encounters table.
 MEDICATION_COLUMNS = [
@@ -24,7 +24,7 @@ ENCOUNTER_ID = "encounter_id"
 
 
 def access_log(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Access-log text (``.gz`` is repartitioned to the cluster's parallelism)."""
+    """Access-log text, spread over the cluster where the scan has few partitions."""
     return read_log_text(spark, path, partitions)
 
 
@@ -39,9 +39,13 @@ def encounters(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
-def challenge_response(spark: SparkSession, path: str, n_features: int = 128) -> DataFrame:
-    """Headerless numeric CSV: ``_c0.._c{n-1}`` features and ``_c{n}`` label in {-1, 1}."""
-    return read_headerless_csv(spark, path, positional_schema(n_features))
+def challenge_response(spark: SparkSession, path: str, n_features: int | None = None) -> DataFrame:
+    """Headerless numeric CSV: all columns but the last are features, the last
+    is the label in {-1, 1}; the width is that of the first record."""
+    width = headerless_width(spark, path)
+    if n_features is not None and n_features != width - 1:
+        raise ValueError(f"{path} has {width - 1} feature columns, not {n_features}")
+    return read_headerless_csv(spark, path, positional_schema(width - 1))
 
 
 def ratings(spark: SparkSession, path: str) -> DataFrame:

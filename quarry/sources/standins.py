@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.tables import read_table
+from quarry.sources.tables import read_table, split_features_label
 
 # Fixed values of the log-line stand-in (shared with the DuckDB twin).
 # host: h<user_id>.uni<user_id % ORG_MODULUS> followed by a suffix chosen by user_id % 4
@@ -51,20 +51,29 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(value.alias("value"))
 
 
-def categorical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categorical features with a count label: ``part`` brand/type and size."""
-    return read_table(spark, sf_dir, "part").select(
-        "p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"))
+def embedding_width(emb: DataFrame) -> int:
+    """Elements of every ``embedding`` (one bounded aggregate); rows of different widths are an error."""
+    low, high = emb.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if low != high:
+        raise ValueError(f"embeddings have {low} to {high} elements")
+    return low or 0
+
+
+def wide_features(wide: DataFrame, label_col: str = "label") -> list[str]:
+    """The feature columns of ``wide_binary``, all between the key and the label."""
+    features, _ = split_features_label([c for c in wide.columns if c != "vec_id"])
+    return features
 
 
 def wide_binary(spark: SparkSession, sf_dir: str, label_col: str = "label") -> DataFrame:
-    """Wide binary table: 64 numeric columns ``_c0.._c63`` and a label in {-1, 1}.
+    """Wide binary table: numeric columns ``_c0, _c1, ...``, as many as the
+    embeddings have elements, and a label in {-1, 1}.
 
     ``embeddings.label >= 5`` is the positive class. ``vec_id`` is kept as the
     row key for deterministic splits.
     """
     emb = read_table(spark, sf_dir, "embeddings")
-    width = 64
+    width = embedding_width(emb)
     cols = [F.element_at("embedding", i + 1).cast("double").alias(f"_c{i}") for i in range(width)]
     lab = F.when(F.col("label") >= 5, F.lit(1)).otherwise(F.lit(-1)).alias(label_col)
     return emb.select("vec_id", *cols, lab)

@@ -25,15 +25,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_log_text(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """One row per log line in ``value``.
 
-    A ``.gz`` file is not splittable, so it arrives as one partition; a
-    round-robin ``repartition`` spreads the regex parsing over the cluster.
+    Unsplittable files (``.gz``) arrive as one partition each. Where the scan
+    has fewer partitions than the cluster has cores, whatever the files are
+    called, a round-robin ``repartition`` spreads the parsing; ``partitions``
+    asks for a number.
     """
     df = spark.read.text(path)
-    if partitions is None and str(path).endswith(".gz"):
-        partitions = spark.sparkContext.defaultParallelism
-    if partitions:
-        df = df.repartition(partitions)
-    return df
+    if partitions is None:
+        cores = spark.sparkContext.defaultParallelism
+        partitions = cores if df.rdd.getNumPartitions() < cores else 0
+    return df.repartition(partitions) if partitions else df
 
 
 def positional_schema(n_features: int, feature_type: T.DataType = T.DoubleType(),
@@ -44,6 +45,11 @@ def positional_schema(n_features: int, feature_type: T.DataType = T.DoubleType()
     return T.StructType(fields)
 
 
+def headerless_width(spark: SparkSession, path: str) -> int:
+    """Number of columns of a headerless CSV, from its first record."""
+    return len(spark.read.option("header", "false").csv(path).columns)
+
+
 def read_headerless_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Headerless CSV with positional names, no inference pass."""
     return spark.read.schema(schema).option("header", "false").csv(path)

@@ -31,7 +31,11 @@ def test_wide_and_scaling_from_csv(spark):
     wb.write.csv(os.path.join(base, "train"))
     wb.limit(100).write.csv(os.path.join(base, "test"))
     res = analyses.wide_tuning(spark, os.path.join(base, "train"), os.path.join(base, "test"), fraction=0.5,
-                               grids={"rf": {"numTrees": [5], "maxDepth": [3]}}, n_features=64)
+                               grids={"rf": {"numTrees": [5], "maxDepth": [3]}})
+    assert res["sample_share"].first().n_sample == sum(
+        r["count"] for r in res["class_distribution"].collect() if r["part"] == "sample")
+    assert res["n_test"].first()[0] == 100
+    assert res["best"].first().params == '{"numTrees":5,"maxDepth":3}'
     assert res["test_report"].first().n == 100
     long, wide = analyses.sample_size_scaling(spark, os.path.join(base, "train"), os.path.join(base, "test"),
                                               fractions=[0.5], n_features=64)
@@ -48,8 +52,8 @@ def test_recommender_from_csv(spark):
     res = analyses.recommender(spark, os.path.join(base, "ratings"), os.path.join(base, "scores"),
                                os.path.join(base, "tags"), k=2, n_clusters_k=3, threshold=0.05)
     assert res["summary"].count() == 3
-    assert set(res["folds"]) == {0, 1}
-    assert res["folds"][0]["profile"].count() > 0
+    assert {r.fold for r in res["profile"].collect()} == {0, 1}
+    assert res["top_clusters"].groupBy("fold").count().where("count > 3").isEmpty()
 
 
 def test_encounter_glms_from_csv(spark):
@@ -88,7 +92,7 @@ def test_command_line_recommender_and_scaling(spark):
     main(["recommender", "--ratings", os.path.join(base, "ratings"), "--scores", os.path.join(base, "scores"),
           "--tags", os.path.join(base, "tags"), "--out", os.path.join(base, "q4")])
     assert spark.read.parquet(os.path.join(base, "q4", "summary")).count() == 3
-    assert spark.read.parquet(os.path.join(base, "q4", "fold0_top_clusters")).count() == 3
+    assert spark.read.parquet(os.path.join(base, "q4", "top_clusters")).count() == 4 * 3
     wb = standins.wide_binary(spark, SF_SMALL).drop("vec_id")
     wb.write.csv(os.path.join(base, "train"))
     wb.limit(50).write.csv(os.path.join(base, "test"))

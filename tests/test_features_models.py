@@ -82,9 +82,9 @@ def test_hyphenated_categorical_names(spark):
     assert widths == {4}
 
 
-def test_als_blocks_follow_parallelism(spark):
+def test_als_blocks_never_follow_the_cluster(spark):
     est = M.als()
-    assert est.getNumUserBlocks() == max(10, spark.sparkContext.defaultParallelism)
+    assert est.getNumUserBlocks() == est.getNumItemBlocks() == 10
     assert M.als(blocks=3).getNumItemBlocks() == 3
 
 
@@ -95,3 +95,15 @@ def test_best_point_uses_unrounded_means(spark):
     assert G.best_point(curve, True).first().grid_index == 1
     shown = {r.grid_index: r.mean_metric for r in G.rounded(curve).collect()}
     assert shown[0] == shown[1] == 0.5506
+
+
+def test_encoded_width_is_the_sum_of_levels(spark):
+    cats = [f"c{j}" for j in range(23)]
+    train = spark.createDataFrame([tuple(f"v{i % (2 + j % 4)}" for j in range(23)) for i in range(60)],
+                                  ", ".join(f"{c} string" for c in cats))
+    levels = sum(2 + j % 4 for j in range(23))
+    for invalid, width in (("error", levels), ("keep", levels + 23)):
+        model = E.categorical_pipeline(cats, "x", handle_invalid=invalid).fit(train)
+        assert model.transform(train).first().x.size == width
+    unseen = train.limit(1).withColumn("c0", F.lit("new"))
+    assert model.transform(unseen).first().x.numNonzeros() == 23

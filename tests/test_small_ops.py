@@ -35,8 +35,8 @@ def test_casts_mean_count_and_membership(spark):
     assert joins.keep_members(df, "g", members=members).count() == 2
 
 
-def test_join_small_falls_back_to_shuffle_join(spark):
+def test_joins_are_plain_or_bounded(spark):
     big = spark.range(100).withColumnRenamed("id", "k")
-    small = spark.range(50).withColumnRenamed("id", "k")
-    out = joins.join_small(big, small, "k", max_rows=10)     # above the bound: no broadcast hint
-    assert out.count() == 50
+    small = spark.range(20).withColumnRenamed("id", "k")
+    assert joins.join_bounded(big, small, "k").count() == 20
+    assert joins.keep_members(big, "k", members=small.union(small)).count() == 20

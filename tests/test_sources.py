@@ -106,6 +106,31 @@ def test_original_dataset_readers(spark):
         f.write(",".join(["1"] * 128 + ["-1"]) + "\n")
     row = datasets.challenge_response(spark, cr).first()
     assert row["_c128"] == -1 and row["_c0"] == 1.0
+    with open(cr, "w") as f:  # the width is the file's
+        f.write(",".join(["1"] * 130 + ["-1"]) + "\n")
+    df = datasets.challenge_response(spark, cr)
+    assert split_features_label(df.columns) == ([f"_c{i}" for i in range(130)], "_c130")
+    assert df.first()["_c130"] == -1
+    with pytest.raises(ValueError):
+        datasets.challenge_response(spark, cr, 128)
+
+
+def test_log_text_is_spread_whatever_its_name(spark):
+    base = _tmp()
+    lines = standins.log_lines(spark, SF_SMALL)
+    n, cores = lines.count(), spark.sparkContext.defaultParallelism
+    for name, files in (("one", 1), ("many", 2 * cores)):
+        lines.repartition(files).write.option("compression", "gzip").text(os.path.join(base, name))
+    for path in ("one", "one/*.gz", "many/*.gz", "many"):
+        df = read_log_text(spark, os.path.join(base, path))
+        assert df.count() == n and df.rdd.getNumPartitions() >= cores
+
+
+def test_embedding_width_comes_from_the_data(spark):
+    emb = spark.createDataFrame([([1.0] * 128,), ([2.0] * 128,)], "embedding array<float>")
+    assert standins.embedding_width(emb) == 128
+    with pytest.raises(ValueError):
+        standins.embedding_width(emb.union(spark.createDataFrame([([1.0],)], "embedding array<float>")))
 
 
 def test_stream_restarts_from_checkpoint(spark):
