@@ -64,7 +64,7 @@ def test_weblog_analysis_end_to_end(spark):
     with weblog.WeblogAnalysis(df, top_n=1) as wa:
         res = {k: v.collect() for k, v in wa.results("gamma", "UK").items()}
     assert {r.country_code: r["count"] for r in res["class_counts"]} == {"US": 8, "UK": 1, "AUS": 0}
-    assert {r.country_code: r.n_institutions for r in res["org_distinct"]} == {"US": 2, "UK": 1}
+    assert {r.country_code: r.n_institutions for r in res["org_distinct"]} == {"US": 2, "UK": 1, "AUS": 0}
     assert [(r.institution, r["count"]) for r in res["org_top"] if r.country_code == "US"] == [("alpha", 6)]
     share = {(r.country_code, r.institution): r["count"] for r in res["org_share"]}
     assert share[("US", "alpha")] == 6 and share[("US", "Others")] == 2 and share[("UK", "Others")] == 0
