@@ -95,8 +95,12 @@ class ToxicityModel:
 
 
 def train(texts: list[str], labels: list[int], *, bits: int = 20, epochs: int = 30, batch: int = 64, rate: float = 0.3,
-          decay: float = 5e-4, min_docs: int = 5, seed: int = 11) -> ToxicityModel:
-    """Word weights by gradient steps on the cross entropy of the noisy-or."""
+          decay: float = 5e-4, min_docs: int = 5, clean_weight: float = 5.0, seed: int = 11) -> ToxicityModel:
+    """Feature weights by gradient steps on the cross entropy of the noisy-or.
+
+    ``clean_weight`` weighs documents of label 0, for samples that hold fewer
+    of them than the corpus does.
+    """
     y = np.array(labels, float)
     share = float(y.mean()) if len(y) else 0.5
     weights = np.zeros(1 << bits)
@@ -117,7 +121,7 @@ def train(texts: list[str], labels: list[int], *, bits: int = 20, epochs: int =
             safe = np.bincount(bag.row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=bag.n_rows)
             score = np.clip(-np.expm1(safe), 1e-9, 1 - 1e-9)
             # d loss / d sentence sum: p for label 0, -p (1 - score) / score for label 1
-            pull = np.where(want == 1, -(1 - score) / score, 1.0)[bag.row] * p / len(want)
+            pull = np.where(want == 1, -(1 - score) / score, clean_weight)[bag.row] * p / len(want)
             grad = np.bincount(bag.feature, weights=pull[bag.sentence], minlength=1 << bits)
             used = np.flatnonzero((grad != 0) & trained)
             step[used] += grad[used] ** 2
