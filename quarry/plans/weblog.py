@@ -112,8 +112,11 @@ def busiest_org_grid(cube: DataFrame, rules=ACADEMIC_SUFFIXES) -> DataFrame:
     nx, ny = len(DAYS), len(HOURS)
     valid = F.col("day").between(DAYS.start, DAYS.stop - 1) & F.col("hour").between(HOURS.start, HOURS.stop - 1)
     cell_id = (F.col("day") - DAYS.start) * ny + (F.col("hour") - HOURS.start)
-    busiest = org_counts(cube).groupBy(CLASS).agg(F.min_by(ORG, F.struct((-F.col("count")).alias("n"), F.col(ORG))).alias(ORG))
-    cells = (join_bounded(cube, busiest, on=[CLASS, ORG]).groupBy(CLASS, ORG)
+    busiest = org_counts(cube).groupBy(F.col(CLASS).alias("_c")).agg(
+        F.min_by(ORG, F.struct((-F.col("count")).alias("n"), F.col(ORG))).alias("_o"))
+    # null-safe, as a plain equality would add filters to one branch of the cube and cost a second scan
+    same = F.col(CLASS).eqNullSafe(F.col("_c")) & F.col(ORG).eqNullSafe(F.col("_o"))
+    cells = (join_bounded(cube, busiest, on=same).groupBy(CLASS, ORG)
              .agg(F.map_from_entries(F.collect_list(F.when(valid, F.struct(cell_id.alias("k"), F.col("count").alias("v")))))
                   .alias("_cells")))
     grid = cells.select(CLASS, ORG, "_cells", F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))).alias("_i"))
