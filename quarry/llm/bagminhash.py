@@ -15,11 +15,12 @@ text's latest slot.
 
 Candidates: texts that agree in a whole band of slots.  Exact copies are
 grouped first and one of each group goes on.  A bucket of a band never emits
-its pairs: its members are compared with one leader, and what remains in
-several classes is compared, round by round, with the leader of every other
-class in the bucket, until no round links anything.  Links are verified on the
-whole shingle multisets; classes are the connected components, found by
-repeated minimum labels.
+its pairs: each member is compared with one leader, the text of another class
+that agrees with the most texts overall, which is the one nearest to the
+middle of a group of variants.  While comparisons link anything, classes are
+joined and the members of buckets with several classes compared with the
+leaders that this leaves.  Links are verified on the whole shingle multisets;
+classes are the connected components, found by repeated hooking.
 
 Words are runs without white space, as written.  A text of one to four words
 has one shingle, all of it; a text without words is linked to nothing but its
@@ -33,12 +34,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buffers import append_columns, flat, mix, slices, words
-from .shared import checkpointed
+from .shared import checkpointed, written
 
 SHINGLE = 5
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +106,6 @@ def band_keys(best: np.ndarray, bands: int) -> np.ndarray:
 
 
 SIGNED = [T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-BAG = [T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())]
 
 
 def with_bands(df: DataFrame, *, text_col: str, bands: int, rows: int) -> DataFrame:
@@ -128,22 +128,6 @@ def with_bands(df: DataFrame, *, text_col: str, bands: int, rows: int) -> DataFr
     return append_columns(df, text_col, SIGNED, run)
 
 
-def with_bags(df: DataFrame, *, text_col: str) -> DataFrame:
-    """``df`` with the sorted shingles of the text and their counts, packed."""
-    def run(column: pa.Array, _) -> list[pa.Array]:
-        data, offsets = flat(column)
-        codes, counts = [], []
-        for a, b in slices(offsets):
-            row, code, count = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            cut = np.searchsorted(row, np.arange(b - a + 1))
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                codes.append(code[i:j].tobytes())
-                counts.append(count[i:j].astype(np.uint32).tobytes())
-        return [pa.array(codes, pa.binary()), pa.array(counts, pa.binary())]
-
-    return append_columns(df, text_col, BAG, run)
-
-
 def similarity(code_a: np.ndarray, count_a: np.ndarray, code_b: np.ndarray, count_b: np.ndarray) -> float:
     """Weighted Jaccard of two sorted shingle multisets."""
     at = np.searchsorted(code_b, code_a)
@@ -162,19 +146,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                data, offsets = flat(batch.column(name))
-                row, code, count = shingles(data, offsets)
-                sides.append((code, count, np.searchsorted(row, np.arange(len(offsets)))))
-            (ca, na, ia), (cb, nb, ib) = sides
-            good = [similarity(ca[ia[k]:ia[k + 1]], na[ia[k]:ia[k + 1]], cb[ib[k]:ib[k + 1]], nb[ib[k]:ib[k + 1]])
-                    >= threshold for k in range(batch.num_rows)]
+            (data_a, at_a), (data_b, at_b) = flat(batch.column("text_a")), flat(batch.column("text_b"))
+            good = []
+            for i, j in slices(at_a + at_b):
+                code_a, count_a, cut_a = _bags(data_a, at_a[i:j + 1])
+                code_b, count_b, cut_b = _bags(data_b, at_b[i:j + 1])
+                good += [similarity(code_a[p:q], count_a[p:q], code_b[r:s], count_b[r:s]) >= threshold
+                         for p, q, r, s in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True)]
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    # a batch of pairs is handled at once: keep it small, as texts can be long
-    return both.repartition(F.col("a"), F.col("b")).mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(shingles, counts, place of each row's first shingle) of a range of rows."""
+    row, code, count = shingles(data[offsets[0]:offsets[-1]], offsets - offsets[0])
+    return code, count, np.searchsorted(row, np.arange(len(offsets))).tolist()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -188,26 +176,25 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         left = classes.select(F.col("id").alias("a"), F.col("class").alias("class_a"))
         right = classes.select(F.col("id").alias("b"), F.col("class").alias("class_b"))
         between = links.join(left, "a").join(right, "b").where("class_a <> class_b")
-        hooks = checkpointed(between.select(F.greatest("class_a", "class_b").alias("class"),
+        hooks = written(between.select(F.greatest("class_a", "class_b").alias("class"),
                                             F.least("class_a", "class_b").alias("to"))
                              .groupBy("class").agg(F.min("to").alias("to")))
         if hooks.isEmpty():
             return classes
         while True:  # a hook's target may be hooked itself
             on = hooks.select(F.col("class").alias("to"), F.col("to").alias("further"))
-            shorter = checkpointed(hooks.join(on, "to", "left").select(
+            shorter = written(hooks.join(on, "to", "left").select(
                 "class", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
             hooks = shorter.select("class", "to")
             if shorter.where("moved").isEmpty():
                 break
-        classes = checkpointed(classes.join(hooks, "class", "left")
+        classes = written(classes.join(hooks, "class", "left")
                                .select("id", F.coalesce("to", "class").alias("class")))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                     bands: int = 24, rows: int = 3) -> DataFrame:
-    """(id, class_id, n_links): per row its class, the least key of its group, and
-    how many verified links its text has to other texts.
+    """(id, class_id): per row its class, the least key of its group.
 
     At a similarity of 0.8, 24 bands of 3 slots miss a pair with a probability
     of 4e-8; at 0.3 they propose it with one of 0.5.
@@ -217,63 +204,60 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     signed = checkpointed(with_bands(docs, text_col="text", bands=bands, rows=rows).select("id", "digest", "bands"))
     # one row for each text: copies, however many, meet in partial aggregates
     texts = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("id"), F.min("bands").alias("bands")))
-    buckets = (texts.where(F.size("bands") > 0)
-               .select("id", F.explode("bands").alias("bucket")))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = checkpointed(buckets.join(shared.select("bucket", "leader"), "bucket"))
+    buckets = texts.where(F.size("bands") > 0).select("id", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = buckets.join(shared, "bucket")
+    # texts that agree with many others make the best leaders of a bucket
+    weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    members = written(members.select("bucket", "id").join(weight, "id"))
     involved = members.select("id").distinct()
     whole = checkpointed(docs.join(involved, "id", "left_semi").dropDuplicates(["id"]))
 
-    # first each text against the least leader of its buckets, then the others where classes still differ
-    first = members.groupBy("id").agg(F.min("leader").alias("a")).where("a < id").select("a", F.col("id").alias("b"))
-    links = checkpointed(_verified(first, whole, threshold))
-    tried = first
-    classes = components(involved, links)
-    again = _across(members, classes, F.col("leader"))
-    while again is not None:
-        pairs = checkpointed(again.join(tried, ["a", "b"], "left_anti"))
-        new = checkpointed(_verified(pairs, whole, threshold))
-        tried = checkpointed(tried.unionByName(pairs))
-        if new.isEmpty():
-            break
-        links = checkpointed(links.unionByName(new))
+    # first each text against the best of its candidates, then against all that are still of another class
+    classes = involved.withColumn("class", F.col("id"))
+    pairs = written(_candidates(members, classes).groupBy("b")
+                         .agg(F.max(F.struct("weight", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+    links = written(_verified(pairs, whole, threshold))
+    tried, found_links = pairs, True
+    while found_links:
         classes = components(involved, links)
-        again = _between_leaders(members, classes)
-    return _results(df, signed, texts, classes, links, id_col)
-
-
-def _pairs(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _across(members: DataFrame, classes: DataFrame, leader: Column) -> DataFrame:
-    """(leader, member) of each bucket whose classes differ."""
-    of = classes.select(F.col("id").alias("leader"), F.col("class").alias("leader_class"))
-    return (members.join(classes, "id").join(of, "leader").where("class <> leader_class")
-            .select(*_pairs(leader, F.col("id"))).distinct())
-
-
-def _between_leaders(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(member, leader of another class) within each bucket that holds several classes."""
-    placed = members.select("bucket", "id").join(classes, "id")
-    heads = placed.groupBy("bucket", "class").agg(F.min("id").alias("head"))
-    mixed = heads.groupBy("bucket").count().where("count > 1").select("bucket")
-    heads = heads.join(mixed, "bucket", "left_semi").withColumnRenamed("class", "head_class")
-    return (placed.join(heads, "bucket").where("class <> head_class")
-            .select(*_pairs(F.col("id"), F.col("head"))).distinct())
-
-
-def _results(df: DataFrame, signed: DataFrame, texts: DataFrame, classes: DataFrame, links: DataFrame,
-             id_col: str) -> DataFrame:
-    ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
-    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_text = (texts.select("digest", "id").join(classes, "id", "left").join(degree, "id", "left")
-               .select("digest", F.coalesce("class", "id").alias("class_id"),
-                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    found = signed.select("id", "digest").join(of_text, "digest").select(F.col("id").alias(id_col), "class_id", "n_links")
+        members = _mixed(members, classes)
+        pairs = written(_candidates(members, classes).select("a", "b").distinct()
+                             .join(tried, ["a", "b"], "left_anti"))
+        new = written(_verified(pairs, whole, threshold))
+        links = written(links.unionByName(new))
+        tried, found_links = written(tried.unionByName(pairs)), not new.isEmpty()
+    return _results(df, signed, texts, classes, id_col)
+
+
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes; the others hold one for good."""
+    several = (members.join(classes, "id").groupBy("bucket")
+               .agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("bucket"))
+    return written(members.join(several, "bucket", "left_semi"))
+
+
+def _candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, weight): in each bucket of several classes each member b with a
+    leader a of another class, the heaviest there is; one row a member and bucket at most."""
+    placed = members.join(classes, "id")
+    heads = placed.groupBy("bucket", "class").agg(F.max(F.struct("weight", F.col("id").alias("id"))).alias("head"))
+    heads = written(heads)
+    best = heads.groupBy("bucket").agg(F.max(F.struct("head", "class")).alias("one"), F.count(F.lit(1)).alias("n"))
+    best = best.where("n > 1").drop("n")
+    other = (heads.join(best, "bucket").where("class <> one.class")
+             .groupBy("bucket").agg(F.max("head").alias("two"), F.first("one").alias("one")))
+    leader = F.when(F.col("class") == F.col("one.class"), F.col("two")).otherwise(F.col("one.head"))
+    return (placed.join(other, "bucket").select(leader.alias("leader"), F.col("id").alias("b"))
+            .select(F.col("leader.id").alias("a"), "b", F.col("leader.weight").alias("weight")))
+
+
+def _results(df: DataFrame, signed: DataFrame, texts: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    of_text = (texts.select("digest", "id").join(classes, "id", "left")
+               .select("digest", F.coalesce("class", "id").alias("class_id")))
+    found = signed.select("id", "digest").join(of_text, "digest").select(F.col("id").alias(id_col), "class_id")
     nulls = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col),
-                                                    F.lit(None).cast("long").alias("class_id"),
-                                                    F.lit(0).cast("long").alias("n_links"))
+                                                    F.lit(None).cast("long").alias("class_id"))
     return found.unionByName(nulls)
 
 

@@ -94,7 +94,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate class of each document and its links to other texts."""
+    """Near-duplicate class of each document: the least doc_id of its group."""
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.
+
+    For loops: unlike a checkpoint, the table carries no constraints of the
+    plan behind it, which would grow with every round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_package(spark: SparkSession) -> SparkSession:
     """``spark`` with this repository on the path of its Python workers."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
