@@ -54,11 +54,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, and the checksum of the text they decode to."""
-    path = queries.tokenizer_path()
-    encoded = bpe_automaton.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    decoded = bpe_automaton.decode(encoded, path)
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    texts = docs.select("doc_id", "lang", "source", "text")
+    return (bpe_automaton.digest(texts, queries.tokenizer_path(), with_ids=True)
+            .select("doc_id", "lang", "source", "ids", "n_tokens", "decoded_sha256"))
 
 
 STAGES = [

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .buffers import SLICE, append_columns, flat, mix, range_hash, slices
 
 #: Pieces of text whose tokens a worker remembers, twice; beyond, the older half goes.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 #: Characters that str.split() takes for white space and the pattern \s doesn't.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -467,11 +467,11 @@ DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
            T.StructField("decoded_sha256", T.StringType())]
 
 
-def digest(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
+def digest(df: DataFrame, path: str, *, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``df`` with the count and the checksums of the ids and of the decoded text.
 
-    Encodes and decodes like ``encode`` and ``decode`` but leaves ids and
-    decoded texts in the worker.
+    Encodes and decodes like ``encode`` and ``decode``, in one worker, and
+    leaves the decoded texts there; ``with_ids`` adds the ids.
     """
     from hashlib import sha256
     get = _source(df, path)
@@ -479,11 +479,14 @@ def digest(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     def run(column: pa.Array, _) -> list[pa.Array]:
         tokenizer = get()
         decimal = [str(i) for i in range(len(tokenizer.label_at) - 1)]
-        counts, of_ids, of_text = [], [], []
+        counts, of_ids, of_text, kept = [], [], [], []
         for ids in _encoded(tokenizer, column):
             counts.append(len(ids))
+            if with_ids:
+                kept.append(ids)
             of_ids.append(sha256(" ".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
             of_text.append(sha256(tokenizer.decode(ids)).hexdigest())
-        return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        out = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return [*out, _lists(kept)] if with_ids else out
 
-    return append_columns(df, text_col, DIGESTS, run)
+    return append_columns(df, text_col, [*DIGESTS, IDS] if with_ids else DIGESTS, run)
