@@ -142,7 +142,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """Those of ``pairs`` (a, b) whose texts (id, text) are similar enough."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = (pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+            .select("a", "b", "text_a", "text_b"))
 
     def run(batches):
         for batch in batches:
@@ -165,13 +166,12 @@ def _bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, count, np.searchsorted(row, np.arange(len(offsets))).tolist()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, class) with the least id of each connected component; links (a, b) join ids of ``nodes``.
+def components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class) after the links (a, b) have joined the classes of their ends; a joined class has its least name.
 
     Every round hooks the larger of two linked classes to the smaller and then
     follows the hooks, so that chains shorten by half and more.
     """
-    classes = nodes.select("id", F.col("id").alias("class"))
     while True:
         left = classes.select(F.col("id").alias("a"), F.col("class").alias("class_a"))
         right = classes.select(F.col("id").alias("b"), F.col("class").alias("class_b"))
@@ -211,7 +211,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     members = written(members.select("bucket", "id").join(weight, "id"))
     involved = members.select("id").distinct()
-    whole = checkpointed(docs.join(involved, "id", "left_semi").dropDuplicates(["id"]))
+    # ids and pairs grow with the documents: shuffle joins at every size
+    whole = checkpointed(docs.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
 
     # first each text against the best of its candidates, then against all that are still of another class
     classes = involved.withColumn("class", F.col("id"))
@@ -220,13 +221,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = written(_verified(pairs, whole, threshold))
     tried, found_links = pairs, True
     while found_links:
-        classes = components(involved, links)
+        classes = components(classes, links)
         members = _mixed(members, classes)
         pairs = written(_candidates(members, classes).select("a", "b").distinct()
                              .join(tried, ["a", "b"], "left_anti"))
-        new = written(_verified(pairs, whole, threshold))
-        links = written(links.unionByName(new))
-        tried, found_links = written(tried.unionByName(pairs)), not new.isEmpty()
+        links = written(_verified(pairs, whole, threshold))
+        tried, found_links = written(tried.unionByName(pairs)), not links.isEmpty()
     return _results(df, signed, texts, classes, id_col)
 
 

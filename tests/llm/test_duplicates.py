@@ -87,7 +87,7 @@ def test_signature_agreement_is_weighted_jaccard():
 
 
 def test_components(spark):
-    nodes = spark.range(0, 40)
+    nodes = spark.range(0, 40).selectExpr("id", "id as class")
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 39)] + [(3, 9), (9, 4), (4, 20)], "a long, b long")
     got = {r["id"]: r["class"] for r in bagminhash.components(nodes, links).collect()}
     assert {i for i, c in got.items() if c == 3} == {3, 4, 9, *range(20, 40)}
