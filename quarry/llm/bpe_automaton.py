@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .buffers import SLICE, append_columns, flat, mix, range_hash, slices
 
 #: Pieces of text whose tokens a worker remembers, twice; beyond, the older half goes.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Characters that str.split() takes for white space and the pattern \s doesn't.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
