@@ -19,8 +19,10 @@ its pairs: each member is compared with one leader, the text of another class
 that agrees with the most texts overall, which is the one nearest to the
 middle of a group of variants.  While comparisons link anything, classes are
 joined and the members of buckets with several classes compared with the
-leaders that this leaves.  Links are verified on the whole shingle multisets;
-classes are the connected components, found by repeated hooking.
+leaders that this leaves.  What then still shares a bucket with another class
+is joined exactly, by the rarest shingles (``_across``).  Links are verified on
+the whole shingle multisets; classes are the connected components, found by
+repeated hooking.
 
 Words are runs without white space, as written.  A text of one to four words
 has one shingle, all of it; a text without words is linked to nothing but its
@@ -227,6 +229,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                              .join(tried, ["a", "b"], "left_anti"))
         links = written(_verified(pairs, whole, threshold))
         tried, found_links = written(tried.unionByName(pairs)), not links.isEmpty()
+    # a leader is one text of another class: what no leader has settled is joined exactly
+    if not members.isEmpty():
+        pairs = written(_across(members.select("id").distinct(), whole, classes, threshold)
+                        .join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                              ["a", "b"], "left_anti"))
+        classes = components(classes, written(_verified(pairs, whole, threshold)))
     return _results(df, signed, texts, classes, id_col)
 
 
@@ -252,6 +260,71 @@ def _candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
             .select(F.col("leader.id").alias("a"), "b", F.col("leader.weight").alias("weight")))
 
 
+#: 64-bit words of the parity sketch of a shingle multiset.
+SKETCH = 4
+
+
+def _items(texts: DataFrame) -> DataFrame:
+    """(id, size, sketch, items) of ``texts`` (id, text): one 64-bit item for each shingle and repeat of it.
+
+    The sketch has the parities of the items' numbers in 64 * SKETCH cells, so
+    two sketches differ in no more cells than their multisets differ in items.
+    """
+    def run(batches):
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            for a, b in slices(offsets):
+                row, code, count = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                ends = np.cumsum(count)
+                nth = np.arange(count.sum()) - np.repeat(ends - count, count)
+                item = mix(np.repeat(code, count) + nth.astype(np.uint64) * _GOLDEN)
+                row = np.repeat(row, count)
+                size = np.bincount(row, minlength=b - a)
+                cell = row * (64 * SKETCH) + (mix(item) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH)
+                odd = (np.bincount(cell, minlength=(b - a) * 64 * SKETCH) & 1).astype(np.uint8)
+                sketch = np.packbits(odd).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(a, b - a), pa.array(size, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * SKETCH, pa.int32()), pa.array(sketch)),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()),
+                                              pa.array(item.view(np.int64)))],
+                    names=["id", "size", "sketch", "items"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, size long, sketch array<long>, items array<long>")
+
+
+def _across(ids: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: a superset of the pairs of ``ids`` of different classes that are similar enough.
+
+    Prefix filter: with all items in one order, two similar texts share one of
+    the first size - ceil(threshold * size) + 1 of each.  The order puts items
+    of one class only first, as no pair of classes shares them, then the rare
+    ones.  A pair goes on if its sizes, the places of the shared item and the
+    sketches leave room for the similarity.
+    """
+    found = written(_items(texts.join(ids.hint("merge"), "id", "left_semi")).join(classes.hint("merge"), "id"))
+    item = found.select("id", "class", F.explode("items").alias("item"))
+    held = (item.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("most"))
+            .where("least < most").select("item", "n"))
+    ranked = (item.hint("merge").join(held, "item")
+              .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked")))
+    rest = F.col("size") - F.size("ranked")  # items of one class only
+    first = (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1 - rest).cast("int")
+    placed = (found.drop("items").hint("merge").join(ranked, "id").where(first > 0)
+              .select("id", "class", "size", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)],
+                      rest.alias("rest"), F.posexplode(F.slice("ranked", F.lit(1), first)).alias("place", "one"))
+              .withColumn("left", F.col("size") - F.col("rest") - F.col("place")).withColumn("item", F.col("one.item"))
+              .drop("rest", "place", "one"))
+    placed = written(placed)
+    a, b = placed.alias("a"), placed.alias("b")
+    both = F.col("a.size") + F.col("b.size")
+    shared = F.lit(threshold / (1 + threshold)) * both - 1e-6  # items that similar texts share at least
+    apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    room = ((F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.class") != F.col("b.class"))
+            & (F.least("a.left", "b.left") >= shared) & (apart <= both - 2 * shared))
+    return a.hint("merge").join(b, room).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def _results(df: DataFrame, signed: DataFrame, texts: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
     of_text = (texts.select("digest", "id").join(classes, "id", "left")
                .select("digest", F.coalesce("class", "id").alias("class_id")))

@@ -60,6 +60,21 @@ def test_classes_against_brute_force(spark):
     assert kept == set(_classes(texts).values())
 
 
+def test_classes_of_loose_variants(spark):
+    """Variants that are like few others, none of them a leader of their buckets."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for i in range(300):
+        words = [f"w{k}" for k in range(120)]
+        for k in rng.choice(20, 2, replace=False):
+            words[6 * k + 2] = f"v{i}x{k}"
+        texts[i] = " ".join(words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(frame).collect()}
+    assert got == _classes(texts)
+    assert 100 < len(set(got.values())) < 200
+
+
 def test_near_duplicate_edges(edge, empty):
     got = bagminhash.near_duplicates(edge).collect()
     assert len(got) == edge.count()
