@@ -1,15 +1,17 @@
 """Document scores by cross-entropy difference of two n-gram models.
 
 A target and a background model of the same form (interpolated word bigrams)
-share one vocabulary: words and word pairs hash into tables of a fixed,
-documented size, the same for both.  The background counts come from all
-documents, the target counts from all target documents.  A document scores the
-mean over its words of (background loss - target loss), in nats: the higher,
-the more it reads like the target.
-
-Counting keeps one array per task and sends it by blocks of the table; blocks
-are summed where they meet, so what moves grows with the number of tasks and
-what a task or the driver holds is bounded by the table.
+share one vocabulary, all distinct words of both.  The background counts come
+from all documents, the target counts from all target documents.  A document
+scores the mean over its words of (background loss - target loss), in nats:
+the higher, the more it reads like the target.
+
+Every distinct word and word pair has a count of its own (by 64-bit keys), in
+tables that grow with the corpus and that no process holds whole: documents
+are put into blocks, a block sends one row for each of its distinct keys, the
+rows of a key meet for its totals, and each block gets those of its own keys
+back.  A key has one row a block at most (two where a read splits a block),
+however frequent it is.
 
 Words are runs without white space, lower-cased in A-Z; the first word of a
 text follows a start mark.
@@ -26,90 +28,108 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import LOWER, append_columns, flat, mix, slices, words
+from .buffers import LOWER, flat, mix, slices, words
+from .shared import written
 
-#: log2 of the sizes of the word table and of the pair table.
+#: log2 of the words that smoothing spreads over, at least; more distinct words than that count as they are.
 WORD_BITS = 18
-PAIR_BITS = 21
-#: Cells of a table in one row of the shuffle.
-BLOCK = 1 << 16
-N_CELLS = (1 << WORD_BITS) + (1 << PAIR_BITS)
+#: Bytes of text in a block of documents, about.
+BLOCK = 1 << 24
+#: Key of the starts of texts; keys of words are odd, those of pairs even.
+START = np.uint64(0)
 
 
-def cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of the texts: (row, word cell, cell of the word before or -1, pair cell)."""
+def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of the texts: (row, word key, key of the word before or START, pair key)."""
     code, row = words(LOWER[data], offsets)
-    word = (code >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    word = code | np.uint64(1)
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
-    before = np.zeros(len(code), np.uint64)
-    before[1:] = code[:-1]
-    before[first] = 0
-    pair = (mix(before * np.uint64(0x9E3779B97F4A7C15) + code) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    context = np.full(len(word), -1, np.int64)
+    context = np.zeros(len(word), np.uint64)
     context[1:] = word[:-1]
-    context[first] = -1
-    return row, word, context, (1 << WORD_BITS) + pair
+    context[first] = START
+    pair = mix(context * np.uint64(0x9E3779B97F4A7C15) + word) & ~np.uint64(1)
+    return row, word, context, pair
 
 
-def count_cells(df: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """Counts of all cells over all texts, and as last item the number of texts with words."""
-    def count(batches):
-        total = np.zeros(N_CELLS + BLOCK, np.int64)
+def in_blocks(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``df`` with ``__block``, the block of each row, written so that blocks stay as they are."""
+    def run(batches):
+        block, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            data, offsets = flat(batch.column(0))
+            _, offsets = flat(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in slices(offsets):
-                row, word, _, pair = cells(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                total[:N_CELLS] += np.bincount(np.concatenate([word, pair]), minlength=N_CELLS)
-                total[N_CELLS] += len(np.unique(row))
-        used = [k for k in range(len(total) // BLOCK) if total[k * BLOCK:(k + 1) * BLOCK].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()),
-             pa.array([total[k * BLOCK:(k + 1) * BLOCK].tobytes() for k in used], pa.binary())], names=["block", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
+                if size >= BLOCK:
+                    block, size = block + 1, 0
+                size += int(offsets[b] - offsets[a])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(b - a, block))],
+                                                 names=[*batch.schema.names, "__block"])
+
+    return written(df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__block", T.LongType())])))
+
+
+def key_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(block, key, n): the distinct keys of each block of ``df`` and how often they occur there."""
+    def run(batches):
+        block, found, size = None, [], 0
+
+        def out():
+            key, n = _summed(found)
+            for k in range(0, len(key), 1 << 16):
+                part = key[k:k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part.view(np.int64)),
+                                                  pa.array(n[k:k + (1 << 16)])], names=["block", "key", "n"])
+
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                more = np.frombuffer(counts.as_py(), np.int64)
-                sums[block] = sums[block] + more if block in sums else more
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
-                                          pa.array([s.tobytes() for s in sums.values()], pa.binary())],
-                                         names=["block", "counts"])
-
-    schema = "block int, counts binary"
-    n = (N_CELLS + BLOCK) // BLOCK
-    parts = df.select(text_col).mapInArrow(count, schema).repartitionById(n, F.col("block")).mapInArrow(add, schema)
-    total = np.zeros(N_CELLS + BLOCK, np.int64)
-    for block, counts in parts.collect():  # one row per block of the tables
-        total[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(counts, np.int64)
-    return total[:N_CELLS + 1]
+            data, offsets = flat(batch.column(0))
+            of = batch.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if i < j and of[i] != block:
+                    if found:
+                        yield from out()
+                    block, found, size = of[i], [], 0
+                for a, b in slices(offsets[i:j + 1]):
+                    at = offsets[i + a:i + b + 1]
+                    row, word, _, pair = keys(data[at[0]:at[-1]], at - at[0])
+                    starts = np.full(len(np.unique(row)), START)
+                    key, n = np.unique(np.concatenate([word, pair, starts]), return_counts=True)
+                    found.append((key, n))
+                    size += len(key)
+                    if size > 1 << 21:
+                        found = [_summed(found)]
+                        size = 0
+        if found:
+            yield from out()
+
+    return df.select(text_col, "__block").mapInArrow(run, "block long, key long, n long")
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(key)).astype(np.int64)
 
 
 @dataclass
 class BigramModel:
     """Interpolated bigrams: half the pair's share of its context, half the smoothed share of the word."""
 
-    counts: np.ndarray
     n_words: float
-    n_texts: float
+    vocabulary: float
     weight: float = 0.5
     added: float = 0.1
 
-    @classmethod
-    def of(cls, counts: np.ndarray) -> BigramModel:
-        return cls(counts[:N_CELLS].astype(np.float32), float(counts[:1 << WORD_BITS].sum()), float(counts[N_CELLS]))
-
     def loss(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        single = (self.counts[word] + self.added) / (self.n_words + self.added * (1 << WORD_BITS))
-        seen = np.where(context < 0, self.n_texts, self.counts[np.maximum(context, 0)])
-        # pairs of other words may share the cell
-        double = np.minimum(self.counts[pair] / np.maximum(seen, 1), 1.0)
-        return -np.log(np.where(seen > 0, self.weight * double + (1 - self.weight) * single, single))
+        """Loss of words from the counts of the word, of what comes before it and of both together."""
+        single = (word + self.added) / (self.n_words + self.added * max(self.vocabulary, 1 << WORD_BITS))
+        double = pair / np.maximum(context, 1)
+        return -np.log(np.where(context > 0, self.weight * double + (1 - self.weight) * single, single))
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("target_loss", T.DoubleType()),
@@ -119,20 +139,44 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("target_loss",
 def score_documents(df: DataFrame, target: DataFrame, *, text_col: str = "text",
                     target_text_col: str = "text") -> DataFrame:
     """``df`` with the number of words, both mean losses and their difference."""
-    models = (BigramModel.of(count_cells(target, text_col=target_text_col)),
-              BigramModel.of(count_cells(df, text_col=text_col)))
-    shared = df.sparkSession.sparkContext.broadcast(models)  # two tables of N_CELLS 4-byte counts
-
-    def run(column: pa.Array, _) -> list[pa.Array]:
+    docs = in_blocks(df, text_col=text_col)
+    wanted = F.col(f"`{target_text_col}`").alias("__text")
+    ours = key_counts(docs, text_col=text_col).select("block", "key", F.lit(0).cast("long").alias("t"), F.col("n").alias("b"))
+    theirs = (key_counts(in_blocks(target.select(wanted), text_col="__text"), text_col="__text")
+              .groupBy("key").agg(F.sum("n").alias("t"))
+              .select(F.lit(None).cast("long").alias("block"), "key", "t", F.lit(0).cast("long").alias("b")))
+    counts = written(ours.unionByName(theirs))
+    single = counts.where("key % 2 <> 0").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    n, n_target, n_all = single.agg(F.count(F.lit(1)), F.sum("t"), F.sum("b")).first()
+    models = (BigramModel(float(n_target or 0), float(n)), BigramModel(float(n_all or 0), float(n)))
+    # a key has one row a block: no key is heavier than the number of blocks
+    totals = counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    back = (counts.where(F.col("block").isNotNull()).select("block", "key").hint("merge").join(totals, "key")
+            .select("block", "key", "t", "b"))
+    made = [f.name for f in FIELDS]
+    kept = [f for f in df.schema.fields if f.name not in made]
+    out = T.StructType([*kept, *FIELDS])
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        key = known.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        tables = [known.column(c).to_numpy()[order].astype(np.float64) for c in ("t", "b")]
+        column = rows.column(text_col).combine_chunks()
+        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
         data, offsets = flat(column)
         n, losses = [np.zeros(0, np.int64)], [np.zeros((0, 2))]
         for a, b in slices(offsets):
-            row, word, context, pair = cells(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            row, *parts = keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             count = np.bincount(row, minlength=b - a)
             n.append(count)
-            losses.append(np.stack([np.bincount(row, weights=m.loss(word, context, pair), minlength=b - a)
-                                    / np.maximum(count, 1) for m in shared.value], axis=1))
+            places = [np.searchsorted(key, part) for part in parts]
+            losses.append(np.stack([np.bincount(row, weights=model.loss(*(table[at] for at in places)) if len(row) else None,
+                                                minlength=b - a) / np.maximum(count, 1)
+                                    for model, table in zip(models, tables, strict=True)], axis=1))
         n, losses = np.concatenate(n), np.concatenate(losses)
-        return [pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]), pa.array(losses[:, 1] - losses[:, 0])]
+        return pa.table([*[rows.column(f.name) for f in kept], pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]),
+                         pa.array(losses[:, 1] - losses[:, 0])], names=out.names)
 
-    return append_columns(df, text_col, FIELDS, run)
+    return (docs.groupBy("__block").cogroup(back.withColumnRenamed("block", "__block").groupBy("__block"))
+            .applyInArrow(run, out))

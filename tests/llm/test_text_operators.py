@@ -125,6 +125,26 @@ def test_cross_entropy_difference(spark, edge, empty):
     assert lm_score.score_documents(empty, empty).count() == 0
 
 
+def test_losses_against_exact_counts(spark, monkeypatch):
+    """Thousands of words and pairs, none of which shares its count with another."""
+    monkeypatch.setattr(lm_score, "BLOCK", 4000, raising=False)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 6000, rng.integers(0, 60))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm_score.score_documents(frame, frame.where("doc_id % 3 = 0")).collect()}
+    assert len(got) == len(texts)
+    for column, part in (("target_loss", texts[::3]), ("background_loss", texts)):
+        single = Counter(w for t in part for w in t.split())
+        seen = single + Counter({None: sum(bool(t.split()) for t in part)})
+        pairs = Counter(p for t in part for p in zip([None, *t.split()], t.split()))
+        total = sum(single.values()) + 0.1 * (1 << lm_score.WORD_BITS)
+        for i, text in enumerate(texts):
+            losses = [-np.log(0.5 * pairs[a, b] / seen[a] + 0.5 * (single[b] + 0.1) / total if seen[a]
+                              else (single[b] + 0.1) / total) for a, b in zip([None, *text.split()], text.split())]
+            assert got[i][column] == pytest.approx(np.mean(losses) if losses else 0, rel=1e-9)
+            assert got[i]["n_tokens"] == len(losses)
+
+
 # ---------------------------------------------------------------- rules
 def _counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
