@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bagminhash, bpe_automaton, decontaminate, fasttext, queries, suffix_dedup
-from quarry.llm.shared import shared_folder, with_package
+from quarry.llm.shared import shared_folder, with_package, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,14 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Documents of which nothing is left go; ``n_chars`` follows the text.
     """
-    cut = suffix_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0")
-    cut = cut.groupBy("doc_id").agg(F.first("kept").alias("__kept"))
+    # a key of its own for each row, in the order of doc_id: null and repeated doc_ids keep to their own texts
+    tied = docs.withColumn("__tie", F.monotonically_increasing_id())
+    numbered = written(tied.orderBy(F.col("doc_id").asc_nulls_last(), "text", "__tie").drop("__tie")
+                       .withColumn("__row", F.monotonically_increasing_id()))
+    cut = suffix_dedup.remove_repeats(numbered, id_col="__row", with_text=True).where("n_removed > 0")
+    cut = cut.select("__row", F.col("kept").alias("__kept"))
     changed = F.col("__kept").isNotNull()
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["doc_id"]), "left").drop(cut["doc_id"])
-    return (joined.withColumn("text", F.coalesce("__kept", "text"))
+    return (numbered.join(cut, "__row", "left").withColumn("text", F.coalesce("__kept", "text"))
             .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
             .where(~(changed & (F.length(F.trim("text")) == 0))).select(*docs.columns))
 

@@ -31,6 +31,18 @@ def test_stages_take_odd_rows(spark, edge):
     assert corpus_pipeline.quality(spark, docs, SF).columns == docs.columns
 
 
+def test_cut_texts_stay_with_their_rows(spark):
+    passage = " ".join(f"passage{k}" for k in range(20))
+    rows = [(1, passage), (None, "first null " + passage + " tail"), (None, "second null"), (None, passage), (None, None),
+            (6, "six " + passage), (6, "another six"), (6, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "'en' as lang", "'a' as source", "cast(length(text) as long) as n_chars")
+    got = corpus_pipeline.suffix_dedup_stage(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [
+        (0, ""), (0, "first null tail"), (0, "second null"), (1, passage), (6, "another six"), (6, "six ")]
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+
+
 def test_queries_return_their_rows(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert set(queries.queries()) == {"op1_quality", "op2_bpe", "op3_suffix_dedup", "op4_lm_score", "op5_toxicity",
