@@ -178,8 +178,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, use: Col
     for value in (0, 1):
         some = labelled.where(F.col("y") == value).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows_per_class)
         picked = some if picked is None else picked.unionByName(some)
-    # 2 x rows_per_class short rows at most
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "y", id_col).collect()
+    # 2 x rows_per_class short rows at most, and as many texts: one for each key, however often it comes
+    rows = (docs.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, "y")
+            .agg(F.min(text_col).alias(text_col)).select(text_col, "y", id_col).collect())
     rows.sort(key=lambda r: (r[2], r[0] or "", r[1]))  # the order of training doesn't depend on the partitions
     return [r[0] or "" for r in rows], [r[1] for r in rows]
 

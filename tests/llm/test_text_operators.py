@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry.llm import adaptive_rules, bpe_automaton, decontaminate, fasttext, hash_tree, lm_score, queries, toxicity
 from quarry.llm.buffers import flat
 
@@ -29,6 +31,13 @@ def test_held_out_accuracy(spark, query, label, modulus, held, least):
     assert np.mean([a == b for a, b in tested]) >= least
 
 
+def test_sample_has_one_text_a_key(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), *[(2, "c")] * 50, (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = fasttext.labelled_sample(docs, labels, "quality", F.lit(True), 5)
+    assert got == (["a", "c", ""], [1, 0, 1])
+
+
 def test_folded_quality_score_is_the_softmax_of_the_mean():
     model = fasttext.train(["good words here"] * 20 + ["bad### bad### bad###"] * 20, [1] * 20 + [0] * 20)
     texts = ["good words here", "bad### bad### bad###", "", "x"]
