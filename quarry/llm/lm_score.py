@@ -9,8 +9,8 @@ the higher, the more it reads like the target.
 Every distinct word and word pair has a count of its own (by 64-bit keys), in
 tables that grow with the corpus and that no process holds whole: documents
 are put into blocks, a block sends one row for each of its distinct keys, the
-rows of a key meet for its totals, and each block gets those of its own keys
-back.  A key has one row a block at most (two where a read splits a block),
+rows of a key meet for its totals, and each block gets those back that it
+can't know itself.  A key has one row a block at most (two where a read splits a block),
 however frequent it is.
 
 Words are runs without white space, lower-cased in A-Z; the first word of a
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,36 +143,42 @@ def score_documents(df: DataFrame, target: DataFrame, *, text_col: str = "text",
     wanted = F.col(f"`{target_text_col}`").alias("__text")
     ours = key_counts(docs, text_col=text_col).select("block", "key", F.lit(0).cast("long").alias("t"), F.col("n").alias("b"))
     theirs = (key_counts(in_blocks(target.select(wanted), text_col="__text"), text_col="__text")
-              .groupBy("key").agg(F.sum("n").alias("t"))
-              .select(F.lit(None).cast("long").alias("block"), "key", "t", F.lit(0).cast("long").alias("b")))
-    counts = written(ours.unionByName(theirs))
+              .select(F.lit(None).cast("long").alias("block"), "key", F.col("n").alias("t"), F.lit(0).cast("long").alias("b")))
+    counts = ours.unionByName(theirs)
     single = counts.where("key % 2 <> 0").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     n, n_target, n_all = single.agg(F.count(F.lit(1)), F.sum("t"), F.sum("b")).first()
     models = (BigramModel(float(n_target or 0), float(n)), BigramModel(float(n_all or 0), float(n)))
-    # a key has one row a block: no key is heavier than the number of blocks
-    totals = counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    back = (counts.where(F.col("block").isNotNull()).select("block", "key").hint("merge").join(totals, "key")
-            .select("block", "key", "t", "b"))
+    # a key has one row a block: no key is heavier than the number of blocks; of a key
+    # that has no other row the block knows the total itself
+    same = Window.partitionBy("key")
+    back = (counts.select("block", "key", F.sum("t").over(same).alias("t"), F.sum("b").over(same).alias("b"),
+                          F.count(F.lit(1)).over(same).alias("rows"))
+            .where("rows > 1 and block is not null").drop("rows"))
     made = [f.name for f in FIELDS]
     kept = [f for f in df.schema.fields if f.name not in made]
     out = T.StructType([*kept, *FIELDS])
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        key = known.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        tables = [known.column(c).to_numpy()[order].astype(np.float64) for c in ("t", "b")]
-        column = rows.column(text_col).combine_chunks()
-        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-        data, offsets = flat(column)
-        n, losses = [np.zeros(0, np.int64)], [np.zeros((0, 2))]
+        column = rows.column(text_col)
+        data, offsets = flat(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string()))
+        parts, found = [], []
         for a, b in slices(offsets):
-            row, *parts = keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            count = np.bincount(row, minlength=b - a)
+            parts.append((b - a, *keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])))
+            _, row, word, _, pair = parts[-1]
+            starts = np.full(len(np.unique(row)), START)
+            found.append(np.unique(np.concatenate([word, pair, starts]), return_counts=True))
+        key, own = _summed(found) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        tables = np.zeros(len(key)), own.astype(np.float64)
+        at = np.searchsorted(key, known.column("key").to_numpy().view(np.uint64))
+        for table, c in zip(tables, ("t", "b"), strict=True):
+            table[at] = known.column(c).to_numpy()
+        n, losses = [np.zeros(0, np.int64)], [np.zeros((0, 2))]
+        for size, row, *parts_of in parts:
+            count = np.bincount(row, minlength=size)
             n.append(count)
-            places = [np.searchsorted(key, part) for part in parts]
-            losses.append(np.stack([np.bincount(row, weights=model.loss(*(table[at] for at in places)) if len(row) else None,
-                                                minlength=b - a) / np.maximum(count, 1)
+            places = [np.searchsorted(key, part) for part in parts_of]
+            losses.append(np.stack([np.bincount(row, weights=model.loss(*(table[place] for place in places)) if len(row) else None,
+                                                minlength=size) / np.maximum(count, 1)
                                     for model, table in zip(models, tables, strict=True)], axis=1))
         n, losses = np.concatenate(n), np.concatenate(losses)
         return pa.table([*[rows.column(f.name) for f in kept], pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]),
