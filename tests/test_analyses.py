@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans import analyses
 from quarry.sources import datasets, standins
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def _tmp():

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quarry.sources.tables import TABLES
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 SQL = entry.oracle_sql()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans import recommend, scaling
 from quarry.sources import standins
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def test_cluster_profile_matches_brute_force(spark):

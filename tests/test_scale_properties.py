@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarry.plans import weblog
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def _plan(df):

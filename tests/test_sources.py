@@ -12,7 +12,7 @@ from quarry.sources import standins
 from quarry.sources.tables import (
     positional_schema, read_csv, read_headerless_csv, read_log_text, split_features_label,
 )
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def _tmp():
