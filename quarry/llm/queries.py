@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hash_tree, host_boilerplate, lm_score, suffix_dedup, toxicity
+from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hard_negatives, hash_tree, host_boilerplate, lm_score, oracle, suffix_dedup, toxicity
 from .shared import with_package
 
 #: The published tokenizer of op2 and of the pipeline.
@@ -122,6 +122,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector; every 7th vector counts under the next label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), anchor=F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -134,8 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_extraction": op9_extraction,
         "op10_sharding": op10_sharding,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.all_sql()
