@@ -5,10 +5,10 @@ from __future__ import annotations
 OP11 = """
 WITH taking_part AS (
   SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+         [floor(256 * x::DOUBLE) for x in embedding] AS v
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
   SELECT a.n AS anchor, a.vec_id AS anchor_id, r.n, r.vec_id, r.label = a.label AS same,
          list_dot_product(a.v, r.v)::BIGINT AS score
