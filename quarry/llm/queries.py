@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, bagminhash, bpe_automaton, decontaminate, fasttext, hard_negatives, hash_tree, host_boilerplate, lm_score, oracle, suffix_dedup, toxicity
+from . import adaptive_rules, bagminhash, bpe_automaton, consistent_parse, decontaminate, fasttext, hard_negatives, hash_tree, host_boilerplate, lm_score, oracle, suffix_dedup, toxicity
 from .shared import with_package
 
 #: The published tokenizer of op2 and of the pipeline.
@@ -129,6 +129,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", moved), anchor=F.col("vec_id") % 50 == 0)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and their likeness."""
+    return consistent_parse.against_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_extraction": op9_extraction,
         "op10_sharding": op10_sharding,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_fingerprints": op12_fingerprints,
     }
 
 
