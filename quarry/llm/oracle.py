@@ -24,6 +24,26 @@ FROM positive p JOIN scored s
 QUALIFY rank <= 3
 """
 
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+OP13 = f"""
+WITH doc AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents),
+whole AS (SELECT count(*)::BIGINT AS n, sum(len(terms))::BIGINT AS l FROM doc WHERE len(terms) > 0),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM doc) GROUP BY ALL),
+item AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark),
+use AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(terms) AS term FROM item) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * max(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, whole WHERE term IN (SELECT term FROM use) GROUP BY term),
+scored AS (
+  SELECT i, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(doc.terms) * n) // l))))::BIGINT AS score
+  FROM use JOIN weight USING (term) JOIN tf USING (term) JOIN doc USING (d), whole GROUP BY i, d)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored JOIN doc USING (d) JOIN item USING (i) WHERE score > 0
+QUALIFY rank <= 20
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op11_hard_negatives": OP11}
+    return {"op11_hard_negatives": OP11, "op13_search": OP13}

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, bagminhash, bpe_automaton, consistent_parse, decontaminate, fasttext, hard_negatives, hash_tree, host_boilerplate, lm_score, oracle, suffix_dedup, toxicity
+from . import adaptive_rules, bagminhash, block_max_search, bpe_automaton, consistent_parse, decontaminate, fasttext, hard_negatives, hash_tree, host_boilerplate, lm_score, oracle, suffix_dedup, toxicity
 from .shared import with_package
 
 #: The published tokenizer of op2 and of the pipeline.
@@ -134,6 +134,12 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_parse.against_next(table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    index = block_max_search.build_index(table(spark, sf_dir, "documents"))
+    return block_max_search.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -148,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_fingerprints": op12_fingerprints,
+        "op13_search": op13_search,
     }
 
 
