@@ -196,15 +196,15 @@ def sketched(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def packed(names: np.ndarray, slots: np.ndarray) -> pa.Array:
     """Fingerprints in bytes: the name in 8, then two slots in 3."""
     even, odd = slots[:, ::2].astype(np.int64), slots[:, 1::2].astype(np.int64)
-    three = np.stack([even >> 4, (even & 15) << 4 | odd >> 8, odd & 255], axis=2).reshape(len(slots), -1).astype(np.uint8)
-    rows = np.concatenate([names.astype(">u8").view(np.uint8).reshape(-1, 8), three], axis=1)
+    three = np.stack([even >> 4, (even & 15) << 4 | odd >> 8, odd & 255], axis=2).reshape(len(slots), SLOTS * 3 // 2).astype(np.uint8)
+    rows = np.concatenate([names.astype(">u8").view(np.uint8).reshape(len(names), 8), three], axis=1)
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
 def unpacked(fingerprints: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(b"".join(fingerprints), np.uint8).reshape(len(fingerprints), -1)
+    rows = np.frombuffer(b"".join(fingerprints), np.uint8).reshape(len(fingerprints), 8 + SLOTS * 3 // 2)
     names = rows[:, :8].copy().view(">u8").ravel().astype(np.uint64)
-    three = rows[:, 8:].astype(np.int16).reshape(len(rows), -1, 3)
+    three = rows[:, 8:].astype(np.int16).reshape(len(rows), SLOTS // 2, 3)
     even, odd = three[:, :, 0] << 4 | three[:, :, 1] >> 4, (three[:, :, 1] & 15) << 8 | three[:, :, 2]
     return names, np.stack([even, odd], axis=2).reshape(len(rows), SLOTS)
 
