@@ -14,16 +14,16 @@ and the cut planes can add or take away.  Rows whose interval, level after
 level, can't hold a score that is asked for are dropped, all others are scored
 in integers: the intervals are never used as scores.
 
-Rows are packed into blocks in the order of their labels, anchors likewise.
-Every block of anchors meets every block of rows, in tiles that carry codes
-and integers of both; a tile sends its best rows of each anchor on, and these
-meet in a window that is cut before the shuffle.  A frequent label only fills
-more blocks, so no task and no tile grows with it.  The first round finds the
-positives (same label), the second the negatives in their score ranges.
+Rows are dealt evenly into blocks, anchors are packed as they come.  Every
+block of anchors meets every block of rows, in tiles that carry codes and
+integers of both; a tile sends its best rows of each anchor on, and these meet
+in a window that is cut before the shuffle.  No task and no tile grows with a
+frequent label.  The first round finds the positives (same label), the second
+the negatives in their score ranges.
 
 Cases: rows with a null label, a null vector or a null or non-finite component
 take no part; so do rows with a component too large for exact 64-bit scores
-(2^20 for 64 components at a scale of 256); shorter vectors are filled up with
+(2^19 for 64 components at a scale of 256); shorter vectors are filled up with
 zeros; an empty vector scores 0 everywhere; a null key is never an anchor and
 comes last in ties; rows that repeat a key are rows of their own, so an
 anchor's copy is one of its "other rows", and each anchor row gets its result;
@@ -268,7 +268,7 @@ def mine(df: DataFrame, *, anchor: Column, id_col: str = "vec_id", vector_col: s
     width = int(df.agg(F.max(F.size(vector_col))).first()[0] or 0)
     rows = written(_rows(df, id_col, vector_col, label_col, anchor, scale, width)
                    .withColumn("number", F.monotonically_increasing_id()))
-    blocks = written(_packed(rows.repartition(F.pmod("number", F.lit(1 << 20))), ROWS, width, []))
+    blocks = written(_packed(rows.repartition(-(-rows.count() // ROWS) or 1), ROWS, width, []))
     cells = max(1, blocks.count() // 2)
     anchors = rows.where("anchor").select("number", "id", "label", "vector")
 
