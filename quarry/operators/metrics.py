@@ -10,9 +10,12 @@ curve instead.
 from __future__ import annotations
 
 from pyspark.ml.evaluation import (
-    BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator,
+    BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator,
 )
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -118,6 +121,35 @@ def auc_evaluator(label_col: str, raw_col: str = "rawPrediction") -> BinaryClass
                                          metricName="areaUnderROC")
 
 
+class ExactAuc(Evaluator):
+    """M4 as an evaluator: the exact area under the ROC curve, so that a grid
+    search doesn't select on a curve of 1,000 bins. The score is a number or,
+    of a vector, its entry for class 1; higher means class 1."""
+
+    labelCol = Param(Params._dummy(), "labelCol", "column of the 0/1 label", TypeConverters.toString)
+    scoreCol = Param(Params._dummy(), "scoreCol", "column of the score", TypeConverters.toString)
+
+    def __init__(self, label_col: str = "label", score_col: str = "rawPrediction") -> None:
+        super().__init__()
+        self._set(labelCol=label_col, scoreCol=score_col)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        label = self.getOrDefault(self.labelCol)
+        scored = dataset.select(F.col(label), class_score(dataset, self.getOrDefault(self.scoreCol)).alias("_score"))
+        found = auc_exact(scored, label, "_score").first()["auc"]
+        return float("nan") if found is None else float(found)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def class_score(df: DataFrame, score_col: str) -> Column:
+    """A score as a number: itself, or a vector's entry for class 1."""
+    if isinstance(df.schema[score_col].dataType, VectorUDT):
+        return vector_to_array(F.col(score_col)).getItem(1)
+    return F.col(score_col).cast("double")
+
+
 def evaluation_table(spark: SparkSession, scored: dict[str, DataFrame], evaluators: dict) -> DataFrame:
     """M5: ``(model, metric, value)`` for each scored DataFrame and evaluator.
 
@@ -133,7 +165,6 @@ def classification_report(scored: DataFrame, label_col: str, group_cols=None,
                           prob_col: str = "probability") -> DataFrame:
     """M3 + M4 in DataFrame form: accuracy and exact AUC (positive-class
     probability as the score) per group."""
-    from pyspark.ml.functions import vector_to_array
     keys = _as_list(group_cols) or ["_all"]
     y = (F.col(label_col).cast("double") == 1.0).cast("long")
     hit = (F.col(label_col).cast("double") == F.col("prediction").cast("double")).cast("long")

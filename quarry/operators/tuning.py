@@ -10,13 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.aggregates import arg_best
+from quarry.operators.compiled import export_trees, features_array
 from quarry.operators.grids import metric_matrix
+from quarry.operators.metrics import class_score
 from quarry.operators.splits import SEED
 
 # The recorded grids.
@@ -49,6 +54,91 @@ def cross_validate(estimator, param_maps: list, evaluator, data: DataFrame, fold
     return cv.fit(data)
 
 
+@dataclass(frozen=True)
+class Point:
+    """A grid point of boosted trees: its place in the grid, its steps and its depth."""
+
+    index: int
+    steps: int
+    depth: int
+
+
+def boosting_groups(estimator, param_maps: list) -> list[tuple[dict, list[Point]]]:
+    """The grid points that differ in ``maxIter`` and ``maxDepth`` only, with their other parameters."""
+    steps, depth = estimator.getParam("maxIter"), estimator.getParam("maxDepth")
+    groups: dict[tuple, tuple[dict, list[Point]]] = {}
+    for i, params in enumerate(param_maps):
+        rest = {p: v for p, v in params.items() if p not in (steps, depth)}
+        key = tuple(sorted((p.name, str(v)) for p, v in rest.items()))
+        groups.setdefault(key, (rest, []))[1].append(
+            Point(i, params.get(steps, estimator.getOrDefault(steps)), params.get(depth, estimator.getOrDefault(depth))))
+    return list(groups.values())
+
+
+def served(points: Sequence[Point], steps: int, depth: int, tree_depths: Sequence[int]) -> list[Point]:
+    """The points whose model is the start of a fit with ``steps`` trees of at most ``depth``.
+
+    Boosting adds one tree after the other, so a shorter fit is the start of a
+    longer one.  A smaller depth changes nothing until a tree goes deeper.
+    """
+    return [p for p in points if p.steps <= steps and p.depth <= depth
+            and (p.depth == depth or max(tree_depths[:p.steps], default=0) <= p.depth)]
+
+
+def fit_boosted(estimator, rest: dict, points: Sequence[Point], train: DataFrame) -> list[tuple[object, list[Point]]]:
+    """Models and the points that each serves: the deepest and longest first, then what it leaves."""
+    steps, depth = estimator.getParam("maxIter"), estimator.getParam("maxDepth")
+    found, left = [], list(points)
+    while left:
+        deepest = max(p.depth for p in left)
+        longest = max(p.steps for p in left if p.depth == deepest)
+        model = estimator.fit(train, {**rest, steps: longest, depth: deepest})
+        done = served(left, longest, deepest, [t.depth for t in model.trees])
+        found.append((model, done))
+        left = [p for p in left if p not in done]
+    return found
+
+
+def prefix_scores(model, data: DataFrame, label_col: str, features_col: str, points: Sequence[tuple[int, int]]) -> DataFrame:
+    """(label, grid_index, score): the margins of the first ``n`` trees of a boosted
+    ensemble for every (grid index, n) of ``points``, in one pass over ``data``."""
+    margins = export_trees(data.sparkSession, model).margins(features_array(features_col), [n for _, n in points])
+    index = F.array(*[F.lit(i) for i, _ in points])
+    return (data.select(F.col(label_col), F.posexplode(margins).alias("place", "score"))
+            .select(label_col, F.get(index, F.col("place")).alias("grid_index"), "score"))
+
+
+def search_folds(estimator, param_maps: list, folds: Sequence[tuple[DataFrame, DataFrame]], parallelism: int = 4) -> DataFrame:
+    """G2 on given (training, validation) folds: ``(label, grid_index, fold, score)`` of
+    every validation row at every grid point.
+
+    Fits run side by side, ``parallelism`` at a time, over all folds; nothing is
+    scored until the metric is taken, of all models in one aggregate.  Boosted
+    trees are fitted once for all points that a fit serves.
+    """
+    label, features = estimator.getLabelCol(), estimator.getFeaturesCol()
+    boosted = isinstance(estimator, GBTClassifier)
+
+    def one(fold: int, index: int) -> DataFrame:
+        train, valid = folds[fold]
+        scored = estimator.fit(train, param_maps[index]).transform(valid)
+        return scored.select(label, F.lit(index).alias("grid_index"), class_score(scored, "rawPrediction").alias("score"),
+                             F.lit(fold).alias("fold"))
+
+    def several(fold: int, rest: dict, points: list[Point]) -> DataFrame:
+        train, valid = folds[fold]
+        return united([prefix_scores(model, valid, label, features, [(p.index, p.steps) for p in done])
+                       for model, done in fit_boosted(estimator, rest, points, train)]).withColumn("fold", F.lit(fold))
+
+    jobs = [lambda k=k, g=g: several(k, *g) for k in range(len(folds)) for g in boosting_groups(estimator, param_maps)] if boosted else \
+           [lambda k=k, i=i: one(k, i) for k in range(len(folds)) for i in range(len(param_maps))]
+    return united(run_concurrently(jobs, parallelism))
+
+
+def united(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _param_value(v):
     if isinstance(v, (list, tuple)):
         return str(list(v))
@@ -64,9 +154,14 @@ def validation_curve(spark: SparkSession, cv_model: CrossValidatorModel, param_m
 
     ``std_metric`` is the population std over folds (what CrossValidator reports).
     """
+    return curve_of(spark, param_maps, cv_model.avgMetrics, cv_model.stdMetrics)
+
+
+def curve_of(spark: SparkSession, param_maps: list, means: Sequence[float], stds: Sequence[float]) -> DataFrame:
+    """``validation_curve`` of given means and stds."""
     names = [p.name for p in param_maps[0].keys()]
     rows = []
-    for i, (pm, mean, std) in enumerate(zip(param_maps, cv_model.avgMetrics, cv_model.stdMetrics)):
+    for i, (pm, mean, std) in enumerate(zip(param_maps, means, stds, strict=True)):
         vals = {p.name: _param_value(v) for p, v in pm.items()}
         rows.append((i, *[vals[n] for n in names], float(mean), float(std)))
     types = []

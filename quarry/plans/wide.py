@@ -18,9 +18,9 @@ from quarry.operators import features as E
 from quarry.operators import models as M
 from quarry.operators import tuning as G
 from quarry.operators.aggregates import class_distribution, row_count
-from quarry.operators.metrics import auc_evaluator, classification_report
+from quarry.operators.metrics import auc_exact, classification_report
 from quarry.operators.splits import FOLD_SALT, SEED, hash_sample, sample_by, with_fold
-from quarry.session import small_answer
+from quarry.session import small_answer, with_checkpoints
 
 
 def recode_label(df: DataFrame, label_col: str) -> DataFrame:
@@ -51,27 +51,26 @@ def sample_share(counts: DataFrame) -> DataFrame:
     return counts.agg(*n).withColumn("percent", F.when(F.col("n_all") > 0, percent(F.col("n_sample"), F.col("n_all"))))
 
 
-def family_pipeline(family: str, feature_cols: Sequence[str], label_col: str, n_features: int,
-                    params: dict | None = None, scale: bool = False, seed: int = SEED):
-    """Assembler (+ scaler) + estimator for ``rf`` / ``gbt`` / ``mlp``."""
+def family_estimator(family: str, features_col: str, label_col: str, n_features: int, params: dict | None = None,
+                     seed: int = SEED):
+    """Estimator ``rf`` / ``gbt`` / ``mlp`` on a vector column."""
     params = dict(params or {})
-    stages = [E.assembler(feature_cols, "assembled")]
-    feats = "assembled"
-    if scale:
-        stages.append(E.standardizer("assembled", "scaled"))
-        feats = "scaled"
     if family == "rf":
-        est = M.random_forest(feats, label_col, seed, **params)
-    elif family == "gbt":
-        est = M.gbt(feats, label_col, seed, **params)
-    elif family == "mlp":
+        return M.random_forest(features_col, label_col, seed, **params)
+    if family == "gbt":
+        return M.gbt(features_col, label_col, seed, **params)
+    if family == "mlp":
         hidden = params.pop("hidden", None)
-        layers = M.mlp_layers(n_features, hidden) if hidden else None
-        est = M.mlp(feats, label_col, layers, seed, **params)
-    else:
-        raise ValueError(family)
-    stages.append(est)
-    return Pipeline(stages=stages), est
+        return M.mlp(features_col, label_col, M.mlp_layers(n_features, hidden) if hidden else None, seed, **params)
+    raise ValueError(family)
+
+
+def family_pipeline(family: str, feature_cols: Sequence[str], label_col: str, n_features: int,
+                    params: dict | None = None, scale: bool = False, seed: int = SEED):
+    """Assembler (+ scaler) + estimator."""
+    stages = [E.assembler(feature_cols, "assembled")] + ([E.standardizer("assembled", "scaled")] if scale else [])
+    est = family_estimator(family, "scaled" if scale else "assembled", label_col, n_features, params, seed)
+    return Pipeline(stages=[*stages, est]), est
 
 
 def _grid_for(family: str, est, spec: dict, n_features: int) -> list:
@@ -81,54 +80,100 @@ def _grid_for(family: str, est, spec: dict, n_features: int) -> list:
     return G.param_grid(est, spec)
 
 
+#: Rows of vectors in a partition: a sample of a few thousand rows is one task, a large one as many as it needs.
+ROWS_PER_PARTITION = 20_000
+
+
+def _vectors(df: DataFrame, feature_cols: Sequence[str], label_col: str, *more: str) -> DataFrame:
+    """(label, assembled, more), computed once and kept; the features are never assembled again."""
+    vectors = E.assembler(feature_cols, "assembled").transform(df).select(F.col(label_col).cast("double").alias(label_col),
+                                                                          "assembled", *more)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(1, -(-vectors.count() // ROWS_PER_PARTITION))
+    if parts >= vectors.rdd.getNumPartitions():
+        return vectors
+    few = vectors.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    few.count()
+    vectors.unpersist()
+    return few
+
+
+class WideTuning:
+    """The sample and the test rows as vectors, cached; each family is tuned on its own.
+
+    ``release`` drops the caches.
+    """
+
+    def __init__(self, train: DataFrame, test: DataFrame, feature_cols: Sequence[str], label_col: str,
+                 fraction: float | dict = 0.01, id_col: str | None = None, folds: int = G.CV_FOLDS,
+                 parallelism: int = 1, seed: int = SEED) -> None:
+        with_checkpoints(train.sparkSession)
+        self.spark, self.label_col, self.seed, self.parallelism = train.sparkSession, label_col, seed, parallelism
+        self.n_features = len(feature_cols)
+        sample = recode_label(draw_sample(train, label_col, fraction, id_col, seed=seed), label_col)
+        if id_col is not None:  # reproducible CV folds: hash buckets of the row key
+            sample = with_fold(sample, id_col, folds, "cv_fold", salt=FOLD_SALT)
+        else:
+            sample = sample.withColumn("cv_fold", F.floor(F.rand(seed) * folds).cast("int"))
+        self.sample = _vectors(sample, feature_cols, label_col, "cv_fold")
+        self.test = _vectors(recode_label(test, label_col), feature_cols, label_col)
+        self.folds = range(folds)
+        self.distribution = small_answer(class_distribution(
+            recode_label(train, label_col).select(label_col, F.lit("all").alias("part"))
+            .unionByName(self.sample.select(F.col(label_col).cast("int").alias(label_col), F.lit("sample").alias("part"))),
+            label_col, "part"))
+        self.n_test = small_answer(row_count(self.test, "n_test"))
+        self._kept = [self.sample, self.test]
+
+    def release(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def _scaled(self, fitted_on: DataFrame, *frames: DataFrame) -> list[DataFrame]:
+        model = E.standardizer("assembled", "scaled").fit(fitted_on)
+        return [self._keep(model.transform(df).drop("assembled")) for df in frames]
+
+    def tune(self, family: str, spec: dict) -> dict[str, DataFrame]:
+        """``curve``, ``best`` and ``test_report`` of one family, on all points of its grid."""
+        scale = family == "mlp"  # the perceptron standardises its inputs, on the training rows of a fold
+        pairs = [(self.sample.where(F.col("cv_fold") != k), self.sample.where(F.col("cv_fold") == k)) for k in self.folds]
+        if scale:
+            pairs = [tuple(self._scaled(train, train, valid)) for train, valid in pairs]
+        est = family_estimator(family, "scaled" if scale else "assembled", self.label_col, self.n_features, seed=self.seed)
+        grid = _grid_for(family, est, spec, self.n_features)
+        scores = G.search_folds(est, grid, pairs, self.parallelism)
+        aucs = auc_exact(scores, self.label_col, "score", ["grid_index", "fold"])  # a row for each grid point and fold
+        points = aucs.groupBy("grid_index").agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std")).orderBy("grid_index").collect()
+        means, stds = [p["mean"] for p in points], [p["std"] for p in points]
+        curve = G.curve_of(self.spark, grid, means, stds)
+        params = [c for c in curve.columns if c not in ("grid_index", "mean_metric", "std_metric")]
+        packed = curve.select(F.lit(family).alias("model"), "grid_index", F.to_json(F.struct(*map(F.col, params))).alias("params"),
+                              "mean_metric", "std_metric")
+        best = small_answer(G.best_point(packed.drop("model"), True).withColumn("model", F.lit(family)))
+        train, test = self._scaled(self.sample, self.sample, self.test) if scale else (self.sample, self.test)
+        model = est.fit(train, grid[best.first()["grid_index"]])
+        report = classification_report(model.transform(test), self.label_col).withColumn("model", F.lit(family))
+        return {"curve": small_answer(packed), "best": best, "test_report": small_answer(report)}
+
+
+#: The recorded grids of 27 points each.
+FAMILY_GRIDS = {"rf": G.RF_GRID, "gbt": G.GBT_GRID, "mlp": G.MLP_GRID}
+
+
 def tune_wide(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], label_col: str,
               fraction: float | dict = 0.01, id_col: str | None = None,
               grids: dict | None = None, folds: int = G.CV_FOLDS, parallelism: int = 1,
               seed: int = SEED) -> dict[str, DataFrame]:
-    """C6. ``grids`` maps ``rf`` / ``gbt`` / ``mlp`` to parameter grids
+    """C6 for all families. ``grids`` maps ``rf`` / ``gbt`` / ``mlp`` to parameter grids
     (default: the recorded 27-point grids). MLP standardises its inputs."""
-    spark = train.sparkSession
-    grids = grids or {"rf": G.RF_GRID, "gbt": G.GBT_GRID, "mlp": G.MLP_GRID}
-    n = len(feature_cols)
-    sample = recode_label(draw_sample(train, label_col, fraction, id_col, seed=seed), label_col)
-    fold_col = None
-    if id_col is not None:  # reproducible CV folds: hash buckets of the row key
-        fold_col = "cv_fold"
-        sample = with_fold(sample, id_col, folds, fold_col, salt=FOLD_SALT)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
-    test_r = recode_label(test, label_col).persist(StorageLevel.MEMORY_AND_DISK)
-    n_test = row_count(test_r, "n_test")
-    sample.count(), test_r.count()  # fill the caches once, before concurrent searches read them
-    dist = class_distribution(
-        recode_label(train, label_col).withColumn("part", F.lit("all"))
-        .unionByName(sample.drop(*([fold_col] if fold_col else [])).withColumn("part", F.lit("sample"))),
-        label_col, "part")
-    evaluator = auc_evaluator(label_col)
-
-    def tune(family, spec):
-        pipe, est = family_pipeline(family, feature_cols, label_col, n, scale=(family == "mlp"), seed=seed)
-        grid = _grid_for(family, est, spec, n)
-        cvm = G.cross_validate(pipe, grid, evaluator, sample, folds, seed, parallelism, fold_col)
-        curve = G.validation_curve(spark, cvm, grid)
-        params = [c for c in curve.columns if c not in ("grid_index", "mean_metric", "std_metric")]
-        packed = curve.select(F.lit(family).alias("model"), "grid_index",
-                              F.to_json(F.struct(*[F.col(c) for c in params])).alias("params"),
-                              "mean_metric", "std_metric")
-        best = G.best_point(packed.drop("model"), True).withColumn("model", F.lit(family))
-        report = classification_report(cvm.bestModel.transform(test_r), label_col).withColumn("model", F.lit(family))
-        return packed, best, report
-
-    # independent grid searches per family, run as concurrent jobs
-    results = G.run_concurrently([lambda f=f, s=s: tune(f, s) for f, s in grids.items()], len(grids))
-    curves = [r[0] for r in results]
-    bests = [r[1] for r in results]
-    reports = [r[2] for r in results]
-    union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    # grids and reports are a few rows; then the caches are released
-    dist = small_answer(dist)
-    out = {"class_distribution": dist, "sample_share": sample_share(dist), "n_test": n_test, "curves": union(curves),
-           "best": union(bests), "test_report": union(reports)}
-    out = {k: small_answer(v) for k, v in out.items()}
-    sample.unpersist()
-    test_r.unpersist()
-    return out
+    work = WideTuning(train, test, feature_cols, label_col, fraction, id_col, folds, parallelism, seed)
+    found = [work.tune(family, spec) for family, spec in (grids or FAMILY_GRIDS).items()]
+    work.release()
+    return {"class_distribution": work.distribution, "sample_share": sample_share(work.distribution), "n_test": work.n_test,
+            "curves": G.united([f["curve"] for f in found]), "best": G.united([f["best"] for f in found]),
+            "test_report": G.united([f["test_report"] for f in found])}
+

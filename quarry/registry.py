@@ -323,10 +323,25 @@ class Analyses:
                                  parallelism=4, id_cols=["l_orderkey", "l_linenumber"])
 
     @cached_property
-    def wide(self) -> dict[str, DataFrame]:
+    def _wide(self) -> wide.WideTuning:
         train, test = _wide_split(self.spark, self.sf_dir)
-        return wide.tune_wide(train, test, standins.wide_features(train), "label", WIDE_FRACTION, id_col="vec_id",
-                              parallelism=4)
+        return wide.WideTuning(train, test, standins.wide_features(train), "label", WIDE_FRACTION, id_col="vec_id",
+                               parallelism=16)
+
+    @cached_property
+    def rf(self) -> dict[str, DataFrame]:
+        return self._wide.tune("rf", wide.FAMILY_GRIDS["rf"])
+
+    @cached_property
+    def gbt(self) -> dict[str, DataFrame]:
+        return self._wide.tune("gbt", wide.FAMILY_GRIDS["gbt"])
+
+    @cached_property
+    def mlp(self) -> dict[str, DataFrame]:
+        return self._wide.tune("mlp", wide.FAMILY_GRIDS["mlp"])
+
+    def wide(self, view: str) -> DataFrame:
+        return tuning.united([self.rf[view], self.gbt[view], self.mlp[view]])
 
     @cached_property
     def scaling(self) -> tuple[DataFrame, DataFrame]:
@@ -386,23 +401,23 @@ def _wide_split(spark, sf_dir):
 
 
 def rf_cv(spark, sf_dir):
-    return analyses(spark, sf_dir).wide["curves"].filter(F.col("model") == "rf")
+    return analyses(spark, sf_dir).rf["curve"]
 
 
 def gbt_cv(spark, sf_dir):
-    return analyses(spark, sf_dir).wide["curves"].filter(F.col("model") == "gbt")
+    return analyses(spark, sf_dir).gbt["curve"]
 
 
 def mlp_cv(spark, sf_dir):
-    return analyses(spark, sf_dir).wide["curves"].filter(F.col("model") == "mlp")
+    return analyses(spark, sf_dir).mlp["curve"]
 
 
 def wide_best(spark, sf_dir):
-    return analyses(spark, sf_dir).wide["best"]
+    return analyses(spark, sf_dir).wide("best")
 
 
 def wide_test_report(spark, sf_dir):
-    return analyses(spark, sf_dir).wide["test_report"]
+    return analyses(spark, sf_dir).wide("test_report")
 
 
 def wide_class_dist(spark, sf_dir):

@@ -50,6 +50,23 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """``spark`` with a checkpoint folder: the one the deployment names or, only
+    where none is named (local use, tests), one in the warehouse. For iterative
+    fits, whose lineage otherwise grows with every step."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(folder)
+    return spark
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where tables and models that one job hands to another are written: the
+    shared checkpoint folder, or the warehouse. Every executor sees both."""
+    return checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once: written to the shared folder if there is one (a
     lost executor then never sends Spark back to the source), else cached."""
