@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import settled
+
 
 def index_suffix(col: str) -> str:
     return f"{col}_index"
@@ -31,6 +33,46 @@ def string_indexer(cols: Sequence[str], handle_invalid: str = "error",
                          stringOrderType=order, handleInvalid=handle_invalid)
 
 
+class DistributedIndex:
+    """E1 for columns of any number of values: the labels stay a table.
+
+    ``StringIndexer`` keeps every label on the driver and in the model. Here the
+    counted values are range-partitioned by (count descending, value), numbered
+    within their range, and shifted by the sizes of the ranges before; rows get
+    their index by a join. NULL is an invalid value, as for ``StringIndexer``.
+    """
+
+    def __init__(self, labels: DataFrame, col: str) -> None:
+        self.labels, self.col = labels, col
+
+    @classmethod
+    def fit(cls, df: DataFrame, col: str) -> DistributedIndex:
+        """``labels``: (value, index), index 0 for the most frequent value, ties by value."""
+        counted = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        ranged = settled(counted.repartitionByRange(F.desc("n"), "value").withColumn("range", F.spark_partition_id()))
+        sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))  # one row a range
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+        place = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("n"), "value"))
+        labels = (ranged.withColumn("place", place).join(F.broadcast(offsets), "range")
+                  .select("value", (F.col("offset") + F.col("place") - 1).cast("long").alias("index")))
+        return cls(settled(labels), col)
+
+    def transform(self, df: DataFrame, out_col: str | None = None, handle_invalid: str = "error") -> DataFrame:
+        """``df`` with the index of its value; unseen values and NULL fail (``error``), share one
+        index after all others (``keep``) or lose their rows (``skip``)."""
+        out_col = out_col or index_suffix(self.col)
+        labels = self.labels.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+        joined = df.join(labels, F.col(self.col).cast("string") == F.col("_value"), "inner" if handle_invalid == "skip" else "left")
+        index = F.col("_index")
+        if handle_invalid == "keep":
+            index = F.coalesce(index, F.lit(self.labels.count()))
+        elif handle_invalid == "error":
+            unseen = F.raise_error(F.concat(F.lit(f"{self.col} has an unseen value: "), F.coalesce(F.col(self.col).cast("string"), F.lit("NULL"))))
+            index = F.coalesce(index, unseen.cast("long"))
+        return joined.withColumn(out_col, index).drop("_value", "_index")
+
+
 def one_hot_encoder(cols: Sequence[str], drop_last: bool = False, handle_invalid: str = "error") -> OneHotEncoder:
     """One-hot of the indexed columns, keeping every level by default."""
     return OneHotEncoder(inputCols=[index_suffix(c) for c in cols], outputCols=[vec_suffix(c) for c in cols],

@@ -72,7 +72,7 @@ def auc_from_score_counts(per_score: DataFrame, group_cols=None, partitions: int
                           carry_sums=()) -> DataFrame:
     """Exact AUC from one row per (group, score ``_s``) with ``_pos`` / ``_neg`` counts.
 
-    Columns named in ``carry_sums`` are summed along the way and returned per
+    A group of one class has no AUC (NULL). Columns named in ``carry_sums`` are summed along the way and returned per
     group, so other metrics can ride on the same single chain of stages.
     """
     carry_sums = list(carry_sums)
@@ -97,7 +97,7 @@ def auc_from_score_counts(per_score: DataFrame, group_cols=None, partitions: int
         F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"),
         *[F.sum(c).alias(c) for c in carry_sums])
     return out.select(*group_cols,
-                      (F.col("_num") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))).alias("auc"),
+                      F.try_divide("_num", F.col("n_pos").cast("double") * F.col("n_neg").cast("double")).alias("auc"),
                       F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"),
                       *carry_sums)
 

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.recommendation import ALS
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.operators.splits import SEED
 
@@ -102,3 +105,21 @@ def cluster(df: DataFrame, k: int = KMEANS_K, seed: int = SEED, features_col: st
     """L9 + L10: fit k-means and return ``(id, cluster)``."""
     model = kmeans(k, seed, features_col).fit(df)
     return model.transform(df).select(id_col, "cluster")
+
+
+class SqlScore(Estimator, Model):
+    """A model that is a SQL expression with one parameter, ``{k}``: a baseline that
+    goes through the same grid search and evaluators as fitted models."""
+
+    k = Param(Params._dummy(), "k", "value of the parameter", TypeConverters.toInt)
+
+    def __init__(self, expression: str, score_col: str = "rawPrediction", k: int = 0) -> None:
+        super().__init__()
+        self.expression, self.score_col = expression, score_col
+        self._setDefault(k=k)
+
+    def _fit(self, dataset: DataFrame) -> SqlScore:
+        return self.copy()
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.score_col, F.expr(self.expression.format(k=self.getOrDefault(self.k))))

@@ -239,6 +239,9 @@ def analytics_sql() -> dict[str, str]:
     }
 
 
+FLAGGED = """
+flagged AS (SELECT (l_linestatus <> 'F')::INTEGER::DOUBLE AS flag,
+                   (l_quantity + 20 * (l_linestatus <> 'F')::INTEGER > 30)::INTEGER AS y FROM lineitem)"""
 FOLD_SALT_SQL = "#31891-cv"
 BRANDS = """
 enc AS (SELECT p_brand, l_quantity::DOUBLE AS q, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS y, l_orderkey, l_linenumber
@@ -266,11 +269,9 @@ def model_sql() -> dict[str, str]:
                   FROM f JOIN m ON f.fold = m.held AND f.p_brand = m.p_brand GROUP BY 1)
             SELECT 0::INTEGER AS grid_index, 0.0::DOUBLE AS regParam, round(avg(rmse), 4) AS mean_metric,
                    round(stddev_pop(rmse), 4) AS std_metric FROM e""",
-        "tree_shares": """SELECT (l_returnflag = 'N')::INTEGER::DOUBLE AS flag,
-                   round(avg((l_linestatus <> 'F')::INTEGER::DOUBLE), 5) AS probability FROM lineitem GROUP BY 1""",
-        "boosted_signs": """SELECT (l_returnflag = 'N')::INTEGER::DOUBLE AS flag,
-                   CASE WHEN avg((l_linestatus <> 'F')::INTEGER::DOUBLE) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
-            FROM lineitem GROUP BY 1""",
+        "tree_shares": f"""WITH {FLAGGED} SELECT flag, round(avg(y::DOUBLE), 5) AS probability FROM flagged GROUP BY 1""",
+        "boosted_signs": f"""WITH {FLAGGED}
+            SELECT flag, CASE WHEN avg(y::DOUBLE) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM flagged GROUP BY 1""",
         "cluster_planted": """SELECT (p_size % 2)::INTEGER AS planted, count(*) AS count, 1::BIGINT AS n_clusters
             FROM part GROUP BY 1""",
         "als_dot_products": """SELECT count(*) AS n, 0::BIGINT AS mismatches FROM (

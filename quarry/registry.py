@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pyspark.ml.functions import vector_to_array
 
-from quarry import oracle
+from quarry import checks, oracle
 from quarry.functions.hashing import unit_interval
 from quarry.functions.logparse import parse_log
 from quarry.functions.recode import binary_recode, sign_to_binary
@@ -518,9 +518,10 @@ def poisson_fold_metrics(spark, sf_dir):
 
 
 def _flagged(spark, sf_dir):
+    """A 0/1 column whose two sides differ in the majority of the label (a tree joins sibling leaves of one class)."""
+    flag = (F.col("l_linestatus") != "F").cast("double")
     li = read_table(spark, sf_dir, "lineitem").select(
-        (F.col("l_returnflag") == "N").cast("double").alias("flag"),
-        (F.col("l_linestatus") != "F").cast("int").alias("y"))
+        flag.alias("flag"), (F.col("l_quantity") + 20 * flag > 30).cast("int").alias("y"))
     return features.assembler(["flag"], "features").transform(li)
 
 
@@ -678,9 +679,9 @@ def queries() -> dict[str, Query]:
         "evaluator_table": evaluator_table,
         "scaling_report_counts": scaling_report_counts,
         "stream_class_counts": stream_class_counts,
-    }
+    } | checks.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = oracle.all_sql()
+    sql = oracle.all_sql() | checks.all_sql()
     return {k: v for k, v in sql.items() if k in queries()}

@@ -77,10 +77,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows of an answer that is kept as literals, at most; a grid or a report has far fewer.
+SMALL_ROWS = 100_000
+
+
 def small_answer(df: DataFrame) -> DataFrame:
     """An answer of a few rows by construction (a grid, a report), computed now
     and kept as literal rows, free of the models and caches behind it."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    from quarry.operators.inspect import collect_small
+    return df.sparkSession.createDataFrame(collect_small(df, SMALL_ROWS), df.schema)
 
 
 def table_path(sf_dir: str, name: str) -> str:

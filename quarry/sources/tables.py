@@ -6,11 +6,14 @@ pass over the input and gives positional, data-dependent types.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import table_path
+from quarry.session import settled, table_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -64,14 +67,48 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     return reader.csv(path)
 
 
+@dataclass(frozen=True)
+class Scan:
+    """The rows of one scan: ``parsed`` as declared, ``quarantined`` as (record, reason)."""
+
+    parsed: DataFrame
+    quarantined: DataFrame
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = False, sep: str = ",") -> Scan:
+    """S2/S3 with a sink for bad records: a record with too few or too many fields, or
+    with a value of another type, is set aside whole and never turned into NULLs.
+
+    The file is read once; both parts come from the settled scan.
+    """
+    bad = "_bad_record"
+    declared = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    rows = (spark.read.schema(declared).option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", bad).option("columnPruning", False).csv(path))
+    rows = settled(rows)
+    fields = F.size(F.split(F.col(bad), re.escape(sep)))  # quoted separators only make the reason "long"
+    reason = F.when(fields < len(schema), "short").when(fields > len(schema), "long").otherwise("type")
+    return Scan(rows.where(F.col(bad).isNull()).drop(bad),
+                rows.where(F.col(bad).isNotNull()).select(F.col(bad).alias("record"), reason.alias("reason")))
+
+
 def split_features_label(columns: list[str]) -> tuple[list[str], str]:
     """All-but-last columns are features, the last one is the label."""
     return list(columns[:-1]), columns[-1]
 
 
-def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append result rows; a new folder gets its schema (and CSV header) from the first write."""
-    writer = df.write.mode("append").format(fmt)
+def append_results(df: DataFrame, path: str, fmt: str = "parquet", run_id: str | None = None) -> None:
+    """Append result rows; a new folder gets its schema (and CSV header) from the first write.
+
+    With a ``run_id`` the rows of a run are a partition of their own, which a
+    rerun replaces: a job that is repeated after a failure appends nothing twice.
+    """
+    writer = df.write.format(fmt)
+    if run_id is not None:
+        writer = (df.withColumn("run_id", F.lit(run_id)).write.format(fmt).mode("overwrite")
+                  .option("partitionOverwriteMode", "dynamic").partitionBy("run_id"))
+    else:
+        writer = writer.mode("append")
     if fmt == "csv":
         writer = writer.option("header", "true")
     writer.save(path)
