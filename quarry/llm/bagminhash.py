@@ -26,17 +26,18 @@ repeated hooking.
 
 Words are runs without white space, as written.  A text of one to four words
 has one shingle, all of it; a text without words is linked to nothing but its
-exact copies.  A null text counts as empty; a null key is a class of its own
-kind (nulls share the class null); rows that repeat a key share its class.
+exact copies.  A null text counts as empty.  The work is done on distinct
+texts: a row's class is that of its text, named by the least key of the rows
+with texts of the class, so rows that repeat a key but not the text may be of
+different classes of one name.  A row without a key has the class null and
+takes no part.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +57,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     code = np.zeros(len(word), np.uint64)
     for k in range(size):
         part = np.zeros(len(word), np.uint64)
-        part[:len(word) - k] = word[k:] if k else word
+        part[:max(len(word) - k, 0)] = word[k:]
         inside = np.arange(len(word)) + k < (first + per_row)[row]
         code = np.where(inside, mix(code + part + np.uint64(k + 1)), code)
     starts = np.arange(len(word)) - first[row]
@@ -107,11 +108,11 @@ def band_keys(best: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNED = [T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+BANDS = [T.StructField("bands", T.ArrayType(T.LongType()))]
 
 
 def with_bands(df: DataFrame, *, text_col: str, bands: int, rows: int) -> DataFrame:
-    """``df`` with a digest of the text and the band keys (none without words)."""
+    """``df`` with the band keys of the text (none without words)."""
     def run(column: pa.Array, _) -> list[pa.Array]:
         data, offsets = flat(column)
         keys, has = [np.zeros((0, bands), np.int64)], [np.zeros(0, bool)]
@@ -122,12 +123,14 @@ def with_bands(df: DataFrame, *, text_col: str, bands: int, rows: int) -> DataFr
             has.append(np.isfinite(best[:, 0]))
         keys, has = np.concatenate(keys), np.concatenate(has)
         ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[has].ravel(), pa.int64()))
-        view = memoryview(data)
-        digests = [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return [pa.array(digests, pa.binary()), lists]
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[has].ravel(), pa.int64()))]
+
+    return append_columns(df, text_col, BANDS, run)
 
-    return append_columns(df, text_col, SIGNED, run)
+
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def similarity(code_a: np.ndarray, count_a: np.ndarray, code_b: np.ndarray, count_b: np.ndarray) -> float:
@@ -201,12 +204,34 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     At a similarity of 0.8, 24 bands of 3 slots miss a pair with a probability
     of 4e-8; at 0.3 they propose it with one of 0.5.
     """
+    keyed, found = _text_classes(df, id_col, text_col, threshold, bands, rows)
+    rows_of = keyed.join(found.select("digest", "class_id"), "digest").select(F.col("id").alias(id_col), "class_id")
+    nulls = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"))
+    return rows_of.unionByName(nulls)
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24,
+             rows: int = 3) -> DataFrame:
+    """``df`` with one row of each near-duplicate class, one with the least key and of
+    the texts with that key the least digest; rows without a key stay."""
+    _, found = _text_classes(df, id_col, text_col, threshold, bands, rows)
+    first = found.groupBy("class").agg(F.min(F.struct("id", "digest")).alias("one"))
+    first = first.select(F.col("one.id").alias("__id"), F.col("one.digest").alias("__digest"))
+    marked = df.withColumns({"__id": F.col(id_col).cast("long"), "__digest": _digest(F.col(text_col).cast("string"))})
+    kept = marked.hint("merge").join(first, ["__id", "__digest"]).dropDuplicates(["__id", "__digest"])
+    return kept.select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+
+
+def _text_classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of the rows with a key, and (digest, id, class, class_id) of their distinct texts:
+    the least key of the text, its class and the least key of the class."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.where(F.col("id").isNotNull())
+    docs = docs.where(F.col("id").isNotNull()).withColumn("digest", _digest(F.col("text")))
     signed = checkpointed(with_bands(docs, text_col="text", bands=bands, rows=rows).select("id", "digest", "bands"))
-    # one row for each text: copies, however many, meet in partial aggregates
-    texts = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("id"), F.min("bands").alias("bands")))
-    buckets = texts.where(F.size("bands") > 0).select("id", F.explode("bands").alias("bucket"))
+    # one node for each text: copies, however many, meet in partial aggregates
+    texts = written(signed.groupBy("digest").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
+                    .withColumn("node", F.monotonically_increasing_id()))
+    buckets = texts.where(F.size("bands") > 0).select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = buckets.join(shared, "bucket")
     # texts that agree with many others make the best leaders of a bucket
@@ -214,7 +239,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     members = written(members.select("bucket", "id").join(weight, "id"))
     involved = members.select("id").distinct()
     # ids and pairs grow with the documents: shuffle joins at every size
-    whole = checkpointed(docs.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    of = texts.select("digest", "id", "node").join(involved.withColumnRenamed("id", "node").hint("merge"), "node", "left_semi")
+    whole = checkpointed(docs.join(of.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+                         .select(F.col("node").alias("id"), "text"))
 
     # first each text against the best of its candidates, then against all that are still of another class
     classes = involved.withColumn("class", F.col("id"))
@@ -235,7 +262,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         .join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                               ["a", "b"], "left_anti"))
         classes = components(classes, written(_verified(pairs, whole, threshold)))
-    return _results(df, signed, texts, classes, id_col)
+    of_node = (texts.select("digest", "id", "node").join(classes.withColumnRenamed("id", "node"), "node", "left")
+               .select("digest", "id", F.coalesce("class", "node").alias("class")))
+    least = of_node.groupBy("class").agg(F.min("id").alias("class_id"))
+    return signed.select("id", "digest"), written(of_node.join(least, "class"))
 
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -323,19 +353,3 @@ def _across(ids: DataFrame, texts: DataFrame, classes: DataFrame, threshold: flo
     room = ((F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.class") != F.col("b.class"))
             & (F.least("a.left", "b.left") >= shared) & (apart <= both - 2 * shared))
     return a.hint("merge").join(b, room).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-
-
-def _results(df: DataFrame, signed: DataFrame, texts: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
-    of_text = (texts.select("digest", "id").join(classes, "id", "left")
-               .select("digest", F.coalesce("class", "id").alias("class_id")))
-    found = signed.select("id", "digest").join(of_text, "digest").select(F.col("id").alias(id_col), "class_id")
-    nulls = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col),
-                                                    F.lit(None).cast("long").alias("class_id"))
-    return found.unionByName(nulls)
-
-
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one row of each near-duplicate class, that of the least key; rows without a key stay."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti")

@@ -163,3 +163,24 @@ def test_multikey_order():
     keys = [rng.integers(0, 5, 300) for _ in range(3)]
     order = suffix_dedup.multikey_order(keys)
     assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*keys, strict=True))
+
+
+def test_few_words_alone_in_a_slice(spark):
+    for n in range(6):
+        text = " ".join("abcdef"[:n])
+        row, code, count = bagminhash.shingles(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert len(row) == (n > 0) + (n > 5) and (count == 1).all()
+        frame = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").repartition(2)
+        assert {r["class_id"] for r in bagminhash.near_duplicates(frame).collect()} == {1}
+
+
+def test_keep_one_keeps_every_text(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(30)) for w in "abc")
+    near = a.replace("a7 ", "other ")
+    rows = [(1, a), (5, a), (5, b), (8, c), (8, c), (9, near), (None, a), (None, None), (10, None), (11, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as id", "1 as digest", "2 as node", "3 as class")
+    kept = bagminhash.keep_one(frame, threshold=0.6)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, a), (1, a), (5, b), (8, c), (10, "")]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in bagminhash.near_duplicates(frame, threshold=0.6).collect())
+    assert got == [(0, 0), (0, 0), (1, 1), (5, 1), (5, 5), (8, 8), (8, 8), (9, 1), (10, 10), (11, 10)]
