@@ -7,39 +7,42 @@ scores the mean over its words of (background loss - target loss), in nats:
 the higher, the more it reads like the target.
 
 Every distinct word and word pair has a count of its own (by 64-bit keys), in
-tables that grow with the corpus and that no process holds whole: documents
-are put into blocks, a block sends one row for each of its distinct keys, the
-rows of a key meet for its totals, and each block gets those back that it
-can't know itself.  A key has one row a block at most (two where a read splits a block),
-however frequent it is.
+tables that grow with the corpus and that no process holds whole.  Documents
+are put into blocks of bounded size, written once in buckets by block, so that
+texts are never shuffled.  A block sends its distinct keys, sorted, cut into
+ranges and packed, with their counts in target and all documents.  The keys of
+a range, from all blocks, are summed in one task and the totals go back in the
+block's own order, without the keys.  A key has one entry a block, however
+frequent it is.
 
 Words are runs without white space, lower-cased in A-Z; the first word of a
 text follows a start mark.
 
 Cases: a null or empty text, or one of white space, has no words, losses 0 and
 score 0; without target documents both losses still are finite (the target
-model is uniform); repeated rows count each time and each get their row; an
-empty table gives no rows; other columns are passed through unread.
+model is uniform); repeated rows count each time and each get their row; all
+rows of a target key are target documents, a null key never is; an empty table
+gives no rows; other columns are passed through unread.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buffers import LOWER, flat, mix, slices, words
-from .shared import written
+from .shared import shared_folder, written
 
-#: log2 of the words that smoothing spreads over, at least; more distinct words than that count as they are.
-WORD_BITS = 18
-#: Bytes of text in a block of documents, about.
+#: Bytes and rows of a block of documents, about.
 BLOCK = 1 << 24
+BLOCK_ROWS = 1 << 16
 #: Key of the starts of texts; keys of words are odd, those of pairs even.
 START = np.uint64(0)
 
@@ -58,62 +61,106 @@ def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def in_blocks(df: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``df`` with ``__block``, the block of each row, written so that blocks stay as they are."""
+    """``df`` with ``__block`` and ``__row``, its block and place there, written in
+    buckets by block: whatever meets the rows by block comes to them."""
     def run(batches):
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, size, n = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             _, offsets = flat(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in slices(offsets):
-                if size >= BLOCK:
-                    block, size = block + 1, 0
+                if size >= BLOCK or n >= BLOCK_ROWS:
+                    block, size, n = block + 1, 0, 0
                 size += int(offsets[b] - offsets[a])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(b - a, block))],
-                                                 names=[*batch.schema.names, "__block"])
-
-    return written(df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__block", T.LongType())])))
-
-
-def key_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(block, key, n): the distinct keys of each block of ``df`` and how often they occur there."""
-    def run(batches):
-        block, found, size = None, [], 0
-
-        def out():
-            key, n = _summed(found)
-            for k in range(0, len(key), 1 << 16):
-                part = key[k:k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part.view(np.int64)),
-                                                  pa.array(n[k:k + (1 << 16)])], names=["block", "key", "n"])
-
-        for batch in batches:
-            data, offsets = flat(batch.column(0))
-            of = batch.column(1).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if i < j and of[i] != block:
-                    if found:
-                        yield from out()
-                    block, found, size = of[i], [], 0
-                for a, b in slices(offsets[i:j + 1]):
-                    at = offsets[i + a:i + b + 1]
-                    row, word, _, pair = keys(data[at[0]:at[-1]], at - at[0])
-                    starts = np.full(len(np.unique(row)), START)
-                    key, n = np.unique(np.concatenate([word, pair, starts]), return_counts=True)
-                    found.append((key, n))
-                    size += len(key)
-                    if size > 1 << 21:
-                        found = [_summed(found)]
-                        size = 0
-        if found:
-            yield from out()
-
-    return df.select(text_col, "__block").mapInArrow(run, "block long, key long, n long")
-
-
-def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    return key, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(b - a, block)), pa.array(np.arange(n, n + b - a))],
+                                                 names=[*batch.schema.names, "__block", "__row"])
+                n += b - a
+
+    spark = df.sparkSession
+    schema = T.StructType([*df.schema.fields, T.StructField("__block", T.LongType()), T.StructField("__row", T.LongType())])
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.mapInArrow(run, schema).write.bucketBy(buckets, "__block")
+     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
+# ---------------------------------------------------------------- packed counts
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes each as the greatest needs; that number comes first."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.view(np.uint8).reshape(len(values), 8)[:, :width].tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    found = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    found[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return found.view("<u8").ravel()
+
+
+def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of a key; ranges are in the order of keys."""
+    return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _block_keys(column: pa.Array | pa.ChunkedArray) -> tuple[list[tuple], np.ndarray]:
+    """Of the texts of a block: per slice (first row, end, row, word, context, pair), and the sorted distinct keys."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+    data, offsets = flat(column)
+    parts = [(a, b, *keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])) for a, b in slices(offsets)]
+    every = [np.unique(np.concatenate([word, pair, np.full(min(len(word), 1), START)])) for _, _, _, word, _, pair in parts]
+    return parts, np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+
+
+def key_counts(blocks: DataFrame, flags: DataFrame, ranges: int, *, text_col: str) -> DataFrame:
+    """(range, block, keys, t, b): the distinct keys of a block, and how often they occur in its target rows and all its rows."""
+    def run(rows: pa.Table, flagged: pa.Table) -> pa.Table:
+        parts, key = _block_keys(rows.column(text_col))
+        target = np.zeros(rows.num_rows, bool)
+        if flagged.num_rows:
+            target = np.isin(rows.column("__row").to_numpy(), np.array(flagged.column("target")[0].as_py(), np.int64))
+        t, b = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for a, _, row, word, _, pair in parts:
+            first = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+            at = np.searchsorted(key, np.concatenate([word, pair, np.full(int(first.sum()), START)]))
+            of = np.concatenate([row, row, row[first]]) + a
+            b += np.bincount(at, minlength=len(key))
+            t += np.bincount(at[target[of]], minlength=len(key))
+        cuts = np.searchsorted(_range_of(key, ranges), np.arange(ranges + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        block = rows.column("__block")[0].as_py() if rows.num_rows else 0
+        spans = [slice(cuts[r], cuts[r + 1]) for r in used]
+        return pa.table([pa.array(used), pa.array([block] * len(used), pa.int64()),
+                         pa.array([_narrow(np.diff(key[s], prepend=np.uint64(0))) for s in spans], pa.binary()),
+                         *[pa.array([_narrow(c[s]) for s in spans], pa.binary()) for c in (t, b)]],
+                        names=["range", "block", "keys", "t", "b"])
+
+    rows = blocks.select("__block", "__row", text_col)
+    return rows.groupBy("__block").cogroup(flags.groupBy("__of")).applyInArrow(
+        run, "range long, block long, keys binary, t binary, b binary")
+
+
+def totals(counts: DataFrame) -> DataFrame:
+    """(block, range, t, b, words, t_words, b_words): totals of a block's keys, in its order; the
+    distinct words of a range and their totals are in one of its rows."""
+    def run(rows: pa.Table) -> pa.Table:
+        own = [np.cumsum(_wide(k)) for k in rows.column("keys").to_pylist()]
+        key, at = np.unique(np.concatenate(own), return_inverse=True)
+        sums = [np.bincount(at, weights=np.concatenate([_wide(x) for x in rows.column(c).to_pylist()]), minlength=len(key)).astype(np.int64)
+                for c in ("t", "b")]
+        cuts = np.cumsum([0, *map(len, own)])
+        word = (key & np.uint64(1)) == 1
+        summary = [[int(word.sum())], [int(sums[0][word].sum())], [int(sums[1][word].sum())]]
+        return pa.table([rows.column("block"), rows.column("range"),
+                         *[pa.array([_narrow(x[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in sums],
+                         *[pa.array(x + [0] * (len(own) - 1), pa.int64()) for x in summary]],
+                        names=["block", "range", "t", "b", "words", "t_words", "b_words"])
+
+    return written(counts.groupBy("range").applyInArrow(
+        run, "block long, range long, t binary, b binary, words long, t_words long, b_words long"))
 
 
 @dataclass
@@ -127,7 +174,7 @@ class BigramModel:
 
     def loss(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """Loss of words from the counts of the word, of what comes before it and of both together."""
-        single = (word + self.added) / (self.n_words + self.added * max(self.vocabulary, 1 << WORD_BITS))
+        single = (word + self.added) / (self.n_words + self.added * max(self.vocabulary, 1.0))
         double = pair / np.maximum(context, 1)
         return -np.log(np.where(context > 0, self.weight * double + (1 - self.weight) * single, single))
 
@@ -136,53 +183,37 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("target_loss",
           T.StructField("background_loss", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
 
-def score_documents(df: DataFrame, target: DataFrame, *, text_col: str = "text",
-                    target_text_col: str = "text") -> DataFrame:
-    """``df`` with the number of words, both mean losses and their difference."""
-    docs = in_blocks(df, text_col=text_col)
-    wanted = F.col(f"`{target_text_col}`").alias("__text")
-    ours = key_counts(docs, text_col=text_col).select("block", "key", F.lit(0).cast("long").alias("t"), F.col("n").alias("b"))
-    theirs = (key_counts(in_blocks(target.select(wanted), text_col="__text"), text_col="__text")
-              .select(F.lit(None).cast("long").alias("block"), "key", F.col("n").alias("t"), F.lit(0).cast("long").alias("b")))
-    counts = ours.unionByName(theirs)
-    single = counts.where("key % 2 <> 0").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    n, n_target, n_all = single.agg(F.count(F.lit(1)), F.sum("t"), F.sum("b")).first()
-    models = (BigramModel(float(n_target or 0), float(n)), BigramModel(float(n_all or 0), float(n)))
-    # a key has one row a block: no key is heavier than the number of blocks; of a key
-    # that has no other row the block knows the total itself
-    same = Window.partitionBy("key")
-    back = (counts.select("block", "key", F.sum("t").over(same).alias("t"), F.sum("b").over(same).alias("b"),
-                          F.count(F.lit(1)).over(same).alias("rows"))
-            .where("rows > 1 and block is not null").drop("rows"))
+def score_documents(df: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with the number of words, both mean losses and their difference; the
+    target model learns from the rows whose key is one of ``target``'s."""
+    blocks = in_blocks(df, text_col=text_col)
+    # keys grow with the documents: shuffle joins of narrow rows at every size
+    wanted = target.select(F.col(id_col).alias("__id")).distinct().hint("merge")
+    flags = (blocks.select(F.col(id_col).alias("__id"), F.col("__block").alias("__of"), F.col("__row").alias("__at")).join(wanted, "__id")
+             .groupBy("__of").agg(F.collect_list("__at").alias("target")))  # at most the rows of a block
+    ranges = max(1, blocks.agg(F.count_distinct("__block")).first()[0])
+    back = totals(key_counts(blocks, flags, ranges, text_col=text_col))
+    n, n_target, n_all = (float(x or 0) for x in back.agg(F.sum("words"), F.sum("t_words"), F.sum("b_words")).first())
+    models = (BigramModel(n_target, n), BigramModel(n_all, n))
     made = [f.name for f in FIELDS]
     kept = [f for f in df.schema.fields if f.name not in made]
     out = T.StructType([*kept, *FIELDS])
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        column = rows.column(text_col)
-        data, offsets = flat(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string()))
-        parts, found = [], []
-        for a, b in slices(offsets):
-            parts.append((b - a, *keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])))
-            _, row, word, _, pair = parts[-1]
-            starts = np.full(len(np.unique(row)), START)
-            found.append(np.unique(np.concatenate([word, pair, starts]), return_counts=True))
-        key, own = _summed(found) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        tables = np.zeros(len(key)), own.astype(np.float64)
-        at = np.searchsorted(key, known.column("key").to_numpy().view(np.uint64))
-        for table, c in zip(tables, ("t", "b"), strict=True):
-            table[at] = known.column(c).to_numpy()
+        parts, key = _block_keys(rows.column(text_col))
+        order = np.argsort(known.column("range").to_numpy())
+        tables = [np.concatenate([np.zeros(0), *[_wide(x) for x in known.column(c).take(pa.array(order)).to_pylist()]]) for c in ("t", "b")]
         n, losses = [np.zeros(0, np.int64)], [np.zeros((0, 2))]
-        for size, row, *parts_of in parts:
-            count = np.bincount(row, minlength=size)
+        for a, b, row, *parts_of in parts:
+            count = np.bincount(row, minlength=b - a)
             n.append(count)
             places = [np.searchsorted(key, part) for part in parts_of]
             losses.append(np.stack([np.bincount(row, weights=model.loss(*(table[place] for place in places)) if len(row) else None,
-                                                minlength=size) / np.maximum(count, 1)
+                                                minlength=b - a) / np.maximum(count, 1)
                                     for model, table in zip(models, tables, strict=True)], axis=1))
         n, losses = np.concatenate(n), np.concatenate(losses)
         return pa.table([*[rows.column(f.name) for f in kept], pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]),
                          pa.array(losses[:, 1] - losses[:, 0])], names=out.names)
 
-    return (docs.groupBy("__block").cogroup(back.withColumnRenamed("block", "__block").groupBy("__block"))
-            .applyInArrow(run, out))
+    found = back.select("block", "range", "t", "b")
+    return blocks.groupBy("__block").cogroup(found.groupBy("block")).applyInArrow(run, out)

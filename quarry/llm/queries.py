@@ -73,10 +73,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of each document; the target is all text labelled of good quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # labels grow with the documents: a shuffle join at every size
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().hint("merge")
-    return (lm_score.score_documents(docs, docs.join(good, "doc_id", "left_semi"))
-            .select("doc_id", *[f.name for f in lm_score.FIELDS]))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score_documents(docs, good).select("doc_id", *[f.name for f in lm_score.FIELDS])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

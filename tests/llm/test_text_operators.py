@@ -126,7 +126,7 @@ def test_cross_entropy_difference(spark, edge, empty):
     scored = {r["text"]: r for r in lm_score.score_documents(docs, docs.where("doc_id % 2 = 1")).collect()}
     assert scored["blue sky over green hills"]["score"] > 0.1 > 0 > scored["buy now cheap offer"]["score"]
     # by hand: start pair, then four pairs; each word and pair once per target text
-    added, size = 0.1, 1 << lm_score.WORD_BITS
+    added, size = 0.1, 9  # words of both models
     single = (20 + added) / (100 + added * size)
     assert scored["blue sky over green hills"]["target_loss"] == pytest.approx(-np.log(0.5 + 0.5 * single), rel=1e-5)
     rows = lm_score.score_documents(edge, empty).collect()
@@ -146,7 +146,7 @@ def test_losses_against_exact_counts(spark, monkeypatch):
         single = Counter(w for t in part for w in t.split())
         seen = single + Counter({None: sum(bool(t.split()) for t in part)})
         pairs = Counter(p for t in part for p in zip([None, *t.split()], t.split()))
-        total = sum(single.values()) + 0.1 * (1 << lm_score.WORD_BITS)
+        total = sum(single.values()) + 0.1 * len({w for t in texts for w in t.split()})
         for i, text in enumerate(texts):
             losses = [-np.log(0.5 * pairs[a, b] / seen[a] + 0.5 * (single[b] + 0.1) / total if seen[a]
                               else (single[b] + 0.1) / total) for a, b in zip([None, *text.split()], text.split())]
