@@ -2,14 +2,18 @@
 
 Each text is reduced to a few counts.  Texts that pass the base rules feed
 mergeable quantile sketches (KLL) of four ratios, one per language and source;
-sketches of a language are merged to judge sources with fewer than
-``min_group`` such texts.  A ratio is out of range beyond the quartiles by more
-than ``reach`` times their distance plus a margin of its own; the thresholds
-join back to the counts by language and source.
+sketches of a language are merged.  A ratio's limit is its tail quantile plus
+``reach`` times the distance of that quantile from the median, so both the
+place and the width of what is allowed come from the data; no limit is fixed.
+The quantiles of a language and source are drawn towards those of the language
+by ``prior`` texts' worth: few texts hardly move them, many decide them, and
+no size switches from one to the other.  The limits are written once and join
+back to the counts by language and source.
 
 The sketch keeps ``sketch_k`` items a level: up to that many texts a group the
-quartiles are exact, beyond they are off by some tenths of a percent in rank
-and may differ in that order from run to run.
+quantiles are exact, beyond they are off by some tenths of a percent in rank
+and may differ in that order from run to run; within a run all rows are judged
+by the same limits, also after a lost executor.
 
 Cases: a null or empty text has counts 0 and fails the base rules; null
 languages or sources form groups of their own; repeated rows count each; an
@@ -28,12 +32,14 @@ from .shared import checkpointed
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Ratio: (numerator, denominator, margin, whether a low value is out of range too).
+#: Ratio: (numerator, denominator, tail quantile, reach, whether a low value is out of range too).  Symbols and
+#: word lengths have compact bodies, of which junk is told by a wide reach from an inner quantile; repeats
+#: have long tails in good text too, which the outer quantile covers.
 RATIOS = {
-    "symbols_per_word": ("n_symbols", "n_words", 0.3, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.3, False),
-    "repeat_share": ("n_repeat_words", "n_words", 0.2, False),
-    "chars_per_word": ("word_chars", "n_words", 2.0, True),
+    "symbols_per_word": ("n_symbols", "n_words", 0.90, 2.0, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.99, 0.5, False),
+    "repeat_share": ("n_repeat_words", "n_words", 0.99, 0.5, False),
+    "chars_per_word": ("word_chars", "n_words", 0.90, 2.0, True),
 }
 
 
@@ -97,21 +103,26 @@ def counts(text: Column) -> Column:
         repeated_words(found).cast("long").alias("n_repeat_words")))
 
 
-def _range(sketch: Column, reach: float, margin: float) -> Column:
-    low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-    return F.struct((low - reach * (high - low) - margin).alias("low"), (high + reach * (high - low) + margin).alias("high"))
+def _range(own: Column, language: Column, n: Column, prior: float, tail: float, reach: float) -> Column:
+    """The allowed values from the sketches of a group of ``n`` texts and of its language."""
+    def quantile(q: float) -> Column:
+        one, all_ = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for sketch in (own, language))
+        return (n * one + F.lit(prior) * all_) / (n + F.lit(prior))
 
+    low, middle, high = quantile(1 - tail), quantile(0.5), quantile(tail)
+    return F.struct((low - reach * (middle - low)).alias("low"), (high + reach * (high - middle)).alias("high"))
 
-def thresholds(measured: DataFrame, *, reach: float = 3.0, min_group: int = 50, sketch_k: int = 1024) -> DataFrame:
+
+def thresholds(measured: DataFrame, *, prior: float = 200.0, sketch_k: int = 1024) -> DataFrame:
     """(lang_key, source_key, <ratio> ranges) from rows with the ratios and the two keys."""
     sketches = measured.groupBy("lang_key", "source_key").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).cast("double").alias("n"),
         *[F.kll_sketch_agg_double(F.col(r), F.lit(sketch_k)).alias(r) for r in RATIOS])
     merged = sketches.groupBy("lang_key").agg(*[F.kll_merge_agg_double(F.col(r)).alias(f"all_{r}") for r in RATIOS])
     return sketches.join(merged, "lang_key").select(
         "lang_key", "source_key",
-        *[_range(F.when(F.col("n") >= min_group, F.col(r)).otherwise(F.col(f"all_{r}")), reach, margin).alias(f"range_{r}")
-          for r, (_, _, margin, _) in RATIOS.items()])
+        *[_range(F.col(r), F.col(f"all_{r}"), F.col("n"), prior, tail, reach).alias(f"range_{r}")
+          for r, (_, _, tail, reach, _) in RATIOS.items()])
 
 
 def judge(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -124,11 +135,12 @@ def judge(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = checkpointed(rows)  # some hundred bytes a row; the texts are read once
     rows = rows.select("*", ((F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
                        .alias("base_failed"),
-                       *[(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias(r) for r, (a, b, _, _) in RATIOS.items()])
-    ranges = thresholds(rows.where(~F.col("base_failed")), **options)
+                       *[(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias(r) for r, (a, b, _, _, _) in RATIOS.items()])
+    # one row a language and source; written, as sketches of a stage that runs again may differ
+    ranges = checkpointed(thresholds(rows.where(~F.col("base_failed")), **options))
     judged = rows.join(ranges, ["lang_key", "source_key"], "left")
     out = [F.when((F.col(r) > F.col(f"range_{r}.high")) | ((F.col(r) < F.col(f"range_{r}.low")) & F.lit(both)), F.lit(r))
-           for r, (_, _, _, both) in RATIOS.items()]
+           for r, (_, _, _, _, both) in RATIOS.items()]
     return judged.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size(F.array_compact(F.array(*out))) == 0)).alias("kept"),

@@ -185,6 +185,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, use: Col
     return [r[0] or "" for r in rows], [r[1] for r in rows]
 
 
+def sample_weight(labels: DataFrame, label_col: str, use: Column, sampled: list[int], *, id_col: str = "doc_id") -> float:
+    """What a sampled row of label 0 counts beside one of label 1, so that the
+    sample stands for all rows of ``use`` (1 where either has one class only)."""
+    found = labels.where(use & F.col(id_col).isNotNull()).agg(F.count_if(F.col(label_col) == 0), F.count_if(F.col(label_col) == 1)).first()
+    ours = sampled.count(0), sampled.count(1)
+    return found[0] / found[1] * ours[1] / ours[0] if all((*found, *ours)) else 1.0
+
+
 def score_texts(df: DataFrame, model: QualityModel, *, text_col: str = "text") -> DataFrame:
     """``df`` with ``score``, the probability of label 1."""
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -80,8 +80,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is toxic, and how many of its sentences are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    texts, labels = fasttext.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", _remainder(4) != 2, FIT_ROWS)
-    scored = toxicity.score_texts(docs, toxicity.train(texts, labels), locate=True)
+    marked = table(spark, sf_dir, "labels")
+    texts, labels = fasttext.labelled_sample(docs, marked, "toxic", _remainder(4) != 2, FIT_ROWS)
+    weight = fasttext.sample_weight(marked, "toxic", _remainder(4) != 2, labels)
+    scored = toxicity.score_texts(docs, toxicity.train(texts, labels, clean_weight=weight), locate=True)
     return _scored(scored, F.coalesce(_remainder(4) == 2, F.lit(False)), 0.3,
                    F.size("offending").cast("long").alias("n_offending"))
 

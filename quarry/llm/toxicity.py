@@ -95,11 +95,11 @@ class ToxicityModel:
 
 
 def train(texts: list[str], labels: list[int], *, bits: int = 20, epochs: int = 30, batch: int = 64, rate: float = 0.3,
-          decay: float = 5e-4, min_docs: int = 5, clean_weight: float = 5.0, seed: int = 11) -> ToxicityModel:
+          decay: float = 5e-4, min_docs: int = 5, clean_weight: float = 1.0, seed: int = 11) -> ToxicityModel:
     """Feature weights by gradient steps on the cross entropy of the noisy-or.
 
     ``clean_weight`` weighs documents of label 0, for samples that hold fewer
-    of them than the corpus does.
+    of them than the rows they stand for (``fasttext.sample_weight``).
     """
     y = np.array(labels, float)
     share = float(y.mean()) if len(y) else 0.5

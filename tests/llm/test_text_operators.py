@@ -181,15 +181,55 @@ def test_rule_counts_against_brute_force(spark, edge, empty):
 
 
 def test_thresholds_follow_the_group(spark):
-    rows = [(i, " ".join(f"w{i}x{k}" for k in range(80)), "en", "s") for i in range(100)]
-    rows.append((100, " ".join(f"w{k}###" for k in range(80)), "en", "s"))
-    rows += [(200 + i, " ".join(f"w{i}y{k}###" for k in range(80)), "en", "markup") for i in range(100)]
+    rows = [(i, " ".join(f"w{i + 100}x{k}" for k in range(80)), "en", "s") for i in range(100)]
+    rows.append((100, " ".join(f"w{k + 100}y###" for k in range(80)), "en", "s"))
+    rows += [(200 + i, " ".join(f"w{i + 100}y{k}###" for k in range(80)), "en", "markup") for i in range(100)]
     got = {r["doc_id"]: r for r in adaptive_rules.judge(
-        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not got[100]["kept"] and got[100]["reasons"] == ["symbols_per_word"]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior=5.0).collect()}
+    assert not got[100]["kept"] and "symbols_per_word" in got[100]["reasons"]
     assert all(got[i]["kept"] for i in range(100)) and all(got[200 + i]["kept"] for i in range(100))
 
 
+@pytest.mark.parametrize("prior", [0.0, 30.0, 200.0])
+def test_verdicts_against_exact_quantiles(spark, prior):
+    """Groups within the sketch's size: its quantiles are exact."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(500):
+        words = ["".join(rng.choice(list("abcdef"), max(1, int(rng.normal(5, 1))))) for _ in range(60 + int(rng.integers(40)))]
+        for k in range(int(rng.integers(0, 4)) ** 3 if i % 9 == 0 else 0):
+            words[k] = "#$%"
+        lines = "\n".join(" ".join(words[k:k + 10]) for k in range(0, len(words), 10))
+        rows.append((i, lines + ("\n" + " ".join(words[:10])) * (i % 7 == 0), None if i % 50 == 0 else "en" if i % 3 else "de", f"s{i % 4}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in adaptive_rules.judge(df, prior=prior).collect()}
+    ratio, group, whole = {}, {}, {}
+    for i, text, lang, source in rows:
+        n_lines = len([x for x in text.split("\n") if x.strip()])
+        parts = {**got[i].asDict(), "n_lines": n_lines}
+        if not got[i]["base_failed"]:
+            ratio[i] = {r: parts[a] / max(parts[b], 1) for r, (a, b, *_) in adaptive_rules.RATIOS.items()}
+            group.setdefault((lang, source), []).append(i)
+            whole.setdefault(lang, []).append(i)
+    assert len(ratio) > 400
+
+    def quantile(ids, r, q):
+        return float(np.quantile([ratio[i][r] for i in ids], q, method="inverted_cdf"))
+
+    kept = set()
+    for (lang, _), ids in group.items():
+        for i in ids:
+            fine = True
+            for r, (_, _, tail, reach, both) in adaptive_rules.RATIOS.items():
+                low, middle, high = ((len(ids) * quantile(ids, r, q) + prior * quantile(whole[lang], r, q)) / (len(ids) + prior)
+                                     for q in (1 - tail, 0.5, tail))
+                fine &= ratio[i][r] <= high + reach * (high - middle) + 1e-12
+                fine &= not both or ratio[i][r] >= low - reach * (middle - low) - 1e-12
+            kept |= {i} if fine else set()
+    assert kept == {i for i, r in got.items() if r["kept"]}
+    assert 0 < len(ratio) - len(kept) < 100
+
+
 # ---------------------------------------------------------------- decontamination
 def _leaks(text, items, window=10):
     words = decontaminate.normal_words(text)
