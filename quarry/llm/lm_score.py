@@ -105,30 +105,49 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _block_keys(column: pa.Array | pa.ChunkedArray) -> tuple[list[tuple], np.ndarray]:
-    """Of the texts of a block: per slice (first row, end, row, word, context, pair), and the sorted distinct keys."""
+class _Slice:
+    """Some texts of a block: their distinct keys in order, and the places there of each word, of what comes before it and of both."""
+
+    def __init__(self, first: int, end: int, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.first, self.size = first, end - first
+        self.row, word, _, pair = keys(data, offsets)
+        n = len(word)
+        self.key, at = np.unique(np.concatenate([word, pair, np.full(min(n, 1), START)]), return_inverse=True)
+        self.word, self.pair = at[:n], at[n:2 * n]
+        self.starts = np.append(True, self.row[1:] != self.row[:-1]) if n else np.zeros(0, bool)
+        self.context = np.empty_like(self.word)
+        self.context[1:] = self.word[:-1]
+        self.context[self.starts] = 0  # START is the least key
+
+    def counts(self, use: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the rows of ``use``."""
+        use = use[self.first:self.first + self.size][self.row]
+        found = np.bincount(self.word[use], minlength=len(self.key)) + np.bincount(self.pair[use], minlength=len(self.key))
+        found[:1] += int((self.starts & use).sum())
+        return found
+
+
+def _block_keys(column: pa.Array | pa.ChunkedArray) -> tuple[list[_Slice], np.ndarray, list[np.ndarray]]:
+    """(slices, sorted distinct keys, places of each slice's keys there) of the texts of a block."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     data, offsets = flat(column)
-    parts = [(a, b, *keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])) for a, b in slices(offsets)]
-    every = [np.unique(np.concatenate([word, pair, np.full(min(len(word), 1), START)])) for _, _, _, word, _, pair in parts]
-    return parts, np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+    parts = [_Slice(a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets)]
+    key = np.unique(np.concatenate([np.zeros(0, np.uint64), *[p.key for p in parts]]))
+    return parts, key, [np.searchsorted(key, p.key) for p in parts]
 
 
 def key_counts(blocks: DataFrame, flags: DataFrame, ranges: int, *, text_col: str) -> DataFrame:
     """(range, block, keys, t, b): the distinct keys of a block, and how often they occur in its target rows and all its rows."""
     def run(rows: pa.Table, flagged: pa.Table) -> pa.Table:
-        parts, key = _block_keys(rows.column(text_col))
-        target = np.zeros(rows.num_rows, bool)
+        parts, key, places = _block_keys(rows.column(text_col))
+        target, every = np.zeros(rows.num_rows, bool), np.ones(rows.num_rows, bool)
         if flagged.num_rows:
             target = np.isin(rows.column("__row").to_numpy(), np.array(flagged.column("target")[0].as_py(), np.int64))
         t, b = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        for a, _, row, word, _, pair in parts:
-            first = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
-            at = np.searchsorted(key, np.concatenate([word, pair, np.full(int(first.sum()), START)]))
-            of = np.concatenate([row, row, row[first]]) + a
-            b += np.bincount(at, minlength=len(key))
-            t += np.bincount(at[target[of]], minlength=len(key))
+        for part, at in zip(parts, places, strict=True):
+            t[at] += part.counts(target)
+            b[at] += part.counts(every)
         cuts = np.searchsorted(_range_of(key, ranges), np.arange(ranges + 1))
         used = np.flatnonzero(np.diff(cuts))
         block = rows.column("__block")[0].as_py() if rows.num_rows else 0
@@ -200,17 +219,19 @@ def score_documents(df: DataFrame, target: DataFrame, *, id_col: str = "doc_id",
     out = T.StructType([*kept, *FIELDS])
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        parts, key = _block_keys(rows.column(text_col))
+        parts, _, places = _block_keys(rows.column(text_col))
         order = np.argsort(known.column("range").to_numpy())
         tables = [np.concatenate([np.zeros(0), *[_wide(x) for x in known.column(c).take(pa.array(order)).to_pylist()]]) for c in ("t", "b")]
         n, losses = [np.zeros(0, np.int64)], [np.zeros((0, 2))]
-        for a, b, row, *parts_of in parts:
-            count = np.bincount(row, minlength=b - a)
+        for part, at in zip(parts, places, strict=True):
+            count = np.bincount(part.row, minlength=part.size)
             n.append(count)
-            places = [np.searchsorted(key, part) for part in parts_of]
-            losses.append(np.stack([np.bincount(row, weights=model.loss(*(table[place] for place in places)) if len(row) else None,
-                                                minlength=b - a) / np.maximum(count, 1)
-                                    for model, table in zip(models, tables, strict=True)], axis=1))
+            both = []
+            for model, table in zip(models, tables, strict=True):
+                own = table[at]
+                loss = model.loss(own[part.word], own[part.context], own[part.pair])
+                both.append(np.bincount(part.row, weights=loss, minlength=part.size) / np.maximum(count, 1))
+            losses.append(np.stack(both, axis=1))
         n, losses = np.concatenate(n), np.concatenate(losses)
         return pa.table([*[rows.column(f.name) for f in kept], pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]),
                          pa.array(losses[:, 1] - losses[:, 0])], names=out.names)
