@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import append_columns, flat, mix, slices, words
+from .buffers import append_columns, flat, mix, slices, tidied, words
 from .shared import checkpointed, written
 
 SHINGLE = 5
@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidied(run), "a long, b long")
 
 
 def _bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -320,7 +320,7 @@ def _items(texts: DataFrame) -> DataFrame:
                                               pa.array(item.view(np.int64)))],
                     names=["id", "size", "sketch", "items"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, size long, sketch array<long>, items array<long>")
+    return texts.select("id", "text").mapInArrow(tidied(run), "id long, size long, sketch array<long>, items array<long>")
 
 
 def _across(ids: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:

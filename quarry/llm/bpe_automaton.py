@@ -25,12 +25,14 @@ token).
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -40,7 +42,7 @@ from .buffers import SLICE, append_columns, flat, mix, range_hash, slices
 REMEMBERED = 100_000
 
 #: Characters that str.split() takes for white space and the pattern \s doesn't.
-_NOT_SPACE = regex.compile("[\x1c-\x1f]")
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -78,15 +80,20 @@ class TokenAutomaton:
                 continue
             self._gadget(time, vocabulary[a], vocabulary[b], vocabulary[a + b], sharing)
         self._arcs: dict[int, int] = {}
-        #: Labels by their text, inside a word and (less the suffix) at its end.
-        self.inner = {t: i for t, i in vocabulary.items() if not suffix or not t.endswith(suffix)}
-        self.final = {t[:-len(suffix)]: i for t, i in vocabulary.items() if t.endswith(suffix)} if suffix else self.inner
-        #: Length of the longest label that starts with given (up to ``AHEAD``) characters.
-        self.reach: dict[str, int] = {}
-        for table in (self.inner, self.final):
+        self.suffix = suffix
+
+    @cached_property
+    def by_text(self) -> tuple[dict[str, int], dict[str, int], dict[str, int]]:
+        """Labels by their text, inside a word and (less the suffix) at its end, and the length of the
+        longest label that starts with given (up to ``AHEAD``) characters; for single words only."""
+        inner = {t: i for t, i in self.vocabulary.items() if not self.suffix or not t.endswith(self.suffix)}
+        final = {t[:-len(self.suffix)]: i for t, i in self.vocabulary.items() if t.endswith(self.suffix)} if self.suffix else inner
+        reach: dict[str, int] = {}
+        for table in (inner, final):
             for text in table:
                 for k in range(1, min(self.AHEAD, len(text)) + 1):
-                    self.reach[text[:k]] = max(self.reach.get(text[:k], 0), len(text))
+                    reach[text[:k]] = max(reach.get(text[:k], 0), len(text))
+        return inner, final, reach
 
     def _gadget(self, time: int, a: int, b: int, c: int, sharing: list[int]) -> None:
         state = self.target[a]
@@ -138,7 +145,7 @@ class TokenAutomaton:
         Raises KeyError for a word without a path (a symbol that no label has).
         """
         n = len(word)
-        inner, final, reach, arcs, target = self.inner, self.final, self.reach, self._arcs, self.target
+        (inner, final, reach), arcs, target = self.by_text, self._arcs, self.target
         ahead = self.AHEAD
         labels: list[int] = []
         left: list[tuple[int, int, int]] = []  # place, state and next end to try of the arcs taken
@@ -319,17 +326,20 @@ class Tokenizer:
     """A published word-level BPE (its JSON file) run through the automaton."""
 
     def __init__(self, spec: str) -> None:
+        import regex
+
         spec = json.loads(spec)
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         suffix = model.get("end_of_word_suffix") or ""
-        self.automaton = TokenAutomaton(model["vocab"], merges, suffix)
-        self.walker = Walker(self.automaton, byte_symbols(), suffix)
+        automaton = TokenAutomaton(model["vocab"], merges, suffix)  # its tables by name go once the walker has its arrays
+        self.walker = Walker(automaton, byte_symbols(), suffix)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        labels = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
+        self.mark = os.path.commonprefix(list(self.special))  # texts without it have no special token
+        labels = {**automaton.label, **{i: t for t, i in self.special.items()}}
         size = max(labels, default=-1) + 1
         encoded = [(labels.get(i, "") + " ").encode() for i in range(size)]
         self.label_at = np.concatenate([[0], np.cumsum([len(e) for e in encoded])])
@@ -342,7 +352,7 @@ class Tokenizer:
         """Special tokens, and pieces that neither normalisation nor the pattern looks across."""
         if not text:
             return []
-        if "<|" in text and self.cut.search(text):
+        if self.special and self.mark in text and self.cut.search(text):
             return [w for p in self.cut.split(text) for w in ([p] if p in self.special else self._pieces(p))]
         return self.library.words(text) if _NOT_SPACE.search(text) else text.split()
 

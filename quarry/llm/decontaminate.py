@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import append_columns, spans
+from .buffers import append_columns, spans, tidied
 from .shared import checkpointed
 
 #: Words of items in one automaton (a state takes some hundred bytes).
@@ -259,7 +259,7 @@ def remove_leaks(df: DataFrame, items: DataFrame, *, text_col: str = "text", max
                       else batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return marked.mapInArrow(cut, T.StructType([next(f for f in fields if f.name == c) for c in columns]))
+    return marked.mapInArrow(tidied(cut), T.StructType([next(f for f in fields if f.name == c) for c in columns]))
 
 
 def _without(text: str, ranges: list[int]) -> str:

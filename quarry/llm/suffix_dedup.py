@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import BYTE64, flat, mix, range_hash, slices
+from .buffers import BYTE64, flat, mix, range_hash, slices, tidied
 from .shared import checkpointed
 
 MATCH = 100
@@ -222,7 +222,7 @@ def _found_runs(texts: DataFrame, sample: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_batch_runs(batch)["anchor"], pa.int64())], names=["code"])
 
     sampled = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(sample)) == 0)
-    ranges = _sampled_ranges(checkpointed(sampled.mapInArrow(codes, "code long")), 1 / sample, BUCKET)
+    ranges = _sampled_ranges(checkpointed(sampled.mapInArrow(tidied(codes), "code long")), 1 / sample, BUCKET)
 
     def deal(batches):
         for batch in batches:
@@ -238,8 +238,8 @@ def _found_runs(texts: DataFrame, sample: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(both["key"]), pa.array(_places(both)), anchor],
                                              names=["key", "place", "anchor"])
 
-    dealt = texts.mapInArrow(deal, "bucket int, block binary").repartitionById(ranges.n, F.col("bucket"))
-    return checkpointed(dealt.mapInArrow(sort, "key long, place long, anchor long"))
+    dealt = texts.mapInArrow(tidied(deal), "bucket int, block binary").repartitionById(ranges.n, F.col("bucket"))
+    return checkpointed(dealt.mapInArrow(tidied(sort), "key long, place long, anchor long"))
 
 
 _CONTEXT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("group", T.LongType()),
@@ -299,7 +299,7 @@ def _contexts(texts: DataFrame, found: DataFrame, ranges: Ranges) -> DataFrame:
                  pa.array([*[bytes(view[a:b]) for a, b in zip(begin, end, strict=True)], *[b""] * n], pa.binary())],
                 names=_CONTEXT.names)
 
-    return texts.join(open_, "key").mapInArrow(run, _CONTEXT)
+    return texts.join(open_, "key").mapInArrow(tidied(run), _CONTEXT)
 
 
 def repeated_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray,
@@ -363,7 +363,7 @@ def _compare_open(contexts: DataFrame, ranges: Ranges, chunk: int = 1 << 20) ->
             yield emit(key[part][of[a]], first[part][of[a]] + step[a], b - a + 1)
             start = end
 
-    return contexts.repartitionById(ranges.n, F.col("bucket")).mapInArrow(run, "key long, place long")
+    return contexts.repartitionById(ranges.n, F.col("bucket")).mapInArrow(tidied(run), "key long, place long")
 
 
 def _covered(place: np.ndarray, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -425,6 +425,6 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                                              names=DIGEST.names)
 
-    cut = marked.mapInArrow(run, DIGEST)
+    cut = marked.mapInArrow(tidied(run), DIGEST)
     cut = cut if with_text else cut.drop("kept")
     return cut.withColumnRenamed("doc_id", id_col)
