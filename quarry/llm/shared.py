@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a session without that
-    setting (a test) gets a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only a session without that setting
+    (a test) gets one in the warehouse, which all executors see too."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir")
+                                 or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return context.getCheckpointDir()
 
 

@@ -47,6 +47,6 @@ def test_queries_return_their_rows(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert set(queries.queries()) == {"op1_quality", "op2_bpe", "op3_suffix_dedup", "op4_lm_score", "op5_toxicity",
                                       "op6_rules", "op7_near_dedup", "op8_decontamination", "op9_extraction",
-                                      "op10_sharding"}
-    for name in ("op2_bpe", "op3_suffix_dedup", "op4_lm_score", "op6_rules", "op8_decontamination", "op10_sharding"):
+                                      "op10_sharding", "op11_hard_negatives", "op12_fingerprints", "op13_search"}
+    for name in ("op2_bpe", "op3_suffix_dedup", "op4_lm_score", "op6_rules", "op8_decontamination", "op10_sharding", "op12_fingerprints"):
         assert queries.queries()[name](spark, SF).count() == n
