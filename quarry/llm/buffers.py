@@ -128,15 +128,27 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            _trim()
+            give_back()
 
     return tidy
 
 
-def _trim() -> None:
-    """Free pages of the C library's heap go back to the system, where it can do that."""
+def tidied_groups(run: Callable[..., pa.Table]):
+    """The same for a function of a group, or of two that meet."""
+    def called(*tables):
+        try:
+            return run(*tables)
+        finally:
+            give_back()
+
+    # Spark counts the arguments
+    return (lambda table: called(table)) if run.__code__.co_argcount == 1 else (lambda left, right: called(left, right))
+
+
+def give_back() -> None:
+    """What this worker has freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

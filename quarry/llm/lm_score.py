@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import LOWER, flat, mix, slices, words
+from .buffers import LOWER, flat, mix, slices, tidied_groups, words
 from .shared import shared_folder, written
 
 #: Bytes and rows of a block of documents, about.
@@ -159,7 +159,7 @@ def key_counts(blocks: DataFrame, flags: DataFrame, ranges: int, *, text_col: st
 
     rows = blocks.select("__block", "__row", text_col)
     return rows.groupBy("__block").cogroup(flags.groupBy("__of")).applyInArrow(
-        run, "range long, block long, keys binary, t binary, b binary")
+        tidied_groups(run), "range long, block long, keys binary, t binary, b binary")
 
 
 def totals(counts: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def totals(counts: DataFrame) -> DataFrame:
                         names=["block", "range", "t", "b", "words", "t_words", "b_words"])
 
     return written(counts.groupBy("range").applyInArrow(
-        run, "block long, range long, t binary, b binary, words long, t_words long, b_words long"))
+        tidied_groups(run), "block long, range long, t binary, b binary, words long, t_words long, b_words long"))
 
 
 @dataclass
@@ -237,4 +237,4 @@ def score_documents(df: DataFrame, target: DataFrame, *, id_col: str = "doc_id",
                          pa.array(losses[:, 1] - losses[:, 0])], names=out.names)
 
     found = back.select("block", "range", "t", "b")
-    return blocks.groupBy("__block").cogroup(found.groupBy("block")).applyInArrow(run, out)
+    return blocks.groupBy("__block").cogroup(found.groupBy("block")).applyInArrow(tidied_groups(run), out)
