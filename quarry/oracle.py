@@ -328,6 +328,16 @@ def ml_plumbing_sql() -> dict[str, str]:
             x AS (SELECT u_sample, unnest([0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS sample_size FROM train),
             s AS (SELECT sample_size, count(*) FILTER (WHERE u_sample < sample_size) AS sample_count FROM x GROUP BY 1)
             SELECT sample_size, sample_count, unnest(['rf', 'gbt', 'mlp']) AS model FROM s""",
+        "glm_readout": """SELECT unnest(['poisson', 'logistic_l2', 'logistic_en']) AS model, unnest([6, 6, 30])::BIGINT AS n_points,
+            true AS best_first""",
+        "wide_readout": "SELECT unnest(['rf', 'gbt', 'mlp']) AS model, 27::BIGINT AS n_points, true AS best_first",
+        "als_readout": f"""WITH r AS (SELECT o_custkey::INTEGER AS userId, l_partkey::INTEGER AS movieId
+                          FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+            f AS (SELECT *, {_bucket(4, 'userId', 'movieId')} AS fold FROM r),
+            n AS (SELECT count(*) AS n FROM f t
+                  WHERE EXISTS (SELECT 1 FROM f a WHERE a.fold <> t.fold AND a.userId = t.userId)
+                    AND EXISTS (SELECT 1 FROM f b WHERE b.fold <> t.fold AND b.movieId = t.movieId))
+            SELECT unnest([1, 2, 3]) AS model, 4::BIGINT AS n_folds, n AS n_scored, true AS same FROM n""",
         "rating_fold_sizes": f"""WITH r AS (SELECT o_custkey::INTEGER AS userId, l_partkey::INTEGER AS movieId
                           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
             SELECT {_bucket(4, 'userId', 'movieId')} AS fold, count(*) AS count FROM r GROUP BY 1""",

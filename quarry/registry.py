@@ -609,6 +609,39 @@ def stream_class_counts(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+# ---------------------------------------------------------------- read-out of the tuned analyses
+
+def _readout(curves: DataFrame, best: DataFrame, smaller: list[str]) -> DataFrame:
+    """(model, n_points, best_first): grid points of each curve, and whether the reported best point is the
+    first with the best mean over all of them."""
+    sign = F.when(F.col("model").isin(smaller), -1.0).otherwise(1.0)
+    top = curves.groupBy("model").agg(F.count(F.lit(1)).alias("n_points"),
+                                      F.max(F.struct((sign * F.col("mean_metric")).alias("m"), (-F.col("grid_index")).alias("i"))).alias("top"))
+    told = best.select("model", F.col("grid_index").alias("told"), F.col("mean_metric").alias("mean"))
+    same = (F.col("told") == -F.col("top.i")) & (F.abs(F.col("mean")) == F.abs(F.col("top.m")))
+    return top.join(told, "model").select("model", "n_points", same.alias("best_first"))
+
+
+def glm_readout(spark, sf_dir):
+    found = analyses(spark, sf_dir).glm
+    return _readout(found["curves"], found["best"], ["poisson"])
+
+
+def wide_readout(spark, sf_dir):
+    found = analyses(spark, sf_dir)
+    return _readout(found.wide("curve"), found.wide("best"), [])
+
+
+def als_readout(spark, sf_dir):
+    """Folds and scored ratings of each configuration, and whether its summary has the means of its folds."""
+    metrics_ = analyses(spark, sf_dir).als[0]
+    per_model = metrics_.groupBy("model").agg(F.count(F.lit(1)).alias("n_folds"), F.sum("n").alias("n_scored"),
+                                              F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
+    both = per_model.join(recommend.als_summary(metrics_, 4), "model")
+    near = [F.abs(F.col(c) - F.col(f"{c}_mean")) < 1e-9 for c in ("rmse", "mae")]
+    return both.select("model", "n_folds", "n_scored", (near[0] & near[1] & (F.col("rmse") >= F.col("mae"))).alias("same"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "log_parse": log_parse,
@@ -679,6 +712,9 @@ def queries() -> dict[str, Query]:
         "evaluator_table": evaluator_table,
         "scaling_report_counts": scaling_report_counts,
         "stream_class_counts": stream_class_counts,
+        "glm_readout": glm_readout,
+        "wide_readout": wide_readout,
+        "als_readout": als_readout,
     } | checks.queries()
 
 
