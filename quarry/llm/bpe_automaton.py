@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .buffers import SLICE, append_columns, flat, mix, range_hash, slices
+from .buffers import AT_END, SLICE, append_columns, flat, mix, range_hash, slices
 
 #: Pieces of text whose tokens a worker remembers, twice; beyond, the older half goes.
 REMEMBERED = 100_000
@@ -430,6 +430,10 @@ class _Source:
         return _Source.made[key]
 
 
+# a worker that goes on to other work needs no tokenizer; making it anew takes half a second a task
+AT_END.append(_Source.made.clear)
+
+
 def _source(df: DataFrame, path: str):
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_source(path))
     return lambda: shared.value()

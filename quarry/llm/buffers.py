@@ -61,6 +61,10 @@ class _Powers:
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(inverse, k, 1 << 64))])
         return self.up[:n], self.down[:n]
 
+    def forget(self) -> None:
+        """Back to what slices need."""
+        self.up, self.down = self.up[:SLICE].copy(), self.down[:SLICE].copy()
+
 
 _powers = _Powers()
 
@@ -145,8 +149,15 @@ def tidied_groups(run: Callable[..., pa.Table]):
     return (lambda table: called(table)) if run.__code__.co_argcount == 1 else (lambda left, right: called(left, right))
 
 
+#: Called at the end of a task: what modules keep between batches.
+AT_END: list[Callable[[], None]] = [_powers.forget]
+
+
 def give_back() -> None:
-    """What this worker has freed goes back to the system, where the C library can do that."""
+    """Drops what is kept for the next batch; what this worker has freed goes back to
+    the system, where the C library can do that."""
+    for forget in AT_END:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
