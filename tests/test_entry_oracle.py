@@ -9,6 +9,8 @@ from quarry.sources.tables import TABLES
 from small_data import SF_SMALL
 
 SQL = entry.oracle_sql()
+#: They read whole tuned analyses, minutes each; ``tools/oracle_check.py`` has them.
+SLOW = {"glm_readout", "wide_readout"}
 
 
 def _norm(rows, cols):
@@ -39,7 +41,7 @@ def test_every_oracle_has_a_query():
     assert set(SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(SQL.keys() - SLOW))
 def test_query_matches_duckdb(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     res = con.execute(SQL[name])
