@@ -55,3 +55,17 @@ def test_scaling_study_appends_and_reports(spark):
     assert [r.sample_size_percent for r in rep] == sorted(r.sample_size_percent for r in rep)
     n50 = {r.sample_count for r in rep if r.sample_size_percent == 50.0}
     assert len(n50) == 1                 # deterministic sample: same rows on both runs
+
+
+def test_als_files_go_with_each_iteration_and_fit(spark, monkeypatch):
+    from quarry.operators import models
+    from quarry.session import with_checkpoints
+    assert models.als().getCheckpointInterval() == 1
+    gone = []
+    monkeypatch.setattr(recommend, "let_go", gone.append)
+    ratings = standins.ratings(with_checkpoints(spark), SF_SMALL)
+    metrics, _ = recommend.als_cv(ratings, configs=[{"rank": 4, "maxIter": 3}], k=2)
+    assert len(gone) >= 2  # after each fit
+    seldom = recommend.als_cv(ratings, configs=[{"rank": 4, "maxIter": 3, "checkpoint_interval": 10}], k=2)[0]
+    rare = {r.fold: r.rmse for r in seldom.collect()}
+    assert {r.fold: r.rmse for r in metrics.collect()} == rare
