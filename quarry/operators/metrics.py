@@ -40,9 +40,21 @@ def regression_metrics(df: DataFrame, label_col: str, pred_col: str = "predictio
         F.avg(F.abs(err)).alias("mae"))
 
 
-def accuracy(df: DataFrame, label_col: str, pred_col: str = "prediction", group_cols=None) -> DataFrame:
-    """M3: share of rows whose prediction equals the label, per group."""
+def grouped_rmse(df: DataFrame, mean_col: str, n_col: str, squares_col: str, pred_col: str = "prediction") -> DataFrame:
+    """M1 of rows that were grouped by what they are predicted from: ``n_col`` rows have the
+    mean label ``mean_col`` and the squared deviations ``squares_col`` from it, in all."""
+    off = F.col(pred_col) - F.col(mean_col)
+    n = F.sum(n_col)
+    return df.agg(n.cast("bigint").alias("n"), F.sqrt(F.sum(F.col(squares_col) + F.col(n_col) * off * off) / n).alias("rmse"))
+
+
+def accuracy(df: DataFrame, label_col: str, pred_col: str = "prediction", group_cols=None,
+             n_col: str | None = None) -> DataFrame:
+    """M3: share of rows whose prediction equals the label, per group; a row stands for ``n_col`` rows."""
     hit = (F.col(label_col).cast("double") == F.col(pred_col).cast("double")).cast("double")
+    if n_col is not None:
+        return df.groupBy(*_as_list(group_cols)).agg(F.sum(n_col).cast("bigint").alias("n"),
+                                                     (F.sum(hit * F.col(n_col)) / F.sum(n_col)).alias("accuracy"))
     return df.groupBy(*_as_list(group_cols)).agg(F.count(F.lit(1)).alias("n"),
                                                  F.avg(hit).alias("accuracy"))
 
@@ -112,8 +124,10 @@ def mae_evaluator(label_col: str, pred_col: str = "prediction") -> RegressionEva
     return RegressionEvaluator(labelCol=label_col, predictionCol=pred_col, metricName="mae")
 
 
-def accuracy_evaluator(label_col: str, pred_col: str = "prediction") -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol=label_col, predictionCol=pred_col, metricName="accuracy")
+def accuracy_evaluator(label_col: str, pred_col: str = "prediction",
+                       n_col: str | None = None) -> MulticlassClassificationEvaluator:
+    found = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol=pred_col, metricName="accuracy")
+    return found if n_col is None else found.setWeightCol(n_col)
 
 
 def auc_evaluator(label_col: str, raw_col: str = "rawPrediction") -> BinaryClassificationEvaluator:
@@ -121,6 +135,21 @@ def auc_evaluator(label_col: str, raw_col: str = "rawPrediction") -> BinaryClass
                                          metricName="areaUnderROC")
 
 
+class GroupedRmse(Evaluator):
+    """``grouped_rmse`` as an evaluator."""
+
+    def __init__(self, mean_col: str, n_col: str, squares_col: str) -> None:
+        super().__init__()
+        self.columns = mean_col, n_col, squares_col
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        found = grouped_rmse(dataset, *self.columns).first()["rmse"]
+        return float("nan") if found is None else float(found)
+
+    def isLargerBetter(self) -> bool:
+        return False
+
+
 class ExactAuc(Evaluator):
     """M4 as an evaluator: the exact area under the ROC curve, so that a grid
     search doesn't select on a curve of 1,000 bins. The score is a number or,

@@ -37,11 +37,13 @@ KMEANS_K = 19
 ALS_BLOCKS = 10
 
 
-def poisson_glm(features_col: str, label_col: str, reg_param: float = 0.0,
-                max_iter: int = GLM_MAX_ITER) -> GeneralizedLinearRegression:
-    """L1: Poisson regression with log link."""
+def poisson_glm(features_col: str, label_col: str, reg_param: float = 0.0, max_iter: int = GLM_MAX_ITER,
+                weight_col: str | None = None) -> GeneralizedLinearRegression:
+    """L1: Poisson regression with log link. With ``weight_col`` a row stands for that many
+    rows of the same features and its label is their mean: the equations of the fit are the same."""
+    weights = {"weightCol": weight_col} if weight_col else {}
     return GeneralizedLinearRegression(family="poisson", link="log", featuresCol=features_col,
-                                       labelCol=label_col, maxIter=max_iter, regParam=reg_param)
+                                       labelCol=label_col, maxIter=max_iter, regParam=reg_param, **weights)
 
 
 def logistic(features_col: str, label_col: str, reg_param: float = 0.0, elastic_net: float = 0.0,
@@ -51,6 +53,34 @@ def logistic(features_col: str, label_col: str, reg_param: float = 0.0, elastic_
                               family="binomial", regParam=reg_param, elasticNetParam=elastic_net)
 
 
+class GroupedLogistic(LogisticRegression):
+    """Logistic regression on distinct rows with the number of times each occurs as its weight: the fit of all rows.
+
+    The penalty acts on features over their sample std. MLlib takes weights for
+    precisions and divides by N - sum w^2 / N where N rows have N - 1, so the
+    penalties are scaled by what that changes.
+    """
+
+    def _fit(self, dataset: DataFrame):
+        w = F.col(self.getWeightCol())
+        n, squares = dataset.agg(F.sum(w), F.sum(w * w)).first()
+        if not n or n <= 1 or squares >= n * n:
+            return super()._fit(dataset)
+        wider = (n - 1) / (n - squares / n)  # the variance MLlib takes, over the variance of the rows
+        reg, mixing = self.getRegParam(), self.getElasticNetParam()
+        ridge, lasso = reg * (1 - mixing) / wider, reg * mixing / wider ** 0.5
+        total = ridge + lasso
+        same = self.copy({self.regParam: total, self.elasticNetParam: lasso / total if total else 0.0})
+        return super(GroupedLogistic, same)._fit(dataset)
+
+
+def grouped_logistic(features_col: str, label_col: str, weight_col: str, reg_param: float = 0.0, elastic_net: float = 0.0,
+                     max_iter: int = GLM_MAX_ITER) -> GroupedLogistic:
+    """L2 / L3: ``logistic`` on distinct rows and their numbers."""
+    return GroupedLogistic(featuresCol=features_col, labelCol=label_col, weightCol=weight_col, maxIter=max_iter,
+                           family="binomial", regParam=reg_param, elasticNetParam=elastic_net)
+
+
 def random_forest(features_col: str, label_col: str, seed: int = SEED, **params) -> RandomForestClassifier:
     """L4: random forest classifier."""
     return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, seed=seed, **params)

@@ -20,9 +20,9 @@ from quarry.operators import features as E
 from quarry.operators import models as M
 from quarry.operators import tuning as G
 from quarry.operators.aggregates import class_distribution
-from quarry.operators.metrics import accuracy, accuracy_evaluator, regression_metrics, rmse_evaluator
+from quarry.operators.metrics import GroupedRmse, accuracy, accuracy_evaluator, grouped_rmse
 from quarry.operators.splits import FOLD_SALT, SEED, hash_split, with_fold
-from quarry.session import small_answer
+from quarry.session import settled, small_answer
 
 
 def prepare_binary_label(df: DataFrame, text_col: str, negative_value, out_col: str) -> DataFrame:
@@ -35,6 +35,23 @@ def split_encounters(df: DataFrame, id_cols: Sequence[str], train_fraction: floa
     return hash_split(df, list(id_cols), train_fraction)
 
 
+#: Columns of ``grouped_rows``.
+N_ROWS, SQUARES = "_n_rows", "_squares"
+
+
+def grouped_rows(df: DataFrame, keys: Sequence[str], count_label: str) -> DataFrame:
+    """One row for each combination of ``keys``: how many rows have it, the mean of their count label
+    and its squared deviations from that mean.
+
+    All that a likelihood or an error needs of rows with the same categories. Labels
+    that no count model takes (NULL, negative) stay apart and fail in the fit.
+    """
+    y = F.col(count_label).cast("double")
+    n = F.count(F.lit(1)).cast("double")
+    return (df.groupBy(*keys, (y >= 0).alias("_count"))
+            .agg(n.alias(N_ROWS), F.avg(y).alias(count_label), (F.var_pop(y) * n).alias(SQUARES)).drop("_count"))
+
+
 def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_label: str,
               binary_label: str, reg_params: Sequence[float] = G.REG_PARAMS,
               en_params: Sequence[float] = G.ELASTIC_NET_PARAMS, folds: int = G.CV_FOLDS,
@@ -43,35 +60,44 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     """C5. A category unseen in training fails at scoring time;
     ``handle_invalid="keep"`` maps it to one extra slot instead. With ``id_cols`` the CV
     folds are hash buckets of the row key (the same on any partitioning);
-    without, CrossValidator draws them from ``seed``."""
+    without, they are drawn from ``seed``.
+
+    Each part is read once more after the indexer, into one row for each
+    combination of categories, fold and class with the number of its rows;
+    all fits and metrics of the grid take these numbers as weights, so a fit
+    costs as much as there are combinations, whatever the rows."""
     spark = train.sparkSession
-    # A5: class counts of both parts, in one aggregate over their union
-    split_dist = small_answer(split_counts(train, test, binary_label))
-    train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
-    inputs = [train, test]
-    fold_col = None
+    fold_col = "cv_fold"
     if id_cols:
-        fold_col = "cv_fold"
-        train = with_fold(train, list(id_cols), folds, fold_col, salt=FOLD_SALT)
-    pipe = E.categorical_pipeline(cat_cols, "features", drop_last=False, handle_invalid=handle_invalid)
-    _, (tr, te) = E.fit_transform(pipe, train, test)
-    keep = ["features", count_label, binary_label]
-    tr = tr.select(*keep, *([fold_col] if fold_col else [])).persist(StorageLevel.MEMORY_AND_DISK)
-    te = te.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+        folded = with_fold(train, list(id_cols), folds, fold_col, salt=FOLD_SALT)
+    else:
+        folded = train.withColumn(fold_col, F.floor(F.rand(seed) * folds).cast("int"))
+    tr = settled(grouped_rows(folded, [*cat_cols, binary_label, fold_col], count_label))
+    te = settled(grouped_rows(test, [*cat_cols, binary_label], count_label))
+    # A5: class counts of both parts
+    split_dist = small_answer(tr.select(F.lit("train").alias("split"), binary_label, N_ROWS)
+                              .unionByName(te.select(F.lit("test").alias("split"), binary_label, N_ROWS))
+                              .groupBy("split", binary_label).agg(F.sum(N_ROWS).cast("bigint").alias("count")))
+    groups = [tr, te]
+    encoder = E.categorical_pipeline(cat_cols, "features", drop_last=False, handle_invalid=handle_invalid).fit(train)
+    keep = ["features", count_label, binary_label, N_ROWS, SQUARES]
+    tr = encoder.transform(tr).select(*keep, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    te = encoder.transform(te).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     tr.count(), te.count()  # fill the caches once, before concurrent searches read them
-    for df in inputs:  # the searches read the encoded parts only
+    for df in groups:
         df.unpersist()
 
     families = {
-        "poisson": (M.poisson_glm("features", count_label), {"regParam": reg_params},
-                    rmse_evaluator(count_label), False),
-        "logistic_en": (M.logistic("features", binary_label), {"regParam": reg_params, "elasticNetParam": en_params},
-                        accuracy_evaluator(binary_label), True),
+        "poisson": (M.poisson_glm("features", count_label, weight_col=N_ROWS), {"regParam": reg_params},
+                    GroupedRmse(count_label, N_ROWS, SQUARES), False),
+        "logistic_en": (M.grouped_logistic("features", binary_label, N_ROWS),
+                        {"regParam": reg_params, "elasticNetParam": en_params},
+                        accuracy_evaluator(binary_label, n_col=N_ROWS), True),
     }
     shared_l2 = 0.0 in [float(e) for e in en_params]
     if not shared_l2:
-        families["logistic_l2"] = (M.logistic("features", binary_label, elastic_net=0.0), {"regParam": reg_params},
-                                   accuracy_evaluator(binary_label), True)
+        families["logistic_l2"] = (M.grouped_logistic("features", binary_label, N_ROWS), {"regParam": reg_params},
+                                   accuracy_evaluator(binary_label, n_col=N_ROWS), True)
     columns = ["grid_index", "regParam", "elasticNetParam", "mean_metric", "std_metric"]
 
     def tune(name, est, grid_spec, evaluator, larger):
@@ -92,7 +118,7 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
                                    "model string, grid_index int, regParam double, elasticNetParam double, "
                                    "mean_metric double, std_metric double")
         best = max(points, key=lambda p: (p["mean_metric"], -p["grid_index"]))
-        model = M.logistic("features", binary_label, reg_param=best["regParam"]).fit(tr)
+        model = M.grouped_logistic("features", binary_label, N_ROWS, reg_param=best["regParam"]).fit(tr)
         results["logistic_l2"] = (l2, model.transform(te))
     scored = {n: r[1] for n, r in results.items()}
     curve_all = results["poisson"][0].unionByName(results["logistic_l2"][0]).unionByName(results["logistic_en"][0])
@@ -102,9 +128,9 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     en_curve = curve_all.filter(F.col("model") == "logistic_en")
     matrix = G.curve_matrix(en_curve, "regParam", "elasticNetParam", en_params)
 
-    pois = regression_metrics(scored["poisson"], count_label, "prediction").select(
+    pois = grouped_rmse(scored["poisson"], count_label, N_ROWS, SQUARES).select(
         F.lit("poisson").alias("model"), F.lit("rmse").alias("metric"), F.col("rmse").alias("value"))
-    accs = [accuracy(scored[m], binary_label, "prediction").select(
+    accs = [accuracy(scored[m], binary_label, "prediction", n_col=N_ROWS).select(
         F.lit(m).alias("model"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
         for m in ("logistic_l2", "logistic_en")]
     report = pois.unionByName(accs[0]).unionByName(accs[1])
