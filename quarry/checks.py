@@ -108,20 +108,21 @@ def score_equations(spark, sf_dir):
     """L1-L3: logistic regression with every mixing and Poisson regression on three one-hot columns."""
     enc = tabular.prepare_binary_label(standins.encounters(spark, sf_dir), "l_linestatus", "F", "status_flag")
     cols = ["l_returnflag", "p_brand", "p_type"]
-    rows = settled(features.categorical_pipeline(cols, "features", drop_last=True).fit(enc).transform(enc)
-                   .select("features", "status_flag", "l_quantity"))
+    groups = tabular.grouped_rows(enc, [*cols, "status_flag"], "l_quantity")  # all that the fits and their equations need of the rows
+    rows = settled(features.categorical_pipeline(cols, "features", drop_last=True).fit(enc).transform(groups)
+                   .select("features", "status_flag", "l_quantity", tabular.N_ROWS))
 
     def logistic(mixing: float) -> DataFrame:
-        est = models.logistic("features", "status_flag", REG, mixing).setTol(1e-9)
+        est = models.grouped_logistic("features", "status_flag", tabular.N_ROWS, REG, mixing).setTol(1e-9)
         model = est.fit(rows)
         residual = compiled.compile_model(spark, model) - F.col("status_flag")
-        return conditions.elastic_net_violations(rows, model, residual, REG, mixing).select(
+        return conditions.elastic_net_violations(rows, model, residual, REG, mixing, n_col=tabular.N_ROWS).select(
             F.lit(f"logistic_{mixing}").alias("model"), "n_coefficients", "violations")
 
     def poisson() -> DataFrame:
-        model = models.poisson_glm("features", "l_quantity").fit(rows)
+        model = models.poisson_glm("features", "l_quantity", weight_col=tabular.N_ROWS).fit(rows)
         residual = compiled.compile_model(spark, model) - F.col("l_quantity")
-        return conditions.elastic_net_violations(rows, model, residual, 0.0, 0.0).select(
+        return conditions.elastic_net_violations(rows, model, residual, 0.0, 0.0, n_col=tabular.N_ROWS).select(
             F.lit("poisson").alias("model"), "n_coefficients", "violations")
 
     jobs = [lambda m=m: logistic(m) for m in (0.0, 0.2, 0.5, 0.8, 1.0)] + [poisson]

@@ -16,23 +16,26 @@ from quarry.operators.compiled import dot
 
 
 # ---------------------------------------------------------------- L1-L3: score equations
-def score_sums(df: DataFrame, features_col: str, residual: Column) -> DataFrame:
+def score_sums(df: DataFrame, features_col: str, residual: Column, n_col: str | None = None) -> DataFrame:
     """(j, score, std): for each feature the mean of residual times value over all rows and the sample std of the feature.
 
     Only values other than zero are sent on, so one-hot features cost one row
-    for each category of a row.
+    for each category of a row. A row stands for ``n_col`` rows with the same
+    features and, on average, this residual.
     """
-    n = df.count()
-    active = (df.select(residual.alias("_r"), F.posexplode(vector_to_array(F.col(features_col))).alias("j", "_x"))
+    w = F.lit(1) if n_col is None else F.col(n_col)
+    n = df.agg(F.sum(w)).first()[0] or 0
+    active = (df.select(residual.alias("_r"), w.alias("_w"), F.posexplode(vector_to_array(F.col(features_col))).alias("j", "_x"))
               .where("_x <> 0"))
-    sums = active.groupBy("j").agg(F.sum(F.col("_r") * F.col("_x")).alias("_rx"), F.sum("_x").alias("_s"),
-                                   F.sum(F.col("_x") * F.col("_x")).alias("_ss"))
+    sums = active.groupBy("j").agg(F.sum(F.col("_w") * F.col("_r") * F.col("_x")).alias("_rx"),
+                                   F.sum(F.col("_w") * F.col("_x")).alias("_s"),
+                                   F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("_ss"))
     variance = (F.col("_ss") - F.col("_s") * F.col("_s") / n) / (n - 1)
     return sums.select("j", (F.col("_rx") / n).alias("score"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"))
 
 
 def elastic_net_violations(df: DataFrame, model, residual: Column, reg_param: float, elastic_net: float,
-                           tolerance: float = 1e-3) -> DataFrame:
+                           tolerance: float = 1e-3, n_col: str | None = None) -> DataFrame:
     """(n_coefficients, violations) of the optimality conditions of a penalised fit.
 
     On standardised features, with score s = mean(residual * x) / std and
@@ -41,7 +44,7 @@ def elastic_net_violations(df: DataFrame, model, residual: Column, reg_param: fl
     """
     spark = df.sparkSession
     fitted = spark.createDataFrame(list(enumerate(map(float, model.coefficients.toArray()))), "j int, beta double")
-    both = fitted.join(score_sums(df, model.getFeaturesCol(), residual), "j", "left")
+    both = fitted.join(score_sums(df, model.getFeaturesCol(), residual, n_col), "j", "left")
     b = F.col("beta") * F.col("std")
     s = F.when(F.col("std") > 0, F.col("score") / F.col("std")).otherwise(0.0)
     ridge, lasso = F.lit(reg_param * (1 - elastic_net)) * b, F.lit(reg_param * elastic_net)

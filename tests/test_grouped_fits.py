@@ -71,3 +71,23 @@ def test_searches_read_combinations_not_rows(spark, monkeypatch):
         assert sum(n for (split, _), n in counts.items() if split == "train") == t.count()
     assert seen[0] == seen[2] < train.count() / 2
     assert found[0] == pytest.approx(found[1], rel=1e-3)
+
+
+def test_score_sums_of_groups_are_those_of_all_rows(rows):
+    from quarry.operators import conditions
+    every, groups = _encoded(rows)
+    whole = {r.j: r for r in conditions.score_sums(every, "features", 0.3 - F.col("flag")).collect()}
+    few = {r.j: r for r in conditions.score_sums(groups, "features", 0.3 - F.col("flag"), tabular.N_ROWS).collect()}
+    assert whole.keys() == few.keys()
+    for j, r in whole.items():
+        assert (few[j].score, few[j].std) == pytest.approx((r.score, r.std), rel=1e-9)
+
+
+def test_fold_metrics_of_the_counts_read_groups(spark, monkeypatch):
+    from quarry import registry
+    seen, search = [], registry.tuning.cross_validate
+    monkeypatch.setattr(registry.tuning, "cross_validate",
+                        lambda est, grid, ev, data, *a, **k: seen.append(data.count()) or search(est, grid, ev, data, *a, **k))
+    assert registry.poisson_fold_metrics(spark, SF_SMALL).count() == 1
+    brands = standins.encounters(spark, SF_SMALL).select("p_brand").distinct().count()
+    assert seen[0] <= 3 * brands
