@@ -508,12 +508,14 @@ def logistic_shares(spark, sf_dir):
 
 def poisson_fold_metrics(spark, sf_dir):
     """Cross-validated RMSE of the category means on hash folds, mean and population std."""
-    enc = splits.with_fold(_by_brand(spark, sf_dir), ["l_orderkey", "l_linenumber"], 3, "cv_fold", salt=splits.FOLD_SALT)
-    est = models.poisson_glm("features", "l_quantity")
+    enc = splits.with_fold(standins.encounters(spark, sf_dir), ["l_orderkey", "l_linenumber"], 3, "cv_fold", salt=splits.FOLD_SALT)
+    groups = settled(tabular.grouped_rows(enc, ["p_brand", "cv_fold"], "l_quantity"))
+    coded = features.categorical_pipeline(["p_brand"], "features", drop_last=True).fit(enc).transform(groups)
+    est = models.poisson_glm("features", "l_quantity", weight_col=tabular.N_ROWS)
     grid = tuning.param_grid(est, {"regParam": [0.0]})
-    fitted = tuning.cross_validate(est, grid, metrics.rmse_evaluator("l_quantity"), enc.persist(), 3, fold_col="cv_fold")
+    error = metrics.GroupedRmse("l_quantity", tabular.N_ROWS, tabular.SQUARES)
+    fitted = tuning.cross_validate(est, grid, error, coded, 3, fold_col="cv_fold")
     curve = tuning.validation_curve(spark, fitted, grid)
-    enc.unpersist()
     return _round_cols(curve, ["mean_metric", "std_metric"], 4)
 
 
