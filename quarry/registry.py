@@ -556,12 +556,12 @@ def cluster_planted(spark, sf_dir):
 
 def als_dot_products(spark, sf_dir):
     """A prediction is the dot product of the factors of its user and item."""
-    ratings = standins.ratings(spark, sf_dir)
+    ratings = settled(standins.ratings(spark, sf_dir))  # read by the fit and by the scoring
     model = models.als(rank=4, maxIter=2).fit(ratings)
     users = model.userFactors.select(F.col("id").alias("userId"), F.col("features").alias("u"))
     items = model.itemFactors.select(F.col("id").alias("movieId"), F.col("features").alias("v"))
     dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    both = model.transform(ratings).join(users, "userId").join(items, "movieId")
+    both = model.transform(ratings).join(items, "movieId").join(users, "userId")  # the scored rows lie by item
     return both.agg(F.count(F.lit(1)).alias("n"),
                     F.count_if(F.abs(dot - F.col("prediction")) > 1e-3 * (1 + F.abs(dot))).alias("mismatches"))
 

@@ -69,3 +69,11 @@ def test_als_files_go_with_each_iteration_and_fit(spark, monkeypatch):
     seldom = recommend.als_cv(ratings, configs=[{"rank": 4, "maxIter": 3, "checkpoint_interval": 10}], k=2)[0]
     rare = {r.fold: r.rmse for r in seldom.collect()}
     assert {r.fold: r.rmse for r in metrics.collect()} == rare
+
+
+def test_dot_products_join_the_ratings_once(spark):
+    from quarry import registry
+    from quarry.session import with_checkpoints
+    found = registry.als_dot_products(with_checkpoints(spark), SF_SMALL)
+    assert "lineitem" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first()["mismatches"] == 0
