@@ -17,9 +17,9 @@ Candidates: texts that agree in a whole band of slots.  Exact copies are
 grouped first and one of each group goes on.  A bucket of a band never emits
 its pairs: each member is compared with one leader, the text of another class
 that agrees with the most texts overall, which is the one nearest to the
-middle of a group of variants.  While comparisons link anything, classes are
-joined and the members of buckets with several classes compared with the
-leaders that this leaves.  What then still shares a bucket with another class
+middle of a group of variants.  While comparisons link a good part of the texts,
+classes are joined and the members of buckets with several classes compared with
+the leaders that this leaves.  What then still shares a bucket with another class
 is joined exactly, by the rarest shingles (``_across``).  Links are verified on
 the whole shingle multisets; classes are the connected components, found by
 repeated hooking.
@@ -108,6 +108,9 @@ def band_keys(best: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Leaders are tried again while they link more than one in so many of the texts left.
+FEW = 10
+
 BANDS = [T.StructField("bands", T.ArrayType(T.LongType()))]
 
 
@@ -248,14 +251,18 @@ def _text_classes(df: DataFrame, id_col: str, text_col: str, threshold: float, b
     pairs = written(_candidates(members, classes).groupBy("b")
                          .agg(F.max(F.struct("weight", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
     links = written(_verified(pairs, whole, threshold))
-    tried, found_links = pairs, True
-    while found_links:
+    tried, many = pairs, True
+    while many:
         classes = components(classes, links)
         members = _mixed(members, classes)
         pairs = written(_candidates(members, classes).select("a", "b").distinct()
                              .join(tried, ["a", "b"], "left_anti"))
         links = written(_verified(pairs, whole, threshold))
-        tried, found_links = written(tried.unionByName(pairs)), not links.isEmpty()
+        tried = written(tried.unionByName(pairs))
+        many = FEW * links.count() > members.select("id").distinct().count()
+    if not links.isEmpty():
+        classes = components(classes, links)
+        members = _mixed(members, classes)
     # a leader is one text of another class: what no leader has settled is joined exactly
     if not members.isEmpty():
         pairs = written(_across(members.select("id").distinct(), whole, classes, threshold)

@@ -75,6 +75,20 @@ def test_classes_of_loose_variants(spark):
     assert 100 < len(set(got.values())) < 200
 
 
+def test_leaders_stop_when_they_link_few(spark, monkeypatch):
+    """A chain that leaders link a few at a time, among variants that share buckets and are not alike: what a round
+    of leaders leaves is joined at once, not round by round."""
+    texts = {i: " ".join(f"v{i}" if k == i else f"{'x' if k < i else 'w'}{k}" for k in range(60)) for i in range(60)}
+    for i in range(100, 250):
+        texts[i] = " ".join(f"u{i}x{k}" if k % 19 == i % 19 else f"y{k}" for k in range(120))
+    rounds, mixed = [], bagminhash._mixed
+    monkeypatch.setattr(bagminhash, "_mixed", lambda *a: rounds.append(1) or mixed(*a))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(frame).collect()}
+    assert got == _classes(texts)
+    assert len(rounds) <= 3, rounds
+
+
 def test_near_duplicate_edges(edge, empty):
     got = bagminhash.near_duplicates(edge).collect()
     assert len(got) == edge.count()
