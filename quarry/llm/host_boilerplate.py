@@ -4,13 +4,15 @@ A page is cut into blocks of text with the path of its markup, and the words
 of all visible blocks of a part of the pages become one token stream.  Its
 suffix array, sorted by host and then by words, has equal runs of
 ``min_words`` words (or whole shorter blocks) beside each other; each group of
-suffixes with such a common prefix counts the distinct pages it is on.  Of the
-groups those go on that a text-defined choice takes (the least hash among the
-next ``SAMPLE`` runs of a block, so equal stretches choose equally): the
-groups of a run from all parts of a host meet, and each part gets back those
-on several pages and whether they are on more than half of the host's.
-
-A block is repeated if more than half of its runs are.  Markup is one more
+suffixes with such a common prefix counts the distinct pages it is on.  Every
+run is compared with those of all other parts: first the leading bits of the
+runs, packed, meet in slices, and each part gets back those that another part
+has too (equal bits of different runs only send a run on for nothing).  Then the
+groups of these runs, and of runs on several pages of a part, meet whole, and
+each part gets back those on several pages and whether they are on more than
+half of the host's.
+
+A block is repeated if more than half of its runs are, all of them counted.  Markup is one more
 witness: blocks that it names chrome (menus, headers, footers, notices, ...)
 go.  A marked article (``article``, ``main``) rules the page if it holds at
 least half of the words that are neither chrome nor repeated; then the page is
@@ -33,6 +35,7 @@ import html
 import re
 import uuid
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -250,10 +253,11 @@ class Stream:
             inside = np.flatnonzero(k < self.length)
             run[inside] = mix(run[inside] + code[inside + k] + np.uint64(k + 1))
         self.run, self.code = run, code
-        self.chosen = self._choice()
 
-    def _choice(self) -> np.ndarray:
-        """Whether a run is the least of the next ``SAMPLE`` runs of its block, from some place on."""
+    @cached_property
+    def chosen(self) -> np.ndarray:
+        """Whether a run is the least of the next ``SAMPLE`` runs of its block, from some place on:
+        a sketch that equal stretches share. The extraction looks at all runs."""
         n = len(self.run)
         starts = np.flatnonzero(self.length > 0)
         chosen = np.zeros(n, bool)
@@ -273,7 +277,7 @@ class Stream:
         return chosen
 
     def groups(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(run, host, least page, distinct pages) of each chosen group of equal runs, from the suffix array."""
+        """(run, host, least page, distinct pages) of each group of equal runs, from the suffix array."""
         # a code of its own after each block keeps runs inside blocks
         n = len(self.words)
         at = np.arange(n) + self.block
@@ -303,13 +307,12 @@ class Stream:
             z = np.zeros(0, np.int64)
             return z.astype(np.uint64), z.astype(np.uint64), z, z
         distinct = np.add.reduceat((new | np.append(True, page[1:] != page[:-1])).astype(np.int64), first)
-        chosen = np.add.reduceat(self.chosen[word].astype(np.int64), first) > 0
         one = word[first]
-        return self.run[one][chosen], self.host[one][chosen], page[first][chosen], distinct[chosen]
+        return self.run[one], self.host[one], page[first], distinct
 
     def repeated(self, runs: np.ndarray) -> np.ndarray:
-        """For each block whether more than half of its chosen runs are among ``runs``."""
-        at = np.flatnonzero(self.chosen)
+        """For each block whether more than half of its runs are among ``runs``."""
+        at = np.flatnonzero(self.length > 0)
         hit = np.bincount(self.block[at], weights=np.isin(self.run[at], runs), minlength=len(self.page))
         return 2 * hit > np.bincount(self.block[at], minlength=len(self.page))
 
@@ -343,8 +346,12 @@ PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("ur
 #: Bytes of raw pages, and pages, that are searched together, about.
 PART = 1 << 23
 PART_PAGES = 1 << 13
-#: Of so many neighbouring runs of a block one at least is compared across parts.
+#: Of so many neighbouring runs of a block ``Stream.chosen`` has one at least.
 SAMPLE = 32
+#: Leading bits of a run that stand for it first: so many, and as many more as the number of parts has.
+LEADING = 26
+#: Slices of the runs by their leading bits, at least; and parts for each slice, so that one slice has the runs of so many.
+SLICES, PARTS_PER_SLICE = 64, 4
 #: A block is on most pages of its host if more than half of them, and no fewer than these, have it.
 WIDE_PAGES = 5
 
@@ -375,16 +382,67 @@ def parsed_pages(rows: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def page_runs(pages: DataFrame, min_words: int) -> DataFrame:
-    """(part, code, host, page, n): the chosen runs of each part, one page there that has them and how many do."""
+def packed(codes: np.ndarray) -> bytes:
+    """Sorted codes as their differences, byte plane by byte plane."""
+    planes = np.ascontiguousarray(np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` codes of ``packed``."""
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _unpacked_all(table: pa.Table) -> list[np.ndarray]:
+    return [unpacked(data, n) for data, n in zip(table.column("codes").to_pylist(), table.column("n").to_pylist(), strict=True)]
+
+
+def shared_codes(pages: DataFrame, min_words: int, width: int, depth: int) -> DataFrame:
+    """(of, n, codes): for each part the leading ``width`` bits of those of its runs whose bits
+    another part has too, in up to 2 ^ ``depth`` rows."""
     def run(table: pa.Table) -> pa.Table:
+        stream = Stream(table, min_words)
+        codes = np.unique(stream.run[stream.length > 0] >> np.uint64(64 - width))
+        cuts = np.searchsorted(codes, np.arange((1 << depth) + 1, dtype=np.uint64) << np.uint64(width - depth))
+        rows = [(k, codes[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        return pa.table([pa.array([k for k, _ in rows], pa.int64()),
+                         pa.array([table.column("part")[0].as_py()] * len(rows), pa.int64()),
+                         pa.array([len(c) for _, c in rows], pa.int64()),
+                         pa.array([packed(c) for _, c in rows], pa.binary())], names=["slice", "of", "n", "codes"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        each = _unpacked_all(table)
+        codes = np.sort(np.concatenate(each))
+        several = np.unique(codes[1:][codes[1:] == codes[:-1]])
+        each = [c[np.isin(c, several, assume_unique=True)] for c in each]
+        return pa.table([table.column("of"), pa.array([len(c) for c in each], pa.int64()),
+                         pa.array([packed(c) for c in each], pa.binary())], names=["of", "n", "codes"])
+
+    return (pages.select("part", "host_code", "page_code", "blocks").groupBy("part")
+            .applyInArrow(tidied_groups(run), "slice long, of long, n long, codes binary")
+            .groupBy("slice").applyInArrow(tidied_groups(meet), "of long, n long, codes binary"))
+
+
+def page_runs(pages: DataFrame, min_words: int) -> DataFrame:
+    """(part, code, host, page, n): the runs of each part that are on several pages there or that another
+    part may have too, one page there that has them and how many do."""
+    parts = pages.select("part").distinct().count()
+    width = min(LEADING + parts.bit_length(), 63)
+    depth = (max(SLICES, parts // PARTS_PER_SLICE) - 1).bit_length()
+
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         code, host, page, n = Stream(table, min_words).groups(min_words)
+        also = np.concatenate([np.zeros(0, np.uint64), *_unpacked_all(shared)])
+        on = (n > 1) | np.isin(code >> np.uint64(64 - width), also)
+        code, host, page, n = code[on], host[on], page[on], n[on]
         part = table.column("part")[0].as_py() if table.num_rows else 0
         return pa.table([pa.array([part] * len(code), pa.int64()), pa.array(code.view(np.int64)), pa.array(host.view(np.int64)),
                          pa.array(page), pa.array(n)], names=["part", "code", "host", "page", "n"])
 
-    return pages.select("part", "host_code", "page_code", "blocks").groupBy("part").applyInArrow(
-        tidied_groups(run), "part long, code long, host long, page long, n long")
+    return (pages.select("part", "host_code", "page_code", "blocks").groupBy("part")
+            .cogroup(shared_codes(pages, min_words, width, depth).groupBy("of"))
+            .applyInArrow(tidied_groups(run), "part long, code long, host long, page long, n long"))
 
 
 def extract_pages(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -61,6 +61,26 @@ def test_groups_against_brute_force():
     assert got == sorted((h, min(p), len(p)) for (h, _), p in want.items())
 
 
+def test_short_stretches_of_other_parts_count(spark):
+    """Blocks of which more than half of the runs are on a page of another part, in stretches of nine runs."""
+    own, other = {}, []
+    for part in range(2):
+        rows = []
+        for i in range(12):
+            again = " ".join(" ".join(f"s{i}x{j}x{k}" for k in range(14)) + f" only{part}x{i}x{j}" for j in range(8))
+            own[100 * part + i] = " ".join(f"own{part}x{i}x{k}" for k in range(150))
+            rows.append((100 * part + i, "http://h.org/", f"<p>{own[100 * part + i]}</p><p>{again}</p>"))
+        other.append(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    got = {r["page_id"]: r["text"] for r in hb.extract_pages(other[0].unionByName(other[1])).collect()}
+    assert got == own
+
+
+def test_packed_codes():
+    rng = np.random.default_rng(4)
+    for codes in (np.zeros(0, np.uint64), np.array([0], np.uint64), np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))):
+        assert hb.unpacked(hb.packed(codes), len(codes)).tolist() == codes.tolist()
+
+
 def test_equal_stretches_choose_equally():
     rng = np.random.default_rng(3)
     middle = " ".join(f"m{k}" for k in rng.integers(0, 500, 400))
