@@ -8,9 +8,9 @@ suffixes with such a common prefix counts the distinct pages it is on.  Every
 run is compared with those of all other parts: first the leading bits of the
 runs, packed, meet in slices, and each part gets back those that another part
 has too (equal bits of different runs only send a run on for nothing).  Then the
-groups of these runs, and of runs on several pages of a part, meet whole, and
-each part gets back those on several pages and whether they are on more than
-half of the host's.
+groups of these runs, and of runs on several pages of a part, meet whole, packed
+and in slices again, and each part gets back those on several pages and on how
+many, to compare with the pages of the host.
 
 A block is repeated if more than half of its runs are, all of them counted.  Markup is one more
 witness: blocks that it names chrome (menus, headers, footers, notices, ...)
@@ -39,13 +39,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buffers import flat, mix, slices, tidied, tidied_groups, words
-from .shared import shared_folder, written
+from .shared import shared_folder
 
 # Element names of HTML by what they do to the text.
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -215,20 +216,22 @@ def _named(attributes: str) -> bool:
 
 def suffix_array(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of the suffixes by their first ``width`` codes, or a few more, by prefix
-    doubling; suffixes that are equal so far share a rank."""
+    doubling or tripling; suffixes that are equal so far share a rank."""
     n = len(codes)
     _, rank = np.unique(codes, return_inverse=True)
     rank, done, order = rank.astype(np.int64), 1, None
     while done < width:
-        step = min(done, width - done)  # the last step may overlap
-        second = np.full(n, -1, np.int64)
-        second[:max(n - step, 0)] = rank[step:]
-        key = rank * (n + 1) + second + 1
-        order = np.argsort(key, kind="stable")
+        bits = (int(rank.max(initial=0)) + 1).bit_length()
+        key, reach = rank + 1, done
+        while reach < width and (reach == done or (reach // done + 1) * bits < 64):  # as many ranks as a key holds
+            step = min(reach, width - done)  # the last one may overlap
+            key, reach = key << bits, step + done
+            key[:max(n - step, 0)] += rank[step:] + 1
+        order = np.argsort(key)
         rank = np.zeros(n, np.int64)
         rank[order[1:]] = np.cumsum(np.diff(key[order]) > 0)
-        done += step
-    return np.argsort(rank, kind="stable") if order is None else order, rank
+        done = reach
+    return np.argsort(rank) if order is None else order, rank
 
 
 class Stream:
@@ -248,11 +251,17 @@ class Stream:
         self.length = np.where(place <= np.maximum(self.per_block[self.block] - min_words, 0),
                                np.minimum(self.per_block[self.block], min_words), 0)
         code = mix(self.words + mix(self.host))
+        # one odd factor for each place in a run
+        factor = mix(np.arange(1, min_words + 1, dtype=np.uint64)) | np.uint64(1)
         run = np.zeros(n, np.uint64)
         for k in range(min_words):
-            inside = np.flatnonzero(k < self.length)
-            run[inside] = mix(run[inside] + code[inside + k] + np.uint64(k + 1))
-        self.run, self.code = run, code
+            run[:max(n - k, 0)] += code[k:] * factor[k]
+        short = np.flatnonzero((self.length > 0) & (self.length < min_words))  # whole blocks
+        run[short] = 0
+        for k in range(min_words):
+            inside = short[k < self.length[short]]
+            run[inside] += code[inside + k] * factor[k]
+        self.run, self.code = np.where(self.length > 0, mix(run + self.length.astype(np.uint64)), np.uint64(0)), code
 
     @cached_property
     def chosen(self) -> np.ndarray:
@@ -291,30 +300,53 @@ class Stream:
         place[at] = np.arange(n)
         word = place[order]
         order, word = order[word >= 0], word[word >= 0]
-        full = self.length[word] == min_words
-        group = np.where(full, rank[order], 0)
-        # shorter blocks are runs by themselves; their suffixes end at a gap
-        short = np.flatnonzero(self.length[word] * ~full)
-        group[short] = -1 - (self.run[word[short]] >> np.uint64(2)).astype(np.int64)
         use = self.length[word] > 0
-        word, group = word[use], group[use]
-        page = self.page_code[word]
-        sort = np.lexsort((page, group))
-        word, group, page = word[sort], group[sort], page[sort]
-        new = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        if not len(first):
+        order, word = order[use], word[use]
+        if not len(word):
             z = np.zeros(0, np.int64)
             return z.astype(np.uint64), z.astype(np.uint64), z, z
-        distinct = np.add.reduceat((new | np.append(True, page[1:] != page[:-1])).astype(np.int64), first)
-        one = word[first]
-        return self.run[one], self.host[one], page[first], distinct
+        group = rank[order]
+        # shorter blocks are runs by themselves; their suffixes end at a gap
+        short = self.length[word] < min_words
+        group[short] = len(stream) + np.unique(self.run[word[short]], return_inverse=True)[1]
+        one = np.zeros(group.max() + 1, np.int64)
+        one[group] = word
+        pages, page = np.unique(self.page_code[word], return_inverse=True)
+        pairs = distinct(group * len(pages) + page)
+        group = pairs // len(pages)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        one = one[group[first]]
+        return self.run[one], self.host[one], pages[pairs[first] % len(pages)], np.diff(first, append=len(pairs))
+
+    def counts(self, runs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each word the ``n`` of the run that starts there, 0 if it isn't among ``runs`` or none starts."""
+        found = np.zeros(len(self.run), np.int64)
+        if len(runs):
+            at = np.flatnonzero(self.length > 0)
+            at, order = at[np.argsort(self.run[at])], np.argsort(runs)
+            runs, n = runs[order], n[order]
+            place = np.minimum(np.searchsorted(runs, self.run[at]), len(runs) - 1)
+            found[at] = np.where(runs[place] == self.run[at], n[place], 0)
+        return found
 
-    def repeated(self, runs: np.ndarray) -> np.ndarray:
-        """For each block whether more than half of its runs are among ``runs``."""
+    def mostly(self, hit: np.ndarray) -> np.ndarray:
+        """For each block whether more than half of its runs start at a word that is ``hit``."""
         at = np.flatnonzero(self.length > 0)
-        hit = np.bincount(self.block[at], weights=np.isin(self.run[at], runs), minlength=len(self.page))
-        return 2 * hit > np.bincount(self.block[at], minlength=len(self.page))
+        hits = np.bincount(self.block[at], weights=hit[at], minlength=len(self.page))
+        return 2 * hits > np.bincount(self.block[at], minlength=len(self.page))
+
+
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """The values, sorted."""
+    codes = np.sort(codes)
+    return codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
+
+
+def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of some sorted codes are among others that are sorted too."""
+    if not len(known):
+        return np.zeros(len(codes), bool)
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
 
 
 def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -343,6 +375,9 @@ PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("ur
                        T.StructField("blocks", T.ArrayType(T.StringType())),
                        T.StructField("kinds", T.ArrayType(T.ByteType())), T.StructField("part", T.LongType())])
 
+RUNS = [("slice", pa.int64()), ("of", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()),
+        ("n_pages", pa.int64()), ("pages", pa.binary()), ("page", pa.binary())]
+
 #: Bytes of raw pages, and pages, that are searched together, about.
 PART = 1 << 23
 PART_PAGES = 1 << 13
@@ -394,18 +429,35 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def compact(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs."""
+    values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return bytes([values.itemsize]) + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def uncompact(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``compact``."""
+    return np.frombuffer(pa.decompress(data[1:], data[0] * n, codec="zstd", asbytes=True), f"u{data[0]}").astype(np.int64)
+
+
 def _unpacked_all(table: pa.Table) -> list[np.ndarray]:
     return [unpacked(data, n) for data, n in zip(table.column("codes").to_pylist(), table.column("n").to_pylist(), strict=True)]
 
 
+def _sliced(codes: np.ndarray, width: int, depth: int) -> list[tuple[int, int, int]]:
+    """(slice, from, to) of sorted codes of ``width`` bits by their first ``depth`` bits."""
+    bounds = np.arange(1 << depth, dtype=np.uint64) << np.uint64(width - depth)
+    cuts = np.append(np.searchsorted(codes, bounds), len(codes)).tolist()
+    return [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
 def shared_codes(pages: DataFrame, min_words: int, width: int, depth: int) -> DataFrame:
     """(of, n, codes): for each part the leading ``width`` bits of those of its runs whose bits
     another part has too, in up to 2 ^ ``depth`` rows."""
     def run(table: pa.Table) -> pa.Table:
         stream = Stream(table, min_words)
-        codes = np.unique(stream.run[stream.length > 0] >> np.uint64(64 - width))
-        cuts = np.searchsorted(codes, np.arange((1 << depth) + 1, dtype=np.uint64) << np.uint64(width - depth))
-        rows = [(k, codes[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        codes = distinct(stream.run[stream.length > 0] >> np.uint64(64 - width))
+        rows = [(k, codes[a:b]) for k, a, b in _sliced(codes, width, depth)]
         return pa.table([pa.array([k for k, _ in rows], pa.int64()),
                          pa.array([table.column("part")[0].as_py()] * len(rows), pa.int64()),
                          pa.array([len(c) for _, c in rows], pa.int64()),
@@ -414,8 +466,8 @@ def shared_codes(pages: DataFrame, min_words: int, width: int, depth: int) -> Da
     def meet(table: pa.Table) -> pa.Table:
         each = _unpacked_all(table)
         codes = np.sort(np.concatenate(each))
-        several = np.unique(codes[1:][codes[1:] == codes[:-1]])
-        each = [c[np.isin(c, several, assume_unique=True)] for c in each]
+        several = distinct(codes[1:][codes[1:] == codes[:-1]])
+        each = [c[among(c, several)] for c in each]
         return pa.table([table.column("of"), pa.array([len(c) for c in each], pa.int64()),
                          pa.array([packed(c) for c in each], pa.binary())], names=["of", "n", "codes"])
 
@@ -425,24 +477,60 @@ def shared_codes(pages: DataFrame, min_words: int, width: int, depth: int) -> Da
 
 
 def page_runs(pages: DataFrame, min_words: int) -> DataFrame:
-    """(part, code, host, page, n): the runs of each part that are on several pages there or that another
-    part may have too, one page there that has them and how many do."""
+    """(slice, of, n, codes, counts, n_pages, pages, page): the runs of each part that are on several pages there or
+    that another part may have too, how many pages have each, and the page if it is one (a place among ``pages``)."""
     parts = pages.select("part").distinct().count()
     width = min(LEADING + parts.bit_length(), 63)
     depth = (max(SLICES, parts // PARTS_PER_SLICE) - 1).bit_length()
 
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        code, host, page, n = Stream(table, min_words).groups(min_words)
-        also = np.concatenate([np.zeros(0, np.uint64), *_unpacked_all(shared)])
-        on = (n > 1) | np.isin(code >> np.uint64(64 - width), also)
-        code, host, page, n = code[on], host[on], page[on], n[on]
+        code, _, page, n = Stream(table, min_words).groups(min_words)
+        order = np.argsort(code)
+        code, page, n = code[order], page[order], n[order]
+        also = np.sort(np.concatenate([np.zeros(0, np.uint64), *_unpacked_all(shared)]))
+        on = (n > 1) | among(code >> np.uint64(64 - width), also)
+        code, page, n = code[on], page[on], n[on]
         part = table.column("part")[0].as_py() if table.num_rows else 0
-        return pa.table([pa.array([part] * len(code), pa.int64()), pa.array(code.view(np.int64)), pa.array(host.view(np.int64)),
-                         pa.array(page), pa.array(n)], names=["part", "code", "host", "page", "n"])
+        rows = []
+        for k, a, b in _sliced(code, 64, depth):
+            known, place = np.unique(page[a:b][n[a:b] == 1].view(np.uint64), return_inverse=True)
+            rows.append((k, part, b - a, packed(code[a:b]), compact(n[a:b]), len(known), packed(known), compact(place)))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(RUNS)], [name for name, _ in RUNS])
 
     return (pages.select("part", "host_code", "page_code", "blocks").groupBy("part")
             .cogroup(shared_codes(pages, min_words, width, depth).groupBy("of"))
-            .applyInArrow(tidied_groups(run), "part long, code long, host long, page long, n long"))
+            .applyInArrow(tidied_groups(run), "slice long, of long, n long, codes binary, counts binary, n_pages long, pages binary, page binary"))
+
+
+def repeated_runs(runs: DataFrame) -> DataFrame:
+    """(of, n, codes, counts): for each part those of its runs that are on several pages, and on how many."""
+    def meet(table: pa.Table) -> pa.Table:
+        each = _unpacked_all(table)
+        counts, pages = [], []
+        for row in table.select(["n", "counts", "n_pages", "pages", "page"]).to_pylist():
+            n = uncompact(row["counts"], row["n"])
+            page = np.zeros(len(n), np.uint64)
+            single = n == 1
+            page[single] = unpacked(row["pages"], row["n_pages"])[uncompact(row["page"], int(single.sum()))]
+            counts.append(n)
+            pages.append(page)
+        code, n, page = np.concatenate(each), np.concatenate(counts), np.concatenate(pages)
+        order = np.argsort(code)
+        group = np.cumsum(np.append(False, np.diff(code[order]) > 0))
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        n, page = n[order], page[order]
+        several = ((np.maximum.reduceat(n, first) > 1) | (np.minimum.reduceat(page, first) < np.maximum.reduceat(page, first)))
+        found = np.zeros(len(code), np.int64)
+        found[order] = np.where(several, np.add.reduceat(n, first), 0)[group]
+        rows = []
+        for of, codes, total in zip(table.column("of").to_pylist(), each, np.split(found, np.cumsum([len(c) for c in each])[:-1]), strict=True):
+            on = total > 0
+            if on.any():
+                rows.append((of, int(on.sum()), packed(codes[on]), compact(total[on])))
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["of", "n", "codes", "counts"])
+
+    return runs.groupBy("slice").applyInArrow(tidied_groups(meet), "of long, n long, codes binary, counts binary")
 
 
 def extract_pages(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -453,19 +541,24 @@ def extract_pages(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = rows.withColumn("host_code", F.xxhash64(host)).withColumn("page_code", F.xxhash64("page_id"))
     pages = parsed_pages(rows)
-    runs = written(page_runs(pages, min_words))
-    # over all parts of a host; a run has one row a part
-    hosts = pages.select("host_code", "page_code").distinct().groupBy(F.col("host_code").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    repeats = (runs.groupBy("code", "host").agg(F.min("page").alias("least"), F.max("page").alias("most"), F.max("n").alias("in_one"),
-                                                F.sum("n").alias("n"))
-               .where("in_one > 1 or least < most").join(hosts, "host")
-               .select("code", ((F.col("n") >= WIDE_PAGES) & (2 * F.col("n") > F.col("pages"))).alias("wide")))
-    back = runs.select(F.col("part").alias("of"), "code").hint("merge").join(repeats, "code").select("of", "code", "wide")
+    back = repeated_runs(page_runs(pages, min_words))
+    # pages of each host over all parts, for the parts that have some
+    hosts = pages.select("host_code", "page_code").distinct().groupBy("host_code").agg(F.count(F.lit(1)).alias("n_host"))
+    hosts = pages.select(F.col("part").alias("of"), "host_code").distinct().join(hosts, "host_code")
+    back = back.unionByName(hosts, allowMissingColumns=True)
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         stream = Stream(table, min_words)
-        code, wide = known.column("code").to_numpy().view(np.uint64), known.column("wide").to_numpy(zero_copy_only=False).astype(bool)
-        flags = iter(zip(stream.repeated(code).tolist(), stream.repeated(code[wide]).tolist(), strict=True))
+        is_host = known.column("host_code").is_valid()
+        hosts, runs = known.filter(is_host), known.filter(pc.invert(is_host))
+        n = stream.counts(np.concatenate([np.zeros(0, np.uint64), *_unpacked_all(runs)]),
+                          np.concatenate([np.zeros(0, np.int64), *(uncompact(data, n) for data, n in zip(
+                              runs.column("counts").to_pylist(), runs.column("n").to_pylist(), strict=True))]))
+        host, of_host = hosts.column("host_code").to_numpy().view(np.uint64), hosts.column("n_host").to_numpy()
+        order = np.argsort(host)
+        of_host = of_host[order][np.searchsorted(host[order], stream.host)]
+        wide = (n >= WIDE_PAGES) & (2 * n > of_host)
+        flags = iter(zip(stream.mostly(n > 0).tolist(), stream.mostly(wide).tolist(), strict=True))
         texts, left_out = [], []
         for page, kinds in zip(table.column("blocks").to_pylist(), table.column("kinds").to_pylist(), strict=True):
             found = list(zip(page, kinds, strict=True))

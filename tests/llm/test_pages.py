@@ -165,3 +165,43 @@ def test_names_that_mention_chrome_keep_the_text():
     assert [b for b in hb.blocks(page) if b[1] != hb.CHROME] == want
     for name in ("sidebar", "cookie-notice", "x sidebar", "ad_banner"):
         assert hb.blocks(f'<div class="{name}">no</div>') == [("no", hb.CHROME)]
+
+
+def test_runs_meet_packed(spark):
+    """Runs go between parts in a row for each part and slice, not one for each run, and come back with their pages."""
+    texts = [[" ".join(f"w{i}x{k}" for k in range(60)) for i in range(j, j + 3)] for j in range(4)]
+    rows = [(part, 5, 10 * part + i, texts[i]) for part in range(2) for i in range(4)] + [(2, 5, 30, [texts[0][0]]), (2, 6, 31, texts[0])]
+    pages = spark.createDataFrame(rows, "part long, host_code long, page_code long, blocks array<string>")
+    runs = hb.page_runs(pages, 6)
+    assert runs.groupBy("of", "slice").count().where("count > 1").isEmpty() and 0 < runs.count() <= 3 * hb.SLICES
+    back = {}
+    for row in hb.repeated_runs(runs).collect():
+        found = back.setdefault(row["of"], {})
+        found.update(zip(hb.unpacked(row["codes"], row["n"]).tolist(), hb.uncompact(row["counts"], row["n"]).tolist()))
+    for part in range(3):
+        own = [r for r in rows if r[0] == part]
+        stream = hb.Stream(_table([r[1:] for r in own]), 6)
+        want = {}
+        for run, block in zip(stream.run[stream.length > 0].tolist(), stream.block[stream.length > 0].tolist()):
+            page = own[stream.page[block]]
+            text = page[3][block - int(np.flatnonzero(stream.page == stream.page[block])[0])]
+            on = {r[2] for r in rows if r[1] == page[1] and text in r[3]}
+            if len(on) > 1:
+                want[run] = len(on)
+        assert back.get(part, {}) == want
+
+
+def test_whole_numbers_in_few_bytes():
+    for n in (np.zeros(0, np.int64), np.array([0]), np.array([1, 255]), np.array([7, 70_000, 1 << 40])):
+        assert hb.uncompact(hb.compact(n), len(n)).tolist() == n.tolist()
+
+
+def test_suffixes_against_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 300):
+        for width in (1, 2, 5, 6, 9):
+            codes = rng.integers(0, 3, n).astype(np.uint64)
+            order, rank = hb.suffix_array(codes, width)
+            exact = [tuple(codes[i:i + width].tolist()) for i in range(n)]
+            assert [exact[i] for i in order] == sorted(exact)
+            assert all((rank[i] == rank[j]) == (exact[i] == exact[j]) for i in range(n) for j in range(n))
