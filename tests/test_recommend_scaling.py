@@ -77,3 +77,18 @@ def test_dot_products_join_the_ratings_once(spark):
     found = registry.als_dot_products(with_checkpoints(spark), SF_SMALL)
     assert "lineitem" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.first()["mismatches"] == 0
+
+
+def test_als_scores_after_the_files_of_its_fit_are_gone(spark, monkeypatch):
+    """One fit at a time; a model is scored from its saved factors, which go afterwards."""
+    from quarry.operators.tuning import run_concurrently
+    from quarry.session import checkpoint_dir, work_folder
+    seen, together = [], []
+    monkeypatch.setattr(recommend, "valid_predictions", lambda df: seen.append(df.inputFiles()) or df)
+    monkeypatch.setattr(recommend, "run_concurrently", lambda jobs, n: together.append(n) or run_concurrently(jobs, n))
+    _, factors = recommend.als_cv(standins.ratings(spark, SF_SMALL), configs=[{"rank": 2, "maxIter": 1}], k=2, keep_item_factors=0)
+    assert checkpoint_dir(spark) and together == [1]
+    assert len(seen) == 2 and all(any("/model_" in f for f in files) for files in seen)
+    folder = work_folder(spark).removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("model_")]
+    assert factors[1].count() > 0
