@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,17 @@ def string_indexer(cols: Sequence[str], handle_invalid: str = "error",
                          stringOrderType=order, handleInvalid=handle_invalid)
 
 
+def counted_index(df: DataFrame, cols: Sequence[str], n_col: str, handle_invalid: str = "error") -> list[StringIndexerModel]:
+    """E1 fitted on rows that stand for ``n_col`` rows each: the index of all rows, a model for each column (labels on
+    the driver, as in any ``StringIndexerModel``)."""
+    models = []
+    for c in cols:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.sum(n_col).alias("n")).collect()
+        labels = [r["value"] for r in sorted(counts, key=lambda r: (-r["n"], r["value"]))]
+        models.append(StringIndexerModel.from_labels(labels, c, index_suffix(c), handle_invalid))
+    return models
+
+
 class DistributedIndex:
     """E1 for columns of any number of values: the labels stay a table.
 
@@ -91,12 +102,14 @@ def standardizer(in_col: str, out_col: str = "scaled", with_mean: bool = True,
 
 
 def categorical_pipeline(cols: Sequence[str], out_col: str = "features", drop_last: bool = False,
-                         handle_invalid: str = "error") -> Pipeline:
-    """E1 + E2 + E3: index, one-hot and assemble categorical columns.
+                         handle_invalid: str = "error", n_col: str | None = None, counted: DataFrame | None = None) -> Pipeline:
+    """E1 + E2 + E3: index, one-hot and assemble categorical columns. With ``counted``
+    the indices are of its rows, each of which stands for ``n_col`` rows.
 
     ``keep`` adds one slot per column for unseen values: the indexer's index
     for them, which the encoder treats as a level like any other."""
-    return Pipeline(stages=[string_indexer(cols, handle_invalid), one_hot_encoder(cols, drop_last),
+    indexers = [string_indexer(cols, handle_invalid)] if counted is None else counted_index(counted, cols, n_col, handle_invalid)
+    return Pipeline(stages=[*indexers, one_hot_encoder(cols, drop_last),
                             assembler([vec_suffix(c) for c in cols], out_col)])
 
 

@@ -62,9 +62,9 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
     folds are hash buckets of the row key (the same on any partitioning);
     without, they are drawn from ``seed``.
 
-    Each part is read once more after the indexer, into one row for each
+    Each part is read once, into one row for each
     combination of categories, fold and class with the number of its rows;
-    all fits and metrics of the grid take these numbers as weights, so a fit
+    the indexer and all fits and metrics of the grid take these numbers as weights, so a fit
     costs as much as there are combinations, whatever the rows."""
     spark = train.sparkSession
     fold_col = "cv_fold"
@@ -79,7 +79,8 @@ def tune_glms(train: DataFrame, test: DataFrame, cat_cols: Sequence[str], count_
                               .unionByName(te.select(F.lit("test").alias("split"), binary_label, N_ROWS))
                               .groupBy("split", binary_label).agg(F.sum(N_ROWS).cast("bigint").alias("count")))
     groups = [tr, te]
-    encoder = E.categorical_pipeline(cat_cols, "features", drop_last=False, handle_invalid=handle_invalid).fit(train)
+    encoder = E.categorical_pipeline(cat_cols, "features", drop_last=False, handle_invalid=handle_invalid,
+                                     n_col=N_ROWS, counted=tr).fit(tr)
     keep = ["features", count_label, binary_label, N_ROWS, SQUARES]
     tr = encoder.transform(tr).select(*keep, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
     te = encoder.transform(te).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)

@@ -91,3 +91,17 @@ def test_fold_metrics_of_the_counts_read_groups(spark, monkeypatch):
     assert registry.poisson_fold_metrics(spark, SF_SMALL).count() == 1
     brands = standins.encounters(spark, SF_SMALL).select("p_brand").distinct().count()
     assert seen[0] <= 3 * brands
+
+
+def test_index_of_counted_rows_is_that_of_all_rows(spark):
+    """No pass over the rows for the indexer; ties go by value, NULL has no index."""
+    from quarry.operators import features
+    rows = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2), ("c", 1), ("b", 2), ("z", 9), (None, 1), ("a", 3), ("é", 4), ("\U0001f600", 5), ("～", 6)],
+                                 "s string, k int")
+    counted = rows.groupBy("s", "k").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    for how in ("error", "keep"):
+        want = features.string_indexer(["s", "k"], how).fit(rows)
+        got = features.counted_index(counted, ["s", "k"], "n", how)
+        assert [list(m.labels) for m in got] == [list(x) for x in want.labelsArray]
+        some = rows.where("s is not null")
+        assert sorted(got[1].transform(got[0].transform(some)).collect()) == sorted(want.transform(some).collect())
