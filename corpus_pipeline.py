@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bagminhash, bpe_automaton, decontaminate, fasttext, queries, suffix_dedup
 from quarry.llm.shared import shared_folder, with_package, written
+from quarry.session import let_go
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +39,15 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     tied = docs.withColumn("__tie", F.monotonically_increasing_id())
     numbered = written(tied.orderBy(F.col("doc_id").asc_nulls_last(), "text", "__tie").drop("__tie")
                        .withColumn("__row", F.monotonically_increasing_id()))
-    cut = suffix_dedup.remove_repeats(numbered, id_col="__row", with_text=True).where("n_removed > 0")
-    cut = cut.select("__row", F.col("kept").alias("__kept"))
-    changed = F.col("__kept").isNotNull()
-    return (numbered.join(cut, "__row", "left").withColumn("text", F.coalesce("__kept", "text"))
-            .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-            .where(~(changed & (F.length(F.trim("text")) == 0))).select(*docs.columns))
+    let_go(spark)  # the files of the sort
+    # the other columns go along with the texts: no second and third copy of all texts is shuffled to join them
+    others = F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("__none"))
+    cut = suffix_dedup.remove_repeats(numbered, id_col="__row", with_text=True, carried=others)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).when(~F.col("carried.__none"), F.col("text"))
+    cut = cut.select("carried.*", text.alias("text"), changed.alias("__changed"))
+    return (cut.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            .where(~(F.col("__changed") & (F.length(F.trim("text")) == 0))).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ Cases: a null text is empty; a text shorter than ``MATCH`` bytes is kept
 whole; rows without a key come last, in one text's place; rows that share a
 key are one text: equal strings at the same place in both are the same
 occurrence, and each row gets the result for its own bytes; an empty table
-gives no rows; other columns are not read.
+gives no rows; other columns are read only to be carried along.
 """
 
 from __future__ import annotations
@@ -40,10 +40,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import let_go
+
 from .buffers import BYTE64, flat, mix, range_hash, slices, tidied
 from .shared import checkpointed
 
@@ -55,6 +57,8 @@ RUN = 256
 #: Rows of a bucket that one task sorts, about.
 BUCKET = 400_000
 NO_KEY = (1 << 63) - 1
+#: Bytes of text cut into runs at once; an array operation holds about a hundred bytes for each.
+PART = 1 << 18
 
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                  0xFF51AFD7ED558CCD)]
@@ -172,7 +176,7 @@ def _batch_runs(batch: pa.RecordBatch) -> np.ndarray:
     data, offsets = flat(batch.column("text"))
     key = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
     parts = [np.zeros(0, _RUN)]
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, PART):
         row, first, size, anchor, code, twice = runs(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
         part = np.empty(len(row), _RUN)
         part["anchor"], part["hash"], part["key"] = anchor.view(np.int64), code.view(np.int64), key[a + row]
@@ -210,9 +214,10 @@ def _places(rows: np.ndarray) -> np.ndarray:
     return rows["first"] * _PLACE + (rows["size"] & (_TWICE - 1))
 
 
-def _text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _text_rows(df: DataFrame, id_col: str, text_col: str, carried: Column | None = None) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_KEY)).alias("key"),
-                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                     *([] if carried is None else [carried.alias("carried")]))
 
 
 def _found_runs(texts: DataFrame, sample: int) -> DataFrame:
@@ -323,7 +328,7 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key:
     return out
 
 
-def _compare_open(contexts: DataFrame, ranges: Ranges, chunk: int = 1 << 20) -> DataFrame:
+def _compare_open(contexts: DataFrame, ranges: Ranges, chunk: int = 1 << 18) -> DataFrame:
     """(key, place) of the repeated windows among the open runs."""
     def emit(key, first, size):
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(first * _PLACE + size, pa.int64())],
@@ -378,12 +383,13 @@ def _covered(place: np.ndarray, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
 
 
-def repeated_places(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 32) -> DataFrame:
-    """(key, text, places) for every row: its repeated windows as packed places, or null."""
-    texts = _text_rows(df, id_col, text_col)
-    found = _found_runs(texts, sample)
+def repeated_places(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 32,
+                    carried: Column | None = None) -> DataFrame:
+    """(key, text, places) for every row: its repeated windows as packed places, or null; and ``carried``, if asked for."""
+    found = _found_runs(_text_rows(df, id_col, text_col), sample)
+    let_go(df.sparkSession)  # the files of the dealt runs, before the texts are dealt
     # dealt by key once, for both joins
-    by_key = texts.repartition(F.col("key"))
+    by_key = _text_rows(df, id_col, text_col, carried).repartition(F.col("key"))
     codes = found.where(F.col("anchor").isNotNull()).select(F.col("anchor").alias("code"))
     ranges = _sampled_ranges(codes, 1.0, BUCKET // 8)
     late = _compare_open(_contexts(by_key, found, ranges), ranges)
@@ -398,11 +404,15 @@ DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_b
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
-                   **options) -> DataFrame:
+                   carried: Column | None = None, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, with ``with_text``,
     ``kept``: the bytes left, less characters that a cut broke.
+
+    ``carried``, a column of ``df``, and ``text`` as it was (null: empty) go along with each row, if asked for,
+    so that the result needs no join with ``df``.
     """
-    marked = repeated_places(df, id_col=id_col, text_col=text_col, **options)
+    marked = repeated_places(df, id_col=id_col, text_col=text_col, carried=carried, **options)
+    more = [marked.schema[c] for c in ("text", "carried")] if carried is not None else []
 
     def run(batches):
         for batch in batches:
@@ -422,9 +432,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                                             names=DIGEST.names)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+                                              *[batch.column(f.name) for f in more]], names=[*DIGEST.names, *[f.name for f in more]])
 
-    cut = marked.mapInArrow(tidied(run), DIGEST)
+    cut = marked.mapInArrow(tidied(run), T.StructType([*DIGEST, *more]))
     cut = cut if with_text else cut.drop("kept")
     return cut.withColumnRenamed("doc_id", id_col)

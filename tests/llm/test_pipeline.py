@@ -43,6 +43,19 @@ def test_cut_texts_stay_with_their_rows(spark):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
 
 
+def test_texts_are_cut_without_a_join_of_all_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cut = corpus_pipeline.suffix_dedup_stage(spark, docs, SF)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    # the table of texts: once for the open runs, once for the result, both dealt by one exchange
+    assert plan.count("RepartitionByExpression [key") == 2
+    assert plan.count("[__row") == 0 and plan.count("Join LeftOuter, (__row") == 0
+    assert cut.columns == docs.columns
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for r in cut.collect():  # other columns stay with their rows
+        assert all(r[c] == before[r["doc_id"]][c] for c in docs.columns if c not in ("text", "n_chars"))
+
+
 def test_queries_return_their_rows(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert set(queries.queries()) == {"op1_quality", "op2_bpe", "op3_suffix_dedup", "op4_lm_score", "op5_toxicity",
