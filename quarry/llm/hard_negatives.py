@@ -42,6 +42,8 @@ from .shared import with_package, written
 
 LEVELS = 6
 PLANES = 6
+#: Anchors that meet the codes of a block at once.
+MEET = 64
 #: Rows of a block, and anchors of a block of anchors, at most.
 ROWS = 4096
 ANCHORS = 512
@@ -113,49 +115,78 @@ class Block:
         self.id, self.label, self.number = (np.frombuffer(row[c], np.int64) for c in ("ids", "labels", "numbers"))
         n = len(self.id)
         self.vectors = np.frombuffer(row["vectors"], np.int64).reshape(n, -1).astype(np.float64)
-        self.codes = np.frombuffer(row["codes"], np.uint64).reshape(n, LEVELS, -1)
-        self.align = np.frombuffer(row["align"], np.float64).reshape(n, LEVELS)
+        self.greatest = np.abs(self.vectors).max(initial=0)
+        # one array for each level (and word): a level reads only its own
+        self.codes = np.frombuffer(row["codes"], np.uint64).reshape(n, LEVELS, -1).transpose(1, 2, 0).copy()
+        self.align = np.frombuffer(row["align"], np.float64).reshape(n, LEVELS).T.copy()
         self.norm = np.frombuffer(row["norms"], np.float64)
-        self.ones = np.bitwise_count(self.codes).sum(axis=2, dtype=np.int64)
+        self.ones = np.bitwise_count(self.codes).sum(axis=1, dtype=np.int64)
         #: length of what the levels so far leave over
-        self.left = np.sqrt(np.maximum((self.norm > 0)[:, None] - np.cumsum(self.align ** 2, axis=1), 0)) + 1e-9
+        self.left = np.sqrt(np.maximum((self.norm > 0) - np.cumsum(self.align ** 2, axis=0), 0)) + 1e-9
 
     def intervals(self, at: np.ndarray, level: int, query: tuple[np.ndarray, ...], sums: np.ndarray, errors: np.ndarray):
         """(lower, upper) bounds of the scores of the rows ``at``; ``sums`` and ``errors`` of earlier levels are carried on."""
         planes, low, step, total, error, norm = query
-        hits = np.bitwise_count(self.codes[at, level][:, None, :] & planes[level][None]).sum(axis=2, dtype=np.int64)
-        product = low[level] * self.ones[at, level] + step[level] * (hits @ (1 << np.arange(PLANES)))
+        hits = np.zeros(len(at), np.uint32)
+        for word, bits in zip(self.codes[level], planes[level].T, strict=True):
+            code = word[at]
+            for k in range(PLANES):
+                hits += np.bitwise_count(code & bits[k]) * np.uint32(1 << k)
+        align = self.align[level][at]
+        product = low[level] * self.ones[level][at] + step[level] * hits
         product = (2 * product - total[level]) / np.sqrt(planes.shape[2] * 64)
-        sums = sums + self.align[at, level] * product
-        errors = errors + self.align[at, level] * error[level]
+        sums = sums + align * product
+        errors = errors + align * error[level]
         across = np.sqrt(np.maximum(1 - np.maximum(np.abs(product) - error[level], 0) ** 2, 0))
         size = self.norm[at] * norm
-        middle, wide = size * sums, size * (errors + self.left[at, level] * across) + 1 + 1e-9 * size
+        middle, wide = size * sums, size * (errors + self.left[level][at] * across) + 1 + 1e-9 * size
         return middle - wide, middle + wide, sums, errors
 
+    def bounds(self, query: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """``intervals`` of the last level, of all rows with several queries: (lower, upper), queries x rows.
 
-def _scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+        The popcounts of a code with all planes of a query are one product of its
+        signs and the cut coordinates, so queries meet codes as matrices.
+        """
+        planes, low, step, _, error, norm = query
+        size = planes.shape[3] * 64
+        sums, errors, weights = np.zeros((len(low), len(self.id))), np.zeros((len(low), len(self.id))), 1 << np.arange(PLANES)
+        for level in range(LEVELS):
+            signs = np.unpackbits(np.ascontiguousarray(self.codes[level].T).view(np.uint8), axis=1) * 2.0 - 1
+            cut = np.tensordot(weights, np.unpackbits(np.ascontiguousarray(planes[:, level]).view(np.uint8), axis=2), (0, 1))
+            near = low[:, level, None] + step[:, level, None] * cut
+            product = near @ signs.T / np.sqrt(size)
+            sums += self.align[level] * product
+            errors += error[:, level, None] * self.align[level]
+        across = np.sqrt(np.maximum(1 - np.maximum(np.abs(product) - error[:, -1:], 0) ** 2, 0))
+        length = norm[:, None] * self.norm
+        middle, wide = length * sums, length * (errors + self.left[-1] * across) + 1 + 1e-9 * length
+        return middle - wide, middle + wide
+
+
+def _scores(block: Block, at: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact inner products of integers."""
-    if len(vectors) and np.abs(vectors).max() * np.abs(query).max() * len(query) >= 2 ** 53:
+    vectors = block.vectors[at]
+    if block.greatest * np.abs(query).max(initial=0) * len(query) >= 2 ** 53:
         return vectors.astype(np.int64) @ query.astype(np.int64)
     return (vectors @ query).astype(np.int64)
 
 
-def _survivors(block: Block, at: np.ndarray, query: tuple[np.ndarray, ...], ranges: list[tuple[float, float]], best: int) -> np.ndarray:
-    """Those of the rows ``at`` that may be among the first ``best`` of one of the score ranges."""
-    sums = errors = np.zeros(len(at))
-    for level in range(LEVELS):
-        if len(at) <= best:
-            break
-        lower, upper, sums, errors = block.intervals(at, level, query, sums, errors)
-        on = np.zeros(len(at), bool)
-        for low, high in ranges:
-            sure = lower[(lower >= low) & (upper <= high)]
-            if len(sure) >= best:  # so many rows of the range score this much at least
-                low = max(low, np.partition(sure, len(sure) - best)[len(sure) - best])
-            on |= (upper >= low) & (lower <= high)
-        at, sums, errors = at[on], sums[on], errors[on]
-    return at
+def _survivors(lower: np.ndarray, upper: np.ndarray, ranges: list[tuple[float, float]], best: int) -> np.ndarray:
+    """Places of the intervals that may hold one of the ``best`` greatest scores of a score range.
+
+    The ranges of an anchor's positives overlap almost wholly, so they are cut as
+    one: from the least low to the greatest high, and rows that lie in all of
+    them raise each low.
+    """
+    ranges = [r for r in ranges if r[0] <= r[1]]
+    if not ranges:
+        return np.zeros(0, np.int64)
+    least, most = min(r[0] for r in ranges), max(r[1] for r in ranges)
+    sure = lower[(lower >= max(r[0] for r in ranges)) & (upper <= min(r[1] for r in ranges))]
+    if len(sure) >= best:  # so many rows of every range score this much at least
+        least = max(least, np.partition(sure, len(sure) - best)[len(sure) - best])
+    return np.flatnonzero((upper >= least) & (lower <= most))
 
 
 def _first(score: np.ndarray, key: np.ndarray, best: int) -> np.ndarray:
@@ -208,11 +239,13 @@ def _search(tiles: DataFrame, width: int, best: int, same: bool) -> DataFrame:
                 planes = rotation.planes(anchors.vectors)
                 out = []
                 for k in range(len(anchors.id)):
+                    if k % MEET == 0:
+                        lower, upper = block.bounds(tuple(x[k:k + MEET] for x in planes))
                     alike = block.label == anchors.label[k]
                     at = np.flatnonzero(alike & (block.number != anchors.number[k]) if same else ~alike)
                     ranges = [(-np.inf, np.inf)] if same else [tuple(r) for r in row["ranges"][k]]
-                    at = _survivors(block, at, tuple(x[k] for x in planes), ranges, best)
-                    score = _scores(block.vectors[at], anchors.vectors[k])
+                    at = at[_survivors(lower[k % MEET][at], upper[k % MEET][at], ranges, best)]
+                    score = _scores(block, at, anchors.vectors[k])
                     for part, (low, high) in enumerate(ranges):
                         inside = np.flatnonzero((score >= low) & (score <= high))
                         first = inside[_first(score[inside], block.id[at[inside]], best)]

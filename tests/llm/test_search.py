@@ -94,6 +94,33 @@ def test_intervals_hold_the_scores():
     assert all(a > 1.3 * b for a, b in zip(means[:-2], means[1:-1]))  # each level narrows them
 
 
+def test_anchors_meet_codes_together():
+    """All anchors of a tile are bounded at once, as one by one, and ranges that overlap are cut as one."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-300, 300, (300, 70))
+    rotation = hard_negatives.Rotation(70)
+    codes, align, norm = rotation.encode(vectors.astype(float))
+    key = np.arange(300)
+    row = dict(zip(hard_negatives.PACKED, (key, key, key, vectors, codes, align, norm), strict=True))
+    block = hard_negatives.Block({k: v.tobytes() for k, v in row.items()})
+    planes = rotation.planes(vectors[:9].astype(float))
+    lower, upper = block.bounds(planes)
+    for k in range(9):
+        sums = errors = np.zeros(300)
+        for level in range(hard_negatives.LEVELS):
+            low, high, sums, errors = block.intervals(key, level, tuple(x[k] for x in planes), sums, errors)
+        assert np.allclose(lower[k], low) and np.allclose(upper[k], high)
+        score = vectors @ vectors[k]
+        assert (lower[k] <= score).all() and (score <= upper[k]).all()
+        ranges = [(score.max() // 8, score.max() // 3), (score.max() // 9, score.max() // 4), (5, 4)]
+        left = hard_negatives._survivors(lower[k], upper[k], ranges, 3)
+        for low, high in ranges:
+            inside = np.flatnonzero((score >= low) & (score <= high))
+            assert set(inside[hard_negatives._first(score[inside], inside, 3)]) <= set(left)
+        assert len(left) < 300 and len(hard_negatives._survivors(lower[k], upper[k], [(5, 4)], 3)) == 0
+
+
+
 # ---------------------------------------------------------------- fingerprints
 def _whole_phrases(text):
     data = np.frombuffer(text.encode(), np.uint8)
