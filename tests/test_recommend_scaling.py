@@ -92,3 +92,19 @@ def test_als_scores_after_the_files_of_its_fit_are_gone(spark, monkeypatch):
     folder = work_folder(spark).removeprefix("file:")
     assert not [f for f in os.listdir(folder) if f.startswith("model_")]
     assert factors[1].count() > 0
+
+
+def test_als_fits_of_two_configurations_run_side_by_side(spark, monkeypatch):
+    """Never two of the costliest; every fit once, the metrics of fits one by one."""
+    from quarry.operators import models
+    from quarry.operators.tuning import run_concurrently
+    first, second = recommend.fit_lanes(models.ALS_CONFIGS, 4, 2)
+    assert {i for _, i in first} == {2} and sorted(first + second) == [(fold, i) for fold in range(4) for i in range(3)]
+    assert [len(lane) for lane in recommend.fit_lanes(models.ALS_CONFIGS, 4, 1)] == [12]
+    together = []
+    monkeypatch.setattr(recommend, "run_concurrently", lambda jobs, n: together.append(n) or run_concurrently(jobs, n))
+    configs = [{"rank": 2, "maxIter": 1}, {"rank": 3, "maxIter": 1}]
+    ratings = standins.ratings(spark, SF_SMALL)
+    found = [[(r.model, r.fold, r.n, round(r.rmse, 6)) for r in recommend.als_cv(ratings, configs=configs, k=2, **how)[0].collect()]
+             for how in ({}, {"parallelism": 1})]
+    assert together == [2, 1] and found[0] == found[1] and len(found[0]) == 4
