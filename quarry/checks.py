@@ -134,7 +134,7 @@ ALS_CHECK = {"rank": 4, "maxIter": 3, "regParam": 0.1}
 
 def _factors(spark, sf_dir):
     ratings = settled(standins.ratings(spark, sf_dir))
-    return ratings, models.als(**ALS_CHECK).fit(ratings)
+    return ratings, models.als(**ALS_CHECK, blocks=models.als_blocks(ratings)).fit(ratings)
 
 
 def als_normal_equations(spark, sf_dir):
@@ -144,11 +144,15 @@ def als_normal_equations(spark, sf_dir):
     return residuals.agg(F.count(F.lit(1)).alias("n_users"), F.count_if(F.col("residual") > 1e-3).alias("mismatches"))
 
 
+#: A guard only: Lloyd's steps end where no centre moves, and the conditions hold there alone.
+LLOYD_STEPS = 3000
+
+
 def kmeans_conditions(spark, sf_dir):
     """On item factors every row is at its nearest centre and every centre is the mean of its rows."""
     _, model = _factors(spark, sf_dir)
     items = settled(model.itemFactors)
-    found = models.kmeans().setMaxIter(300).setTol(1e-9).fit(items)
+    found = models.kmeans().setMaxIter(LLOYD_STEPS).setTol(1e-9).fit(items)
     centres = [c.tolist() for c in found.clusterCenters()]
     return conditions.centre_mismatches(found.transform(items), centres, "features", "cluster")
 

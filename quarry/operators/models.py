@@ -35,6 +35,8 @@ ALS_CONFIGS = [
 KMEANS_K = 19
 #: User and item blocks of ALS; raise it with the data, not with the cluster.
 ALS_BLOCKS = 10
+#: Ratings of a block, at most, where the blocks follow the data: a task that builds one holds it several times over.
+RATINGS_PER_BLOCK = 5_000_000
 
 
 def poisson_glm(features_col: str, label_col: str, reg_param: float = 0.0, max_iter: int = GLM_MAX_ITER,
@@ -121,6 +123,11 @@ def als(user_col: str = "userId", item_col: str = "movieId", rating_col: str = "
                seed=seed, checkpointInterval=checkpoint_interval, **params)
 
 
+def als_blocks(ratings: DataFrame) -> int:
+    """Blocks for ``als`` on these ratings: the recorded number, or more where a block would outgrow a task."""
+    return max(ALS_BLOCKS, -(-ratings.count() // RATINGS_PER_BLOCK))
+
+
 def item_factors(model) -> DataFrame:
     """``(id INT, features ARRAY<FLOAT>)`` of a fitted ALS model."""
     return model.itemFactors

@@ -102,3 +102,17 @@ def test_a_rerun_appends_nothing_twice(spark, tmp_path):
     for run, sizes in (("r1", [0.2]), ("r2", [0.4, 0.6]), ("r1", [0.2])):
         append_results(spark.createDataFrame([(s, 1) for s in sizes], "sample_size double, sample_count int"), path, run_id=run)
     assert [r["sample_size"] for r in read_results(spark, path).collect()] == [0.2, 0.4, 0.6]
+
+
+def test_als_blocks_follow_the_ratings(spark, monkeypatch):
+    """What a task holds while it builds a block doesn't grow with the ratings; the conditions hold all the same."""
+    from quarry import checks
+    made, als = [], models.als
+    monkeypatch.setattr(models, "als", lambda **how: made.append(als(**how)) or made[-1])
+    assert checks.kmeans_conditions(spark, SF_SMALL).first()["not_nearest"] == 0
+    monkeypatch.setattr(models, "RATINGS_PER_BLOCK", 400, raising=False)
+    got = checks.kmeans_conditions(spark, SF_SMALL).first()
+    assert got["not_nearest"] == got["centres_off"] == 0 and got["n"] > 0
+    assert checks.als_normal_equations(spark, SF_SMALL).first()["mismatches"] == 0
+    first, second, third = ((e.getNumUserBlocks(), e.getNumItemBlocks()) for e in made)
+    assert first == (10, 10) and second == third and second[0] == second[1] > 10
